@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
 from assayer.llm import quality_rules as rules
+from assayer.llm import quality_model as grades
+from assayer.llm.decontaminate import find_leaks
 from assayer.llm.langid import identify_language, learn_dictionaries
+from assayer.llm.line_templates import drop_recurring
 from assayer.llm.mixing import mix_sources
 from assayer.llm.neardup import near_duplicates
 from assayer.llm.secret_scan import scan_secrets
@@ -39,11 +42,25 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = grades.train(docs, table(spark, sf_dir, "labels"), grades.rating_grade(), 3)
+    return grades.grade_documents(docs, model)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.ledger(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.verdict(rules.BASE)).alias("base_failed"), rules.verdict(rules.STANDARD).alias("kept"), "failed")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring(table(spark, sf_dir, "documents"), report=True)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 t AS (SELECT *, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g,
