@@ -11,6 +11,7 @@ from assayer.llm import quality_model as grades
 from assayer.llm.decontaminate import find_leaks
 from assayer.llm.langid import identify_language, learn_dictionaries
 from assayer.llm.line_templates import drop_recurring
+from assayer.llm.lm_score import score_texts
 from assayer.llm.mixing import mix_sources
 from assayer.llm.neardup import near_duplicates
 from assayer.llm.secret_scan import scan_secrets
@@ -61,6 +62,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = score_texts(docs, fold_of(5) != 1)
+    return scores.select("doc_id", F.coalesce(fold_of(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 t AS (SELECT *, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g,
