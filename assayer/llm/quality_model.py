@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 TOKEN = re.compile(r"([^\W\d_]+)|(\d+)|([^\w\s]+|_+)")
 #: Feature hashes fall into 2^18 buckets.
 BUCKETS = 1 << 18
+#: Longer words also count by their first so many letters.
+STEMS = (4, 6, 8)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct buckets of a whole text: the words it holds, and how often (in steps of a doubling) each run of symbols, capital words, digits and repeated words and lines come."""
+    """Sorted distinct buckets of a whole text: the words it holds, how they begin, and how often (in steps of a doubling) each run of symbols, capital words, digits and repeated words and lines come."""
     text = text or ""
     words, symbols, capitals, digits = {}, {}, 0, 0
     for word, number, other in TOKEN.findall(text):
@@ -33,7 +35,8 @@ def features(text: str | None) -> np.ndarray:
     step = lambda part: int(1024 * part / max(1, n)).bit_length()
     lines = [x for x in text.split("\n") if x.strip()]
     shape = {"capitals": capitals, "digits": digits, "symbols": sum(symbols.values()), "repeats": n - len(words), "lines": len(lines), "repeated lines": len(lines) - len(set(lines))}
-    names = [*(f"w {w}" for w in words), *(f"s {s} {step(c)}" for s, c in symbols.items()), *(f"f {k} {step(v)}" for k, v in shape.items()), f"n {n.bit_length()}"]
+    starts = {w[:m] for w in words for m in STEMS if len(w) > m}
+    names = [*(f"w {w}" for w in words), *(f"p {w}" for w in starts), *(f"s {s} {step(c)}" for s, c in symbols.items()), *(f"f {k} {step(v)}" for k, v in shape.items()), f"n {n.bit_length()}"]
     return np.unique(np.fromiter((crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names), np.int32, len(names)))
 
 
@@ -49,8 +52,8 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -60, 60)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, penalty: float = 1e-4, least_rows: int = 3, rounds: int = 200, rate: float = 0.05) -> OrdinalModel:
-    """Full-batch Adam on the penalised likelihood; buckets in fewer than ``least_rows`` rows keep weight 0.
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, penalty: float = 1e-3, least_rows: int = 8, epochs: int = 100, batch: int = 256, rate: float = 0.05) -> OrdinalModel:
+    """Adam on the penalised likelihood, in batches of shuffled rows, at a falling rate; buckets in fewer than ``least_rows`` rows keep weight 0.
 
     Without rows every grade is equally likely.  The cuts are a first value and log gaps, so they stay ordered.
     """
@@ -58,31 +61,34 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, penalty
     if not len(rows):
         p = np.arange(1, levels) / levels
         return OrdinalModel(weights, np.log(p / (1 - p)))
-    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    used = np.bincount(flat, minlength=BUCKETS) >= least_rows
+    used = np.bincount(np.concatenate(rows), minlength=BUCKETS) >= least_rows
     place = np.cumsum(used) - 1
-    row_of = np.repeat(np.arange(len(rows)), sizes)[used[flat]]
-    flat = place[flat[used[flat]]]
+    rows = [place[r[used[r]]] for r in rows]
     k = int(used.sum())
     share = np.clip(np.cumsum(np.bincount(grades, minlength=levels))[:-1] / len(grades), 1e-3, 1 - 1e-3)
     cuts = np.log(share / (1 - share))
     theta = np.concatenate([np.zeros(k), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-2))])
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-    for t in range(1, rounds + 1):
+    rng, steps = np.random.default_rng(7), epochs * -(-len(rows) // batch)
+    picks = (order[at : at + batch] for order in (rng.permutation(len(rows)) for _ in range(epochs)) for at in range(0, len(rows), batch))
+    for t, pick in enumerate(picks, 1):
+        g, n = grades[pick], len(pick)
+        flat = np.concatenate([rows[i] for i in pick])
+        row_of = np.repeat(np.arange(n), [len(rows[i]) for i in pick])
         w, gaps = theta[:k], np.exp(theta[k + 1 :])
         cuts = theta[k] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(row_of, w[flat], minlength=len(rows))
-        upper = np.where(grades < levels - 1, logistic(cuts[np.minimum(grades, levels - 2)] - score), 1.0)
-        lower = np.where(grades > 0, logistic(cuts[np.maximum(grades - 1, 0)] - score), 0.0)
+        score = np.bincount(row_of, w[flat], minlength=n)
+        upper = np.where(g < levels - 1, logistic(cuts[np.minimum(g, levels - 2)] - score), 1.0)
+        lower = np.where(g > 0, logistic(cuts[np.maximum(g - 1, 0)] - score), 0.0)
         p = np.maximum(upper - lower, 1e-12)
-        du, dl = upper * (1 - upper) / p / len(rows), lower * (1 - lower) / p / len(rows)
+        du, dl = upper * (1 - upper) / p / n, lower * (1 - lower) / p / n
         slope = np.bincount(flat, (du - dl)[row_of], minlength=k)  # of the loss, by weight
-        by_cut = np.bincount(np.maximum(grades - 1, 0), dl, minlength=levels - 1) - np.bincount(np.minimum(grades, levels - 2), np.where(grades < levels - 1, du, 0), minlength=levels - 1)
+        by_cut = np.bincount(np.maximum(g - 1, 0), dl, minlength=levels - 1) - np.bincount(np.minimum(g, levels - 2), np.where(g < levels - 1, du, 0), minlength=levels - 1)
         up = np.cumsum(by_cut[::-1])[::-1]
         grad = np.concatenate([slope + penalty * w, up[:1], up[1:] * gaps])
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
-        theta -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+        theta -= rate * (1 - (t - 1) / steps) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
     weights[np.flatnonzero(used)] = theta[:k]
     return OrdinalModel(weights, theta[k] + np.concatenate([[0.0], np.cumsum(np.exp(theta[k + 1 :]))]))
 
@@ -92,7 +98,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["grade", "x"])
 
 
-def train(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000) -> OrdinalModel:
+def train(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8_000) -> OrdinalModel:
     """Fit on a bounded sample of the rated documents: about ``sample_rows``, 1.25 times that at most, by a hash of the id.
 
     ``ratings`` has ``id_col`` and the columns of ``grade``, an int from 0 to ``levels`` - 1; rows with a null id or grade,
@@ -127,6 +133,20 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
     return rows.mapInArrow(_score(model), "doc_id long, expected_grade double, p_top double").withColumn("kept", F.col("p_top") >= least)
 
 
+def _select(model: OrdinalModel, place: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.array([model.weights[features(t)].sum(dtype=np.float64) for t in batch.column(place).to_pylist()], dtype=np.float64)
+            yield batch.filter(pa.array(model.tails(score)[:, -1] >= least))
+
+    return run
+
+
+def select_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``grade_documents`` keeps, with all their columns; one pass, nothing is shuffled."""
+    return docs.mapInArrow(_select(model, docs.columns.index(text_col), least), docs.schema)
+
+
 def rating_grade() -> Column:
     """The grade of a ``labels`` row: 0 toxic, 1 of low quality, 2 good; null where either flag is null."""
     return F.when(F.col("toxic") == 1, 0).when((F.col("toxic") == 0) & (F.col("quality") == 0), 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 2)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import quality_rules as rules
 from assayer.llm import quality_model as grades
 from assayer.llm.decontaminate import find_leaks
+from assayer.llm.html_text import extract_text
 from assayer.llm.langid import identify_language, learn_dictionaries
 from assayer.llm.line_templates import drop_recurring
 from assayer.llm.lm_score import score_texts
@@ -58,6 +59,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring(table(spark, sf_dir, "documents"), report=True)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
