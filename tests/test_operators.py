@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import numbers as N, text as T
+from assayer.functions.answers import Question
 from assayer.operators import contract as C, feedback as L, similarity as S
 from assayer.operators.learners import Drift, Hedge, Softmax, fold
 from assayer.operators.rules import Condition, Rule, first_match
@@ -164,3 +165,23 @@ def test_wilson(spark):
     p, n, z = 0.05, 100, 1.2816
     want = (p + z * z / (2 * n) + z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     assert got[0] == 1.0 and abs(got[1] - want) < 1e-12
+
+
+def test_questions(spark):
+    for bad in (("a b",), ("q", "list"), ("q", "choice", ("x",)), ("q", "noul", ("a", "b"))):
+        with pytest.raises(ValueError):
+            Question(*bad)
+    q = Question("sev", "score", ("low", "High"))
+    rows = spark.createDataFrame([(x,) for x in ("LOW", "high", "1", "1.0", "2", "", None)], "v string")
+    assert [r[0] for r in rows.select(q.label(F.col("v"))).collect()] == ["low", "High", "High", "High", None, None, None]
+    assert [r[0] for r in rows.select(Question("c", "choice", ("low", "mid")).label(F.col("v"))).collect()][:3] == ["low", "high", "1"]
+
+
+def test_replies(spark):
+    q, yes = Question("team", "choice", ("a", "b", "c")), Question("ok", "noul")
+    cases = ['{"team": {"probabilities": {"a": 1, "1": 3, "zz": 9}}}', '{"answers": {"team": {"choice": "b", "confidence": 0.6}}}', '{"results": {"team": {"answer": "c"}}}', "{}", "not json", None]
+    got = [r[0] and [round(x, 6) for x in r[0]] for r in spark.createDataFrame([(c,) for c in cases], "j string").select(q.reply(F.col("j"))).collect()]
+    assert got == [[0.25, 0.75, 0.0], [0.2, 0.6, 0.2], [0.1, 0.1, 0.8], None, None, None]
+    cases = ['{"ok": {"probability": 1.7}}', '{"questions": {"ok": {"probabilities": {"yes": 0.25}}}}', '{"ok": {"probabilities": {"true": 1, "false": 3}}}']
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "j string").select(yes.reply(F.col("j"))).collect()]
+    assert got == [[1.0, 0.0], [0.25, 0.75], [0.25, 0.75]]
