@@ -30,14 +30,16 @@ class Memory:
             for f in feats:
                 if counts[f] <= most:
                     found.setdefault(f, []).append(i)
-        self.postings = {f: np.array(x, dtype=np.int32) for f, x in found.items()}
+        self.places = {f: i for i, f in enumerate(found)}
+        self.ends = np.cumsum([0, *map(len, found.values())])
+        self.entries = np.fromiter((i for x in found.values() for i in x), np.int32, self.ends[-1])
 
     def neighbours(self, feats: list[str]) -> list[tuple[int, float]]:
         """Up to K entries of similarity MIN_SIM or more: the CANDIDATES with most features in common, then by cosine; ties to the older."""
-        hits = [self.postings[f] for f in feats if f in self.postings]
-        if not hits:
+        at = [self.places[f] for f in feats if f in self.places]
+        if not at:
             return []
-        overlap = np.bincount(np.concatenate(hits), minlength=len(self.labels))
+        overlap = np.bincount(np.concatenate([self.entries[self.ends[i] : self.ends[i + 1]] for i in at]), minlength=len(self.labels))
         near = np.flatnonzero(overlap)
         near = near[np.lexsort((self.seq[near], -overlap[near]))][:CANDIDATES]
         sim = overlap[near] / np.sqrt(len(feats) * self.sizes[near])
@@ -46,7 +48,8 @@ class Memory:
 
 
 def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.withColumn("features", T.token_features(T.tokens(F.coalesce(text_col, F.lit("")))))
+    found = docs.withColumn("_tokens", T.tokens(F.coalesce(text_col, F.lit(""))))  # a column of its own, else each use computes it anew
+    return found.withColumn("features", T.token_features(F.col("_tokens"))).drop("_tokens")
 
 
 def learn_memory(labelled: DataFrame, seq: str, label: str, text_col: str = "text") -> Memory:
