@@ -14,6 +14,7 @@ from assayer.operators.learners import Drift, Hedge, Softmax, fold
 from assayer.operators.rules import Condition, Rule, first_match
 from assayer.operators.running import running, trailing
 from assayer.sources import datasets as D
+from assayer.sources.generators import loans, tickets
 from assayer.streaming.decisions import drift_stream, into_log, windowed
 
 
@@ -185,3 +186,23 @@ def test_replies(spark):
     cases = ['{"ok": {"probability": 1.7}}', '{"questions": {"ok": {"probabilities": {"yes": 0.25}}}}', '{"ok": {"probabilities": {"true": 1, "false": 3}}}']
     got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "j string").select(yes.reply(F.col("j"))).collect()]
     assert got == [[1.0, 0.0], [0.25, 0.75], [0.25, 0.75]]
+
+
+def test_generators(spark):
+    rows = tickets(spark, 3000)
+    share = rows.agg(F.avg(F.col("urgent").cast("int")), F.count_distinct("department"), F.count_distinct("text")).first()
+    assert abs(share[0] - 0.4) < 0.03 and share[1] == 3 and share[2] > 100
+    assert rows.exceptAll(tickets(spark, 3000).repartition(3)).count() == 0
+    counts = {r.label: r["count"] for r in loans(spark, 3000).groupBy("label").count().collect()}
+    assert set(counts) == {"approve", "review", "reject"} and min(counts.values()) > 100
+    assert loans(spark, 0).count() == 0
+
+
+def test_softmax_on_generated_tickets(spark):
+    s, right = Softmax(), 0
+    for i, r in enumerate(tickets(spark, 600).orderBy("seq").collect()):
+        feats = {"bias": 1.0} | {w: 0.3 for w in r.text.lower().split()}
+        best = max(s.predict(feats).items(), key=lambda x: x[1], default=("", 0))[0]
+        right += i >= 300 and best == r.department
+        s.step(feats, r.department)
+    assert right >= 290
