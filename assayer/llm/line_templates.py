@@ -10,15 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from assayer.llm.tables import hashed, mixed, small, words, written
+from assayer.llm.neardup import near_duplicates
+from assayer.llm.tables import hashed, small, written
 
 #: Tokens that vary between uses of a template: those with a digit, addresses and links.
 VARIABLE = re.compile(rb"[0-9@]|://")
 WILDCARD = b"<*>"
 #: So many distinct lines of a leaf are compared with one another; a larger leaf is first cut into parts.
 PART = 2048
-#: MinHash values of a text.
-SKETCH = 7
+#: Texts whose sets of so many-word runs have a similarity of so many percent are of one family.
+FAMILY_WORDS, FAMILY_PERCENT = 3, 80
 
 
 def _signed(h: int) -> int:
@@ -123,18 +124,6 @@ def _generalised(lines: DataFrame, similar: float, depth: int) -> DataFrame:
     return rows.mapInArrow(_templates(similar, depth), "leaf long, line long, template long, tokens binary")
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least of ``SKETCH`` hash functions over the three-word runs of each text."""
-    seeds = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64))
-    for batch in batches:
-        out = []
-        for text in batch.column(1).to_pylist():
-            h = hashed(words(text))
-            runs = mixed(h[:-2] + mixed(h[1:-1] + mixed(h[2:]))) if len(h) > 2 else h
-            out.append([int(mixed(runs ^ f).min().view(np.int64)) if len(runs) else 0 for f in seeds])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["copy", "sketch"])
-
-
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similar: float = 0.8, least_tokens: int = 5, long_tokens: int = 20, uses: int = 3, long_uses: int = 2) -> DataFrame:
     """``key, no``: the lines to drop, by row key (``row_key``) and line number from 0.
 
@@ -142,10 +131,10 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leading tokens.  In a leaf, lines that agree in a ``similar`` share of places have one template.  Exact repeats are
     one line there; a leaf of more than ``PART`` distinct lines is parsed in parts, and then the parts' templates together.
 
-    A template recurs if ``uses`` independent documents (``long_uses``, from ``long_tokens`` tokens on) have it, and they
-    are half of the different texts that have it.  A text is independent if most of its ``SKETCH`` MinHash values are
-    its own among those texts.  So a passage put into many documents recurs, and the lines of a document and its exact
-    and near copies don't: those are left to near-dedup.  The row with the least id (then key; null last) keeps a recurring template.
+    A template recurs if texts of ``uses`` families (``long_uses``, from ``long_tokens`` tokens on) have it.  A family is a
+    component of near copies (``near_duplicates`` with ``FAMILY_WORDS`` and ``FAMILY_PERCENT``), whatever its size.  So a
+    passage put into many documents recurs, however many copies these have, and the lines of a document and its exact and
+    near copies alone don't: those are left to near-dedup.  The row with the least id (then key; null last) keeps a recurring template.
     Lines with fewer than ``least_tokens`` constant tokens, or more wildcards than constants, have no template.
     """
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
@@ -161,17 +150,18 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = lines.drop("leaf", "tokens").join(small(merged), "line", "left").withColumn("line", F.coalesce("last", "line")).drop("last")
     several = named.groupBy("line").agg(F.min("copy").alias("a"), F.max("copy").alias("b")).where("a <> b").select("line")
     used = written(named.join(several, "line", "left_semi"), "uses")
-    pairs = used.groupBy("line", "copy").agg(F.max("n").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "key")).alias("first"))
-    copies = written(used.select("copy").distinct(), "copies")
-    sketches = rows.select("copy", "text").join(small(copies), "copy", "left_semi").mapInArrow(_sketches, "copy long, sketch array<long>")
-    sketches = sketches.groupBy("copy").agg(F.first("sketch").alias("sketch"))
-    values = pairs.join(sketches, "copy").select("line", "copy", F.posexplode("sketch").alias("j", "value"))
-    own = values.groupBy("line", "j", "value").agg(F.count("*").alias("c"), F.min("copy").alias("copy")).where("c = 1").groupBy("line", "copy").agg(F.count("*").alias("own"))
-    independent = own.where(2 * F.col("own") > SKETCH).groupBy("line").agg(F.count("*").alias("independent"))
-    per = pairs.groupBy("line").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("first").alias("first"))
+    pairs = written(used.groupBy("line", "copy").agg(F.max("n").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "key")).alias("first")), "pairs")
     least = F.when(F.col("n") >= long_tokens, long_uses).otherwise(uses)
-    recurring = per.join(independent, "line").where((F.col("independent") >= least) & (2 * F.col("independent") >= F.col("texts")))
-    recurring = written(recurring.select("line", F.col("first.key").alias("keeper")), "recurring")
+    # a template has as many texts as families at least, so the texts of other templates need no family
+    often = pairs.groupBy("line").agg(F.count("*").alias("texts"), F.max("n").alias("n")).where(F.col("texts") >= least).select("line")
+    often = written(often, "often")
+    held = pairs.join(small(often), "line", "left_semi")
+    copies = written(held.select("copy").distinct(), "copies")
+    texts = rows.select("copy", "text").join(small(copies), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
+    families = near_duplicates(written(texts, "texts"), "copy", "text", FAMILY_WORDS, FAMILY_PERCENT).select(F.col("doc_id").alias("copy"), F.col("component_id").alias("family"))
+    per = held.join(families, "copy").groupBy("line", "family").agg(F.max("n").alias("n"), F.min("first").alias("first"))
+    per = per.groupBy("line").agg(F.count("*").alias("families"), F.max("n").alias("n"), F.min("first").alias("first"))
+    recurring = written(per.where(F.col("families") >= least).select("line", F.col("first.key").alias("keeper")), "recurring")
     return used.join(small(recurring), "line").where("key <> keeper").select("key", "no")
 
 

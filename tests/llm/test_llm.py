@@ -214,6 +214,27 @@ def test_recurring_passages_go_and_copies_stay(spark):
     assert L.drop_recurring(df).columns == df.columns and L.drop_recurring(df.limit(0)).count() == 0
 
 
+def test_passages_recur_over_families(spark):
+    rng = random.Random(13)
+
+    def near(text):
+        w = text.split(" ")
+        w[5] = "other"
+        return " ".join(w)
+
+    one, two, three, four = (prose(rng, n) for n in (30, 31, 140, 33))
+    bases = [f"{prose(rng, 120)}\n{one}\n{prose(rng, 70)}" for _ in range(4)]
+    texts = [t for b in bases for t in (b, near(b))]  # 0 to 7: each has a near copy
+    large = f"{prose(rng, 200)}\n{two}\n{four}\n{prose(rng, 200)}".split(" ")
+    texts += [f"{prose(rng, 90)}\n{two}" for _ in range(4)]  # 8 to 11, and one large family
+    texts += [" ".join(w if k != 20 + i else "other" for k, w in enumerate(large)) for i in range(30)]
+    texts += [f"{prose(rng, 30)}\n{three}\n{prose(rng, 30)}" for _ in range(5)]  # 42 to 46: made of it for the most part
+    rows = {r.doc_id: r for r in L.drop_recurring(documents(spark, texts), report=True).collect()}
+    assert [rows[i].n_dropped for i in range(12)] == [0, *[1] * 7, 0, 1, 1, 1]
+    assert all(rows[i].n_dropped == 1 and two not in rows[i].text and four in rows[i].text for i in range(12, 42))
+    assert [rows[i].n_dropped for i in range(42, 47)] == [0, 1, 1, 1, 1]
+
+
 def test_templates_by_brute_force():
     rng = random.Random(8)
     texts = sorted({("a b c " + " ".join(rng.choice("xyz") for _ in range(9))) for _ in range(200)})
