@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
 from assayer.llm.neardup import near_duplicates
-from assayer.llm.tables import hashed, small, written
+from assayer.llm.tables import dropped, hashed, small, written
 
 #: Tokens that vary between uses of a template: those with a digit, addresses and links.
 VARIABLE = re.compile(rb"[0-9@]|://")
 WILDCARD = b"<*>"
-#: So many distinct lines of a leaf are compared with one another; a larger leaf is first cut into parts.
+#: So many distinct lines of a leaf are compared with one another; a larger leaf is first cut into parts, and so is a run that more heads share.
 PART = 2048
 #: Texts whose sets of so many-word runs have a similarity of so many percent are of one family.
 FAMILY_WORDS, FAMILY_PERCENT = 3, 80
@@ -57,6 +58,17 @@ def _lines(depth: int, least_tokens: int):
     return run
 
 
+def _needed(n: int, similar: float) -> int:
+    """The fewest equal places of two lines of ``n`` tokens that have one template."""
+    return int(np.ceil(n * similar - 1e-9))
+
+
+def _cuts(n: int, similar: float, depth: int) -> list[int]:
+    """The bounds of the runs of places, one of which two lines of one template share whole."""
+    first, runs = min(depth, n), n - _needed(n, similar) + 1
+    return [first + (n - first) * i // runs for i in range(runs + 1)]
+
+
 def assign_templates(lines: list[int], texts: list[bytes], similar: float, depth: int) -> list[int]:
     """The template of each line of a part of a leaf: the first that it shares enough tokens with, place by place, or its own.
 
@@ -67,9 +79,8 @@ def assign_templates(lines: list[int], texts: list[bytes], similar: float, depth
         return lines
     tokens = np.array([hashed(t.split()) for t in texts])
     n = tokens.shape[1]
-    need = int(np.ceil(n * similar - 1e-9))
-    first = min(depth, n)
-    cuts = [8 * (first + (n - first) * i // (n - need + 1)) for i in range(n - need + 2)]
+    need = _needed(n, similar)
+    cuts = [8 * c for c in _cuts(n, similar, depth)]
     runs: dict[tuple[int, bytes], list[int]] = {}
     names, heads, out = [], [], []
     for i, line in enumerate(lines):
@@ -116,12 +127,110 @@ def _templates(similar: float, depth: int):
     return run
 
 
-def _generalised(lines: DataFrame, similar: float, depth: int) -> DataFrame:
-    """``line, template`` for ``leaf, line, tokens``; a large leaf is parsed in parts."""
-    parts = lines.groupBy("leaf").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    rows = lines.join(parts, "leaf").withColumn("part", F.pmod("line", "parts")).select("leaf", "part", "line", "tokens")
+def _runs(similar: float, depth: int):
+    """``bucket, line, tokens`` of each run of places of each line; an empty run is shared by the whole leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at = [], []
+            for i, (leaf, text) in enumerate(zip(batch.column("leaf").to_pylist(), batch.column("tokens").to_pylist())):
+                t = text.split()
+                cuts = _cuts(len(t), similar, depth)
+                keys += [_signed(xxh3_64_intdigest(b"%d %d %s" % (leaf, a, b" ".join(t[a:b])))) for a, b in zip(cuts, cuts[1:])]
+                at += [i] * (len(cuts) - 1)
+            own = batch.select(["line", "tokens"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *own.columns], ["bucket", "line", "tokens"])
+
+    return run
+
+
+def _similar_pairs(similar: float):
+    """Edges ``a, b`` (a < b) among the lines of a bucket's block or between its two; rows come sorted by bucket and blocks."""
+
+    def pairs(rows: list[tuple[int, int, bytes]], across: bool) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        ids, blocks = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
+        split = [r[2].split() for r in rows]
+        out = []
+        for n in {len(t) for t in split}:  # one, but for a clash of hashes
+            at = np.flatnonzero([len(t) == n for t in split])
+            tokens = np.array([hashed(split[i]) for i in at])
+            for k in range(len(at) - 1):
+                near = (tokens[k + 1 :] == tokens[k]).sum(axis=1) >= _needed(n, similar)
+                if across:
+                    near &= blocks[at[k + 1 :]] != blocks[at[k]]
+                out += [(min(ids[at[k]], ids[j]), max(ids[at[k]], ids[j])) for j in at[k + 1 :][near]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows, done = None, [], []
+        for batch in batches:
+            for bucket, lo, hi, block, line, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lo", "hi", "block", "line", "tokens"))):
+                if (bucket, lo, hi) != last:
+                    done += pairs(rows, bool(rows) and last[1] != last[2])
+                    last, rows = (bucket, lo, hi), []
+                rows.append((line, block, text))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], ["a", "b"])
+                done = []
+        done += pairs(rows, bool(rows) and last[1] != last[2])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*done) if done else [[]] * 2)], ["a", "b"])
+
+    return run
+
+
+def _edges(heads: DataFrame, similar: float, depth: int) -> DataFrame:
+    """All pairs of similar heads of a leaf: they share a run, and the heads of a run are compared in blocks of about ``PART``."""
+    runs = written(heads.mapInArrow(_runs(similar, depth), "bucket long, line long, tokens binary"), "runs")
+    blocks = runs.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket", F.ceil(F.col("c") / PART).cast("int").alias("blocks"))
+    held = runs.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("line"), "blocks").cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    held = held.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "block", "line", "tokens")
+    return held.mapInArrow(_similar_pairs(similar), "a long, b long").distinct()
+
+
+def _leaders(edges: DataFrame) -> DataFrame:
+    """``line, last``: the least leader that each line with one is similar to, as if the lines were parsed one after another.
+
+    A line without a lesser neighbour leads; its neighbours follow and lead nobody; and so on with the rest.  Lines are
+    hashes, so the order is random and the rounds are few.
+    """
+    spark, now, found = edges.sparkSession, edges, []
+    while not now.isEmpty():
+        leaders = written(now.select(F.col("a").alias("line")).distinct().join(now.select(F.col("b").alias("line")), "line", "left_anti"), "leaders")
+        found.append(leaders)
+        follow = written(now.join(leaders, F.col("a") == F.col("line"), "left_semi").select(F.col("b").alias("line")).distinct(), "followers")
+        gone = leaders.union(follow)
+        last = now
+        now = written(now.join(gone, F.col("a") == F.col("line"), "left_anti").join(gone, F.col("b") == F.col("line"), "left_anti"), "open")
+        if last is not edges:
+            dropped(spark, last)
+    if not found:
+        return spark.createDataFrame([], "line long, last long")
+    leaders = reduce(DataFrame.union, found)
+    return edges.join(leaders, F.col("a") == F.col("line"), "left_semi").groupBy(F.col("b").alias("line")).agg(F.min("a").alias("last"))
+
+
+def line_templates(texts: DataFrame, similar: float, depth: int) -> DataFrame:
+    """``line, last``, the template of each line that isn't its own, for distinct ``leaf, line, tokens``.
+
+    A leaf of more than ``PART`` lines is parsed in parts; then all similar pairs of the parts' heads are found by the runs
+    of places that they share, and the heads are parsed over these pairs, so that no two templates of a leaf are similar.
+    """
+    parts = written(texts.groupBy("leaf").agg(F.ceil(F.count("*") / PART).alias("parts")), "parts")
+    rows = texts.join(parts, "leaf").withColumn("part", F.pmod("line", "parts")).select("leaf", "part", "line", "tokens")
     rows = rows.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line")
-    return rows.mapInArrow(_templates(similar, depth), "leaf long, line long, template long, tokens binary")
+    once = written(rows.mapInArrow(_templates(similar, depth), "leaf long, line long, template long, tokens binary"), "templates")
+    large = parts.where("parts > 1")
+    own = once.where("line <> template").select("line", F.col("template").alias("last"))
+    if large.isEmpty():
+        return own
+    heads = once.where("line = template").select("leaf", "line", "tokens").join(large, "leaf", "left_semi")
+    moved = written(_leaders(written(_edges(heads, similar, depth), "pairs")), "moved")
+    to = moved.select(F.col("line").alias("template"), "last")
+    named = once.join(to, "template", "left").select("line", F.coalesce("last", "template").alias("last"))
+    return named.where("line <> last")
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similar: float = 0.8, least_tokens: int = 5, long_tokens: int = 20, uses: int = 3, long_uses: int = 2) -> DataFrame:
@@ -129,7 +238,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A line's tokens, those with digits and addresses masked, go down a tree of fixed depth: token count, then ``depth``
     leading tokens.  In a leaf, lines that agree in a ``similar`` share of places have one template.  Exact repeats are
-    one line there; a leaf of more than ``PART`` distinct lines is parsed in parts, and then the parts' templates together.
+    one line there; a leaf of more than ``PART`` distinct lines is parsed in parts, and then all the parts' templates together (``line_templates``).
 
     A template recurs if texts of ``uses`` families (``long_uses``, from ``long_tokens`` tokens on) have it.  A family is a
     component of near copies (``near_duplicates`` with ``FAMILY_WORDS`` and ``FAMILY_PERCENT``), whatever its size.  So a
@@ -142,10 +251,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = written(lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("leaf"), "leaves")
     texts = lines.select("leaf", "line", "tokens").join(small(shared), "leaf")
     texts = texts.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
-    once = written(_generalised(texts, similar, depth), "templates")
-    heads = once.where("line = template").select("leaf", "line", "tokens")
-    twice = _generalised(heads, similar, depth).select(F.col("line").alias("template"), F.col("template").alias("last"))
-    merged = written(once.join(twice, "template").where("line <> last").select("line", "last"), "merged")
+    merged = written(line_templates(written(texts, "distinct"), similar, depth), "merged")
 
     named = lines.drop("leaf", "tokens").join(small(merged), "line", "left").withColumn("line", F.coalesce("last", "line")).drop("last")
     several = named.groupBy("line").agg(F.min("copy").alias("a"), F.max("copy").alias("b")).where("a <> b").select("line")

@@ -247,6 +247,20 @@ def test_templates_by_brute_force():
     assert got == want
 
 
+def test_templates_of_a_leaf_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(L, "PART", 4)
+    rng = random.Random(14)
+    bases = [["a", "b", "c", *(rng.choice(WORDS) for _ in range(9))] for _ in range(60)]
+    texts = sorted({" ".join(w if k != 3 + i else "other" for k, w in enumerate(b)) for b in bases for i in range(4)})
+    rows = spark.createDataFrame([(1, i * 7919 % 10007, t.encode()) for i, t in enumerate(texts)], "leaf long, line long, tokens binary")
+    text = {r.line: bytes(r.tokens).decode().split() for r in rows.collect()}
+    last = {r.line: r.last for r in L.line_templates(rows, 0.8, 3).collect()}
+    heads = set(text) - set(last)
+    assert set(last.values()) <= heads
+    assert all(sum(x == y for x, y in zip(text[a], text[b])) < 0.8 * 12 for a in heads for b in heads if a < b)
+    assert len(heads) < 75  # the variants of a base differ from one another in two places
+
+
 # html
 
 def test_main_text():
