@@ -134,12 +134,10 @@ class Head:
         return np.where(self.words[at] == own, self.counts[at], 0)[where]
 
 
-def _bigram_counts(head: Broadcast, chunks: int):
+def _bigram_counts(chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = int(head.value(np.array([END]))[0])
         for _, part in _flushes(_texts(batches), FLUSH):
-            history = part.before(head.value(part.now), end)
-            values, counts = np.unique(part.bigrams()[history > 0], return_counts=True)
+            values, counts = np.unique(part.bigrams(), return_counts=True)
             chunk = chunk_of(values, chunks)
             cuts = np.flatnonzero(np.diff(chunk)) + 1
             split = lambda x: [p.tobytes() for p in np.split(x, cuts)] if len(x) else []
@@ -160,12 +158,14 @@ def _chunk_bits(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
 
-SUMS = "n_tokens long, n_known long, base double, score double"
-TAIL = ("token", "seen", "history")
+SUMS, SUM_COLUMNS = "n_tokens long, n_known long, base double, score double", ["n_tokens", "n_known", "base", "score"]
+#: A token with what is known of it: its count and that of the word before, null where they are to be joined.
+TAIL = ("token", "before", "found", "c", "history")
 
 
-def _score(head: Broadcast, segment: Broadcast, first: int, count: int, chunks: int, mass: float, prior: float):
-    """Sums over the tokens whose bigram lies in this segment; tokens outside the head go on with what is known of them.
+def _score(head: Broadcast, segment: Broadcast, first: int, count: int, chunks: int, mass: float, prior: float, whole: bool):
+    """Sums over the tokens whose bigram lies in this segment; tokens that are, or follow, a word outside the head go on with
+    what is known of them.  If the head is the ``whole`` vocabulary there are none: what isn't in it has count 0.
 
     Texts are taken together until they have about FLUSH tokens, so that each different bigram is probed once.
     """
@@ -185,15 +185,16 @@ def _score(head: Broadcast, segment: Broadcast, first: int, count: int, chunks:
                 found[lo:hi] = least_count(estimate(bits, first, pair[lo:hi], chunks))
                 seen = np.minimum(found[where], history)
                 own = (where >= lo) & (where < hi)
-                known = own & (c > 0)
+                ready = own & (whole | (c > 0) & (history > 0))
                 one = (c + 0.5) / mass
-                base = part.sums(np.where(known, np.log10(one), 0.0))
-                score = part.sums(np.where(known, np.log10((seen + prior * one) / (history + prior)), 0.0))
-                late = np.flatnonzero(own & (c == 0))
+                base = part.sums(np.where(ready, np.log10(one), 0.0))
+                score = part.sums(np.where(ready, np.log10((seen + prior * one) / (history + prior)), 0.0))
+                late = np.flatnonzero(own & ~ready)
                 offsets = np.append(np.searchsorted(late, part.starts), len(late)).astype(np.int32)
-                tail = pa.StructArray.from_arrays([pa.array(part.now[late].view(np.int64)), pa.array(seen[late]), pa.array(history[late])], TAIL)
+                now, before = (x[late].view(np.int64) for x in (part.now, part.before(part.now, END)))
+                tail = pa.StructArray.from_arrays([pa.array(now), pa.array(before), pa.array(found[where[late]]), pa.array(c[late], mask=c[late] == 0), pa.array(history[late].astype(np.int64), mask=history[late] == 0)], TAIL)
                 total = part.sums(np.ones(len(part.now), dtype=np.int64)) if first == 0 else np.zeros(n, dtype=np.int64)
-                sums = [pa.array(total), pa.array(part.sums(known.astype(np.int64))), pa.array(base), pa.array(score)]
+                sums = [pa.array(total), pa.array(part.sums((ready & (c > 0)).astype(np.int64))), pa.array(base), pa.array(score)]
                 rows = batch.slice(done, n)
                 yield pa.RecordBatch.from_arrays([*rows.columns[:3], *sums, pa.ListArray.from_arrays(pa.array(offsets), tail)], ["row", "doc_id", "key", "n_tokens", "n_known", "base", "score", "tail"])
                 done += n
@@ -210,10 +211,16 @@ def _segment(filters: DataFrame, first: int, size: int) -> bytes:
 
 
 def _with_tail(scored: DataFrame, counts: DataFrame, mass: float, prior: float) -> DataFrame:
-    """The sums of each row with its tokens outside the head, whose counts are joined."""
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.*").join(counts, "token", "left")
-    one = (F.coalesce("c", F.lit(0)) + 0.5) / F.lit(mass)
-    smooth = (F.col("seen") + F.lit(prior) * one) / (F.col("history") + F.lit(prior))
+    """The sums of each row with its late tokens; only words outside the head are joined, so no frequent one is a join key."""
+    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.*")
+
+    def looked_up(rows: DataFrame, word: str, count: str) -> DataFrame:
+        open_ = rows.where(F.col(count).isNull()).drop(count).join(counts.select(F.col("token").alias(word), F.col("c").alias("_c")), word, "left")
+        return rows.where(F.col(count).isNotNull()).unionByName(open_.withColumn(count, F.coalesce("_c", F.lit(0))).drop("_c"))
+
+    tail = looked_up(looked_up(tail, "token", "c"), "before", "history")
+    one = (F.col("c") + 0.5) / F.lit(mass)
+    smooth = (F.least("found", "history") + F.lit(prior) * one) / (F.col("history") + F.lit(prior))
     late = tail.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("k"), F.sum(F.log10(one)).alias("b"), F.sum(F.log10(smooth)).alias("s"))
     add = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0))).alias(c)
     return scored.drop("tail").join(late, "row", "left").select("doc_id", "key", "n_tokens", add("n_known", "k"), add("base", "b"), add("score", "s"))
@@ -223,15 +230,15 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     """log10 probabilities of whole texts under a unigram model and a smoothed bigram model of the ``training`` rows.
 
     Tokens are lower-cased words, then one end.  The unigram model gives a token (c + 0.5) / (N + 0.5 (V + 1)).  The bigram
-    model gives it (b + prior * unigram) / (h + prior), b the bigram's count and h the count of the word before; where that is
-    not among the ``HEAD_WORDS`` most frequent words (all words of a smaller corpus), it is the unigram's.  b is read from a log-frequency Bloom
+    model gives it (b + prior * unigram) / (h + prior), b the bigram's count and h the count of the word before,
+    however rare.  b is read from a log-frequency Bloom
     filter: a bigram of quantised log count q was inserted at levels 1 to q, and membership is probed from 1 upwards.
     Quantised counts are rounded down, so that a history's probabilities sum to one but for false positives.
 
     The filter has ``BITS_PER_TOKEN`` bits for each training token and grows with the corpus.  It is built chunk by
     chunk where the counts meet, and broadcast in segments of ``SEGMENT_CHUNKS`` MB; the texts are scanned once for each
     segment and a token is scored in the segment of its bigram, so memory is bounded and nothing is left out.
-    Words outside the head are joined with the table of all counts.
+    Tokens and words before them outside the head, the ``HEAD_WORDS`` most frequent words, are joined with the table of all counts.
 
     One row per input row: ``doc_id, n_tokens, n_known`` (tokens seen in training), ``train_tokens, base_score, score``.  A
     null text is an empty one: its end only.  A row whose ``training`` is null is learnt from.  With no training rows
@@ -250,19 +257,20 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         if room < 0:
             break
         least = 1 << e
+    whole = sum(size for _, size in by_size) <= HEAD_WORDS
     head = spark.sparkContext.broadcast(Head(counts.where(F.col("c") >= least).toArrow()))
 
     chunks = max(1, -(-n * BITS_PER_TOKEN // CHUNK_BITS))
-    filters = written(text.mapInArrow(_bigram_counts(head, chunks), "chunk long, hashes binary, counts binary").groupBy("chunk").applyInPandas(_chunk_bits, "chunk long, bits binary"), "filter")
+    filters = written(text.mapInArrow(_bigram_counts(chunks), "chunk long, hashes binary, counts binary").groupBy("chunk").applyInPandas(_chunk_bits, "chunk long, bits binary"), "filter")
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     parts = []
     for first in range(0, chunks, SEGMENT_CHUNKS):
         size = min(SEGMENT_CHUNKS, chunks - first)
         segment = spark.sparkContext.broadcast(_segment(filters, first, size))
-        scored = written(numbered.mapInArrow(_score(head, segment, first, size, chunks, mass, prior), f"row long, doc_id long, key long, {SUMS}, tail array<struct<token:bigint,seen:double,history:double>>"), "scores")
+        scored = written(numbered.mapInArrow(_score(head, segment, first, size, chunks, mass, prior, whole), f"row long, doc_id long, key long, {SUMS}, tail array<struct<token:bigint,before:bigint,found:double,c:bigint,history:bigint>>"), "scores")
         segment.unpersist()
-        parts.append(_with_tail(scored, counts, mass, prior))
-    out, sums = parts[0], ["n_tokens", "n_known", "base", "score"]
+        parts.append(scored.select("doc_id", "key", *SUM_COLUMNS) if whole else _with_tail(scored, counts, mass, prior))
+    out, sums = parts[0], SUM_COLUMNS
     if len(parts) > 1:  # rows of one id and text are alike, so one of them stands for all in the later segments
         more = reduce(DataFrame.union, [x.dropDuplicates(["key"]).select("key", *sums) for x in parts[1:]]).groupBy("key").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
         out = out.join(more, "key").select("doc_id", *((F.col(c) + F.col(f"_{c}")).alias(c) for c in sums))

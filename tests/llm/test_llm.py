@@ -340,6 +340,19 @@ def test_segments_give_the_same(spark, monkeypatch):
         assert (r.n_tokens, r.n_known) == (one[r.doc_id].n_tokens, one[r.doc_id].n_known) and abs(r.score - one[r.doc_id].score) < 1e-6
 
 
+@pytest.mark.parametrize("most", [0, 12])
+def test_the_head_is_no_limit(spark, monkeypatch, most):
+    rng = random.Random(15)
+    docs = documents(spark, odd_texts() + [prose(rng, 60) + " rare pair" * 2 for _ in range(30)])
+    training = Q.fold_of(3) != 1
+    monkeypatch.setattr(B, "BITS_PER_TOKEN", 2000)
+    one = {r.doc_id: r for r in B.score_texts(docs, training).collect()}
+    monkeypatch.setattr(B, "HEAD_WORDS", most)
+    for r in B.score_texts(docs, training).collect():
+        want = one[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (want.n_tokens, want.n_known) and abs(r.base_score - want.base_score) < 1e-6 and abs(r.score - want.score) < 1e-6
+
+
 # pipeline
 
 @tables
