@@ -103,8 +103,24 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return inner.unionByName(edge).select(F.col("id").alias("doc_id"), F.col("src").alias("source"), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), draws.alias("draws"))
 
 
-def draw_rows(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of the mix, once for each draw, with ``shard``, dealt by shard and key and in shuffled order within each part."""
-    drawn = mix.where("copies > 0").select(F.col("doc_id").alias("_id"), F.explode("draws").alias("_d"))
-    out = docs.join(drawn, docs[id_col] == drawn["_id"]).select(*(docs[c] for c in docs.columns), F.col("_d.shard").alias("shard"), F.col("_d.key").alias("_key"))
+def draw_rows(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents of the mix, once for each draw, with ``shard``, dealt by shard and key and in shuffled order within each part.
+
+    A row is found by id, source and size, nulls included.  Rows alike in these have one list of draws, which is joined
+    once, so they aren't multiplied.  Only where a source's target ends can some of them have a draw more than the others; those are numbered.
+    """
+    keys = ["_id", "_src", "_size"]
+    lists = mix.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")).agg(
+        F.min("copies").alias("_low"), F.max("copies").alias("_high"), F.max(F.struct("copies", "draws"))["draws"].alias("_draws"), F.count("*").alias("_rows"), F.sum("copies").alias("_sum")
+    ).where("_high > 0")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumns({"_did": F.col(id_col), "_dsrc": F.col(source_col).cast("string"), "_dsize": size})
+    same = [rows[d].eqNullSafe(lists[k]) for d, k in zip(("_did", "_dsrc", "_dsize"), keys)]
+    found = rows.join(lists, same)
+    alike = found.where("_low = _high").withColumn("_copies", F.col("_high"))
+    # copies differ by one: so many of the rows have the higher number
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(text_col))
+    mixed = found.where("_low < _high").withColumn("_copies", F.when(F.row_number().over(order) <= F.col("_sum") - F.col("_rows") * F.col("_low"), F.col("_high")).otherwise(F.col("_low")))
+    out = alike.unionByName(mixed).withColumn("_d", F.explode(F.slice("_draws", F.lit(1), F.col("_copies"))))
+    out = out.select(*docs.columns, F.col("_d.shard").alias("shard"), F.col("_d.key").alias("_key"))
     return out.repartitionByRange("shard", "_key").sortWithinPartitions("shard", "_key").drop("_key")

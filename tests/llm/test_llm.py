@@ -120,6 +120,22 @@ def test_mix(spark):
     assert M.mix_sources(df.limit(0)).count() == 0
 
 
+def test_draws_of_null_and_repeated_ids(spark):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 20), "en", f"s{i % 3}", 7, "k", 1) for i in range(40)]
+    rows += [(None, prose(rng, 5 + i % 3), "en", f"s{i % 3}", 7, "k", 1) for i in range(30)] + [(7, "one and the same text", "en", "s0", 7, "k", 1)] * 50 + [(8, None, "en", None, 7, "k", 1)] * 3
+    df = spark.createDataFrame(rows, SCHEMA)
+    for share in (0.4, 1.0):
+        mix = M.mix_sources(df, shards=4, block_words=64, share=share).cache()
+        want, got = Counter(), Counter()
+        for r in mix.collect():
+            want[r.doc_id, r.source, r.size] += r.copies
+        for r in M.draw_rows(df, mix).collect():
+            got[r.doc_id, r.source, len((r.text or "").split())] += 1
+        assert got == +want and any(k[0] is None for k in got)
+    assert M.draw_rows(df, mix).columns == df.columns + ["shard"]
+
+
 # language
 
 @tables
