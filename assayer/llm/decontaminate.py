@@ -11,13 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 REST = re.compile(r"[\W_]+")
+#: Characters of scripts written without spaces between words: Thai to Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af]")
 #: Benchmark text beyond so many characters is taken in blocks of about this size, one scan of the documents each.
 BLOCK_CHARS = 32_000_000
 
 
 def plain(text: str | None) -> str:
-    """Lower-cased words of letters and digits, one space between, before and after them; " " if there is none."""
-    return f" {REST.sub(' ', (text or '').lower()).strip()} ".replace("  ", " ")
+    """Lower-cased words of letters and digits, one space between, before and after them; " " if there is none.
+
+    A character of a script without spaces is a word of its own.
+    """
+    low = REST.sub(" ", (text or "").lower())
+    if not low.isascii():
+        low = REST.sub(" ", UNSPACED.sub(r" \g<0> ", low))
+    return f" {low.strip()} ".replace("  ", " ")
 
 
 def pieces(words: list[str], budget: int) -> list[tuple[int, list[str]]]:
@@ -51,13 +59,13 @@ class Pattern:
         return best
 
 
-def _search(items: list[tuple[int, str]], percent: int):
+def _search(items: list[tuple[int, str]], percent: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[tuple[int, int]]] = {}
         own = []
         for item, text in items:
             words = text.split()
-            budget = len(words) * percent // 100
+            budget = len(words) * percent // 100 if len(words) >= least_words else 0
             for at, piece in pieces(words, budget):
                 found.setdefault(f" {' '.join(piece)} ", []).append((len(own), at))
             own.append((item, len(words), budget, Pattern(words)))
@@ -84,6 +92,9 @@ def _search(items: list[tuple[int, str]], percent: int):
                         if (i, start) in tried or best.get(item) == 0:
                             continue
                         tried.add((i, start))
+                        if not budget:  # the one piece is the whole item
+                            best[item] = 0
+                            continue
                         d = pattern.distance(words[max(0, start - budget) : start + m + budget])
                         if d <= budget:
                             best[item] = min(d, best.get(item, d))
@@ -101,8 +112,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     automaton finds in one pass; Myers' distance then compares the whole item with the words around the hit.
 
     Returns one row per input row: ``doc_id, contaminated, items, edits`` (the items found, ascending, and the least
-    edits of each).  Null and empty documents are clean.  Items with under ``least_words`` words, nulls included, would
-    hit ordinary prose and are left out; items that repeat an id count as one.  Items are broadcast in blocks of
+    edits of each).  Null and empty documents are clean.  Items with under ``least_words`` words have no budget: they are
+    found where they stand word for word, be it in ordinary prose.  Characters of scripts without spaces count as words.
+    Items without a word, nulls included, are found nowhere; items that repeat an id count as one.  Items are broadcast in blocks of
     at most about ``block_chars`` characters; a larger benchmark is searched block by block.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -112,8 +124,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     blocks = []
     for k in range(count):
         some = items.where(F.pmod(F.xxhash64("text"), F.lit(count)) == k).collect()
-        kept = sorted({(r.item, t) for r in some if len((t := plain(r.text)).split()) >= least_words})
-        blocks.append(rows.mapInArrow(_search(kept, percent), "doc_id long, items array<long>, edits array<long>"))
+        kept = sorted({(r.item, t) for r in some if (t := plain(r.text)).split()})
+        blocks.append(rows.mapInArrow(_search(kept, percent, least_words), "doc_id long, items array<long>, edits array<long>"))
     if count == 1:
         out = blocks[0]
     else:  # rows that share an id share their items

@@ -323,6 +323,14 @@ def test_leaks(spark, block):
     assert D.find_leaks(documents(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    long = "光合作用は植物が光のエネルギーで糖を作る働きである"
+    texts = ["He asked: what is the capital of France?", "what is the big capital of france", "法国的首都是哪里？巴黎。", "今日、" + long.replace("糖", "油") + "と習った。", "Paris", "comparison", None, "", "法国"]
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "法国的首都是哪里"), (3, long), (4, "paris!"), (5, "?!"), (6, "")], "item_id long, text string")
+    rows = {r.doc_id: r for r in D.find_leaks(documents(spark, texts), bench).collect()}
+    assert {i: (r["items"], r.edits) for i, r in rows.items() if r.contaminated} == {0: ([1], [0]), 2: ([2], [0]), 3: ([3], [1]), 4: ([4], [0])}
+
+
 # language-model scores
 
 def test_scores_by_brute_force(spark):
