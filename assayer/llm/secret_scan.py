@@ -18,8 +18,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Runs over line breaks, as they are or escaped; the lines are told apart by BREAKS, as an escaped break ends in a letter.
+LINE_END = r"(?:[\x20\t]*(?:\\+r)?(?:\\+n|\r?\n)[\x20\t]*)"
+WRAPPED = re.compile(rf"[A-Za-z0-9+/]{{32,}}(?:{LINE_END}[A-Za-z0-9+/]+)+={{0,2}}")
 LONG_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+WRAPPED_HEX = re.compile(rf"[0-9A-Fa-f]{{16,}}(?:{LINE_END}[0-9A-Fa-f]{{2,}})+")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----((?:(?!-----).)*)-----END \1-----", re.DOTALL)
+BREAKS = re.compile(r"\\+r|\\+n|\r\n?|\n")
+HEADER = re.compile(r"\s*([A-Za-z][A-Za-z0-9-]*):\x20?(.*)")
 #: In the order that breaks ties of spans.
 KINDS = ("assign", "access", "hex", "signed", "armour", "key")
 
@@ -77,8 +83,12 @@ def key_encoding(data: bytes | None) -> str | None:
     tags = [t for t, _ in inner]
     if tags[:3] == [2, 0x30, 4] and (name := _elements(inner[1][1])) and name[0][0] == 6:
         return "pkcs8"
+    if tags == [0x30, 4] and inner[1][1] and (name := _elements(inner[0][1])) and name[0][0] == 6:
+        return "pkcs8-encrypted"
     if len(tags) >= 9 and set(tags[:9]) == {2}:
         return "rsa"
+    if tags == [2] * 6 and inner[0][1] == b"\0":
+        return "dsa"
     if tags[:2] == [2, 4] and inner[0][1] == b"\x01" and len(inner[1][1]) in range(20, 67):
         return "ec"
     if tags == [0x30, 3] and (name := _elements(inner[0][1])) and name[0][0] == 6:
@@ -86,6 +96,69 @@ def key_encoding(data: bytes | None) -> str | None:
     return None
 
 
+def pgp_secret(data: bytes | None) -> bool:
+    """Whether ``data`` begins with a whole OpenPGP secret-key packet of a known version."""
+    if not data or len(data) < 6 or not data[0] & 0x80:
+        return False
+    if data[0] & 0x40:
+        tag, n, at = data[0] & 0x3F, data[1], 2
+        if n >= 192:
+            n, at = ((n - 192 << 8) + data[2] + 192, 3) if n < 224 else (int.from_bytes(data[2:6], "big"), 6) if n == 255 else (1, 2)
+    else:
+        tag, width = data[0] >> 2 & 15, data[0] & 3
+        at = 1 + (1 << width) if width < 3 else 1
+        n = int.from_bytes(data[1:at], "big") if width < 3 else len(data) - 1
+    return tag == 5 and n > 0 and at + n <= len(data) and data[at] in (2, 3, 4, 5, 6)
+
+
+def armoured(label: str, body: str) -> str | None:
+    """What the body of an armoured private key holds: header lines and escaped line breaks are taken off before decoding."""
+    lines, headers = [], {}
+    for line in BREAKS.split(body):
+        if (m := HEADER.fullmatch(line)) and not lines:
+            headers[m[1].lower()] = m[2]
+        elif x := re.sub(r"[\s\\\"',>|#*]", "", line):
+            lines.append(x)
+    if lines and len(lines[-1]) == 5 and lines[-1][0] == "=":  # the checksum of OpenPGP
+        lines.pop()
+    value = "".join(lines)
+    data = _base64(value) if re.fullmatch(r"[A-Za-z0-9+/]+=*", value) else None
+    if label.endswith("BLOCK"):
+        return "pgp" if pgp_secret(data) else None
+    if "encrypted" in headers.get("proc-type", "").lower() and "dek-info" in headers:  # ciphertext, in blocks of its cipher
+        return "encrypted" if data and len(data) >= 32 and len(data) % 8 == 0 else None
+    return key_encoding(data)
+
+
+def wrapped_spans(text: str) -> list[tuple[int, int, str, str]]:
+    """Keys in base64 or hex whose lines are joined over their ends: of each run of lines, the stretches that parse."""
+    out = []
+    for pattern, decode in ((WRAPPED, _base64), (WRAPPED_HEX, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
+        for m in pattern.finditer(text):
+            at, lines = m.start(), []
+            at += at > 0 and text[at - 1] == "\\" and text[at] in "nrt"  # the letter of an escape
+            for x in BREAKS.split(text[at : m.end()]):
+                first = text.index(x, at)
+                body = x.strip()
+                if body:
+                    lines.append((first + x.index(body), body))
+                at = first + len(x)
+            i = 0
+            while i < len(lines):
+                # the lines of one key are of one length, but for the last
+                j = i + 1
+                while j < len(lines) and len(lines[j - 1][1]) == len(lines[i][1]) and len(lines[j][1]) <= len(lines[i][1]):
+                    j += 1
+                for end in range(j, max(i + 1, j - 2), -1):  # a word after a full last line isn't of the key
+                    if kind := key_encoding(decode("".join(x for _, x in lines[i:end]))):
+                        out.append((lines[i][0], lines[end - 1][0] + len(lines[end - 1][1]), "key", kind))
+                        i = end
+                        break
+                else:
+                    i += 1
+    return out
+
+
 def signed_token(value: str) -> str | None:
     """The ``alg`` of a signed token ``header.payload.signature`` whose header and payload are JSON objects; else None."""
     try:
@@ -107,9 +180,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, str, str]]:
     """Spans that decode and parse: signed tokens, armoured private keys, and keys in base64 or hex, with what was found."""
     out = [(m.start(), m.end(), "signed", alg) for m in SIGNED.finditer(text) if (alg := signed_token(m[0]))]
-    out += [(m.start(), m.end(), "armour", kind) for m in ARMOUR.finditer(text) if (kind := key_encoding(_base64(re.sub(r"\s", "", m[2]))))]
+    armour = [(m.start(), m.end(), "armour", kind) for m in ARMOUR.finditer(text) if (kind := armoured(m[1], m[2]))]
+    out += armour
     out += [(m.start(), m.end(), "key", kind) for m in BASE64.finditer(text) if (kind := key_encoding(_base64(m[0])))]
     out += [(m.start(), m.end(), "key", kind) for m in LONG_HEX.finditer(text) if (kind := key_encoding(bytes.fromhex(m[0])))]
+    out += [x for x in wrapped_spans(text) if not any(a <= x[0] and x[1] <= b for a, b, *_ in armour)]
     return out
 
 

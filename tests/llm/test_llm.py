@@ -169,6 +169,38 @@ def test_structures():
     assert S.confirmed_spans(base64.b64encode(random.Random(1).randbytes(60)).decode()) == []
 
 
+def test_encodings_of_keys():
+    def der(tag, *parts):
+        b = b"".join(parts)
+        return bytes([tag, *([len(b)] if len(b) < 128 else [0x82, *len(b).to_bytes(2, "big")])]) + b
+
+    rng = random.Random(17)
+    number = lambda n: der(2, b"\x01" + rng.randbytes(n))
+    rsa = der(0x30, der(2, b"\0"), *(number(64) for _ in range(8)))
+    dsa = der(0x30, der(2, b"\0"), *(number(40) for _ in range(5)))
+    locked = der(0x30, der(0x30, der(6, b"\x2a\x86")), der(4, rng.randbytes(160)))
+    pgp = b"\x95" + (101).to_bytes(2, "big") + b"\x04" + rng.randbytes(100)
+    lines = lambda b: re.findall(".{1,64}", base64.b64encode(b).decode())
+    pem = lambda label, body: "\n".join([f"-----BEGIN {label}-----", *body, f"-----END {label}-----"])
+    found = lambda text: [(k, s, text[a:b]) for a, b, k, s in S.confirmed_spans(text)]
+
+    plain = pem("RSA PRIVATE KEY", lines(rsa))
+    escaped = plain.replace("\n", "\\n")
+    assert found(f'{{"private_key": "{escaped}\\n", "x": 1}}') == [("armour", "rsa", escaped)]
+    assert found(f"a {plain} b") == [("armour", "rsa", plain)]
+    headed = pem("RSA PRIVATE KEY", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *lines(rng.randbytes(160))])
+    assert found(headed) == [("armour", "encrypted", headed)]
+    assert [x[:2] for x in found(pem("DSA PRIVATE KEY", lines(dsa)))] == [("armour", "dsa")]
+    assert [x[:2] for x in found(pem("ENCRYPTED PRIVATE KEY", lines(locked)))] == [("armour", "pkcs8-encrypted")]
+    assert [x[:2] for x in found(pem("PGP PRIVATE KEY BLOCK", ["Version: 1", "", *lines(pgp), "=abcd"]))] == [("armour", "pgp")]
+    body = "\n".join(lines(rsa))
+    assert found(f"x:\n{body}\n\nand more") == [("key", "rsa", body)] and found(body.replace("\n", "\\n")) == [("key", "rsa", body.replace("\n", "\\n"))]
+    assert found('k="\\n' + body.replace("\n", "\\n") + '\\nnext"') == [("key", "rsa", body.replace("\n", "\\n"))]
+    wrapped = "\n".join(re.findall(".{1,64}", rsa.hex()))
+    assert found(wrapped) == [("key", "rsa", wrapped)]
+    assert found(pem("RSA PRIVATE KEY", lines(rng.randbytes(300)))) == [] and found("\n".join(lines(rng.randbytes(300)))) == []
+
+
 def test_secret_rows(spark):
     rows = {r.doc_id: r for r in S.scan_secrets(documents(spark, odd_texts())).collect()}
     assert rows[0].base_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855" and rows[0].spans == ""
