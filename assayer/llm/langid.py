@@ -24,11 +24,12 @@ def learn_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: st
     """Raw-content dictionaries, one per language: slices of a sample of about ``per_language`` of its texts.
 
     The bound is ``per_language * slice_chars`` characters (twice that at worst) for each of ``max_languages``; more
-    languages raise ValueError.  Rows are sampled by a hash of the text; null texts and languages are left out.
+    languages raise ValueError.  Different texts are sampled by a hash of the text, repeats once; null texts and languages are left out.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and length(text) > 0")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1)
-    pick = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    hashes = F.xxhash64("text")
+    counts = rows.select("lang", hashes.alias("h")).groupBy("lang", "h").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1)
+    pick = F.pmod(hashes, F.lit(1 << 30))
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - slice_chars) / 2)).cast("int")
     many = counts.collect()
     if len(many) > max_languages:
@@ -36,7 +37,8 @@ def learn_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: st
     if not many:
         return {}
     chance = F.create_map(*(x for r in many for x in (F.lit(r.lang), F.lit(per_language / r.n * (1 << 30)))))
-    found = rows.where(pick < chance[F.col("lang")]).select("lang", pick.alias("h"), F.substring("text", middle, F.lit(slice_chars)).alias("s")).collect()
+    found = rows.where(pick < chance[F.col("lang")]).select("lang", hashes.alias("t"), pick.alias("h"), F.substring("text", middle, F.lit(slice_chars)).alias("s"))
+    found = found.groupBy("lang", "t", "h").agg(F.min("s").alias("s")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.h, r.s)):
         if len(own := out.setdefault(r.lang, [])) < 2 * per_language and (not own or own[-1] != r.s):

@@ -152,6 +152,13 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in langid.identify_language(docs, {}).collect()} == {"und"}
 
 
+def test_dictionaries_count_a_text_once(spark):
+    rng = random.Random(18)
+    own = [prose(rng, 12) for _ in range(60)]
+    learnt = langid.learn_dictionaries(documents(spark, own + ["one text in very many copies"] * 3000), per_language=60)["en"].decode()
+    assert sum(f" {x} " in learnt for x in own) > 40
+
+
 # secrets
 
 def test_base_spans_by_plain_patterns():
