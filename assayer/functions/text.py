@@ -43,15 +43,17 @@ def fold_any(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def tokens(text: Column, most: int = MAX_TOKENS) -> Column:
-    return F.slice(F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, most)
+def tokens(text: Column, most: int | None = MAX_TOKENS) -> Column:
+    """The first ``most`` tokens, the limit of the registered queries' SQL; all of them with None."""
+    found = F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def token_features(toks: Column) -> Column:
     """Distinct ``w:`` words, ``p5:`` beginnings of longer words and ``b:`` pairs with the word before."""
     word = F.transform(toks, lambda t: F.concat(F.lit("w:"), t))
     start = F.transform(F.filter(toks, lambda t: (F.length(t) > 5) & ~t.rlike("^[0-9]+$")), lambda t: F.concat(F.lit("p5:"), F.substring(t, 1, 5)))
-    pairs = F.transform(F.arrays_zip(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))).alias("a"), F.slice(toks, 2, MAX_TOKENS).alias("b")), lambda p: F.concat(F.lit("b:"), p["a"], F.lit("_"), p["b"]))
+    pairs = F.transform(F.arrays_zip(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))).alias("a"), F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))).alias("b")), lambda p: F.concat(F.lit("b:"), p["a"], F.lit("_"), p["b"]))
     return F.array_distinct(F.concat(word, start, pairs))
 
 

@@ -30,6 +30,13 @@ def test_token_features(spark):
     assert sorted(row) == sorted(["w:paris", "w:airport", "w:1234567", "p5:airpo", "b:paris_airport", "b:airport_1234567", "b:1234567_paris"])
 
 
+def test_token_features_of_whole_texts(spark):
+    df = spark.createDataFrame([(" ".join(f"t{i}" for i in range(900)),)], "t string")
+    toks, found = df.select(T.tokens(F.col("t"), None), T.token_features(T.tokens(F.col("t"), None))).first()
+    assert len(toks) == 900 and len(found) == 900 + 899 and "b:t898_t899" in found
+    assert len(df.select(T.tokens(F.col("t"))).first()[0]) == 400
+
+
 def test_numbers_and_labels(spark):
     rows = spark.createDataFrame([(x,) for x in ["1,5", " 2 ", "nan", "N/A", "x", "1e999", "3.0", None]], "t string")
     assert [r[0] for r in rows.select(T.to_number(F.col("t"))).collect()] == [1.5, 2.0, None, None, None, None, 3.0, None]
