@@ -1,28 +1,31 @@
-"""Language-model scores from a log-frequency Bloom filter of bigram counts, broadcast in segments."""
+"""Language-model scores from a log-frequency Bloom filter of bigram and trigram counts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.llm.tables import hashed, mixed, words, written
 
 #: The end of a text is a token; it also stands before a text's first word.
 END = np.uint64(0x9E3779B97F4A7C15)
-#: The filter has so many bits for each training token, in chunks of 1 MB; so many chunks are broadcast at a time.
-BITS_PER_TOKEN, CHUNK_BITS, SEGMENT_CHUNKS = 5, 1 << 23, 96
+#: The filter has so many bits for each training token, in chunks of 1 MB.
+BITS_PER_TOKEN, CHUNK_BITS = 10, 1 << 23
+#: A filter of up to so many chunks is broadcast; to a larger one the probes are sent, chunk by chunk.
+BROADCAST_CHUNKS = 32
 #: Each level of a count sets so many bits.
 PROBES = 3
 #: Exact counts of the most frequent words, so many at most, are broadcast; the others are joined.
 HEAD_WORDS = 1_000_000
-#: Tokens that are taken together.
-FLUSH = 500_000
+#: Texts are taken together in units of about so many tokens, and the counts of so many units are added up at a time.
+UNIT_TOKENS, FAN_IN = 1_000_000, 4096
+TOKENS = "unit long, ids array<long>, lengths array<int>, training array<boolean>, vocabulary binary, codes binary"
+GRAMS = "chunk long, unit long, grams binary, counts binary"
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -30,12 +33,16 @@ def tokens(text: str | None) -> np.ndarray:
     return np.append(hashed(words(text)), END)
 
 
-class Tokens:
-    """The tokens of some texts, one after another, with the one before each; ``starts`` has the place of each text's first."""
+class Unit:
+    """The tokens of some whole texts, one after another: codes into a vocabulary of their hashes."""
 
-    def __init__(self, texts: list[np.ndarray]) -> None:
-        self.now = np.concatenate(texts)
-        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64)
+    def __init__(self, vocabulary: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> None:
+        self.vocabulary, self.codes, self.lengths = vocabulary, codes, lengths
+        self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+
+    @classmethod
+    def of(cls, row: dict) -> Unit:
+        return cls(np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["codes"], np.int32), np.array(row["lengths"], dtype=np.int64))
 
     def before(self, values: np.ndarray, first) -> np.ndarray:
         """``values`` (one for each token) of the token before; ``first`` at a text's first token."""
@@ -44,20 +51,18 @@ class Tokens:
         out[self.starts] = first
         return out
 
-    def bigrams(self) -> np.ndarray:
-        """A hash of each token with the one before it."""
-        return mixed(self.now + mixed(self.before(self.now, END) * np.uint64(0xD6E8FEB86659FD93)))
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each token with the one before it, and with the two before it."""
+        now = self.vocabulary[self.codes]
+        last = self.before(now, END)
+        two = mixed(now + mixed(last * np.uint64(0xD6E8FEB86659FD93)))
+        return two, mixed(two + mixed(self.before(last, END) * np.uint64(0xA5CB9243F3A8C6D7)))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Of each text."""
         return np.add.reduceat(values, self.starts)
 
 
-def bigrams(now: np.ndarray) -> np.ndarray:
-    """The bigrams of one text."""
-    return Tokens([now]).bigrams()
-
-
 def levels(counts: np.ndarray) -> np.ndarray:
     """The quantised logarithm of a count: 1 for 1, two more for each doubling."""
     return (2 * np.log2(counts) + 1e-9).astype(np.int64) + 1
@@ -68,53 +73,137 @@ def least_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.ceil(np.exp2((level - 1) / 2) - 1e-6), 0.0)
 
 
+def most_count(level: np.ndarray) -> np.ndarray:
+    """The greatest count of a level, 0 at level 0."""
+    return np.where(level > 0, least_count(level + 1) - 1, 0.0)
+
+
 def chunk_of(h: np.ndarray, chunks: int) -> np.ndarray:
-    """Chunks are ranges of the hash, so sorted hashes have sorted chunks."""
+    """Chunks are ranges of the upper half of the hash, so sorted hashes have sorted chunks."""
     return ((h >> np.uint64(32)) * np.uint64(chunks) >> np.uint64(32)).astype(np.int64)
 
 
-def places(h: np.ndarray, level: int | np.ndarray, probe: int) -> np.ndarray:
-    """The bit within its chunk that a level and probe of a hash have."""
-    salt = np.atleast_1d(np.asarray(level, dtype=np.uint64)) * np.uint64(64) + np.uint64(probe)
-    return mixed(h * np.uint64(0xA0761D6478BD642F) + salt * np.uint64(0xE7037ED1A0B428DB)) & np.uint64(CHUNK_BITS - 1)
+def gram_of(h: np.ndarray) -> np.ndarray:
+    """What names an n-gram within its chunk: the lower half of its hash."""
+    return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def places(grams: np.ndarray, level: int, probe: int) -> np.ndarray:
+    """The bit within its chunk that a level and probe of an n-gram have."""
+    salt = np.uint64((level * 64 + probe) * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF)
+    return (mixed(grams.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + salt) & np.uint64(CHUNK_BITS - 1)).astype(np.int64)
 
 
-def estimate(bits: np.ndarray, first_chunk: int, h: np.ndarray, chunks: int) -> np.ndarray:
-    """The level of each hash: probes go up from level 1 until one isn't a member."""
-    out = np.zeros(len(h), dtype=np.int64)
-    alive, level = np.arange(len(h)), 1
-    base = (chunk_of(h, chunks) - first_chunk).astype(np.uint64) * np.uint64(CHUNK_BITS)
+def filter_bits(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bytes of one chunk: an n-gram of level q is inserted at levels 1 to q."""
+    bits, top = np.zeros(CHUNK_BITS, dtype=bool), levels(counts)
+    for level in range(1, int(top.max(initial=0)) + 1):
+        for probe in range(PROBES):
+            bits[places(grams[top >= level], level, probe)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def probed(bits: np.ndarray, base: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The level of each n-gram: probes go up from level 1 until one isn't a member.  ``base`` is its chunk's first bit."""
+    out = np.zeros(len(grams), dtype=np.uint8)
+    alive, level = np.arange(len(grams)), 1
     while len(alive):
         for probe in range(PROBES):
-            at = base[alive] + places(h[alive], level, probe)
-            alive = alive[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            at = base[alive] + places(grams[alive], level, probe)
+            alive = alive[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
         out[alive] = level
         level += 1
     return out
 
 
-def _flushes(texts: Iterator[str | None], most: int) -> Iterator[tuple[int, Tokens]]:
-    """How many texts, and their tokens: about ``most`` at a time."""
-    parts, size = [], 0
-    for text in texts:
-        parts.append(tokens(text))
-        size += len(parts[-1])
-        if size >= most:
-            yield len(parts), Tokens(parts)
-            parts, size = [], 0
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, training, parts, number = [], [], [], TaskContext.get().partitionId() << 32
+
+    def close() -> pa.RecordBatch:
+        vocabulary, codes = np.unique(np.concatenate(parts), return_inverse=True)
+        cols = [[number], [ids], [[len(p) for p in parts]], [training], [vocabulary.tobytes()], [codes.astype(np.int32).tobytes()]]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["unit", "ids", "lengths", "training", "vocabulary", "codes"])
+
+    size = 0
+    for batch in batches:
+        for doc_id, text, known in zip(*(c.to_pylist() for c in batch.columns)):
+            parts.append(tokens(text)), ids.append(doc_id), training.append(known)
+            size += len(parts[-1])
+            if size >= UNIT_TOKENS:
+                yield close()
+                ids, training, parts, number, size = [], [], [], number + 1, 0
     if parts:
-        yield len(parts), Tokens(parts)
+        yield close()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        yield from batch.column(0).to_pylist()
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, part in _flushes(_texts(batches), FLUSH):
-        values, counts = np.unique(part.now, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["token", "c"])
+    for row in _rows(batches):
+        unit = Unit.of(row)
+        counts = np.bincount(unit.codes[np.repeat(row["training"], unit.lengths)], minlength=len(unit.vocabulary))
+        used = counts > 0
+        yield pa.RecordBatch.from_arrays([pa.array(unit.vocabulary[used].view(np.int64)), pa.array(counts[used].astype(np.int64))], ["token", "c"])
+
+
+def _gram_counts(chunks: int, all_: bool):
+    """The different n-grams of each unit by chunk, in order of their hashes, and how often the training texts have them; with
+    ``all_`` also those that none has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            unit = Unit.of(row)
+            known = np.repeat(row["training"], unit.lengths)
+            two, three = unit.grams()
+            if not all_:
+                two, three, known = two[known], three[known], known[known]
+            values, where = np.unique(np.concatenate([two, three]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([known, known]), minlength=len(values)).astype(np.uint64)
+            chunk = chunk_of(values, chunks)
+            cuts = np.flatnonzero(np.diff(chunk)) + 1
+            split = lambda x: [p.tobytes() for p in np.split(x, cuts)] if len(x) else []
+            firsts = chunk[np.concatenate([[0], cuts])] if len(chunk) else chunk
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array([row["unit"]] * len(firsts), pa.int64()), pa.array(split(gram_of(values)), pa.binary()), pa.array(split(counts), pa.binary())], ["chunk", "unit", "grams", "counts"])
+
+    return run
+
+
+def _joined(table: pa.Table, column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays of all rows, one after another, and their lengths."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column(column)]
+    return np.concatenate(parts), np.array([len(p) for p in parts])
+
+
+def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different n-grams of a chunk, their counts, and the place of each row's among them with the rows' lengths."""
+    grams, lengths = _joined(table, "grams", np.uint32)
+    values, where = np.unique(grams, return_inverse=True)
+    return values, np.bincount(where, _joined(table, "counts", np.uint64)[0], minlength=len(values)), where, lengths
+
+
+def _combine(table: pa.Table) -> pa.Table:
+    values, counts, _, _ = _added(table)
+    return pa.table({"chunk": table.column("chunk")[:1], "unit": table.column("unit")[:1], "grams": pa.array([values.tobytes()], pa.binary()), "counts": pa.array([counts.astype(np.uint64).tobytes()], pa.binary())})
+
+
+def _build(table: pa.Table) -> pa.Table:
+    values, counts, _, _ = _added(table)
+    bits = filter_bits(values[counts > 0], counts[counts > 0])
+    return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Builds a chunk and probes it with the n-grams of all units: their levels go back to the units."""
+    values, counts, where, lengths = _added(table)
+    bits = filter_bits(values[counts > 0], counts[counts > 0])
+    found = probed(bits, np.zeros(len(values), dtype=np.int64), values)[where]
+    parts = np.split(found, np.cumsum(lengths)[:-1])
+    return pa.table({"unit": table.column("unit"), "chunk": table.column("chunk"), "levels": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
 class Head:
@@ -129,127 +218,98 @@ class Head:
         """The count of each word, 0 outside the head."""
         if not len(self.words):
             return np.zeros(len(found), dtype=np.int64)
-        own, where = np.unique(found, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.words, own), len(self.words) - 1)
-        return np.where(self.words[at] == own, self.counts[at], 0)[where]
+        at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
+        return np.where(self.words[at] == found, self.counts[at], 0)
 
 
-def _bigram_counts(chunks: int):
+def _rare(head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in _flushes(_texts(batches), FLUSH):
-            values, counts = np.unique(part.bigrams(), return_counts=True)
-            chunk = chunk_of(values, chunks)
-            cuts = np.flatnonzero(np.diff(chunk)) + 1
-            split = lambda x: [p.tobytes() for p in np.split(x, cuts)] if len(x) else []
-            firsts = chunk[np.concatenate([[0], cuts])] if len(chunk) else chunk
-            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(split(values), pa.binary()), pa.array(split(counts.astype(np.uint32)), pa.binary())], ["chunk", "hashes", "counts"])
+        for row in _rows(batches):
+            own = np.frombuffer(row["vocabulary"], np.uint64)
+            own = own[head.value(own) == 0].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([row["unit"]] * len(own), pa.int64()), pa.array(own)], ["unit", "token"])
 
     return run
 
 
-def _chunk_bits(rows: pd.DataFrame) -> pd.DataFrame:
-    """The bits of one chunk, from all counts of the hashes in its range."""
-    h, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"]]), return_inverse=True)
-    counts = np.bincount(at, np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]]))
-    bits, top = np.zeros(CHUNK_BITS, dtype=bool), levels(counts)
-    for level in range(1, int(top.max()) + 1):
-        for probe in range(PROBES):
-            bits[places(h[top >= level], level, probe).astype(np.int64)] = True
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-
-SUMS, SUM_COLUMNS = "n_tokens long, n_known long, base double, score double", ["n_tokens", "n_known", "base", "score"]
-#: A token with what is known of it: its count and that of the word before, null where they are to be joined.
-TAIL = ("token", "before", "found", "c", "history")
-
-
-def _score(head: Broadcast, segment: Broadcast, first: int, count: int, chunks: int, mass: float, prior: float, whole: bool):
-    """Sums over the tokens whose bigram lies in this segment; tokens that are, or follow, a word outside the head go on with
-    what is known of them.  If the head is the ``whole`` vocabulary there are none: what isn't in it has count 0.
-
-    Texts are taken together until they have about FLUSH tokens, so that each different bigram is probed once.
-    """
-
+class Model:
+    """Word counts, the mass of all words, and how much the shorter history counts."""
+
+    def __init__(self, head, mass: float, prior: float, longer: float) -> None:
+        self.head, self.mass, self.prior, self.longer = head, mass, prior, longer
+
+    def scores(self, row: dict, level_of) -> pa.RecordBatch:
+        """The rows of a unit's texts; ``level_of`` gives the levels of its different n-grams in order of their hashes."""
+        unit = Unit.of(row)
+        known = self.head.value(unit.vocabulary)
+        if row.get("rare"):
+            at = np.searchsorted(unit.vocabulary, np.array([r["token"] for r in row["rare"]], dtype=np.int64).view(np.uint64))
+            known = known.copy()
+            known[at] = [r["c"] for r in row["rare"]]
+        end = int(known[np.searchsorted(unit.vocabulary, END)])  # each text has an end
+        c = known[unit.codes]
+        history = unit.before(c, end).astype(float)
+        two, three = unit.grams()
+        values, where = np.unique(np.concatenate([two, three]), return_inverse=True)
+        found = level_of(values)[where].astype(np.int64)
+        level2, level3 = found[: len(two)], found[len(two) :]
+        one = (c + 0.5) / self.mass
+        pair = (np.minimum(least_count(level2), history) + self.prior * one) / (history + self.prior)
+        both = np.minimum(unit.before(most_count(level2), end), history)
+        triple = (np.minimum(least_count(level3), both) + self.longer * pair) / (both + self.longer)
+        sums = [unit.sums((c > 0).astype(np.int64)), unit.sums(np.log10(one)), unit.sums(np.log10(triple))]
+        return pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(unit.lengths), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _score_here(model: Model, segment, chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(segment.value, dtype=np.uint8)
-        end = int(head.value(np.array([END]))[0])
-        for batch in batches:
-            done = 0
-            for n, part in _flushes(batch.column(3).to_pylist(), FLUSH):
-                c = head.value(part.now)
-                history = part.before(c, end).astype(float)
-                pair, where = np.unique(part.bigrams(), return_inverse=True)
-                chunk = chunk_of(pair, chunks)
-                lo, hi = np.searchsorted(chunk, [first, first + count])
-                found = np.zeros(len(pair))
-                found[lo:hi] = least_count(estimate(bits, first, pair[lo:hi], chunks))
-                seen = np.minimum(found[where], history)
-                own = (where >= lo) & (where < hi)
-                ready = own & (whole | (c > 0) & (history > 0))
-                one = (c + 0.5) / mass
-                base = part.sums(np.where(ready, np.log10(one), 0.0))
-                score = part.sums(np.where(ready, np.log10((seen + prior * one) / (history + prior)), 0.0))
-                late = np.flatnonzero(own & ~ready)
-                offsets = np.append(np.searchsorted(late, part.starts), len(late)).astype(np.int32)
-                now, before = (x[late].view(np.int64) for x in (part.now, part.before(part.now, END)))
-                tail = pa.StructArray.from_arrays([pa.array(now), pa.array(before), pa.array(found[where[late]]), pa.array(c[late], mask=c[late] == 0), pa.array(history[late].astype(np.int64), mask=history[late] == 0)], TAIL)
-                total = part.sums(np.ones(len(part.now), dtype=np.int64)) if first == 0 else np.zeros(n, dtype=np.int64)
-                sums = [pa.array(total), pa.array(part.sums((ready & (c > 0)).astype(np.int64))), pa.array(base), pa.array(score)]
-                rows = batch.slice(done, n)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:3], *sums, pa.ListArray.from_arrays(pa.array(offsets), tail)], ["row", "doc_id", "key", "n_tokens", "n_known", "base", "score", "tail"])
-                done += n
+        for row in _rows(batches):
+            yield model.scores(row, lambda h: probed(bits, chunk_of(h, chunks) * CHUNK_BITS, gram_of(h)))
 
     return run
 
 
-def _segment(filters: DataFrame, first: int, size: int) -> bytes:
-    bits = np.zeros((size, CHUNK_BITS // 8), dtype=np.uint8)
-    for batch in filters.where(F.col("chunk").between(first, first + size - 1)).toArrow().to_batches():
-        for chunk, value in zip(batch.column("chunk").to_pylist(), batch.column("bits")):
-            bits[chunk - first] = np.frombuffer(value.as_buffer(), np.uint8)
-    return bits.tobytes()
+def _score_answered(model: Model):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        found = _joined(answers.sort_by("chunk"), "levels", np.uint8)[0]
+        return pa.Table.from_batches([model.scores(texts.to_pylist()[0], lambda h: found)])
 
+    return run
 
-def _with_tail(scored: DataFrame, counts: DataFrame, mass: float, prior: float) -> DataFrame:
-    """The sums of each row with its late tokens; only words outside the head are joined, so no frequent one is a join key."""
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.*")
-
-    def looked_up(rows: DataFrame, word: str, count: str) -> DataFrame:
-        open_ = rows.where(F.col(count).isNull()).drop(count).join(counts.select(F.col("token").alias(word), F.col("c").alias("_c")), word, "left")
-        return rows.where(F.col(count).isNotNull()).unionByName(open_.withColumn(count, F.coalesce("_c", F.lit(0))).drop("_c"))
 
-    tail = looked_up(looked_up(tail, "token", "c"), "before", "history")
-    one = (F.col("c") + 0.5) / F.lit(mass)
-    smooth = (F.least("found", "history") + F.lit(prior) * one) / (F.col("history") + F.lit(prior))
-    late = tail.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("k"), F.sum(F.log10(one)).alias("b"), F.sum(F.log10(smooth)).alias("s"))
-    add = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0))).alias(c)
-    return scored.drop("tail").join(late, "row", "left").select("doc_id", "key", "n_tokens", add("n_known", "k"), add("base", "b"), add("score", "s"))
+def _by_chunk(rows: DataFrame, chunks: int) -> DataFrame:
+    """Dealt by chunk, few to a task however many there are."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks // 8))
+    return rows.repartition(n, "chunk").groupBy("chunk")
 
 
-def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = 500.0) -> DataFrame:
-    """log10 probabilities of whole texts under a unigram model and a smoothed bigram model of the ``training`` rows.
+def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = 500.0, longer: float = 20.0) -> DataFrame:
+    """log10 probabilities of whole texts under a unigram model and a smoothed trigram model of the ``training`` rows.
 
     Tokens are lower-cased words, then one end.  The unigram model gives a token (c + 0.5) / (N + 0.5 (V + 1)).  The bigram
-    model gives it (b + prior * unigram) / (h + prior), b the bigram's count and h the count of the word before,
-    however rare.  b is read from a log-frequency Bloom
-    filter: a bigram of quantised log count q was inserted at levels 1 to q, and membership is probed from 1 upwards.
-    Quantised counts are rounded down, so that a history's probabilities sum to one but for false positives.
-
-    The filter has ``BITS_PER_TOKEN`` bits for each training token and grows with the corpus.  It is built chunk by
-    chunk where the counts meet, and broadcast in segments of ``SEGMENT_CHUNKS`` MB; the texts are scanned once for each
-    segment and a token is scored in the segment of its bigram, so memory is bounded and nothing is left out.
-    Tokens and words before them outside the head, the ``HEAD_WORDS`` most frequent words, are joined with the table of all counts.
+    model gives it (b + prior * unigram) / (h + prior), b the bigram's count and h that of the word before, however
+    rare; the trigram model (t + longer * bigram) / (g + longer), t the trigram's count and g that of the two words before.
+    b, t and g are read from a log-frequency Bloom filter: an n-gram of quantised log count q was inserted at levels 1 to
+    q, and membership is probed from 1 upwards.  Counts are rounded down, g up, so that a history's
+    probabilities sum to one at most but for false positives.
+
+    Texts are tokenised once, into a written table of units of about ``UNIT_TOKENS``.  The filter has ``BITS_PER_TOKEN``
+    bits for each training token, so it grows with the corpus; each chunk is built where the counts of its n-grams meet.  Up to
+    ``BROADCAST_CHUNKS`` chunks are broadcast and probed in place.  A larger filter stays dealt out: the different n-grams of each
+    unit go to the chunk that holds their bits, and their levels come back to the unit.  Both ways probe the same bits, so
+    scores don't depend on them, and each byte of text costs the same work at any size.
+    Counts of the ``HEAD_WORDS`` most frequent words are broadcast; a unit's other words are joined with the table of all counts.
 
     One row per input row: ``doc_id, n_tokens, n_known`` (tokens seen in training), ``train_tokens, base_score, score``.  A
-    null text is an empty one: its end only.  A row whose ``training`` is null is learnt from.  With no training rows
-    every token has probability 1.
+    null text is an empty one: its end only.  A row whose ``training`` is null is learnt from.  Repeated rows count and score each.
+    With no training rows every token has probability 1.  Other columns are ignored.  A text is held whole by a task, with its n-grams.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(True)).alias("training"))
     spark = docs.sparkSession
-    text = rows.where("training").select("text")
-    counts = written(text.mapInArrow(_word_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "words")
+    units = written(rows.mapInArrow(_units, TOKENS), "units", compression="zstd", maxRecordsPerFile=8)  # so few that a reader holds them
+    counts = written(units.mapInArrow(_word_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    mass = n + 0.5 * (v + 1)
     by_size = sorted(counts.groupBy(F.floor(F.log2("c")).alias("e")).count().collect(), reverse=True)
     least, room = 1 << 62, HEAD_WORDS
     for e, size in by_size:
@@ -257,21 +317,25 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         if room < 0:
             break
         least = 1 << e
-    whole = sum(size for _, size in by_size) <= HEAD_WORDS
     head = spark.sparkContext.broadcast(Head(counts.where(F.col("c") >= least).toArrow()))
+    model = Model(head, n + 0.5 * (v + 1), prior, longer)
+    texts = units.drop("training")
+    if v > HEAD_WORDS:  # a word outside the head is of few texts, so it is no hot key
+        rare = units.mapInArrow(_rare(head), "unit long, token long").join(counts, "token").groupBy("unit").agg(F.collect_list(F.struct("token", "c")).alias("rare"))
+        texts = texts.join(rare, "unit", "left")
 
     chunks = max(1, -(-n * BITS_PER_TOKEN // CHUNK_BITS))
-    filters = written(text.mapInArrow(_bigram_counts(chunks), "chunk long, hashes binary, counts binary").groupBy("chunk").applyInPandas(_chunk_bits, "chunk long, bits binary"), "filter")
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    parts = []
-    for first in range(0, chunks, SEGMENT_CHUNKS):
-        size = min(SEGMENT_CHUNKS, chunks - first)
-        segment = spark.sparkContext.broadcast(_segment(filters, first, size))
-        scored = written(numbered.mapInArrow(_score(head, segment, first, size, chunks, mass, prior, whole), f"row long, doc_id long, key long, {SUMS}, tail array<struct<token:bigint,before:bigint,found:double,c:bigint,history:bigint>>"), "scores")
-        segment.unpersist()
-        parts.append(scored.select("doc_id", "key", *SUM_COLUMNS) if whole else _with_tail(scored, counts, mass, prior))
-    out, sums = parts[0], SUM_COLUMNS
-    if len(parts) > 1:  # rows of one id and text are alike, so one of them stands for all in the later segments
-        more = reduce(DataFrame.union, [x.dropDuplicates(["key"]).select("key", *sums) for x in parts[1:]]).groupBy("key").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
-        out = out.join(more, "key").select("doc_id", *((F.col(c) + F.col(f"_{c}")).alias(c) for c in sums))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    parts = -(-units.count() // FAN_IN)
+    if chunks <= BROADCAST_CHUNKS:
+        grams = units.mapInArrow(_gram_counts(chunks, False), GRAMS)
+        if parts > 1:
+            grams = grams.groupBy("chunk", F.pmod(F.xxhash64("unit"), F.lit(parts))).applyInArrow(_combine, GRAMS)
+        filters = _by_chunk(grams, chunks).applyInArrow(_build, "chunk long, bits binary").toArrow()
+        bits = np.zeros((chunks, CHUNK_BITS // 8), dtype=np.uint8)
+        for chunk, value in zip(filters.column("chunk").to_pylist(), filters.column("bits")):
+            bits[chunk] = np.frombuffer(value.as_buffer(), np.uint8)
+        out = texts.mapInArrow(_score_here(model, spark.sparkContext.broadcast(bits.tobytes()), chunks), SCORES)
+    else:
+        answers = _by_chunk(units.mapInArrow(_gram_counts(chunks, True), GRAMS), chunks).applyInArrow(_answer, "unit long, chunk long, levels binary")
+        out = texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score_answered(model), SCORES)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

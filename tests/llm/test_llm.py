@@ -372,48 +372,76 @@ def test_short_items_and_scripts_without_spaces(spark):
 
 # language-model scores
 
-def test_scores_by_brute_force(spark):
-    rng = random.Random(11)
-    texts = odd_texts() + [prose(rng, 40) for _ in range(40)]
-    train = [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))]
+def brute_scores(texts, train, prior=500.0, longer=20.0):
+    """Scores with exact counts, rounded down or up to their levels."""
     toks = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + ["\0end"] for t in texts]
-    c, b = Counter(), Counter()
-    for t, known in zip(toks, train):
+    c, two, three = Counter(), Counter(), Counter()
+    runs = [list(zip(["\0end", "\0end", *t], ["\0end", *t], t)) for t in toks]
+    for t, r, known in zip(toks, runs, train):
         if known:
-            c.update(t), b.update(zip(["\0end", *t], t))
+            c.update(t), two.update(x[1:] for x in r), three.update(r)
     n, v = sum(c.values()), len(c)
-    for r in B.score_texts(documents(spark, texts), Q.fold_of(5) != 1).collect():
-        t = toks[r.doc_id]
+    level = lambda k: math.floor(2 * math.log2(k) + 1e-9) + 1 if k else 0
+    low = lambda q: math.ceil(2 ** ((q - 1) / 2) - 1e-6) if q else 0
+    high = lambda q: low(q + 1) - 1 if q else 0
+    for t, r in zip(toks, runs):
         one = [(c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in t]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert abs(r.base_score - sum(map(math.log10, one))) < 1e-6
-        low = lambda k: 0 if not k else math.ceil(2 ** ((math.floor(2 * math.log2(k) + 1e-9)) / 2) - 1e-6)
-        want = sum(math.log10((min(low(b[p, w]), c[p]) + 500 * o) / (c[p] + 500)) for p, w, o in zip(["\0end", *t], t, one))
-        assert abs(r.score - want) < 0.02 * len(t) + 0.5  # but for false positives
+        score = 0.0
+        for i, ((a, b, w), o) in enumerate(zip(r, one)):
+            pair = (min(low(level(two[b, w])), c[b]) + prior * o) / (c[b] + prior)
+            both = min(high(level(two[a, b])), c[b]) if i else c[b]
+            score += math.log10((min(low(level(three[a, b, w])), both) + longer * pair) / (both + longer))
+        yield len(t), sum(c[w] > 0 for w in t), n, sum(map(math.log10, one)), score
+
+
+@pytest.mark.parametrize("ways", [32, 0])
+def test_scores_by_brute_force(spark, monkeypatch, ways):
+    monkeypatch.setattr(B, "BROADCAST_CHUNKS", ways)
+    monkeypatch.setattr(B, "BITS_PER_TOKEN", 4000)  # several chunks, and next to no false positives
+    monkeypatch.setattr(B, "UNIT_TOKENS", 700)
+    rng = random.Random(11)
+    texts = odd_texts() + [prose(rng, 40) for _ in range(40)]
+    texts += texts[12:20]
+    train = [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))]
+    want = list(brute_scores(texts, train))
+    rows = B.score_texts(documents(spark, texts), Q.fold_of(5) != 1).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, known, total, base, score = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 0.02
     assert B.score_texts(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
 
 
-def test_segments_give_the_same(spark, monkeypatch):
-    rng = random.Random(12)
-    docs = documents(spark, [prose(rng, 300) for _ in range(60)])
-    monkeypatch.setattr(B, "BITS_PER_TOKEN", 2000)  # several chunks
-    one = {r.doc_id: r for r in B.score_texts(docs, F.lit(True)).collect()}
-    monkeypatch.setattr(B, "SEGMENT_CHUNKS", 2)
-    for r in B.score_texts(docs, F.lit(True)).collect():
-        assert (r.n_tokens, r.n_known) == (one[r.doc_id].n_tokens, one[r.doc_id].n_known) and abs(r.score - one[r.doc_id].score) < 1e-6
+def test_few_false_positives(spark):
+    rng = random.Random(20)
+    texts = [prose(rng, 400) for _ in range(80)]
+    want = list(brute_scores(texts, [True] * 80))
+    for r in B.score_texts(documents(spark, texts), F.lit(True)).collect():
+        assert abs(r.score - want[r.doc_id][4]) < 0.02 * r.n_tokens
+
+
+def test_copies_of_a_text_are_likely(spark):
+    rng = random.Random(21)
+    texts = [prose(rng, 200) for _ in range(60)]
+    rows = {r.doc_id: r.score / r.n_tokens for r in B.score_texts(documents(spark, texts + texts[:9]), F.col("doc_id") >= 20).collect()}
+    assert min(rows[i] for i in range(9)) > max(rows[i] for i in range(9, 20)) + 0.3
 
 
-@pytest.mark.parametrize("most", [0, 12])
-def test_the_head_is_no_limit(spark, monkeypatch, most):
+@pytest.mark.parametrize("ways", [32, 0])
+def test_neither_head_nor_units_change_scores(spark, monkeypatch, ways):
     rng = random.Random(15)
-    docs = documents(spark, odd_texts() + [prose(rng, 60) + " rare pair" * 2 for _ in range(30)])
+    docs = documents(spark, odd_texts() + [prose(rng, 60) + " rare pair" * 2 for _ in range(30)]).repartition(3)
+    docs = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")).limit(5))
     training = Q.fold_of(3) != 1
     monkeypatch.setattr(B, "BITS_PER_TOKEN", 2000)
-    one = {r.doc_id: r for r in B.score_texts(docs, training).collect()}
-    monkeypatch.setattr(B, "HEAD_WORDS", most)
-    for r in B.score_texts(docs, training).collect():
-        want = one[r.doc_id]
-        assert (r.n_tokens, r.n_known) == (want.n_tokens, want.n_known) and abs(r.base_score - want.base_score) < 1e-6 and abs(r.score - want.score) < 1e-6
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens, round(r.score, 6), round(r.base_score, 6), r.n_known)
+    one = sorted(map(key, B.score_texts(docs, training).collect()))
+    monkeypatch.setattr(B, "BROADCAST_CHUNKS", ways)
+    monkeypatch.setattr(B, "HEAD_WORDS", 12)
+    monkeypatch.setattr(B, "UNIT_TOKENS", 100)
+    monkeypatch.setattr(B, "FAN_IN", 3)
+    assert sorted(map(key, B.score_texts(docs, training).collect())) == one
 
 
 # pipeline
