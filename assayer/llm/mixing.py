@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from assayer.llm.tables import written
+from assayer.llm.tables import met, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The plan holds a row for each source and a number for each source and shard; it is made on the driver within this bound.
 MAX_PLAN = 1_000_000
 
+#: A block where a target ends falls into so many parts, and only the part where it ends is put in order.
+PARTS = 4096
+
 PLAN = T.StructType(
     [T.StructField("src", T.StringType())]
     + [T.StructField(c, T.LongType()) for c in ("source_size", "blocks")]
     + [T.StructField("target", T.DoubleType())]
-    + [T.StructField(c, T.LongType()) for c in ("passes", "whole")]
+    + [T.StructField(c, T.LongType()) for c in ("passes", "whole", "part_end")]
     + [T.StructField("need", T.DoubleType()), T.StructField("ends", T.ArrayType(T.LongType()))]
 )
 
@@ -48,23 +51,35 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return np.vstack([split_quotas(drawn, left, 2 * seed + 1), split_quotas(quotas - drawn, shards - left, 2 * seed + 2)])
 
 
+def row_key(id_: Column, source: Column, text: Column) -> Column:
+    """Rows alike in id, source and text have one key, null or not."""
+    return F.xxhash64(id_, source.cast("string"), text)
+
+
+def _cuts(rows: DataFrame, level: str) -> dict[str | None, tuple[int, int]]:
+    """For each source the first ``level`` whose running size passes ``need``, and the size before it; none if all fit."""
+    sums = rows.groupBy("src", level).agg(F.sum("size").alias("w"), F.first("need").alias("need"))
+    sums = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("src").orderBy(level)))  # max_blocks or PARTS rows of a source at most
+    found = sums.groupBy("src").agg(F.min(F.when(F.col("upto") > F.col("need"), F.struct(F.col(level).alias("at"), "upto", "w"))).alias("c")).where("c is not null")
+    return {r.src: (r.c["at"], r.c.upto - r.c.w) for r in found.collect()}
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, shards: int = 64, block_words: int = 4096, max_blocks: int = 4096, seed: int = 1) -> DataFrame:
     """How often, and into which shards, each document goes.
 
     Sources in code-point order, null last, have ``weights`` in turn.  ``share`` of all words is shared out by weight,
-    no source beyond ``most`` times its size.  A source's documents fall into blocks by a hash of their id, so block
+    no source beyond ``most`` times its size.  A source's documents fall into blocks by a hash of their ``row_key``, so block
     numbers are a random permutation; a target is so many whole passes over the blocks, then whole blocks in order, then
-    documents of one last block up to the target.  The splitting tree gives each shard its count of every source's
-    blocks, and a shard draws the next so many: shards are disjoint and exhaust the quotas exactly.
-
-    Returns one row per input row: ``doc_id, source, size, source_size, target, taken, copies`` and ``draws``, an array of
-    ``(pass, shard, key)``; ordering a shard by ``key`` shuffles it.  Null text has size 0; a document of size 0 takes
-    no words.  Equal rows are drawn alike but for the last block, which may take only some of them.  An empty table gives
-    an empty result.  Only sums by source and by (source, block) are shuffled, with partial sums; the plan is one row per
-    source, and more than ``MAX_PLAN`` numbers raise ValueError.
+    parts of one last block, then documents of one last part up to the target.  The splitting tree gives each shard its count
+    of every source's blocks, and a shard draws the next so many: shards are disjoint and exhaust the quotas exactly.
+
+    Returns one row per input row: ``doc_id, source, size, source_size, target, taken, copies``, ``draws``, an array of
+    ``(pass, shard, key)``, and ``row_key``; ordering a shard by ``key`` shuffles it.  Null text has size 0; a document of size 0
+    takes no words.  Null ids are ids like others.  Equal rows are drawn alike but for the last part, which may take only some of them.
+    An empty table gives an empty result.  Only sums by source and by (source, block) are shuffled, with partial sums; the plan is
+    one row per source, and more than ``MAX_PLAN`` numbers raise ValueError.
     """
-    h = F.xxhash64(F.lit(seed), "id")
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_key(F.col(id_col), F.col(source_col), F.col(text_col)).alias("row_key"))
     sized = written(sized, "sizes")
     totals = sized.groupBy("src").agg(F.sum("size").alias("words"), F.count("*").alias("n")).orderBy(F.col("src").asc_nulls_last()).limit(MAX_PLAN // shards + 1).collect()
     if len(totals) * shards > MAX_PLAN:
@@ -73,54 +88,57 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = share_out(words, [weights[i % len(weights)] for i in range(len(totals))], share * sum(words), most)
     blocks = [min(max_blocks, max(1, -(-w // block_words))) for w in words]
     passes = [min(most, int(t // w)) if w else 0 for t, w in zip(targets, words)]
+    srcs = [r.src for r in totals]
 
-    def plan(whole: list[int], need: list[float], ends: list[list[int]]) -> DataFrame:
-        rows = [(r.src, w, b, t, p, q, x, e) for r, w, b, t, p, q, x, e in zip(totals, words, blocks, targets, passes, whole, need, ends)]
+    def plan(whole: list[int], part_end: list[int], need: list[float], ends: list[list[int]]) -> DataFrame:
+        rows = list(zip(srcs, words, blocks, targets, passes, whole, part_end, need, ends))
         return F.broadcast(sized.sparkSession.createDataFrame(rows, PLAN))
 
-    zeros = [0] * len(totals)
-    blocked = lambda p: sized.join(p, sized["src"].eqNullSafe(p["src"])).drop(p["src"]).withColumn("block", F.pmod(h, "blocks"))
+    hashed = lambda i: F.xxhash64(F.lit(seed + i), "row_key")
+    blocked = lambda p: sized.join(p, sized["src"].eqNullSafe(p["src"])).drop(p["src"]).withColumns({"block": F.pmod(hashed(0), "blocks"), "part": F.pmod(hashed(3), F.lit(PARTS))})
+    zeros, none = [0] * len(srcs), [[]] * len(srcs)
     rest = [float(t - p * w) for t, p, w in zip(targets, passes, words)]
-    sums = blocked(plan(zeros, rest, [[]] * len(totals))).groupBy("src", "block").agg(F.sum("size").alias("w"), F.first("need").alias("need"))
-    sums = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("src").orderBy("block")))  # max_blocks rows at most
-    # the first block that passes what is left of the target; blocks without documents count as taken
-    cut = sums.groupBy("src").agg(F.min(F.when(F.col("upto") > F.col("need"), F.struct("block", "upto", "w"))).alias("c")).collect()
-    cut = {r.src: (r.c.block, r.c.upto - r.c.w) for r in cut if r.c}
-    whole = [cut.get(r.src, (b if x > 0 else 0, 0))[0] for r, b, x in zip(totals, blocks, rest)]
-    need = [x - cut[r.src][1] if r.src in cut else 0.0 for r, x in zip(totals, rest)]
+    cut = _cuts(blocked(plan(zeros, zeros, rest, none)), "block")
+    # blocks without documents count as taken
+    whole = [cut.get(s, (b if x > 0 else 0, 0))[0] for s, b, x in zip(srcs, blocks, rest)]
+    need = [x - cut[s][1] if s in cut else 0.0 for s, x in zip(srcs, rest)]
+    end = _cuts(blocked(plan(whole, zeros, need, none)).where("block = whole and need > 0"), "part")
+    part_end = [end.get(s, (0, 0))[0] for s in srcs]
+    last = [x - end[s][1] if s in end else 0.0 for s, x in zip(srcs, need)]
     quotas = np.array([p * b + q + (x > 0) for p, b, q, x in zip(passes, blocks, whole, need)], dtype=np.int64)
     ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0).T.tolist() if len(totals) else []
 
-    placed = blocked(plan(whole, need, ends))
-    last = (F.col("block") == F.col("whole")) & (F.col("need") > 0)
-    order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where(last).withColumn("extra", (F.sum("size").over(order) - F.col("size") / 2 <= F.col("need")).cast("int"))
-    inner = placed.where(~last).withColumn("extra", (F.col("block") < F.col("whole")).cast("int"))
+    placed = blocked(plan(whole, part_end, last, ends))
+    inside = F.col("block") == F.col("whole")
+    edge = inside & (F.col("part") == F.col("part_end")) & (F.col("need") > 0)
+    order = Window.partitionBy("src").orderBy(hashed(1), "row_key").rowsBetween(Window.unboundedPreceding, 0)
+    some = placed.where(edge).withColumn("extra", (F.sum("size").over(order) - F.col("size") / 2 <= F.col("need")).cast("int"))
+    others = placed.where(~edge).withColumn("extra", ((F.col("block") < F.col("whole")) | inside & (F.col("part") < F.col("part_end"))).cast("int"))
     copies = (F.col("passes") + F.col("extra")).cast("int")
     place = lambda e: e * F.col("blocks") + F.col("block")
-    draw = lambda e: F.struct(e.alias("pass"), F.size(F.filter("ends", lambda o: o <= place(e))).alias("shard"), F.xxhash64(F.lit(seed + 2), F.col("id"), e).alias("key"))
+    draw = lambda e: F.struct(e.alias("pass"), F.size(F.filter("ends", lambda o: o <= place(e))).alias("shard"), F.xxhash64(F.lit(seed + 2), F.col("row_key"), e).alias("key"))
     draws = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), draw)).otherwise(F.array().cast("array<struct<pass:int,shard:int,key:bigint>>"))
-    return inner.unionByName(edge).select(F.col("id").alias("doc_id"), F.col("src").alias("source"), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), draws.alias("draws"))
+    return others.unionByName(some).select(F.col("id").alias("doc_id"), F.col("src").alias("source"), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), draws.alias("draws"), "row_key")
 
 
 def draw_rows(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, once for each draw, with ``shard``, dealt by shard and key and in shuffled order within each part.
 
-    A row is found by id, source and size, nulls included.  Rows alike in these have one list of draws, which is joined
-    once, so they aren't multiplied.  Only where a source's target ends can some of them have a draw more than the others; those are numbered.
+    A row is found by its ``row_key``.  Rows alike have one list of draws, which is joined once, so they aren't
+    multiplied; null ids are found like others.  Only where a source's target ends can some of them have a draw more than
+    the others; those are numbered.  All columns of ``docs`` stay, whatever their names; one called ``shard`` is replaced.
     """
-    keys = ["_id", "_src", "_size"]
-    lists = mix.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")).agg(
-        F.min("copies").alias("_low"), F.max("copies").alias("_high"), F.max(F.struct("copies", "draws"))["draws"].alias("_draws"), F.count("*").alias("_rows"), F.sum("copies").alias("_sum")
-    ).where("_high > 0")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumns({"_did": F.col(id_col), "_dsrc": F.col(source_col).cast("string"), "_dsize": size})
-    same = [rows[d].eqNullSafe(lists[k]) for d, k in zip(("_did", "_dsrc", "_dsize"), keys)]
-    found = rows.join(lists, same)
-    alike = found.where("_low = _high").withColumn("_copies", F.col("_high"))
+    lists = mix.groupBy(F.col("row_key").alias("key")).agg(
+        F.min("copies").alias("low"), F.max("copies").alias("high"), F.max(F.struct("copies", "draws"))["draws"].alias("draws"), F.count("*").alias("rows"), F.sum("copies").alias("sum")
+    ).where("high > 0")
+    lists = written(lists, "draws")
+    doc = F.struct(*docs.columns).alias("doc")
+    rows = docs.select(doc, row_key(F.col(id_col), F.col(source_col), F.col(text_col)).alias("key"), F.monotonically_increasing_id().alias("n"))
+    found = met(rows, lists, "key", "n", limit=200_000)
+    alike = found.where("low = high").withColumn("copies", F.col("high"))
     # copies differ by one: so many of the rows have the higher number
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(text_col))
-    mixed = found.where("_low < _high").withColumn("_copies", F.when(F.row_number().over(order) <= F.col("_sum") - F.col("_rows") * F.col("_low"), F.col("_high")).otherwise(F.col("_low")))
-    out = alike.unionByName(mixed).withColumn("_d", F.explode(F.slice("_draws", F.lit(1), F.col("_copies"))))
-    out = out.select(*docs.columns, F.col("_d.shard").alias("shard"), F.col("_d.key").alias("_key"))
-    return out.repartitionByRange("shard", "_key").sortWithinPartitions("shard", "_key").drop("_key")
+    order = Window.partitionBy("key").orderBy("n")
+    mixed = found.where("low < high").withColumn("copies", F.when(F.row_number().over(order) <= F.col("sum") - F.col("rows") * F.col("low"), F.col("high")).otherwise(F.col("low")))
+    out = alike.unionByName(mixed).select("doc", F.explode(F.slice("draws", F.lit(1), F.col("copies"))).alias("d"))
+    out = out.repartitionByRange("d.shard", "d.key").sortWithinPartitions("d.shard", "d.key")
+    return out.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns if c != "shard"), F.col("d.shard").alias("shard"))
