@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
 from assayer.llm.components import connected_components
-from assayer.llm.tables import hashed, mixed, small, words, written
+from assayer.llm.tables import hashed, met, mixed, small, words, written
 
 #: Rows and bytes of shingles of one block of a group whose members are compared with one another.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
@@ -161,9 +161,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. A pair's signatures are compared 32 values at a time; it is dropped once the posterior probability of a
        similar pair is under ``miss``, and what survives is confirmed on the full sets.  A pair at the threshold
        shares no band with probability (1 - t^rows)^bands: 7e-9 at 0.85, 3e-6 at 0.8.
-    4. Buckets whose members are still in different components are compared in full, in blocks of bounded rows and
-       bytes, again by signature batches and exact sets; a block returns joining edges only, never pairs within a
-       component, so no link between components is lost and the output stays within the number of members.
+    4. A bucket whose members are still in different components is compared in full, in blocks of bounded rows and
+       bytes, again by signature batches and exact sets; of buckets with the same members one is.  A block returns joining
+       edges only, never pairs within a component, so no link between components is lost and the output stays within the
+       number of members.
     5. Components by repeated grouped minima.
 
     Null, empty and blank texts have no set: ``n_shingles`` 0, their own component, kept.  Rows that share an id are one
@@ -175,7 +176,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     verifier = Verifier(hashes, percent, miss)
     feats = written(narrow.mapInArrow(_features(size, hashes), "id long, n long, key binary, sig binary"), "signatures")
     classes = feats.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
-    reps = feats.join(classes.where("rep is not null"), "key").where("id = rep").select("rep", "sig")
+    # by key and id, so that the copies of one text are no hot key
+    reps = feats.join(classes.withColumnRenamed("rep", "id"), ["key", "id"]).select(F.col("id").alias("rep"), "sig").distinct()
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring("sig", i * (4 * rows) + 1, F.lit(4 * rows)), i))
     buckets = reps.select("rep", F.explode(keys).alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("members")).where("hub <> top")
@@ -184,25 +186,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = written(star.select("rep").union(star.select("hub")).distinct().withColumnRenamed("rep", "id"), "candidates")
     sets = written(narrow.join(small(ids), "id", "left_semi").mapInArrow(_sets(size, hashes), "id long, sig binary, grams binary"), "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("grams").alias(f"grams_{c}"))
-    pairs = star.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    pairs = met(met(star.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), side("a"), "a", "b", limit=0), side("b"), "b", "a", limit=0)
     edges = written(pairs.mapInArrow(_confirm_pairs(verifier), "a long, b long"), "links")
     first = connected_components(edges, "a", "b")
 
-    many = written(star.where("many").join(first, star["rep"] == first["id"], "left").select("bucket", "rep", "hub", F.coalesce("component", "rep").alias("comp")), "many")
-    split = many.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    open_ = written(many.join(split, "bucket").select("rep", "hub", "comp").distinct(), "open")
-    groups = connected_components(open_, "rep", "hub")
-    member = open_.select("rep", "comp").distinct().join(groups, F.col("rep") == groups["id"], "left").select("rep", "comp", F.coalesce("component", "rep").alias("grp"))
-    held = member.join(sets, member["rep"] == sets["id"]).select("grp", "rep", "comp", "sig", "grams")
-    sizes = held.groupBy("grp").agg(F.count("*").alias("c"), F.sum(F.length("grams")).alias("b")).where("c > 1")
-    blocks = F.ceil(F.greatest(F.col("c") / BLOCK_ROWS, F.col("b") / BLOCK_BYTES)).cast("int")
-    held = held.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    of = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_comp"))
+    many = star.where("many").join(of("rep"), "rep", "left")
+    many = written(met(many, written(of("hub"), "comps"), "hub", "rep", "left").select("bucket", "rep", "hub", F.coalesce("rep_comp", "rep").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp")), "many")
+    members = many.select("bucket", "rep", "comp").union(many.select("bucket", F.col("hub").alias("rep"), F.col("hub_comp").alias("comp")).distinct())
+    split = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who")).where("low <> high")
+    split = written(split.groupBy("c", "who").agg(F.min("bucket").alias("bucket"), F.first("c").alias("n")).select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "split")
+    held = met(members, split, "bucket", "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    held = held.join(sets.withColumnRenamed("id", "rep"), "rep")
+    # blocks of too many bytes are cut again
+    held = held.withColumn("bytes", F.length("grams"))
+    heavy = written(held.groupBy("bucket", "block").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("cuts")).groupBy("bucket").agg(F.max("cuts").alias("cuts")).where("cuts > 1"), "heavy")
+    held = held.join(small(heavy), "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    held = held.withColumn("block", F.col("block") * F.col("cuts") + F.pmod(F.xxhash64("rep", "bucket"), "cuts")).withColumn("blocks", F.col("blocks") * F.col("cuts"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    late = held.groupBy("grp", "lo", "hi").applyInPandas(_confirm_blocks(verifier), "a long, b long")
+    late = held.select("bucket", "lo", "hi", "block", "rep", "comp", "sig", "grams").groupBy("bucket", "lo", "hi").applyInPandas(_confirm_blocks(verifier), "a long, b long")
     edges = written(edges.union(late), "links")
 
     last = connected_components(edges, "a", "b")
-    named = classes.join(last, classes["rep"] == last["id"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = feats.select("id", "n", "key").join(named, "key", "left")
+    named = written(classes.join(last, classes["rep"] == last["id"], "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
+    out = met(feats.select("id", "n", "key"), named, "key", "id", "left", limit=100_000)
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.eqNullSafe(F.col("id")) | component.isNull()).alias("kept"))
