@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
 from assayer.llm.neardup import near_duplicates
-from assayer.llm.tables import dropped, hashed, small, written
+from assayer.llm.tables import dropped, hashed, met, small, written
 
 #: Tokens that vary between uses of a template: those with a digit, addresses and links.
 VARIABLE = re.compile(rb"[0-9@]|://")
@@ -253,22 +253,23 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     merged = written(line_templates(written(texts, "distinct"), similar, depth), "merged")
 
-    named = lines.drop("leaf", "tokens").join(small(merged), "line", "left").withColumn("line", F.coalesce("last", "line")).drop("last")
-    several = named.groupBy("line").agg(F.min("copy").alias("a"), F.max("copy").alias("b")).where("a <> b").select("line")
-    used = written(named.join(several, "line", "left_semi"), "uses")
+    # a frequent line is no hot key of a join: see met
+    named = met(lines.drop("leaf", "tokens"), merged, "line", "key", "left").withColumn("line", F.coalesce("last", "line")).drop("last")
+    several = written(named.groupBy("line").agg(F.min("copy").alias("a"), F.max("copy").alias("b")).where("a <> b").select("line"), "several")
+    used = written(met(named, several, "line", "key", "left_semi"), "uses")
     pairs = written(used.groupBy("line", "copy").agg(F.max("n").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "key")).alias("first")), "pairs")
     least = F.when(F.col("n") >= long_tokens, long_uses).otherwise(uses)
     # a template has as many texts as families at least, so the texts of other templates need no family
     often = pairs.groupBy("line").agg(F.count("*").alias("texts"), F.max("n").alias("n")).where(F.col("texts") >= least).select("line")
     often = written(often, "often")
-    held = pairs.join(small(often), "line", "left_semi")
+    held = met(pairs, often, "line", "copy", "left_semi")
     copies = written(held.select("copy").distinct(), "copies")
     texts = rows.select("copy", "text").join(small(copies), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
     families = near_duplicates(written(texts, "texts"), "copy", "text", FAMILY_WORDS, FAMILY_PERCENT).select(F.col("doc_id").alias("copy"), F.col("component_id").alias("family"))
     per = held.join(families, "copy").groupBy("line", "family").agg(F.max("n").alias("n"), F.min("first").alias("first"))
     per = per.groupBy("line").agg(F.count("*").alias("families"), F.max("n").alias("n"), F.min("first").alias("first"))
     recurring = written(per.where(F.col("families") >= least).select("line", F.col("first.key").alias("keeper")), "recurring")
-    return used.join(small(recurring), "line").where("key <> keeper").select("key", "no")
+    return met(used, recurring, "line", "key").where("key <> keeper").select("key", "no")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -279,15 +280,15 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` without recurring lines (see ``recurring_lines``): all rows, all columns, ``text_col`` rewritten.
 
     With ``report``, ``doc_id, n_lines, n_dropped, text`` instead.  Texts without such lines, nulls and empty texts stay as they
-    are; a document may become empty.  Rows alike in id and text are rewritten alike.  Other columns are carried.
+    are; a document may become empty.  Rows alike in id and text are rewritten alike.  Other columns are carried, whatever their names.
     """
     drops = written(recurring_lines(docs, id_col, text_col, **options), "drops")
-    hinted = F.broadcast if drops.count() <= 1_000_000 else lambda df: df
-    drops = drops.groupBy("key").agg(F.collect_set("no").alias("_drop")).withColumnRenamed("key", "_key")
-    joined = docs.join(hinted(drops), row_key(id_col, text_col) == F.col("_key"), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
+    drops = written(drops.groupBy("key").agg(F.collect_set("no").alias("drop")), "by_row")
+    joined = met(docs.select(F.struct(*docs.columns).alias("doc"), row_key(id_col, text_col).alias("key")), drops, "key", "key", "left")
+    of = lambda c: F.col("doc").getField(c)
+    parts = F.split(of(text_col), "\n", -1)
+    text = F.when(F.col("drop").isNull(), of(text_col)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drop", i)), "\n"))
     if not report:
-        return joined.withColumn(text_col, text).select(*docs.columns)
+        return joined.select(*((text if c == text_col else of(c)).alias(c) for c in docs.columns))
     n = F.coalesce(F.size(parts), F.lit(0))
-    return joined.select(F.col(id_col).alias("doc_id"), F.when(n > 0, n).otherwise(0).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("text"))
+    return joined.select(of(id_col).alias("doc_id"), F.when(n > 0, n).otherwise(0).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("text"))
