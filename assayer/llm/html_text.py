@@ -16,13 +16,19 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that are never the main text, and words of their class, id or role that say so.
-DROPPED = frozenset("aside button canvas dialog fieldset footer form head iframe menu menuitem nav noscript object select svg template textarea".split())
+#: Elements without text of the page.
+SKIPPED = frozenset("canvas head object select svg template".split())
+#: Elements that are rarely the main text, and words of a class, id or role that say so.
+MARKED = frozenset("aside button dialog fieldset footer form header menu menuitem nav noscript".split())
 MARKS = frozenset("""ad ads adbox adslot advert advertisement advertising adverts alert alertdialog banner breadcrumb breadcrumbs captcha comment commentlist comments
 complementary consent contentinfo cookie cookies copyright dialog disqus dropdown footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar navigation
 newsletter notice pager pagination popup promo promoted promotion recommended related respond search share sharing sidebar signup skip social sponsor sponsored subscribe
 subscription toolbar topbar widget widgets""".split())
-#: What a page is about stands in these; their own class doesn't drop them.
+#: Words that say nothing beside a mark: ``sidebar-left`` is a sidebar, ``sidebar-free`` isn't.
+NEUTRAL = frozenset("area bar block body bottom box center column container group inner item items left line link links list outer panel primary right row secondary section site top wrap wrapper".split())
+#: How much a mark, a word that may be one, and being beside an article lower a score; what a first article keeps whatever holds it.
+MARK, MAYBE, BESIDE, FIRST = 0.01, 0.5, 0.08, 0.3
+#: What a page is about stands in these; their own class lowers nothing.
 WHOLE = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -30,25 +36,30 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _marks(value: str) -> set[str]:
-    """The words of class names; not those that only tell whether something else is there (``has-sidebar``)."""
-    out: set[str] = set()
+def _weight(value: str) -> float:
+    """How much class names lower a score: by MARK if one consists of marks and neutral words, by MAYBE if one holds a mark."""
+    out = 1.0
     for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
-        parts = re.split(r"[^a-z]+", name)
-        if parts[0] not in ("has", "no", "with", "without"):
-            out.update(parts)
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if not parts or parts[0] in ("has", "no", "with", "without") or MARKS.isdisjoint(parts):
+            continue
+        out = min(out, MARK if all(x in MARKS or x in NEUTRAL for x in parts) else MAYBE)
     return out
 
 
 class Blocks:
-    """The text blocks of a page that no tag or mark drops: path, region, heading, text and characters in links."""
+    """The text blocks of a page: path, region, heading, text, characters in links, and how much marks lower it.
+
+    A mark lowers what its element holds, whatever that is, and never drops it: so a wrapper of the whole page with such a
+    name lowers all alike.
+    """
 
     def __init__(self, html: str) -> None:
         self.paths: dict[tuple[int, str], int] = {}
         self.parents: list[int] = []
-        self.found: list[tuple[int, int, str, str, int]] = []
-        #: (tag, path of the nearest block, state: 0 kept, 1 dropped, 2 headings only, region, heading or "")
-        self.stack: list[tuple[str, int, int, int, str]] = [("", self._path(-1, ""), 0, -1, "")]
+        self.found: list[tuple[int, int, str, str, int, float]] = []
+        #: (tag, path of the nearest block, skipped, weight, weight of headings, region, heading or "")
+        self.stack: list[tuple[str, int, bool, float, float, int, str]] = [("", self._path(-1, ""), False, 1.0, 1.0, -1, "")]
         self.open: dict[str, int] = {}
         self.kinds: list[str] = []
         self.parts: list[str] = []
@@ -76,8 +87,7 @@ class Blocks:
         return found
 
     def _text(self, raw: str) -> None:
-        _, _, state, _, heading = self.stack[-1]
-        if raw and (state == 0 or state == 2 and heading):
+        if raw and not self.stack[-1][2]:
             text = unescape(raw) if "&" in raw else raw
             self.parts.append(text)
             if self.open.get("a"):
@@ -87,8 +97,8 @@ class Blocks:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, path, _, region, heading = self.stack[-1]
-                self.found.append((path, region, heading, text, self.linked))
+                _, path, _, weight, bare, region, heading = self.stack[-1]
+                self.found.append((path, region, heading, text, self.linked, bare if heading else weight))
             self.parts, self.linked = [], 0
 
     def _pop(self) -> None:
@@ -110,25 +120,28 @@ class Blocks:
                     self._pop()
             if tag in VOID:
                 return
-        _, path, state, region, heading = self.stack[-1]
+            if tag == "body" and self.open.get("head"):  # a head without an end
+                while self.stack[-1][0] != "head":
+                    self._pop()
+                self._pop()
+        _, path, skipped, weight, bare, region, heading = self.stack[-1]
         attrs = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if "=" in rest or "hidden" in rest else {}
-        marks = _marks(" ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", "")))) if attrs else set()
         if tag not in INLINE:
             path = self._path(path, f"{tag}.{attrs.get('class', '').partition(' ')[0] or attrs.get('id', '')}")
-        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-            state = 1
-        elif tag in DROPPED or tag not in WHOLE and marks & MARKS or tag == "article" and self.open.get("article"):
-            state = 1  # an article within an article is a reader's comment
-        elif tag == "header":
-            state = max(state, 2 if region >= 0 else 1)
-        elif tag in ("article", "main") or "main" in marks and "role" in attrs:
+        own = _weight(" ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", "")))) if attrs and tag not in WHOLE else 1.0
+        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")) or tag in MARKED or tag == "label" and self.open.get("form"):
+            own = MARK
+        if tag == "article" and self.open.get("article"):
+            own = MARK  # an article within an article is a reader's comment
+        elif tag in ("article", "main") or attrs.get("role") == "main":
+            if not self.kinds:
+                weight, bare = max(weight, FIRST), max(bare, FIRST)
             region = len(self.kinds)
-            self.kinds.append("article" if tag == "article" else "main")
-        if self.stack[-1][2] == 1:
-            state = 1
-        if tag == "label" and self.open.get("form"):
-            state = 1
-        self.stack.append((tag, path, state, region, tag if tag in HEADINGS else heading))
+            self.kinds.append(tag)
+        weight *= own
+        if tag != "header" or region < 0:  # an article's header holds its title
+            bare *= own
+        self.stack.append((tag, path, skipped or tag in SKIPPED, weight, bare, region, tag if tag in HEADINGS else heading))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def _end(self, tag: str) -> None:
@@ -145,28 +158,21 @@ class Blocks:
             self._pop()
 
 
-def main_text(html: str | None, threshold: float = 0.1, most_linked: float = 0.8, region_share: float = 0.3) -> str:
+def main_text(html: str | None, threshold: float = 0.1, most_linked: float = 0.8, least: float = 1.0) -> str:
     """The main text of a page, blocks joined by one space.
 
     For each tag path (block elements with their first class, or id) the text length and the punctuation marks of its blocks
     are summed and divided by its number of blocks.  Both ratios are smoothed along the page, fused as
     length * (1 + punctuation) * (share outside links), and averaged by path; a path has at least the ratio of its
-    container (for blocks of an article or main element: that element).  Headings have the ratio of what follows.
-    Paths under ``threshold`` times the page's highest, and those with links for ``most_linked`` of their text, go.
-    Articles, else main elements, with ``region_share`` of the text are the only candidates.
+    container (for blocks of an article or main element: that element), and none with links for ``most_linked`` of its text.
+    Marks lower the score of what they hold, and being beside an article or main element lowers it, if the page has one with
+    text.  Headings have the ratio of what follows them, lowered by their own marks; one right before an article is of it.
+    Blocks under ``threshold`` times the page's highest score go, and all do if that is under ``least``.
     """
     page = Blocks(html or "")
     blocks = page.found
     if not blocks:
         return ""
-    total = sum(len(b[3]) for b in blocks)
-    for kind in ("article", "main"):
-        inside = [kind == "main" and b[1] >= 0 or b[1] >= 0 and page.kinds[b[1]] == kind for b in blocks]
-        if sum(len(b[3]) for b, x in zip(blocks, inside) if x) >= region_share * total:
-            for i in range(len(blocks) - 2, -1, -1):  # a title right before its article
-                inside[i] = inside[i] or blocks[i][2] == "h1" and inside[i + 1]
-            blocks = [b for b, x in zip(blocks, inside) if x]
-            break
     path = np.unique([b[0] for b in blocks], return_inverse=True)[1]
     mean = lambda v, by=path: (np.bincount(by, v) / np.maximum(np.bincount(by), 1))[by]
     length = np.array([len(b[3]) for b in blocks], float)
@@ -179,15 +185,21 @@ def main_text(html: str | None, threshold: float = 0.1, most_linked: float = 0.8
 
     fused = smooth(mean(length)) * (1 + smooth(mean(marks))) * np.clip(1 - linked, 0, 1)
     ratio = mean(fused)
+    weight, region = np.array([b[5] for b in blocks]), np.array([b[1] for b in blocks])
+    if (region >= 0).any():
+        first = np.append(region[1:] >= 0, False) & np.array([bool(b[2]) for b in blocks])
+        weight = np.where((region >= 0) | first, weight, BESIDE * weight)
     top = [page.parents[b[0]] for b in blocks]
     whole = {p for p, parent in enumerate(page.parents) if parent < 0 or page.parents[parent] < 0 or page.parents[page.parents[parent]] < 0}
-    holder = np.unique([f"r{b[1]}" if b[1] >= 0 else f"p{b[0]}" if t in whole or t < 0 else f"c{t}" for b, t in zip(blocks, top)], return_inverse=True)[1]
+    # what a mark lowers is a container of its own
+    holder = np.unique([f"{w}r{r}" if r >= 0 else f"{w}p{b[0]}" if t in whole or t < 0 else f"{w}c{t}" for b, t, w, r in zip(blocks, top, weight, region)], return_inverse=True)[1]
     shared = (np.bincount(holder, fused * length) / np.bincount(holder, length))[holder]
-    score = np.where(linked >= most_linked, 0.0, np.maximum(ratio, shared))
+    raw = np.where(linked >= most_linked, 0.0, np.maximum(ratio, shared))
     for i in range(len(blocks) - 2, -1, -1):
         if blocks[i][2]:
-            score[i] = score[i + 1]
-    keep = score >= threshold * score.max() if score.max() > 0 else np.zeros(len(blocks), bool)
+            raw[i] = raw[i + 1] * min(1.0, weight[i + 1] / weight[i])
+    score = raw * weight
+    keep = score >= threshold * score.max() if score.max() >= least else np.zeros(len(blocks), bool)
     return " ".join(b[3] for b, k in zip(blocks, keep) if k)
 
 
