@@ -88,7 +88,8 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
     Returns one row per input row: ``doc_id, lang_pred, score, margin, accepted``.  ``lang_pred`` is the smallest (ties: by
     ``fine_level``, which finds shorter matches, then the first in code-point order), ``score`` the share of 2^-(extra bytes) it has among all languages, ``margin`` the
     relative distance of the runner-up.  A narrow margin rejects: ``accepted`` is false under ``least_margin``.  Null texts and texts
-    without a letter, and all texts if there is no dictionary, are ``und`` with score 0.
+    without a letter, and all texts if there is no dictionary, are ``und`` with score 0.  Rows are independent: repeated rows
+    repeat, null ids are carried, an empty table is empty, other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_predict(dictionaries, level, fine_level, least_margin), "doc_id long, lang_pred string, score double, margin double, accepted boolean")

@@ -102,13 +102,15 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int, id_co
     """Fit on a bounded sample of the rated documents: about ``sample_rows``, 1.25 times that at most, by a hash of the id.
 
     ``ratings`` has ``id_col`` and the columns of ``grade``, an int from 0 to ``levels`` - 1; rows with a null id or grade,
-    or without a document, are left out.
+    or without a document, are left out.  Of several ratings of an id the lowest counts, of several texts the first in order;
+    so reruns learn the same.
     """
-    rated = ratings.select(F.col(id_col).alias("id"), grade.cast("int").alias("grade")).where(f"id is not null and grade between 0 and {levels - 1}").dropDuplicates(["id"])
+    rated = ratings.select(F.col(id_col).alias("id"), grade.cast("int").alias("grade")).where(f"id is not null and grade between 0 and {levels - 1}").groupBy("id").agg(F.min("grade").alias("grade"))
     count = rated.count()
-    picked = rated.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(1, count)) * (1 << 30))).limit(sample_rows * 5 // 4)
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    picked = rated.where(h < int(min(1.0, sample_rows / max(1, count)) * (1 << 30))).orderBy(h, "id").limit(sample_rows * 5 // 4)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = text.join(F.broadcast(picked), "id").select("grade", "text").mapInArrow(_featurise, "grade int, x binary").collect()
+    found = text.join(F.broadcast(picked), "id").groupBy("id", "grade").agg(F.min("text").alias("text")).select("grade", "text").mapInArrow(_featurise, "grade int, x binary").collect()
     found.sort(key=lambda r: (r.grade, r.x))
     return fit_ordinal([np.frombuffer(r.x, np.int32) for r in found], np.array([r.grade for r in found], dtype=np.int64), levels)
 
@@ -127,7 +129,8 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
     """Expected grade, probability of the highest grade, and ``kept``: whether that is ``least`` or more.
 
     One row per input row: ``doc_id, expected_grade, p_top, kept``.  Null counts as an empty text, which has features of its
-    own (no words).  The model's weights (1 MB) go with the tasks.
+    own (no words).  Rows are independent: repeated rows and null ids are carried, an empty table is empty, other columns are ignored.
+    The model's weights (1 MB) go with the tasks.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_score(model), "doc_id long, expected_grade double, p_top double").withColumn("kept", F.col("p_top") >= least)

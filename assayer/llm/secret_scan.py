@@ -16,7 +16,7 @@ _EITHER = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c i
 ASSIGN = re.compile("(?:" + "|".join(_EITHER(w) for w in ("password", "passwd", "secret", "token")) + "|" + _EITHER("api") + "_?" + _EITHER("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])e[w-z][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 #: Runs over line breaks, as they are or escaped; the lines are told apart by BREAKS, as an escaped break ends in a letter.
 LINE_END = r"(?:[\x20\t]*(?:\\+r)?(?:\\+n|\r?\n)[\x20\t]*)"
@@ -130,6 +130,36 @@ def armoured(label: str, body: str) -> str | None:
     return key_encoding(data)
 
 
+def realigned(value: str) -> tuple[int, str] | None:
+    """The offset and kind of a key that ends a run of base64 characters: after a slash or dash, which may be of a path.
+
+    A sequence's own length must fill the rest, so few rests are decoded, however long the run.
+    """
+    for m in re.finditer(r"[/_-](?=M|b3BlbnNza|AAAAB3NzaC1yc2E|AAAAC3NzaC1lZDI1NTE5)", value):
+        rest = value[m.end() :]
+        size = len(rest.rstrip("=")) * 3 // 4
+        if rest[0] == "M":
+            head = _base64(rest[:8]) or b"\0"
+            n = head[1] & 0x7F
+            total = 2 + n if not head[1] & 0x80 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else -1
+            if head[0] != 0x30 or total != size:
+                continue
+        if kind := key_encoding(_base64(rest)):
+            return m.end(), kind
+    return None
+
+
+def key_spans(text: str) -> list[tuple[int, int, str, str]]:
+    """Keys in base64 on one line."""
+    out = []
+    for m in BASE64.finditer(text):
+        if kind := key_encoding(_base64(m[0])):
+            out.append((m.start(), m.end(), "key", kind))
+        elif found := realigned(m[0]):
+            out.append((m.start() + found[0], m.end(), "key", found[1]))
+    return out
+
+
 def wrapped_spans(text: str) -> list[tuple[int, int, str, str]]:
     """Keys in base64 or hex whose lines are joined over their ends: of each run of lines, the stretches that parse."""
     out = []
@@ -182,7 +212,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str, str]]:
     out = [(m.start(), m.end(), "signed", alg) for m in SIGNED.finditer(text) if (alg := signed_token(m[0]))]
     armour = [(m.start(), m.end(), "armour", kind) for m in ARMOUR.finditer(text) if (kind := armoured(m[1], m[2]))]
     out += armour
-    out += [(m.start(), m.end(), "key", kind) for m in BASE64.finditer(text) if (kind := key_encoding(_base64(m[0])))]
+    out += key_spans(text)
     out += [(m.start(), m.end(), "key", kind) for m in LONG_HEX.finditer(text) if (kind := key_encoding(bytes.fromhex(m[0])))]
     out += [x for x in wrapped_spans(text) if not any(a <= x[0] and x[1] <= b for a, b, *_ in armour)]
     return out
@@ -213,7 +243,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, findings``: counts and digest of the pattern spans,
     all spans as ``kind:start:end`` (code points, end exclusive, by start, then kind), and each finding with its text
-    and, where decoding confirmed it, its structure.  Null text counts as empty: zeros, the digest of "", no spans.
+    and, where decoding confirmed it, its structure.  Null text counts as empty: zeros, the digest of "", no spans.  Rows are
+    independent: repeated rows repeat, null ids are carried, an empty table is empty, other columns are ignored; a long text is scanned whole.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, findings array<struct<kind:string,start:bigint,end:bigint,value:string,structure:string>>")
