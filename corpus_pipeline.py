@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.llm import quality_model as grades
-from assayer.llm.decontaminate import find_leaks
+from assayer.llm.decontaminate import without_leaks
 from assayer.llm.line_templates import drop_recurring
 from assayer.llm.mixing import draw_rows, mix_sources
 from assayer.llm.neardup import near_duplicates
@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return _only(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated"))
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
