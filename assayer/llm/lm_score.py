@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,9 +27,20 @@ HEAD_WORDS = 1_000_000
 UNIT_TOKENS, FAN_IN = 1_000_000, 4096
 TOKENS = "unit long, ids array<long>, lengths array<int>, training array<boolean>, vocabulary binary, codes binary"
 GRAMS = "chunk long, unit long, grams binary, counts binary"
+ANSWERS = "unit long, chunk long, levels binary, token long, c long"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An array in few bytes: its lowest bytes, its next ones, and so on, compressed."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased words of a text, then the end."""
     return np.append(hashed(words(text)), END)
@@ -42,7 +55,7 @@ class Unit:
 
     @classmethod
     def of(cls, row: dict) -> Unit:
-        return cls(np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["codes"], np.int32), np.array(row["lengths"], dtype=np.int64))
+        return cls(np.frombuffer(row["vocabulary"], np.uint64), unpacked(row["codes"], np.uint32), np.array(row["lengths"], dtype=np.int64))
 
     def before(self, values: np.ndarray, first) -> np.ndarray:
         """``values`` (one for each token) of the token before; ``first`` at a text's first token."""
@@ -78,14 +91,11 @@ def most_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, least_count(level + 1) - 1, 0.0)
 
 
-def chunk_of(h: np.ndarray, chunks: int) -> np.ndarray:
-    """Chunks are ranges of the upper half of the hash, so sorted hashes have sorted chunks."""
-    return ((h >> np.uint64(32)) * np.uint64(chunks) >> np.uint64(32)).astype(np.int64)
-
-
-def gram_of(h: np.ndarray) -> np.ndarray:
-    """What names an n-gram within its chunk: the lower half of its hash."""
-    return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def located(h: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk of each hash, and what names it there: its place in the chunk's range.  Both rise with the hash."""
+    n, low = np.uint64(chunks), np.uint64(0xFFFFFFFF)
+    at = (h >> np.uint64(32)) * n + ((h & low) * n >> np.uint64(32))
+    return (at >> np.uint64(32)).astype(np.int64), (at & low).astype(np.uint32)
 
 
 def places(grams: np.ndarray, level: int, probe: int) -> np.ndarray:
@@ -121,7 +131,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> pa.RecordBatch:
         vocabulary, codes = np.unique(np.concatenate(parts), return_inverse=True)
-        cols = [[number], [ids], [[len(p) for p in parts]], [training], [vocabulary.tobytes()], [codes.astype(np.int32).tobytes()]]
+        order = np.argsort(-np.bincount(codes), kind="stable")  # frequent words have small codes
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        vocabulary, codes = vocabulary[order], place[codes].astype(np.uint32)
+        cols = [[number], [ids], [[len(p) for p in parts]], [training], [vocabulary.tobytes()], [packed(codes)]]
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["unit", "ids", "lengths", "training", "vocabulary", "codes"])
 
@@ -164,31 +178,26 @@ def _gram_counts(chunks: int, all_: bool):
                 two, three, known = two[known], three[known], known[known]
             values, where = np.unique(np.concatenate([two, three]), return_inverse=True)
             counts = np.bincount(where, np.concatenate([known, known]), minlength=len(values)).astype(np.uint64)
-            chunk = chunk_of(values, chunks)
-            cuts = np.flatnonzero(np.diff(chunk)) + 1
-            split = lambda x: [p.tobytes() for p in np.split(x, cuts)] if len(x) else []
-            firsts = chunk[np.concatenate([[0], cuts])] if len(chunk) else chunk
-            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array([row["unit"]] * len(firsts), pa.int64()), pa.array(split(gram_of(values)), pa.binary()), pa.array(split(counts), pa.binary())], ["chunk", "unit", "grams", "counts"])
+            chunk, grams = located(values, chunks)
+            bounds = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1)) if len(chunk) else np.zeros(1, dtype=np.int64)
+            spans = list(zip(bounds, bounds[1:]))
+            cols = [chunk[bounds[:-1]], np.full(len(spans), row["unit"]), [packed(np.diff(grams[a:b], prepend=np.uint32(0))) for a, b in spans], [packed(counts[a:b]) for a, b in spans]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["chunk", "unit", "grams", "counts"])
 
     return run
 
 
-def _joined(table: pa.Table, column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays of all rows, one after another, and their lengths."""
-    parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column(column)]
-    return np.concatenate(parts), np.array([len(p) for p in parts])
-
-
 def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different n-grams of a chunk, their counts, and the place of each row's among them with the rows' lengths."""
-    grams, lengths = _joined(table, "grams", np.uint32)
-    values, where = np.unique(grams, return_inverse=True)
-    return values, np.bincount(where, _joined(table, "counts", np.uint64)[0], minlength=len(values)), where, lengths
+    parts = [np.cumsum(unpacked(x, np.uint32), dtype=np.uint32) for x in table.column("grams").to_pylist()]
+    counts = np.concatenate([unpacked(x, np.uint64) for x in table.column("counts").to_pylist()])
+    values, where = np.unique(np.concatenate(parts), return_inverse=True)
+    return values, np.bincount(where, counts, minlength=len(values)), where, np.array([len(p) for p in parts])
 
 
 def _combine(table: pa.Table) -> pa.Table:
     values, counts, _, _ = _added(table)
-    return pa.table({"chunk": table.column("chunk")[:1], "unit": table.column("unit")[:1], "grams": pa.array([values.tobytes()], pa.binary()), "counts": pa.array([counts.astype(np.uint64).tobytes()], pa.binary())})
+    return pa.table({"chunk": table.column("chunk")[:1], "unit": table.column("unit")[:1], "grams": pa.array([packed(np.diff(values, prepend=np.uint32(0)))], pa.binary()), "counts": pa.array([packed(counts.astype(np.uint64))], pa.binary())})
 
 
 def _build(table: pa.Table) -> pa.Table:
@@ -203,7 +212,7 @@ def _answer(table: pa.Table) -> pa.Table:
     bits = filter_bits(values[counts > 0], counts[counts > 0])
     found = probed(bits, np.zeros(len(values), dtype=np.int64), values)[where]
     parts = np.split(found, np.cumsum(lengths)[:-1])
-    return pa.table({"unit": table.column("unit"), "chunk": table.column("chunk"), "levels": pa.array([p.tobytes() for p in parts], pa.binary())})
+    return pa.table({"unit": table.column("unit"), "chunk": table.column("chunk"), "levels": pa.array([packed(p) for p in parts], pa.binary())}).append_column("token", pa.nulls(len(parts), pa.int64())).append_column("c", pa.nulls(len(parts), pa.int64()))
 
 
 class Head:
@@ -243,10 +252,10 @@ class Model:
         unit = Unit.of(row)
         known = self.head.value(unit.vocabulary)
         if row.get("rare"):
-            at = np.searchsorted(unit.vocabulary, np.array([r["token"] for r in row["rare"]], dtype=np.int64).view(np.uint64))
-            known = known.copy()
+            order = np.argsort(unit.vocabulary)
+            at = order[np.searchsorted(unit.vocabulary, np.array([r["token"] for r in row["rare"]], dtype=np.int64).view(np.uint64), sorter=order)]
             known[at] = [r["c"] for r in row["rare"]]
-        end = int(known[np.searchsorted(unit.vocabulary, END)])  # each text has an end
+        end = int(known[unit.vocabulary == END][0])  # each text has an end
         c = known[unit.codes]
         history = unit.before(c, end).astype(float)
         two, three = unit.grams()
@@ -265,15 +274,21 @@ def _score_here(model: Model, segment, chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(segment.value, dtype=np.uint8)
         for row in _rows(batches):
-            yield model.scores(row, lambda h: probed(bits, chunk_of(h, chunks) * CHUNK_BITS, gram_of(h)))
+
+            def level_of(h: np.ndarray) -> np.ndarray:
+                chunk, grams = located(h, chunks)
+                return probed(bits, chunk * CHUNK_BITS, grams)
+
+            yield model.scores(row, level_of)
 
     return run
 
 
 def _score_answered(model: Model):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        found = _joined(answers.sort_by("chunk"), "levels", np.uint8)[0]
-        return pa.Table.from_batches([model.scores(texts.to_pylist()[0], lambda h: found)])
+        rare = answers.filter(pa.compute.is_valid(answers["token"])).select(["token", "c"]).to_pylist()
+        found = np.concatenate([unpacked(x, np.uint8) for x in answers.filter(pa.compute.is_null(answers["token"])).sort_by("chunk")["levels"].to_pylist()])
+        return pa.Table.from_batches([model.scores(texts.to_pylist()[0] | {"rare": rare}, lambda h: found)])
 
     return run
 
@@ -319,23 +334,25 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         least = 1 << e
     head = spark.sparkContext.broadcast(Head(counts.where(F.col("c") >= least).toArrow()))
     model = Model(head, n + 0.5 * (v + 1), prior, longer)
-    texts = units.drop("training")
+    texts, rare = units.drop("training"), None
     if v > HEAD_WORDS:  # a word outside the head is of few texts, so it is no hot key
-        rare = units.mapInArrow(_rare(head), "unit long, token long").join(counts, "token").groupBy("unit").agg(F.collect_list(F.struct("token", "c")).alias("rare"))
-        texts = texts.join(rare, "unit", "left")
+        rare = units.mapInArrow(_rare(head), "unit long, token long").join(counts, "token")
 
     chunks = max(1, -(-n * BITS_PER_TOKEN // CHUNK_BITS))
-    parts = -(-units.count() // FAN_IN)
     if chunks <= BROADCAST_CHUNKS:
-        grams = units.mapInArrow(_gram_counts(chunks, False), GRAMS)
+        grams, parts = units.mapInArrow(_gram_counts(chunks, False), GRAMS), -(-units.count() // FAN_IN)
         if parts > 1:
             grams = grams.groupBy("chunk", F.pmod(F.xxhash64("unit"), F.lit(parts))).applyInArrow(_combine, GRAMS)
         filters = _by_chunk(grams, chunks).applyInArrow(_build, "chunk long, bits binary").toArrow()
         bits = np.zeros((chunks, CHUNK_BITS // 8), dtype=np.uint8)
         for chunk, value in zip(filters.column("chunk").to_pylist(), filters.column("bits")):
             bits[chunk] = np.frombuffer(value.as_buffer(), np.uint8)
+        if rare is not None:
+            texts = texts.join(rare.groupBy("unit").agg(F.collect_list(F.struct("token", "c")).alias("rare")), "unit", "left")
         out = texts.mapInArrow(_score_here(model, spark.sparkContext.broadcast(bits.tobytes()), chunks), SCORES)
     else:
-        answers = _by_chunk(units.mapInArrow(_gram_counts(chunks, True), GRAMS), chunks).applyInArrow(_answer, "unit long, chunk long, levels binary")
+        answers = _by_chunk(units.mapInArrow(_gram_counts(chunks, True), GRAMS), chunks).applyInArrow(_answer, ANSWERS)
+        if rare is not None:
+            answers = answers.unionByName(rare, allowMissingColumns=True)
         out = texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score_answered(model), SCORES)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
