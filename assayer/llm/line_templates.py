@@ -21,6 +21,8 @@ WILDCARD = b"<*>"
 PART = 2048
 #: Texts whose sets of so many-word runs have a similarity of so many percent are of one family.
 FAMILY_WORDS, FAMILY_PERCENT = 3, 80
+#: Bands and rows of their signatures: of two texts at that similarity 3 in 100,000 pairs share no band.
+FAMILY_ROWS, FAMILY_BANDS = 4, 20
 
 
 def _signed(h: int) -> int:
@@ -265,7 +267,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = met(pairs, often, "line", "copy", "left_semi")
     copies = written(held.select("copy").distinct(), "copies")
     texts = rows.select("copy", "text").join(small(copies), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
-    families = near_duplicates(written(texts, "texts"), "copy", "text", FAMILY_WORDS, FAMILY_PERCENT).select(F.col("doc_id").alias("copy"), F.col("component_id").alias("family"))
+    families = near_duplicates(written(texts, "texts"), "copy", "text", FAMILY_WORDS, FAMILY_PERCENT, FAMILY_ROWS, FAMILY_BANDS).select(F.col("doc_id").alias("copy"), F.col("component_id").alias("family"))
     per = held.join(families, "copy").groupBy("line", "family").agg(F.max("n").alias("n"), F.min("first").alias("first"))
     per = per.groupBy("line").agg(F.count("*").alias("families"), F.max("n").alias("n"), F.min("first").alias("first"))
     recurring = written(per.where(F.col("families") >= least).select("line", F.col("first.key").alias("keeper")), "recurring")
