@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
-#: Letters that fold beyond their decomposition, and limits of the features.
+#: Letters that fold beyond their decomposition, limits of the features (MAX_TOKENS where asked for).
 SPECIAL_FROM, SPECIAL_TO = "ışğçöüâîû", "isgcouaiu"
 MAX_TOKENS = 400
 SHORT_CHARS, SHORT_WORDS = 40, 4
@@ -43,8 +43,8 @@ def fold_any(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def tokens(text: Column, most: int | None = MAX_TOKENS) -> Column:
-    """The first ``most`` tokens, the limit of the registered queries' SQL; all of them with None."""
+def tokens(text: Column, most: int | None = None) -> Column:
+    """The tokens of the whole text; with ``most`` (the usual limit is MAX_TOKENS) the first so many."""
     found = F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     return found if most is None else F.slice(found, 1, most)
 

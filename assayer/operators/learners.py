@@ -1,4 +1,4 @@
-"""Order-dependent learners as keyed folds: one step function serves batch replay and streams."""
+"""Order-dependent learners: as scans of sums, least values and matrices where they compose, as keyed folds where they don't, and linear weights by summed gradients."""
 
 from __future__ import annotations
 
@@ -7,12 +7,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from assayer.functions import numbers as N
+from assayer.operators.running import running, running_least
 
 #: Fixed values of the learners.
 RATE, ACC_CAP, L2 = 0.5, 25.0, 1e-4
 WARN, DRIFT, MIN_SEEN, MIN_ERRORS = 2.0, 3.0, 100, 5
-ETA, SHARE = 1.0, 0.02
+ETA, SHARE, OUTPUT = 1.0, 0.02, 0.005
+KNOWN, NOTED, MOST_FOR, MOST_AGAINST = 0.05, 1e-3, 6, 4
 
 
 @dataclass
@@ -29,10 +33,12 @@ class Drift:
         self.n, self.errors = self.n + 1, self.errors + bool(error)
         p = (self.errors + 1) / (self.n + 2)
         s = math.sqrt(p * (1 - p) / self.n)
-        if self.n < MIN_SEEN or self.errors < MIN_ERRORS:
+        if self.n < MIN_SEEN:
             return "stable"
-        if p + s < self.low:
+        if p + s <= self.low:
             self.low, self.low_p, self.low_s = p + s, p, s
+        if self.errors < MIN_ERRORS:
+            return "stable"
         if p + s > self.low_p + DRIFT * self.low_s:
             self.__init__()
             return "drift"
@@ -41,7 +47,8 @@ class Drift:
 
 @dataclass
 class Hedge:
-    """Weights of experts by their losses; a share of the mass is dealt out anew at each step, and sleeping experts (None) keep theirs."""
+    """Weights of experts by their losses: those awake share their mass anew, sleeping ones (None) keep theirs, then each gives a
+    share of its weight to all."""
 
     weights: list[float]
 
@@ -58,7 +65,22 @@ class Hedge:
         new = [self.weights[i] * math.exp(-ETA * losses[i]) for i in awake]
         total = sum(new)
         for i, w in zip(awake, new):
-            self.weights[i] = mass * ((1 - SHARE) * w / total + SHARE / len(awake))
+            self.weights[i] = mass * w / total if total > 0 else self.weights[i]
+        self.weights = [(1 - SHARE) * w + SHARE / len(self.weights) for w in self.weights]
+
+    def combine(self, forecasts: list[list[float] | None], options: int) -> list[float]:
+        """The mixture of the forecasts of those awake, smoothed; uniform if all sleep."""
+        shares = self.predict([None if f is None else 0.0 for f in forecasts])
+        if not any(shares):
+            return [1 / options] * options
+        mix = [sum(w * f[o] for w, f in zip(shares, forecasts) if f is not None) for o in range(options)]
+        return [(1 - OUTPUT) * m / sum(mix) + OUTPUT / options for m in mix]
+
+    def add(self, share: float) -> None:
+        """A new expert with this share of the weight; the others keep their ratios."""
+        share = min(max(share, 1e-3), 0.9)
+        total = sum(self.weights)
+        self.weights = [w / total * (1 - share) for w in self.weights] + [share]
 
 
 @dataclass
@@ -78,20 +100,23 @@ class Softmax:
         total = sum(grown.values())
         return {o: x / total for o, x in grown.items()}
 
-    def step(self, feats: dict[str, float], label: str, weight: float = 1.0) -> dict[str, float]:
-        """Learns one label; returns the forecast made before."""
-        if label not in self.options:
-            self.options.append(label)
+    def step(self, feats: dict[str, float], target: str | dict[str, float], weight: float = 1.0) -> dict[str, float]:
+        """Learns a label, or a distribution over labels; returns the forecast made before.  A label's weight and how far it is
+        from uniform scale the step, since the rates take the gradient's size away."""
+        target = {target: 1.0} if isinstance(target, str) else target
+        self.options += [o for o in target if o not in self.options]
         probs = self.predict(feats)
-        for o in self.options:
-            slope = probs[o] - (o == label)
+        k = max(2, len(self.options))
+        scale = min(weight, 1.0) * max(0.0, (max(target.values()) - 1 / k) / (1 - 1 / k))
+        for o in self.options if scale > 0 else ():
+            slope = (probs[o] - target.get(o, 0.0)) * weight
+            if abs(slope) < 1e-9:
+                continue
             for f, v in feats.items():
                 w, g = self.weights.setdefault(f, {}), self.squares.setdefault(f, {})
                 grad = slope * v + L2 * w.get(o, 0.0)
-                if abs(grad) < 1e-9:
-                    continue
                 g[o] = min(ACC_CAP, g.get(o, 0.0) + grad * grad)
-                w[o] = w.get(o, 0.0) - RATE * min(weight, 1.0) * grad / math.sqrt(g[o] + 1e-8)
+                w[o] = w.get(o, 0.0) - scale * RATE * grad / (math.sqrt(g[o]) + 1e-8)
         return probs
 
 
@@ -115,3 +140,112 @@ def fold(log: DataFrame, keys: list[str], order: str, start: Callable[[], object
             yield pd.DataFrame(out, columns=names)
 
     return log.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
+def drift_signal(log: DataFrame, keys: list[str], order: str, error: Column, block: Column) -> DataFrame:
+    """``log`` with ``n, errors, status`` up to each key's first drift, as ``Drift`` gives them; later rows, which begin anew, have none.
+
+    Running sums and the running least (p + s, p, s) by blocks: no task holds a key.
+    """
+    rows = running(log, keys, block, [F.asc(order)], {"errors": error.cast("long")}).withColumnRenamed("rank", "n")
+    p = (F.col("errors") + 1) / (F.col("n") + 2)
+    s = F.sqrt(p * (1 - p) / F.col("n"))
+    rows = rows.withColumns({"_p": p, "_s": s})
+    mark = F.when(F.col("n") >= MIN_SEEN, F.struct((F.col("_p") + F.col("_s")).alias("sum"), F.col("_p").alias("p"), F.col("_s").alias("s")))
+    rows = running_least(rows, keys, block, [F.asc(order)], mark, "_low")
+    over = lambda k: F.col("_p") + F.col("_s") > F.col("_low.p") + k * F.col("_low.s")
+    ready = (F.col("n") >= MIN_SEEN) & (F.col("errors") >= MIN_ERRORS)
+    rows = rows.withColumn("status", F.when(ready & over(DRIFT), "drift").when(ready & over(WARN), "warning").otherwise("stable")).drop("_p", "_s", "_low")
+    first = rows.groupBy(*keys).agg(F.min(F.when(F.col("status") == "drift", F.col("n"))).alias("_end"))
+    return rows.join(F.broadcast(first), keys).where("_end is null or n <= _end").drop("_end")  # one row for each key
+
+
+def two_forecasters(log: DataFrame, keys: list[str], block: Column, order: str, losses: tuple[Column, Column], weight: Column | None = None, prior: float = 0.5, share: float = SHARE) -> DataFrame:
+    """``log`` with ``w``, the second forecaster's weight before each row, as a gate of two learns it from their losses.
+
+    A step multiplies the weights by a matrix, and matrices compose: each block gives one product, the blocks' products give each
+    block's start, and the rows of a block follow from there.  A task holds one block of one key.
+    """
+    weight = F.lit(1.0) if weight is None else weight
+    row = F.struct(F.col(order).alias("o"), F.exp(-weight * losses[0]).alias("a"), F.exp(-weight * losses[1]).alias("b"))
+    blocks = log.withColumn("_block", block).groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct(row.alias("r"), F.struct(*log.columns).alias("x")))).alias("rows")).persist()
+    stay, move = 1 - share / 2, share / 2
+
+    def times(m: Column, r: Column) -> Column:
+        """The step of ``r`` after the product ``m`` (p q / u v), scaled so that nothing vanishes."""
+        new = [stay * r["a"] * m[x] + move * r["b"] * m[y] if top else move * r["a"] * m[x] + stay * r["b"] * m[y] for top, x, y in ((True, "p", "u"), (True, "q", "v"), (False, "p", "u"), (False, "q", "v"))]
+        most = F.greatest(*new)
+        return F.struct(*((c / most).alias(k) for c, k in zip(new, "pquv")))
+
+    one = F.struct(*(F.lit(x).alias(k) for k, x in zip("pquv", (1.0, 0.0, 0.0, 1.0))))
+    product = F.aggregate(F.transform("rows", lambda x: x["r"]), one, times)
+    start = F.array(F.struct(F.lit(1 - prior).alias("a"), F.lit(prior).alias("b"), F.lit(0).cast("long").alias("k")))
+
+    def after(done: Column, x: Column) -> Column:
+        w, m = F.element_at(done, -1), x["m"]
+        a, b = m["p"] * w["a"] + m["q"] * w["b"], m["u"] * w["a"] + m["v"] * w["b"]
+        return F.concat(done, F.array(F.struct((a / (a + b)).alias("a"), (b / (a + b)).alias("b"), (w["k"] + 1).alias("k"))))
+
+    each = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_block", product.alias("m")))).alias("all"))  # one matrix for each block
+    starts = each.withColumn("w", F.aggregate("all", start, after)).select(*keys, F.explode(F.arrays_zip(F.col("all._block").alias("_block"), F.slice("w", F.lit(1), F.size("all")).alias("w"))).alias("s")).select(*keys, "s.*")
+
+    def step(done: Column, x: Column) -> Column:
+        w = F.element_at(done, -1)
+        a, b = w["a"] * x["r"]["a"], w["b"] * x["r"]["b"]
+        return F.concat(done, F.array(F.struct((stay * a / (a + b) + move * b / (a + b)).alias("a"), (move * a / (a + b) + stay * b / (a + b)).alias("b"))))
+
+    begin = F.array(F.struct(F.col("w.a").alias("a"), F.col("w.b").alias("b")))
+    out = blocks.join(starts, [*keys, "_block"]).withColumn("w", F.aggregate("rows", begin, step))
+    out = out.select(F.explode(F.arrays_zip(F.col("rows.x").alias("x"), F.slice("w", F.lit(1), F.size("rows")).alias("w"))).alias("z"))
+    return out.select("z.x.*", F.col("z.w.b").alias("w"))
+
+
+def linear_weights(features: DataFrame, labels: DataFrame, options: list[str], passes: int = 1) -> DataFrame:
+    """``f`` and one weight for each option (``w``, an array in option order) by passes over all labels, gradients summed by feature.
+
+    ``features`` has ``id, f, v`` and ``labels`` has ``id, label, weight``.  A pass gives each example the forecast of the weights
+    before it; a weight moves by the rate times its summed gradient over the root of the summed squares (capped): the
+    adaptive rate of the online learner, in one shuffle by feature.
+    """
+    weights = None
+    for _ in range(passes):
+        known = labels.select("id", "label", "weight")
+        if weights is None:
+            scored = known.withColumn("p", F.array(*[F.lit(1 / len(options))] * len(options)))
+        else:
+            scored = known.join(linear_scores(features, weights, options), "id", "left").withColumn("p", F.coalesce("p", F.array(*[F.lit(1 / len(options))] * len(options))))
+        slopes = scored.select("id", F.array(*((F.get("p", i) - F.when(F.col("label") == o, 1.0).otherwise(0.0)) * F.col("weight") for i, o in enumerate(options))).alias("s"))
+        grads = features.join(slopes, "id")
+        g = lambda i: F.get("s", i) * F.col("v")
+        step = grads.groupBy("f").agg(F.array(*(-RATE * F.sum(g(i)) / (F.sqrt(F.least(F.lit(ACC_CAP), F.sum(g(i) * g(i)))) + 1e-8) for i in range(len(options)))).alias("d"))
+        weights = step.withColumnRenamed("d", "w") if weights is None else weights.join(step, "f", "full").select("f", F.coalesce(F.zip_with("w", "d", lambda a, b: a + b), "w", "d").alias("w"))
+    return weights
+
+
+def linear_scores(features: DataFrame, weights: DataFrame, options: list[str]) -> DataFrame:
+    """``id, p``: the softmax over options of the summed weights of an example's features."""
+    sums = features.join(weights, "f").groupBy("id").agg(F.array(*(F.sum(F.get("w", i) * F.col("v")) for i in range(len(options)))).alias("z"))
+    grown = F.transform("z", lambda z: F.exp(z - F.array_max("z")))
+    return sums.select("id", N.normalized(grown).alias("p"))
+
+
+def familiar_share(features: DataFrame, weights: DataFrame) -> DataFrame:
+    """``id, familiarity``: the share of squared evidence whose feature has a weight of KNOWN or more for some option; without bias and numbers."""
+    known = weights.where(F.exists("w", lambda w: F.abs(w) >= KNOWN)).select("f", F.lit(1).alias("k"))
+    rows = features.where("f <> 'bias' and not startswith(f, 'n:')").join(known, "f", "left")
+    square = F.col("v") * F.col("v")
+    return rows.groupBy("id").agg(F.sum(F.when(F.col("k") == 1, square).otherwise(0.0)).alias("k"), F.sum(square).alias("t")).select("id", F.when(F.col("t") > 0, F.col("k") / F.col("t")).otherwise(1.0).alias("familiarity"))
+
+
+def linear_reasons(features: DataFrame, weights: DataFrame, chosen: DataFrame, options: list[str]) -> DataFrame:
+    """``id, f, c, side, rank``: the features that speak most for and against the chosen option: v * (its weight - the mean of the others).
+
+    ``chosen`` has ``id, place`` (from 0, in option order).
+    """
+    w = F.get("w", F.col("place"))
+    others = (N.total(F.col("w")) - w) / (len(options) - 1)
+    rows = features.where("f <> 'bias'").join(weights, "f").join(chosen, "id").select("id", "f", F.round(F.col("v") * (w - others), 9).alias("c")).where(F.abs("c") > NOTED)
+    rows = rows.withColumn("side", F.when(F.col("c") > 0, "for").otherwise("against"))
+    rank = F.row_number().over(Window.partitionBy("id", "side").orderBy(F.desc(F.abs("c")), "f"))
+    most = F.when(F.col("side") == "for", MOST_FOR).otherwise(MOST_AGAINST)
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most)

@@ -29,11 +29,21 @@ def trailing(df: DataFrame, keys: list[str], block: Column, order: list[Column],
     return out.withColumn("n", F.least("rank", F.lit(size)).cast("long")).drop(*(f"_old_{k}" for k in sums))
 
 
-def by_level(df: DataFrame, keys: list[str], level: str, sums: dict[str, Column]) -> DataFrame:
-    """Totals of each distinct ``level``, and running totals from the highest level down: tie groups stay whole.
+def by_level(df: DataFrame, keys: list[str], level: str, sums: dict[str, Column], step: float = 0.005) -> DataFrame:
+    """Totals of each distinct ``level``, and running totals (``upto_``) from the highest level down: tie groups stay whole.
 
-    Rows are summed up before they meet, so a key costs as much as it has different levels.
+    Rows are summed up by level before they meet, then by blocks of ``step``; a task orders one key's levels of one block.
     """
     rows = df.groupBy(*keys, level).agg(*(F.sum(v).alias(k) for k, v in sums.items()))
-    down = Window.partitionBy(*keys).orderBy(F.desc(level)).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({f"upto_{k}": F.sum(k).over(down) for k in sums})
+    return running(rows, keys, F.floor(-F.col(level) / step), [F.desc(level)], {f"upto_{k}": F.col(k) for k in sums}).drop("rank")
+
+
+def running_least(df: DataFrame, keys: list[str], block: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with the least ``value`` so far in ``order`` within ``keys``, by blocks as ``running``; nulls don't count."""
+    rows = df.withColumns({"_block": block, "_v": value})
+    by_block = rows.groupBy(*keys, "_block").agg(F.min("_v").alias("_m"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_block.select(*keys, "_block", F.min("_m").over(before).alias("_m0"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_c", F.min("_v").over(inside)).join(starts, [*keys, "_block"])
+    return out.withColumn(name, F.least("_m0", "_c")).drop("_block", "_v", "_c", "_m0")

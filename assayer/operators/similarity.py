@@ -1,80 +1,124 @@
-"""Similarity votes: sparse token features against a bounded memory of labelled texts, dense vectors against all vectors."""
+"""Similarity joins and votes: sparse features against labelled entries, earlier ones only if asked; dense vectors against all vectors."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayer.functions import text as T
+from assayer.functions import numbers as N, text as T
 
 #: Entries a memory holds, neighbours, least similarity, candidates by overlap, share of smoothing.
 CAPACITY, K, MIN_SIM, CANDIDATES, SMOOTH = 2000, 5, 0.35, 200, 0.1
+#: States whose latest answers an exact match finds.
+EXACT = 4 * CAPACITY
+#: An index or vectors of up to so many rows are broadcast to the queries; beyond it the join shuffles.
+BROADCAST_INDEX, BROADCAST_ENTRIES = 4_000_000, 50_000
 
 
-class Memory:
-    """An inverted index of at most CAPACITY feature sets, the newest, with their labels."""
-
-    def __init__(self, rows: list[tuple[int, list[str], str]]) -> None:
-        rows = sorted(rows)[-CAPACITY:]
-        self.labels, self.seq = [r[2] for r in rows], np.array([r[0] for r in rows])
-        self.sizes = np.array([max(1, len(r[1])) for r in rows], float)
-        most = max(5, len(rows) / 4)
-        counts = Counter(f for _, feats, _ in rows for f in feats)
-        found: dict[str, list[int]] = {}
-        for i, (_, feats, _) in enumerate(rows):
-            for f in feats:
-                if counts[f] <= most:
-                    found.setdefault(f, []).append(i)
-        self.places = {f: i for i, f in enumerate(found)}
-        self.ends = np.cumsum([0, *map(len, found.values())])
-        self.entries = np.fromiter((i for x in found.values() for i in x), np.int32, self.ends[-1])
-
-    def neighbours(self, feats: list[str]) -> list[tuple[int, float]]:
-        """Up to K entries of similarity MIN_SIM or more: the CANDIDATES with most features in common, then by cosine; ties to the older."""
-        at = [self.places[f] for f in feats if f in self.places]
-        if not at:
-            return []
-        overlap = np.bincount(np.concatenate([self.entries[self.ends[i] : self.ends[i + 1]] for i in at]), minlength=len(self.labels))
-        near = np.flatnonzero(overlap)
-        near = near[np.lexsort((self.seq[near], -overlap[near]))][:CANDIDATES]
-        sim = overlap[near] / np.sqrt(len(feats) * self.sizes[near])
-        order = np.lexsort((self.seq[near], -sim))[:K]
-        return [(int(near[i]), float(sim[i])) for i in order if sim[i] >= MIN_SIM]
-
-
-def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    found = docs.withColumn("_tokens", T.tokens(F.coalesce(text_col, F.lit(""))))  # a column of its own, else each use computes it anew
-    return found.withColumn("features", T.token_features(F.col("_tokens"))).drop("_tokens")
-
-
-def learn_memory(labelled: DataFrame, seq: str, label: str, text_col: str = "text") -> Memory:
-    """The newest CAPACITY labelled texts; the bound is the memory's own, so they fit the driver and every worker."""
-    newest = labelled.where(F.col(label).isNotNull()).orderBy(F.desc(seq)).limit(CAPACITY)
-    rows = with_features(newest, text_col).select(seq, "features", F.col(label).cast("string")).collect()
-    return Memory([(r[0], r[1], r[2]) for r in rows])
-
-
-def memory_vote(docs: DataFrame, memory: Memory, options: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, neighbours, best_sim, probs``: squared similarities summed by label, normalised, smoothed; ``probs`` null without a neighbour."""
-    shared = docs.sparkSession.sparkContext.broadcast(memory)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, best, probs = [], [], []
-            for feats in batch.column(1).to_pylist():
-                near = shared.value.neighbours(feats)
-                votes = [sum(s * s for i, s in near if shared.value.labels[i] == o) for o in options]
-                n.append(len(near)), best.append(near[0][1] if near else None)
-                probs.append([v / sum(votes) * (1 - SMOOTH) + SMOOTH / len(options) for v in votes] if near and sum(votes) > 0 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(probs, pa.list_(pa.float64()))], [id_col, "neighbours", "best_sim", "probs"])
-
-    rows = with_features(docs, text_col).select(F.col(id_col).cast("long").alias(id_col), "features")
-    return rows.mapInArrow(run, f"{id_col} long, neighbours long, best_sim double, probs array<double>")
+@dataclass(frozen=True)
+class Search:
+    """How neighbours are looked for: so many of at least a similarity, candidates by features that at most
+    ``max(5, min(cap, entries / 4))`` entries have, exact states at similarity 1, only entries before the query."""
+
+    k: int = K
+    min_sim: float = MIN_SIM
+    cap: int = CAPACITY
+    exact: bool = False
+    earlier: bool = True
+
+
+def hashed(features: Column) -> Column:
+    return F.transform(features, lambda f: F.xxhash64(f))
+
+
+def with_vectors(rows: DataFrame, id_col: str, text_col: str, others: Column | None = None) -> DataFrame:
+    """``id, seq, state, t, c`` and the columns of ``rows`` but the text: the hashed text features, which share one unit, and
+    categories of weight 1 each (``others``, an array of names); ``state`` is the state's hash."""
+    text = F.coalesce(text_col, F.lit(""))
+    rows = rows.withColumn("_toks", T.tokens(text))  # a column of its own, else each use computes it anew
+    made = {"id": F.col(id_col).cast("long"), "seq": F.col(id_col).cast("long"), "state": T.state_hash(text), "t": hashed(T.token_features(F.col("_toks"))), "c": hashed(others) if others is not None else F.array().cast("array<bigint>")}
+    return rows.withColumns(made).drop(text_col, "_toks")
+
+
+def _parts(x: str) -> Column:
+    """The length of a vector: its text features have length 1 together, each category has length 1."""
+    return F.sqrt(F.when(F.size(f"{x}t") > 0, 1.0).otherwise(0.0) + F.size(f"{x}c"))
+
+
+def cosine() -> Column:
+    """Of ``t, c`` and ``et, ec``, over all features, the frequent ones too."""
+    t = F.size(F.array_intersect("t", "et")) / F.sqrt(F.greatest(F.size("t"), F.lit(1)) * F.greatest(F.size("et"), F.lit(1)))
+    return F.round((t + F.size(F.array_intersect("c", "ec"))) / (_parts("") * _parts("e")), 9)
+
+
+def neighbours(queries: DataFrame, entries: DataFrame, search: Search = Search()) -> DataFrame:
+    """``id, entry, sim, rank``: the most similar entries of each query, ties to the older; both sides as ``with_vectors`` gives them.
+
+    Features that a quarter of the entries have find no candidates, but count in the similarity.  The ``CANDIDATES`` entries
+    with most of the other features in common are compared.  The index of (feature, entry) and the entries are broadcast
+    where they are counted to be few, which a memory's capacity makes them; the queries' features are then never shuffled.
+    """
+    e = entries.select(F.col("id").alias("entry"), F.col("seq").alias("eseq"), F.col("state").alias("estate"), F.col("t").alias("et"), F.col("c").alias("ec")).persist()
+    n = e.count()
+    used = e.select("entry", "eseq", F.explode(F.concat("et", "ec")).alias("f"))
+    rare = used.groupBy("f").agg(F.count("*").alias("df")).where(F.col("df") <= max(5, min(search.cap, n // 4))).select("f")
+    index = used.join(rare, "f").persist()
+    rows = index.count()
+    index = F.broadcast(index) if rows <= BROADCAST_INDEX else index
+    wide = F.broadcast(e) if n <= BROADCAST_ENTRIES else e
+    before = F.col("eseq") < F.col("seq") if search.earlier else F.lit(True)
+
+    asked = queries.select("id", "seq", F.explode(F.concat("t", "c")).alias("f"))
+    overlap = asked.join(index, "f").where(before).groupBy("id", "entry").agg(F.count("*").alias("overlap"))
+    near = overlap.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overlap"), "entry"))).where(F.col("r") <= CANDIDATES)
+    near = near.groupBy("id").agg(F.collect_list("entry").alias("entries"))  # CANDIDATES at most
+    pairs = queries.select("id", "t", "c").join(near, "id").select("id", "t", "c", F.explode("entries").alias("entry"))
+    found = pairs.join(wide.drop("eseq", "estate"), "entry").select("id", "entry", cosine().alias("sim"))
+    if search.exact:
+        same = queries.select("id", "seq", "state").join(wide.select("entry", "eseq", F.col("estate").alias("state")), "state").where(before).select("id", "entry", F.lit(1.0).alias("sim"))
+        found = found.union(same).groupBy("id", "entry").agg(F.max("sim").alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "entry"))
+    return found.where(F.col("sim") >= search.min_sim).withColumn("rank", rank).where(F.col("rank") <= search.k)
+
+
+def votes(near: DataFrame, weights: DataFrame, options: list[str], smooth: float, power: int = 2) -> DataFrame:
+    """``id, near, best_sim, probs`` in option order: sim^power times the entry's weight, summed by label, normalised, smoothed.
+
+    ``weights`` has ``entry, label, weight``; a query whose neighbours have no weight for any option has no row.
+    """
+    rows = near.join(weights, "entry")
+    share = lambda o: F.sum(F.when(F.col("label") == o, F.pow("sim", F.lit(power)) * F.col("weight")).otherwise(0.0))
+    out = rows.groupBy("id").agg(F.count("*").alias("near"), F.max("sim").alias("best_sim"), F.array(*map(share, options)).alias("v"))
+    return out.where(N.total(F.col("v")) > 0).select("id", "near", "best_sim", N.smoothed(N.normalized(F.col("v")), smooth).alias("probs"))
+
+
+def exact_answers(queries: DataFrame, labelled: DataFrame, options: list[str], capacity: int = EXACT) -> DataFrame:
+    """``id, exact``: the smoothed answer of the newest of the weightiest earlier labels of the very same state.
+
+    ``labelled`` has ``seq, state, label, weight``; the newest ``capacity`` of them are looked at.
+    """
+    known = labelled.select(F.col("seq").alias("eseq"), "state", "label", "weight").orderBy(F.desc("eseq")).limit(capacity)
+    rows = queries.select("id", "seq", "state").join(F.broadcast(known), "state").where("eseq < seq")  # capacity rows at most
+    best = rows.groupBy("id").agg(F.max(F.struct("weight", "eseq", "label"))["label"].alias("label"))
+    one = F.array(*(F.when(F.col("label") == o, 1.0).otherwise(0.0) for o in options))
+    return best.select("id", N.smoothed(one, SMOOTH).alias("exact"))
+
+
+def memory_vote(queries: DataFrame, labelled: DataFrame, options: list[str]) -> DataFrame:
+    """``id, near, best_sim, probs``: the answer of the same state if one is known, else the vote of similar earlier ones.
+
+    Both sides as ``with_vectors`` gives them, ``labelled`` with ``label`` and ``weight``; the memory is its newest CAPACITY rows.
+    ``probs`` is null where nothing is known; a query never meets its own or a later label.
+    """
+    memory = labelled.where("label is not null").orderBy(F.desc("seq")).limit(CAPACITY)
+    vote = votes(neighbours(queries, memory), memory.select(F.col("id").alias("entry"), "label", "weight"), options, SMOOTH)
+    exact = exact_answers(queries, labelled.where("label is not null"), options)
+    out = queries.select("id").join(vote, "id", "left").join(exact, "id", "left")
+    return out.select("id", F.coalesce("near", F.lit(0)).alias("near"), "best_sim", F.col("exact").isNotNull().alias("exact"), F.coalesce("exact", "probs").alias("probs"))
 
 
 def vector_neighbours(queries: DataFrame, vectors: DataFrame, k: int = K, block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

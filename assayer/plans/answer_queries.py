@@ -32,4 +32,4 @@ def score_answers(spark: SparkSession, d: str) -> DataFrame:
     """The level that an order's priority names, with 0.6 on it and the rest spread evenly."""
     probs = F.transform(F.array(*map(F.lit, PRIORITY.options)), lambda o: F.when(o == F.col("l"), 0.6).otherwise(0.1))
     rows = table(spark, d, "orders").select("o_orderkey", PRIORITY.label(F.lower("o_orderpriority")).alias("l"))
-    return rows.select("o_orderkey", PRIORITY.public(probs).alias("x")).select("o_orderkey", "x.*")
+    return rows.select("o_orderkey", PRIORITY.public(probs).alias("x")).select("o_orderkey", "x.answer", "x.confidence", "x.score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from assayer.functions import numbers as N
-from assayer.operators import contract as C, feedback as L
+from assayer.operators import contract as C, feedback as L, similarity as S
 from assayer.operators.running import by_level, running, trailing
 from assayer.plans.registry import query
 from assayer.plans.views import decisions as dec, feedback_log as log, labelled_documents, table
@@ -49,9 +49,20 @@ def rps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(y.alias("level"), score.alias("s")).groupBy("level").agg(F.count("*").alias("n"), r6(F.avg("s")).alias("rps"))
 
 
-@query("WITH $DEC SELECT question, CASE WHEN ok = 1 THEN 'same' ELSE 'other' END AS predicted, source AS label, count(*)::BIGINT AS n FROM dec WHERE labelled GROUP BY 1, 2, 3")
+@query("WITH $DEC, p AS (SELECT question, label, answer FROM dec WHERE labelled) SELECT question, label, answer AS predicted, count(*)::BIGINT AS n FROM p GROUP BY 1, 2, 3")
 def confusion(spark: SparkSession, d: str) -> DataFrame:
-    return dec(spark, d).where("labelled").groupBy("question", F.when(F.col("ok") == 1, "same").otherwise("other").alias("predicted"), F.col("source").alias("label")).agg(F.count("*").alias("n"))
+    """Labels against answers."""
+    return dec(spark, d).where("labelled").groupBy("question", "label", F.col("answer").alias("predicted")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH $DEC, r AS (SELECT question, label, seq, ok, conf, row_number() OVER (PARTITION BY question ORDER BY seq DESC) AS k FROM dec WHERE labelled)
+SELECT question, label, count(*)::BIGINT AS n, round(avg(ok), 6) AS accuracy, round(avg(CASE WHEN k <= 1000 THEN ok END), 6) AS lately FROM r GROUP BY 1, 2""")
+def class_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy by class, of all labels and of the question's last 1000."""
+    rows = dec(spark, d).where("labelled")
+    last = rows.withColumn("k", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("seq")))).where("k <= 1000")  # Spark keeps 1000 rows of a key before the shuffle
+    late = last.groupBy("question", "label").agg(r6(F.avg("ok")).alias("lately"))
+    return rows.groupBy("question", "label").agg(F.count("*").alias("n"), r6(F.avg("ok")).alias("accuracy")).join(late, ["question", "label"], "left").select("question", "label", "n", "accuracy", "lately")
 
 
 @query("WITH $DEC SELECT source, count(*)::BIGINT AS n, round(1 - avg(ok), 6) AS error FROM dec WHERE labelled GROUP BY ROLLUP (source)")
@@ -129,14 +140,17 @@ def prequential_loss(spark: SparkSession, d: str) -> DataFrame:
     return loss.join(hits, ["question", "rank"]).withColumnRenamed("rank", "labels")
 
 
-@query("""WITH $DEC, r AS (SELECT question, row_number() OVER w AS k, sum(ok) OVER w AS hits, count(*) OVER (PARTITION BY question) AS n FROM dec WHERE labelled WINDOW w AS (PARTITION BY question ORDER BY conf DESC, seq))
-SELECT question, i::BIGINT AS mark, round(hits / k, 6) AS accuracy FROM r, range(1, 21) AS t(i) WHERE k = greatest(1, (n * i + 10) // 20)""")
+@query("""WITH $DEC, r AS (SELECT question, conf, row_number() OVER w AS k, sum(ok) OVER w AS hits, count(*) OVER (PARTITION BY question) AS n FROM dec WHERE labelled WINDOW w AS (PARTITION BY question ORDER BY conf DESC, seq)),
+m AS (SELECT DISTINCT question, greatest(1, round_even(n * i / 20::DOUBLE, 0))::BIGINT AS k FROM r, range(1, 21) AS t(i))
+SELECT question, k::BIGINT AS covered, round(k / n, 4) AS coverage, round(hits / k, 4) AS accuracy, round(conf, 4) AS threshold FROM r JOIN m USING (question, k)""")
 def risk_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy among the most confident twentieths."""
+    """Accuracy among the most confident, at twentieths of the labels (halves to even, repeated marks once)."""
     run = running(dec(spark, d).where("labelled"), *down(), {"hits": F.col("ok")})
     n = run.groupBy("question").agg(F.count("*").alias("n"))
-    marks = n.select("question", F.explode(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.struct(i.alias("i"), F.greatest(F.lit(1), F.floor((F.col("n") * i + 10) / 20)).cast("long").alias("rank")))).alias("m")).select("question", "m.*")
-    return run.join(marks, ["question", "rank"]).select("question", F.col("i").cast("long").alias("mark"), r6(F.col("hits") / F.col("rank")).alias("accuracy"))
+    mark = lambda i: F.greatest(F.lit(1.0), F.rint(F.col("n") * i / F.lit(20.0))).cast("long")
+    marks = n.select("question", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(20)), mark))).alias("rank"))
+    r4 = lambda c: F.round(c, 4)
+    return run.join(F.broadcast(marks), ["question", "rank"]).select("question", F.col("rank").alias("covered"), r4(F.col("rank") / F.col("n")).alias("coverage"), r4(F.col("hits") / F.col("rank")).alias("accuracy"), r4("conf").alias("threshold"))  # twenty marks of a question
 
 
 @query("""WITH $DEC, r AS (SELECT question, ok, row_number() OVER w AS k, sum(1 - ok) OVER w AS e, count(*) OVER (PARTITION BY question) AS n FROM dec WHERE labelled WINDOW w AS (PARTITION BY question ORDER BY conf DESC, seq))
@@ -202,25 +216,94 @@ def expected_cost(spark: SparkSession, d: str) -> DataFrame:
     return dec(spark, d).select("seq", c.alias("c")).select("seq", r6(F.get("c", 0)).alias("yes"), r6(F.get("c", 1)).alias("no"), F.when(F.get("c", 0) <= F.get("c", 1), "yes").otherwise("no").alias("cheapest"))
 
 
-@query("WITH $DEC SELECT seq, greatest(0.9::DOUBLE, t) AS threshold, CASE WHEN t IS NULL THEN 'cost' ELSE 'cost+risk' END AS rule, conf < greatest(0.9::DOUBLE, t) AS abstain FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 0.95::DOUBLE WHEN seq % 3 = 1 THEN 0.7::DOUBLE END AS t FROM dec)")
+TAU = "CASE WHEN seq % 3 = 0 THEN 0.95::DOUBLE WHEN seq % 3 = 1 THEN 0.7::DOUBLE END"
+tau = lambda: F.expr(TAU.replace("::DOUBLE", "D"))
+probs = lambda: F.array("conf", 1 - F.col("conf"))
+
+
+def _decided(rows: DataFrame, policy: C.Policy, options: list[str] = ["yes", "no"]) -> DataFrame:
+    d = rows.select("seq", policy.decide(probs(), options, tau()).alias("d")).select("seq", "d.*")
+    return d.withColumn("expected_cost", r6("expected_cost"))
+
+
+@query(f"""WITH $DEC, t AS (SELECT *, {TAU} AS t FROM dec) SELECT seq, 'yes' AS answer, greatest(0.9::DOUBLE, t) AS threshold, 'costs+' || CASE WHEN t IS NULL THEN 'risk_budget_warming_up' ELSE 'risk_budget' END AS rule,
+ conf < greatest(0.9::DOUBLE, t) AS abstain, round((1 - conf) * 10, 6) AS expected_cost FROM t""")
 def decide_strictest(spark: SparkSession, d: str) -> DataFrame:
-    rows = dec(spark, d).withColumn("t", F.expr("case when seq % 3 = 0 then 0.95D when seq % 3 = 1 then 0.7D end"))
-    t, rule, abstain = C.Policy(cost_wrong=10, cost_abstain=1, risk_threshold="t").columns(F.col("conf"))
-    return rows.select("seq", t.alias("threshold"), rule.alias("rule"), abstain.alias("abstain"))
+    """Costs and a risk budget; the budget warms up where its threshold is unknown."""
+    return _decided(dec(spark, d), C.Policy(cost_wrong=10, cost_abstain=1, risk_budget=0.05))
+
+
+@query(f"""WITH $DEC, t AS (SELECT *, {TAU} AS t FROM dec) SELECT seq, 'yes' AS answer, coalesce(t, 0.6::DOUBLE) AS threshold, CASE WHEN t IS NULL THEN 'risk_budget_warming_up+threshold' ELSE 'risk_budget_expected' END AS rule,
+ conf < coalesce(t, 0.6::DOUBLE) AS abstain, NULL::DOUBLE AS expected_cost FROM t""")
+def decide_by_budget(spark: SparkSession, d: str) -> DataFrame:
+    """A risk budget alone; the default threshold while it warms up."""
+    return _decided(dec(spark, d), C.Policy(risk_budget=0.05, risk_budget_mode="expected"))
+
+
+@query("""WITH $DEC, c AS (SELECT seq, conf, 8 * (1 - conf) AS yes, 0.5 * (1 - conf) + 4 * conf AS no FROM dec) SELECT seq, CASE WHEN yes <= no THEN 'yes' ELSE 'no' END AS answer, NULL::DOUBLE AS threshold, 'cost_matrix' AS rule,
+ least(yes, no) > 1.5 AS abstain, round(least(yes, no), 6) AS expected_cost FROM c""")
+def decide_by_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The cheapest answer by a cost matrix with an absent cell, abstaining if that is dearer."""
+    return _decided(dec(spark, d), C.Policy(cost_matrix={"yes": {"no": 8}, "no": {"no": 0.5}}, cost_wrong=4, cost_abstain=1.5))
+
+
+ACC = """t AS (SELECT question, CASE WHEN count(*) >= 20 THEN avg(ok) END AS teacher FROM dec WHERE labelled AND source = 'teacher' GROUP BY 1),
+l AS (SELECT question, conf, round(conf * 1000000)::BIGINT AS x, count(*) AS n, sum(ok) AS k FROM dec WHERE labelled GROUP BY ALL),
+a AS (SELECT question, conf, ((sum(k) OVER w) + 10 * conf) / ((sum(n) OVER w) + 10) AS measured FROM l WINDOW w AS (PARTITION BY question ORDER BY x RANGE BETWEEN 100000 PRECEDING AND 100000 FOLLOWING))"""
+
+
+@query(f"""WITH $DEC, {ACC}, r AS (SELECT seq, conf, coalesce(measured, conf) AS m, teacher, conf < 0.75 AS low FROM dec LEFT JOIN a USING (question, conf) LEFT JOIN t USING (question)),
+b AS (SELECT *, teacher IS NOT NULL AND (low AND m >= teacher OR NOT low AND m < teacher) AS turned FROM r)
+SELECT seq, CASE WHEN turned THEN 'threshold+escalation_aware' ELSE 'threshold' END AS rule, low <> turned AS abstain FROM b""")
+def escalation_aware(spark: SparkSession, d: str) -> DataFrame:
+    """The student answers where it is measured to be as right as the teacher, and asks where it isn't."""
+    rows = dec(spark, d)
+    teacher = rows.where("labelled and source = 'teacher'").groupBy("question").agg(F.when(F.count("*") >= C.MIN_TEACHER, F.avg("ok")).alias("teacher"))
+    measured = C.measured_accuracy(rows.where("labelled"), ["question"]).select("question", "conf", F.col("accuracy").alias("measured"))
+    rows = rows.join(measured, ["question", "conf"], "left").join(F.broadcast(teacher), "question", "left")  # one row for each question
+    policy = C.Policy(abstain_threshold=0.75, escalation_aware=True)
+    decided = policy.escalating(policy.decide(probs(), ["yes", "no"]), probs(), ["yes", "no"], F.col("teacher"), F.coalesce("measured", "conf"))
+    return rows.select("seq", decided.alias("d")).select("seq", "d.rule", "d.abstain")
 
 
 @query("""WITH $DEC, a AS (SELECT question, sum(CASE WHEN conf >= 0.8 THEN 1 ELSE 0 END) AS g, sum(CASE WHEN conf >= 0.8 THEN 1 - ok ELSE 0 END) AS w, count(*) AS n FROM dec WHERE labelled GROUP BY 1)
 SELECT question, n::BIGINT AS n, round(g / n, 6) AS coverage, round(w / g, 6) AS risk, round((w * 5 + (n - g))::DOUBLE, 6) AS cost, round((w * 5 + (n - g)) / n, 6) AS cost_each FROM a""")
 def policy_replay(spark: SparkSession, d: str) -> DataFrame:
-    out = C.replay(dec(spark, d).where("labelled"), ["question"], C.Policy(cost_wrong=5, cost_abstain=1).columns(F.col("conf"))[2], F.col("ok"), 5, 1)
+    abstain = C.Policy(cost_wrong=5, cost_abstain=1).decide(probs(), ["yes", "no"])["abstain"]
+    out = C.replay(dec(spark, d).where("labelled"), ["question"], abstain, F.col("ok"), 5, 1)
     return out.select("question", "n", *(r6(c).alias(c) for c in ("coverage", "risk", "cost", "cost_each")))
 
 
-@query("WITH $DEC SELECT seq, CASE WHEN source = 'rule' THEN 'rule' WHEN seq % 3 = 0 OR conf < 0.6 THEN 'teacher' ELSE 'student' END AS route FROM dec")
+@query("""WITH $DEC, c AS (SELECT question, CASE WHEN ok = 1 THEN 'yes' ELSE 'no' END AS label, 8 * (1 - conf) AS yes, 0.5 * (1 - conf) + 4 * conf AS no FROM dec WHERE labelled),
+g AS (SELECT question, label, CASE WHEN yes <= no THEN 'yes' ELSE 'no' END AS answer, least(yes, no) <= 1.5 AS gave FROM c),
+p AS (SELECT *, CASE WHEN NOT gave THEN 1.5 WHEN answer = label THEN 0 WHEN answer = 'yes' THEN 8 ELSE 4 END AS price FROM g)
+SELECT question, count(*)::BIGINT AS n, count(*) FILTER (gave)::BIGINT AS answered, round(count(*) FILTER (gave) / count(*), 6) AS coverage, count(*) FILTER (gave AND answer <> label)::BIGINT AS wrong,
+ CASE WHEN count(*) FILTER (gave) > 0 THEN round(count(*) FILTER (gave AND answer <> label) / count(*) FILTER (gave), 6) END AS risk, round(sum(price)::DOUBLE, 6) AS cost, round(sum(price)::DOUBLE / count(*), 6) AS cost_each FROM p GROUP BY 1""")
+def policy_replay_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """A cost-matrix policy on logged probabilities and labels."""
+    rows = dec(spark, d).where("labelled").select("question", probs().alias("probs"), F.when(F.col("ok") == 1, "yes").otherwise("no").alias("label"))
+    out = C.replay_policy(rows, ["question"], C.Policy(cost_matrix={"yes": {"no": 8}, "no": {"no": 0.5}}, cost_wrong=4, cost_abstain=1.5), ["yes", "no"])
+    return out.select("question", "n", "answered", "wrong", *(r6(c).alias(c) for c in ("coverage", "risk", "cost", "cost_each")))
+
+
+@query("""WITH c AS (SELECT event_type AS question, event_id AS since, round(value / 25) / 10 AS abstain_threshold FROM events WHERE event_id % 7 = 0),
+l AS (SELECT *, lag(abstain_threshold) OVER w AS p, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY question ORDER BY since)), r AS (SELECT * FROM l WHERE k = 1 OR p IS DISTINCT FROM abstain_threshold)
+SELECT question, since, abstain_threshold, (row_number() OVER w)::BIGINT AS version, lead(since) OVER w AS until FROM r WINDOW w AS (PARTITION BY question ORDER BY since)""")
+def policy_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of each question's policy from a log of settings; what changes nothing makes none."""
+    changes = table(spark, d, "events").where("event_id % 7 = 0").select(F.col("event_type").alias("question"), F.col("event_id").alias("since"), (F.round(F.col("value") / 25) / 10).alias("abstain_threshold"))
+    return C.policy_versions(changes, ["question"], "since", ["abstain_threshold"])
+
+
+MODES = "CASE seq % 3 WHEN 0 THEN 'always' WHEN 1 THEN 'auto' ELSE 'never' END AS escalate", "CASE seq % 4 WHEN 0 THEN 'off' WHEN 1 THEN 'always' ELSE 'on_abstain' END AS mode"
+
+
+@query(f"WITH $DEC, m AS (SELECT *, {', '.join(MODES)} FROM dec) SELECT seq, CASE WHEN source = 'rule' THEN 'rule' WHEN escalate = 'always' OR escalate = 'auto' AND (mode = 'always' OR mode = 'on_abstain' AND conf < 0.6) THEN 'teacher' ELSE 'student' END AS route FROM m")
 def teacher_routing(spark: SparkSession, d: str) -> DataFrame:
-    """Rules never escalate; a request asks for the teacher always, or on abstention."""
-    asked = (F.col("seq") % 3 == 0) | (F.col("conf") < C.DEFAULT_THRESHOLD)
-    return dec(spark, d).select("seq", F.when(F.col("source") == "rule", "rule").when(asked, "teacher").otherwise("student").alias("route"))
+    """Who answers: rules never escalate; a request asks always, never, or leaves it to the question's mode."""
+    rows = dec(spark, d).selectExpr("*", *MODES)
+    route = C.escalates(F.col("escalate"), F.col("mode"), F.col("conf") < C.DEFAULT_THRESHOLD)
+    return rows.select("seq", F.when(F.col("source") == "rule", "rule").when(route, "teacher").otherwise("student").alias("route"))
 
 
 # calibration
@@ -248,30 +331,12 @@ def unfamiliar_shrink(spark: SparkSession, d: str) -> DataFrame:
     return dec(spark, d).select("seq", r6(F.when(fam < 0.5, fam / 0.5 * F.col("conf") + (1 - fam / 0.5) / 2).otherwise(F.col("conf"))).alias("p"), (fam < 0.5).alias("abstain"))
 
 
-@query("WITH $DEC SELECT question, ((CASE WHEN conf < 0.5 THEN 0 WHEN conf < 0.7 THEN 1 WHEN conf < 0.9 THEN 2 WHEN conf < 0.999 THEN 3 ELSE 4 END)::VARCHAR || CASE WHEN seq % 2 = 0 THEN '=' ELSE '≠' END) AS cell, count(*)::BIGINT AS n, round(avg(ok), 6) AS accuracy FROM dec GROUP BY 1, 2")
-def gate_cells(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("conf")
-    cell = F.concat(F.when(c < 0.5, "0").when(c < 0.7, "1").when(c < 0.9, "2").when(c < 0.999, "3").otherwise("4"), F.when(F.col("seq") % 2 == 0, "=").otherwise("≠"))
-    return dec(spark, d).groupBy("question", cell.alias("cell")).agg(F.count("*").alias("n"), r6(F.avg("ok")).alias("accuracy"))
-
-
 @query("WITH $DEC SELECT seq, greatest(20, least(500, floor(0.1::DOUBLE * seq)))::BIGINT AS probation, seq + 1 + greatest(20, least(500, floor(0.1::DOUBLE * seq)))::BIGINT AS due FROM dec")
 def probation_schedule(spark: SparkSession, d: str) -> DataFrame:
     p = F.greatest(F.lit(20), F.least(F.lit(500), F.floor(0.1 * F.col("seq")))).cast("long")
     return dec(spark, d).select("seq", p.alias("probation"), (F.col("seq") + 1 + p).alias("due"))
 
 
-@query("""WITH $LOG, a AS (SELECT annotator, sum(power(0.5::DOUBLE, (100000 - event_id) / 30000::DOUBLE) * CASE WHEN value < 10 THEN 1 ELSE 0 END) AS bad, sum(power(0.5::DOUBLE, (100000 - event_id) / 30000::DOUBLE)) AS n FROM log GROUP BY 1),
-r AS (SELECT annotator, (bad + 1) / (n + 10) AS rate FROM a), m AS (SELECT greatest(0.02::DOUBLE, list_sort(list(rate))[len(list(rate)) // 2 + 1]) AS med FROM r) SELECT annotator, round(rate, 6) AS rate, round(least(1, med / rate), 6) AS weight FROM r, m""")
-def source_trust(spark: SparkSession, d: str) -> DataFrame:
-    """Faded disagreement of each annotator against the upper median of all."""
-    fade = F.pow(F.lit(0.5), (100000 - F.col("event_id")) / F.lit(30000.0))
-    a = log(spark, d).groupBy("annotator").agg(F.sum(fade * (F.col("value") < 10).cast("int")).alias("bad"), F.sum(fade).alias("n"))
-    r = a.select("annotator", ((F.col("bad") + 1) / (F.col("n") + 10)).alias("rate"))
-    upper = r.agg(F.sort_array(F.collect_list("rate")).alias("l")).select(F.greatest(F.lit(0.02), F.get("l", (F.size("l") / 2).cast("int"))).alias("med"))  # one rate of each annotator
-    return r.join(F.broadcast(upper)).select("annotator", r6("rate").alias("rate"), r6(F.least(F.lit(1.0), F.col("med") / F.col("rate"))).alias("weight"))
-
-
 # log
 
 RETRACTED = "event_id % 17 = 0"
@@ -303,9 +368,10 @@ def rebuild_excluding(spark: SparkSession, d: str) -> DataFrame:
     return L.active(log(spark, d), _retractions(spark, d)).where("source <> 'teacher'").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("WITH $LOG SELECT event_id, label, source FROM log WHERE source = 'human' ORDER BY event_id DESC LIMIT 30")
+@query("WITH $LOG SELECT event_id, label, source FROM log WHERE source = 'human' AND (NOT retracted OR event_id % 34 = 0) ORDER BY event_id DESC LIMIT 30")
 def retract_recent(spark: SparkSession, d: str) -> DataFrame:
-    return L.newest(log(spark, d), 30, "human").select("event_id", "label", "source")
+    """The newest events that an undo takes back: active ones only."""
+    return L.newest(log(spark, d), _retractions(spark, d), 30, "human").select("event_id", "label", "source")
 
 
 @query("WITH $LOG SELECT event_id, label FROM log WHERE event_id > 100 AND NOT retracted ORDER BY event_id LIMIT 1000")
@@ -349,8 +415,7 @@ def settings_latest(spark: SparkSession, d: str) -> DataFrame:
     return L.latest_settings(table(spark, d, "events").select(F.col("event_type").alias("key"), "value", F.col("event_id").alias("at")))
 
 
-@query("WITH $LOG, r AS (SELECT event_id, row_number() OVER (PARTITION BY label ORDER BY event_id DESC) AS k FROM log WHERE NOT retracted) SELECT event_id FROM r WHERE k <= 2000")
+@query("WITH $LOG SELECT event_id, label FROM log WHERE NOT retracted ORDER BY event_id DESC LIMIT 2000")
 def fifo_capacity(spark: SparkSession, d: str) -> DataFrame:
-    """The newest 2000 entries of each answer stay: the memory's capacity, by class."""
-    w = Window.partitionBy("label").orderBy(F.desc("event_id"))
-    return log(spark, d).where("not retracted").select("event_id", F.row_number().over(w).alias("k")).where("k <= 2000").select("event_id")
+    """What a memory of 2000 entries holds: the newest labels, whatever their answers."""
+    return log(spark, d).where("not retracted").orderBy(F.desc("event_id")).limit(S.CAPACITY).select("event_id", "label")

@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.functions import numbers as N
-from assayer.operators import contract as C, similarity as S
-from assayer.operators.learners import Drift, Hedge, Softmax, fold
+from assayer.functions import numbers as N, text as T
+from assayer.operators import contract as C, patches as P, similarity as S
+from assayer.operators.learners import Drift, Softmax, drift_signal as drift, familiar_share, fold, linear_reasons, linear_scores, linear_weights, two_forecasters
 from assayer.plans.registry import query
-from assayer.plans.views import decisions as dec, labelled_documents, table
+from assayer.plans.text_queries import FEAT
+from assayer.plans.views import decisions as dec, table
 from assayer.streaming.decisions import windowed
 
 
-@query()
+#: Similarities of documents to earlier entries of a memory: candidates by rare features, cosine over all; ``mem`` is to be given.
+NEAR = FEAT + """, x AS (SELECT doc_id, unnest(f) AS f, len(f) AS n FROM feat), ex AS (SELECT x.* FROM x JOIN mem USING (doc_id)),
+rare AS (SELECT f FROM ex GROUP BY f HAVING count(*) <= (SELECT greatest(5, least($CAP, count(*) // 4)) FROM mem)),
+ov AS (SELECT x.doc_id AS id, ex.doc_id AS entry, count(*) AS o FROM x JOIN rare USING (f) JOIN ex USING (f) WHERE ex.doc_id < x.doc_id GROUP BY 1, 2),
+cand AS (SELECT id, entry FROM ov QUALIFY row_number() OVER (PARTITION BY id ORDER BY o DESC, entry) <= 200),
+al AS (SELECT x.doc_id AS id, ex.doc_id AS entry, round(count(*) / sqrt(any_value(x.n)::DOUBLE * any_value(ex.n)), 9) AS sim FROM x JOIN ex USING (f) WHERE ex.doc_id < x.doc_id GROUP BY 1, 2),
+sims AS (SELECT al.* FROM al JOIN cand USING (id, entry)), state AS (SELECT doc_id, sha256(trim(coalesce(text, ''))) AS state FROM documents)"""
+LABELLED = "lab AS (SELECT doc_id, quality::VARCHAR AS label FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as states, and those with a quality label as entries."""
+    docs = S.with_vectors(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label"), F.lit(1.0).alias("weight"))
+    return docs, docs.join(labels.where("label is not null"), "id")
+
+
+@query(f"""WITH {LABELLED}, mem AS (SELECT * FROM lab ORDER BY doc_id DESC LIMIT 2000), {NEAR.replace("$CAP", "2000")},
+near AS (SELECT * FROM sims WHERE sim >= 0.35 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, entry) <= 5),
+vote AS (SELECT id, count(*) AS near, sum(CASE WHEN label = '1' THEN sim * sim ELSE 0 END) AS a, sum(sim * sim) AS t FROM near JOIN mem ON entry = mem.doc_id GROUP BY id),
+recent AS (SELECT * FROM lab ORDER BY doc_id DESC LIMIT 8000),
+same AS (SELECT q.doc_id AS id, arg_max(r.label, r.doc_id) AS label FROM state q JOIN state e USING (state) JOIN recent r ON r.doc_id = e.doc_id WHERE r.doc_id < q.doc_id GROUP BY 1),
+prior AS (SELECT (count(*) FILTER (label = '1') + 0.5) / (count(*) + 1) AS p FROM lab),
+f AS (SELECT d.doc_id, coalesce(v.near, 0)::BIGINT AS near, s.label IS NOT NULL AS exact, coalesce(CASE s.label WHEN '1' THEN 0.95 WHEN '0' THEN 0.05 END, v.a / v.t * 0.9 + 0.05, prior.p) AS p FROM documents d LEFT JOIN vote v ON v.id = d.doc_id LEFT JOIN same s ON s.id = d.doc_id, prior)
+SELECT doc_id, near, exact, CASE WHEN p >= 0.5 THEN 'true' ELSE 'false' END AS answer, round(greatest(p, 1 - p), 6) AS confidence, 0.9::DOUBLE AS threshold, 'costs' AS rule, greatest(p, 1 - p) < 0.9 AS abstain FROM f""")
 def minimum_slice(spark: SparkSession, d: str) -> DataFrame:
-    """Is a document of good quality, and would a policy with those costs answer?  Memory vote, else base rates, then the contract."""
-    labelled = labelled_documents(spark, d)
-    c = {r[0]: r[1] for r in labelled.groupBy("quality").count().collect()}
-    prior = [(c.get(q, 0) + 0.5) / (c.get(0, 0) + c.get(1, 0) + 1) for q in (1, 0)]
-    vote = S.memory_vote(table(spark, d, "documents"), S.learn_memory(labelled, "doc_id", "quality"), ["1", "0"])
-    probs = F.coalesce("probs", F.array(*map(F.lit, prior)))
-    rows = vote.select("doc_id", "neighbours", probs.alias("probs")).withColumns({"answer": F.get(F.array(F.lit("true"), F.lit("false")), N.first_largest(F.col("probs")) - 1), "confidence": F.array_max("probs")})
-    t, rule, abstain = C.Policy(cost_wrong=10, cost_abstain=1).columns(F.col("confidence"))
-    return rows.select("doc_id", "neighbours", "answer", F.round("confidence", 6).alias("confidence"), t.alias("threshold"), rule.alias("rule"), abstain.alias("abstain"))
+    """Is a document of good quality, and would a policy with those costs answer?  The same state's answer, else the vote of
+    similar earlier labels, else base rates; then the contract."""
+    docs, labelled = _vectors(spark, d)
+    rates = labelled.agg(*(F.count_if(F.col("label") == o).cast("double").alias(f"c{o}") for o in ("1", "0"))).select(P.base_rates(F.array("c1", "c0")).alias("prior"))
+    vote = S.memory_vote(docs, labelled, ["1", "0"]).join(F.broadcast(rates))  # one row of base rates
+    rows = vote.select(F.col("id").alias("doc_id"), "near", "exact", F.coalesce("probs", "prior").alias("probs"))
+    rows = rows.withColumn("d", C.Policy(cost_wrong=10, cost_abstain=1).decide(F.col("probs"), ["true", "false"]))
+    return rows.select("doc_id", "near", "exact", "d.answer", F.round(F.array_max("probs"), 6).alias("confidence"), "d.threshold", "d.rule", "d.abstain")
+
+
+@query(f"WITH {LABELLED}, mem AS (SELECT * FROM lab ORDER BY doc_id DESC LIMIT 2000), {NEAR.replace("$CAP", "2000")} SELECT id, entry, sim, (row_number() OVER (PARTITION BY id ORDER BY sim DESC, entry))::INT AS rank FROM sims WHERE sim >= 0.35 QUALIFY rank <= 5")
+def memory_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled entries a vote is taken from, as an explanation shows them."""
+    docs, labelled = _vectors(spark, d)
+    return S.neighbours(docs, labelled.orderBy(F.desc("seq")).limit(S.CAPACITY)).select("id", "entry", "sim", F.col("rank").cast("int").alias("rank"))
 
 
 @query("""WITH q AS (SELECT a.vec_id AS query, b.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
@@ -41,22 +70,79 @@ def drift_replay(spark: SparkSession, d: str) -> DataFrame:
     return fold(dec(spark, d).where("labelled").select("question", "seq", "ok"), ["question"], "seq", Drift, step, "question string, seq long, status string")
 
 
-@query()
+@query("""WITH $DEC, r AS (SELECT question, seq, 1 - ok AS e, row_number() OVER w AS n, sum(1 - ok) OVER w AS errors FROM dec WHERE labelled WINDOW w AS (PARTITION BY question ORDER BY seq)),
+p AS (SELECT *, (errors + 1) / (n + 2) AS p FROM r), s AS (SELECT *, sqrt(p * (1 - p) / n) AS s FROM p), m AS (SELECT *, CASE WHEN n >= 100 THEN p + s END AS ps FROM s),
+l AS (SELECT *, arg_min(p, ps) OVER w AS lp, arg_min(s, ps) OVER w AS ls FROM m WINDOW w AS (PARTITION BY question ORDER BY seq)),
+t AS (SELECT *, n >= 100 AND errors >= 5 AS ready FROM l), u AS (SELECT *, CASE WHEN ready AND p + s > lp + 3 * ls THEN 'drift' WHEN ready AND p + s > lp + 2 * ls THEN 'warning' ELSE 'stable' END AS status FROM t),
+f AS (SELECT question, min(n) FILTER (status = 'drift') AS stop FROM u GROUP BY 1)
+SELECT question, seq, n::BIGINT AS n, errors::BIGINT AS errors, status FROM u JOIN f USING (question) WHERE stop IS NULL OR n <= stop""")
+def drift_signal(spark: SparkSession, d: str) -> DataFrame:
+    """Warnings up to the first drift of each question, by running sums and the running least."""
+    rows = drift(dec(spark, d).where("labelled").select("question", "seq", "ok"), ["question"], "seq", 1 - F.col("ok"), F.floor(F.col("seq") / 20_000))
+    return rows.select("question", "seq", "n", "errors", "status")
+
+
+@query("""WITH RECURSIVE $DEC, r AS (SELECT question, seq, CASE WHEN ok = 1 THEN conf ELSE 1 - conf END AS a, row_number() OVER (PARTITION BY question ORDER BY seq) AS k FROM dec WHERE labelled),
+v(question, k, w) AS (SELECT DISTINCT question, 1::BIGINT, 0.5::DOUBLE FROM r UNION ALL
+ SELECT v.question, v.k + 1, 0.98 * (v.w * r.a / (v.w * r.a + (1 - v.w) * 0.5)) + 0.01 FROM v JOIN r ON r.question = v.question AND r.k = v.k)
+SELECT r.question, r.seq, round(v.w, 6) AS w_stated FROM r JOIN v ON v.question = r.question AND v.k = r.k""")
 def hedge_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Two forecasters, the stated confidence and a coin; the weights of each question before each label."""
-    def step(s: Hedge, r: dict) -> dict:
-        weights = s.predict([0.0, 0.0])
-        p = r["conf"] if r["ok"] else 1 - r["conf"]
-        s.step([-float(math.log(max(p, N.EPS))), 0.6931471805599453])
-        return {"question": r["question"], "seq": r["seq"], "w_stated": weights[0]}
+    """Two forecasters, a coin and the stated confidence; the weight of the second before each label of a question."""
+    rows = dec(spark, d).where("labelled").select("question", "seq", F.when(F.col("ok") == 1, F.col("conf")).otherwise(1 - F.col("conf")).alias("p"))
+    out = two_forecasters(rows, ["question"], F.floor(F.col("seq") / 20_000), "seq", (N.log_loss(F.lit(0.5)), N.log_loss(F.col("p"))))
+    return out.select("question", "seq", F.round("w", 6).alias("w_stated"))
+
+
+WEIGHTS = FEAT + """, x AS (SELECT doc_id AS id, unnest(f) AS f, 1 / sqrt(len(f)) AS v FROM feat UNION ALL SELECT doc_id, 'bias', 1 FROM feat),
+lab AS (SELECT doc_id AS id, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+g AS (SELECT f, (0.5 - quality) * v AS g FROM x JOIN lab USING (id)), w AS (SELECT f, -0.5 * sum(g) / (sqrt(least(25, sum(g * g))) + 1e-8) AS w FROM g GROUP BY f),
+sc AS (SELECT id, sum(w * v) AS z FROM x JOIN w USING (f) GROUP BY id)"""
+QUALITY = ["1", "0"]
+
+
+def _linear(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """``id, f, v`` of all documents, and the weights of one pass over the quality labels."""
+    toks = table(spark, d, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", T.token_features(F.col("t")).alias("fs"))
+    x = toks.select(F.col("doc_id").alias("id"), F.explode(F.concat(F.transform("fs", lambda f: F.struct(f.alias("f"), (1 / F.sqrt(F.size("fs"))).alias("v"))), F.array(F.struct(F.lit("bias").alias("f"), F.lit(1.0).alias("v"))))).alias("x")).select("id", "x.*")
+    labels = table(spark, d, "labels").where("quality is not null").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label"), F.lit(1.0).alias("weight"))
+    return x, linear_weights(x, labels, QUALITY)
+
+
+@query(f"WITH {WEIGHTS} SELECT f AS feature, round(w, 6) AS weight FROM w WHERE abs(w) >= 0.05")
+def linear_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The features that one pass over the labels gives a weight worth knowing, for the first option."""
+    w = _linear(spark, d)[1]
+    return w.where(F.abs(F.get("w", 0)) >= 0.05).select(F.col("f").alias("feature"), F.round(F.get("w", 0), 6).alias("weight"))
+
+
+@query(f"WITH {WEIGHTS} SELECT id AS doc_id, round(exp(z) / (exp(z) + exp(-z)), 6) AS p FROM sc")
+def linear_predict(spark: SparkSession, d: str) -> DataFrame:
+    """The probability of good quality by those weights."""
+    x, w = _linear(spark, d)
+    return linear_scores(x, w, QUALITY).select(F.col("id").alias("doc_id"), F.round(F.get("p", 0), 6).alias("p"))
+
+
+@query(f"WITH {WEIGHTS} SELECT id AS doc_id, round(coalesce(sum(v * v) FILTER (abs(w) >= 0.05), 0) / sum(v * v), 6) AS familiarity FROM x LEFT JOIN w USING (f) WHERE f <> 'bias' GROUP BY id")
+def familiarity(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each document's evidence that labels have taught something about."""
+    x, w = _linear(spark, d)
+    return familiar_share(x, w).select(F.col("id").alias("doc_id"), F.round("familiarity", 6).alias("familiarity"))
+
 
-    return fold(dec(spark, d).where("labelled").select("question", "seq", "conf", "ok"), ["question"], "seq", lambda: Hedge([0.5, 0.5]), step, "question string, seq long, w_stated double")
+@query(f"""WITH {WEIGHTS}, c AS (SELECT id, f, round(v * CASE WHEN z >= 0 THEN 2 * w ELSE -2 * w END, 9) AS c FROM x JOIN w USING (f) JOIN sc USING (id) WHERE f <> 'bias'), s AS (SELECT *, CASE WHEN c > 0 THEN 'for' ELSE 'against' END AS side FROM c WHERE abs(c) > 1e-3)
+SELECT id AS doc_id, f AS feature, side, round(c, 3) AS weight FROM s QUALIFY row_number() OVER (PARTITION BY id, side ORDER BY abs(c) DESC, f) <= CASE side WHEN 'for' THEN 6 ELSE 4 END""")
+def linear_explanations(spark: SparkSession, d: str) -> DataFrame:
+    """What speaks most for and against each document's answer."""
+    x, w = _linear(spark, d)
+    chosen = linear_scores(x, w, QUALITY).select("id", (N.first_largest(F.col("p")) - 1).alias("place"))
+    return linear_reasons(x, w, chosen, QUALITY).select(F.col("id").alias("doc_id"), F.col("f").alias("feature"), "side", F.round("c", 3).alias("weight"))
 
 
 @query()
 def linear_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Test-then-train softmax regression on the labelled documents, one fold for each question."""
-    rows = S.with_features(labelled_documents(spark, d)).select("doc_id", "features", F.explode(F.array(*(F.struct(F.lit(q).alias("question"), F.col(q).cast("string").alias("label")) for q in ("quality", "toxic")))).alias("l"))
+    """Test-then-train softmax regression on the labelled documents, one fold for each question: the online order, which no sum gives."""
+    docs = table(spark, d, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", T.token_features(F.col("t")).alias("features"))
+    rows = docs.join(table(spark, d, "labels"), "doc_id").select("doc_id", "features", F.explode(F.array(*(F.struct(F.lit(q).alias("question"), F.col(q).cast("string").alias("label")) for q in ("quality", "toxic")))).alias("l"))
 
     def step(s: Softmax, r: dict) -> dict:
         feats = r["features"]

@@ -10,7 +10,7 @@ from assayer.plans.registry import query
 from assayer.plans.views import table
 from assayer.sources.datasets import profile, union_columns
 
-TOK = r"""tok AS (SELECT doc_id, list_slice(regexp_extract_all(strip_accents(translate(lower(replace(text, 'İ', 'i')), 'ışğçöüâîû', 'isgcouaiu')), '[\p{L}\p{N}_]+'), 1, 400) AS t FROM documents)"""
+TOK = r"""tok AS (SELECT doc_id, regexp_extract_all(strip_accents(translate(lower(replace(text, 'İ', 'i')), 'ışğçöüâîû', 'isgcouaiu')), '[\p{L}\p{N}_]+') AS t FROM documents)"""
 FEAT = TOK + r""", feat AS (SELECT doc_id, list_distinct(list_concat(list_transform(t, lambda x: 'w:' || x),
  list_transform(list_filter(t, lambda x: length(x) > 5 AND NOT regexp_full_match(x, '[0-9]+')), lambda x: 'p5:' || x[1:5]),
  list_transform(range(1, len(t)), lambda i: 'b:' || t[i] || '_' || t[i + 1]))) AS f FROM tok)"""
@@ -109,11 +109,12 @@ def rules_each_operator(spark: SparkSession, d: str) -> DataFrame:
     return df.select("c_custkey", *(Condition(*c).column(df).alias(k) for k, c in cases.items()))
 
 
-@query("""SELECT * FROM (SELECT 'p_brand' AS "column", count(p_brand)::BIGINT AS n, (count(*) - count(p_brand))::BIGINT AS missing, count(DISTINCT p_brand)::BIGINT AS "distinct", 'category' AS kind FROM part
- UNION ALL SELECT 'p_size', count(p_size), count(*) - count(p_size), count(DISTINCT p_size), 'number' FROM part
- UNION ALL SELECT 'p_retailprice', count(p_retailprice), count(*) - count(p_retailprice), count(DISTINCT p_retailprice), 'number' FROM part)""")
+PROFILED = """SELECT '{c}' AS "column", count({c})::BIGINT AS n, (count(*) - count({c}))::BIGINT AS missing, count(DISTINCT {c})::BIGINT AS "distinct", '{k}' AS kind, array_to_string(list_slice(list_sort(list(DISTINCT {c}::VARCHAR)), 1, 12), '|') AS first FROM part"""
+
+
+@query(" UNION ALL ".join(PROFILED.replace("{c}", c).replace("{k}", k) for c, k in (("p_brand", "category"), ("p_size", "number"), ("p_retailprice", "number"))))
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile(table(spark, d, "part").select("p_brand", "p_size", "p_retailprice"))
+    return profile(table(spark, d, "part").select("p_brand", "p_size", "p_retailprice")).withColumn("first", F.array_join("values", "|")).drop("values")
 
 
 @query("SELECT n_nationkey AS key, n_name AS name, NULL::DOUBLE AS balance FROM nation UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier")

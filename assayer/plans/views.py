@@ -11,7 +11,8 @@ DEC = """dec AS (SELECT event_id AS seq, event_type AS question,
  CASE WHEN event_id % 10 < 7 THEN 'student' WHEN event_id % 10 < 9 THEN 'teacher' ELSE 'rule' END AS source,
  0.5::DOUBLE + ((event_id * 7919) % 1000) / 2000::DOUBLE AS conf,
  CASE WHEN 2 * ((event_id * 104729) % 1000) < 1000 + (event_id * 7919) % 1000 THEN 1 ELSE 0 END AS ok,
- event_id % 4 = 0 AS labelled FROM events)"""
+ event_id % 4 = 0 AS labelled, event_type || '/' || user_id % 3 AS label,
+ event_type || '/' || CASE WHEN 2 * ((event_id * 104729) % 1000) < 1000 + (event_id * 7919) % 1000 THEN user_id % 3 ELSE (user_id + 1) % 3 END AS answer FROM events)"""
 LOG = """log AS (SELECT event_id, 'action' AS question, event_type AS label, user_id % 6 AS annotator,
  CASE event_id % 3 WHEN 0 THEN 'human' WHEN 1 THEN 'teacher' ELSE 'dataset' END AS source, event_id % 17 = 0 AS retracted, value FROM events)"""
 
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``seq, question, source, conf, ok, labelled``."""
+    """``seq, question, source, conf, ok, labelled, label, answer``; an answer is its label where ``ok``."""
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"),
         F.col("event_type").alias("question"),
@@ -29,6 +30,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("0.5D + ((event_id * 7919) % 1000) / 2000D").alias("conf"),
         F.expr("case when 2 * ((event_id * 104729) % 1000) < 1000 + (event_id * 7919) % 1000 then 1 else 0 end").alias("ok"),
         F.expr("event_id % 4 = 0").alias("labelled"),
+        F.expr("event_type || '/' || user_id % 3").alias("label"),
+        F.expr("event_type || '/' || case when 2 * ((event_id * 104729) % 1000) < 1000 + (event_id * 7919) % 1000 then user_id % 3 else (user_id + 1) % 3 end").alias("answer"),
     )
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+
+from assayer.functions.text import to_number
 
 #: Fixed values.
 SEPARATORS, SNIFFED, MAX_ROWS = (",", ";", "\t", "|"), 20_000, 200_000
@@ -27,11 +29,24 @@ def cleaned(df: DataFrame) -> DataFrame:
     return out.where(reduce(lambda a, b: a | b, full)) if full else out
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """A delimited file or folder with a header; the separator is sniffed from the first lines that Spark reads."""
-    if separator is None:
-        separator = sniff_separator("\n".join(r[0] for r in spark.read.text(path).limit(20).collect()))
-    return cleaned(spark.read.option("header", True).option("sep", separator).option("multiLine", True).csv(path))
+def head(spark: SparkSession, path: str) -> str:
+    """The first SNIFFED characters of a file, of a folder's first file by name; bytes that aren't UTF-8 become U+FFFD."""
+    rows = spark.read.text(path)
+    lines = spark.read.text(sorted(rows.inputFiles())[0]).limit(1000).collect()  # a limit takes the file's beginning
+    return "\n".join(r[0] for r in lines)[:SNIFFED]
+
+
+def read_delimited(spark: SparkSession, path: str, separator: str | None = None, most: int | None = None) -> DataFrame:
+    """A delimited file or folder with a header, in UTF-8 (with or without its mark) or, if it isn't, in Latin-1.
+
+    The separator is sniffed from the beginning; ``most`` (a usual limit is MAX_ROWS) takes so many rows only.
+    """
+    start = head(spark, path)
+    encoding = "ISO-8859-1" if "\ufffd" in start else "UTF-8"
+    separator = sniff_separator(start.lstrip("\ufeff")) if separator is None else separator
+    df = spark.read.option("header", True).option("sep", separator).option("multiLine", True).option("encoding", encoding).csv(path)
+    df = cleaned(df.toDF(*(c.lstrip("\ufeff") for c in df.columns)))
+    return df.limit(most) if most else df
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -61,15 +76,25 @@ def union_columns(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """``column, n, missing, distinct, kind`` in one pass: number if all values read as one, text if long on average, else category."""
-    cols = [c for c, kind in df.dtypes if not kind.startswith(("array", "struct", "map"))]
-    parts = []
-    for c in cols:
-        text = F.col(f"`{c}`").cast("string")
-        parts += [F.count(text).alias(f"n {c}"), F.count_distinct(text).alias(f"d {c}"), F.count(text.try_cast("double")).alias(f"x {c}"), F.avg(F.length(text)).alias(f"l {c}")]
+def profile(df: DataFrame, values: int = 12) -> DataFrame:
+    """``column, n, missing, distinct, kind, values`` in one pass: object for nested columns, number if all values read as one (a
+    comma is a decimal point), text if over 40 characters on average, else category; ``values`` are the first so many in order,
+    of categories and numbers.  Blank values are missing."""
+    parts, kinds = [], dict(df.dtypes)
+    nested = {c for c, kind in kinds.items() if kind.startswith(("array", "struct", "map"))}
+    for c in kinds:
+        text = F.to_json(F.col(f"`{c}`")) if c in nested else F.nullif(F.col(f"`{c}`").cast("string"), F.lit(""))
+        parts += [F.count(text).alias(f"n {c}"), F.count_distinct(text).alias(f"d {c}"), F.count(to_number(text)).alias(f"x {c}"), F.avg(F.length(text)).alias(f"l {c}")]
     one = df.agg(F.count("*").alias("all"), *parts)
     g = lambda k, c: F.col(f"`{k} {c}`")
-    kind = lambda c: F.when((g("n", c) > 0) & (g("x", c) == g("n", c)), "number").when(g("l", c) > 40, "text").otherwise("category")
-    rows = [F.struct(F.lit(c).alias("column"), g("n", c).alias("n"), (F.col("all") - g("n", c)).alias("missing"), g("d", c).alias("distinct"), kind(c).alias("kind")) for c in cols]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    kind = lambda c: F.lit("object") if c in nested else F.when((g("n", c) > 0) & (g("x", c) == g("n", c)), "number").when(g("l", c) > 40, "text").otherwise("category")
+    rows = [F.struct(F.lit(c).alias("column"), g("n", c).alias("n"), (F.col("all") - g("n", c)).alias("missing"), g("d", c).alias("distinct"), kind(c).alias("kind")) for c in kinds]
+    found = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return found.join(first_values(df.select(*(F.col(f"`{c}`") for c in kinds if c not in nested)), values), "column", "left").withColumn("values", F.when(F.col("kind").isin("category", "number"), F.col("values")).otherwise(F.array().cast("array<string>")))
+
+
+def first_values(df: DataFrame, most: int) -> DataFrame:
+    """``column, values``: the least ``most`` different values of each column; distinct values meet, never rows."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")).alias("v")) for c in df.columns))).alias("x")).select("x.*").where("v is not null").distinct()
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("v"))  # Spark keeps `most` of a column before the shuffle
+    return long.withColumn("r", rank).where(F.col("r") <= most).groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("values"))

@@ -3,15 +3,16 @@
 import math
 import random
 import unicodedata
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.functions import numbers as N, text as T
+from assayer.functions import numbers as N, states as ST, text as T
 from assayer.functions.answers import Question
-from assayer.operators import contract as C, feedback as L, similarity as S
-from assayer.operators.learners import Drift, Hedge, Softmax, fold
-from assayer.operators.rules import Condition, Rule, first_match
+from assayer.operators import contract as C, feedback as L, patches as P, sampling as M, similarity as S
+from assayer.operators.learners import Drift, Hedge, Softmax, drift_signal, fold, two_forecasters
+from assayer.operators.rules import Condition, Rule, first_match, forced_by_rules, rule_hits
 from assayer.operators.running import running, trailing
 from assayer.sources import datasets as D
 from assayer.sources.generators import loans, tickets
@@ -34,7 +35,7 @@ def test_token_features_of_whole_texts(spark):
     df = spark.createDataFrame([(" ".join(f"t{i}" for i in range(900)),)], "t string")
     toks, found = df.select(T.tokens(F.col("t"), None), T.token_features(T.tokens(F.col("t"), None))).first()
     assert len(toks) == 900 and len(found) == 900 + 899 and "b:t898_t899" in found
-    assert len(df.select(T.tokens(F.col("t"))).first()[0]) == 400
+    assert len(df.select(T.tokens(F.col("t"), T.MAX_TOKENS)).first()[0]) == 400 and len(df.select(T.tokens(F.col("t"))).first()[0]) == 900
 
 
 def test_numbers_and_labels(spark):
@@ -52,8 +53,11 @@ def test_rules_on_nulls(spark):
     assert held("x", "is_missing") == [True, False, False]
     assert held("b", "==", True) == [True, False, True]
     assert held("b", ">", 0) == [False, False, False]
+    assert held("y", "is_missing") == [False, False, False] and held("x", ">", "many") == [False, False, False]
     with pytest.raises(ValueError):
         Condition("x", "~", 1)
+    with pytest.raises(ValueError):
+        Rule("empty", "a", [])
 
 
 def test_rule_priority(spark):
@@ -71,11 +75,32 @@ def test_budget_threshold(spark):
 
 def test_costs_and_policy(spark):
     assert C.chow_threshold(10, 1) == 0.9
-    df = spark.createDataFrame([(0.95, 1)] * 80 + [(0.6, 0)] * 20, "conf double, ok int")
-    run = lambda p, **k: C.replay(df, [], p.columns(F.col("conf"))[2], F.col("ok"), **k).first()
-    assert (run(C.Policy(requested=0.5)).coverage, run(C.Policy(requested=0.5)).risk) == (1.0, 0.2)
-    strict = run(C.Policy(requested=0.9), cost_wrong=10, cost_abstain=1)
-    assert (strict.coverage, strict.risk, strict.cost, strict.cost_each) == (0.8, 0.0, 20.0, 0.2)
+    rows = [([0.95, 0.05], "a")] * 80 + [([0.6, 0.4], "b")] * 20
+    df = spark.createDataFrame(rows, "probs array<double>, label string")
+    run = lambda p: C.replay_policy(df, [], p, ["a", "b"]).first()
+    loose, strict = run(C.Policy(abstain_threshold=0.5)), run(C.Policy(abstain_threshold=0.9))
+    assert (loose.coverage, loose.risk, loose.cost, strict.coverage, strict.risk) == (1.0, 0.2, None, 0.8, 0.0)
+    priced = run(C.Policy(cost_wrong=10, cost_abstain=1))
+    assert (priced.answered, priced.wrong, priced.cost, priced.cost_each) == (80, 0, 20.0, 0.2)
+    matrix = run(C.Policy(cost_matrix={"a": {"b": 1}, "b": {"a": 5}}))
+    assert (matrix.answered, matrix.wrong, matrix.cost) == (100, 20, 20.0)
+    for bad in ({"risk_budget": 2}, {"risk_budget_mode": "hope"}, {"cost_wrong": 0}, {"abstain_threshold": 2}, {"cost_matrix": {"a": {"b": -1}}}):
+        with pytest.raises(ValueError):
+            C.Policy(**bad)
+    with pytest.raises(ValueError):
+        C.Policy(cost_matrix={"z": {"a": 1}}).matrix(["a", "b"])
+
+
+def test_decisions(spark):
+    df = spark.createDataFrame([([0.7, 0.3], 0.8), ([0.7, 0.3], None), ([0.2, 0.8], 0.5)], "p array<double>, tau double")
+    said = lambda p: [tuple(r[0]) for r in df.select(p.decide(F.col("p"), ["a", "b"], F.col("tau"))).collect()]
+    assert said(C.Policy(risk_budget=0.1)) == [("a", 0.8, "risk_budget", True, None), ("a", 0.6, "risk_budget_warming_up+threshold", False, None), ("b", 0.5, "risk_budget", False, None)]
+    assert [r[1:4] for r in said(C.Policy(risk_budget=0.1, cost_wrong=4, cost_abstain=1))] == [(0.8, "costs+risk_budget", True), (0.75, "costs+risk_budget_warming_up", True), (0.75, "costs+risk_budget", False)]
+    assert said(C.Policy(cost_matrix={"a": {"b": 10}}, cost_wrong=1))[0] == ("b", None, "cost_matrix", False, pytest.approx(0.7))
+    assert [r[2:4] for r in said(C.Policy(requested=0.75))] == [("request_threshold", True), ("request_threshold", True), ("request_threshold", False)]
+    aware = C.Policy(escalation_aware=True, abstain_threshold=0.75)
+    turned = [tuple(r[0])[2:4] for r in df.select(aware.escalating(aware.decide(F.col("p"), ["a", "b"]), F.col("p"), ["a", "b"], F.lit(0.75), F.lit(0.78))).collect()]
+    assert turned == [("threshold+escalation_aware", False), ("threshold+escalation_aware", False), ("threshold", False)]
 
 
 def test_running_and_trailing(spark):
@@ -88,16 +113,125 @@ def test_running_and_trailing(spark):
         assert [(r.s, r.n) for r in trailing(df, *args, {"s": F.col("v")}, 10).where(F.col("k") == key).orderBy("i").collect()] == [(sum(own[max(0, i - 9) : i + 1]), min(10, i + 1)) for i in range(100)]
 
 
-def test_memory_against_brute_force():
+def brute_neighbours(queries, entries, search):
+    """(id, state, text features, categories) against earlier ones: candidates by rare features, cosine over all."""
+    count = {}
+    for e in entries:
+        for f in e[2] | e[3]:
+            count[f] = count.get(f, 0) + 1
+    rare = {f for f, n in count.items() if n <= max(5, min(search.cap, len(entries) // 4))}
+    unit = lambda x: math.sqrt((1 if x[2] else 0) + len(x[3]))
+    for q in queries:
+        before = [e for e in entries if e[0] < q[0]]
+        over = sorted((-len(rare & (q[2] | q[3]) & (e[2] | e[3])), e[0]) for e in before)
+        near = {i for o, i in over[:200] if o < 0}
+        found = {}
+        for e in before:
+            if e[0] in near:
+                found[e[0]] = (len(q[2] & e[2]) / math.sqrt(max(1, len(q[2])) * max(1, len(e[2]))) + len(q[3] & e[3])) / (unit(q) * unit(e))
+            if search.exact and e[1] == q[1]:
+                found[e[0]] = 1.0
+        best = sorted((-round(s, 9), i) for i, s in found.items() if round(s, 9) >= search.min_sim)[: search.k]
+        yield from ((q[0], i, -s) for s, i in best)
+
+
+@pytest.mark.parametrize("search", [S.Search(), S.Search(k=10, cap=1000, exact=True)])
+def test_neighbours_by_brute_force(spark, search):
     rng = random.Random(3)
-    rows = [(i, sorted({f"w{rng.randint(0, 40)}" for _ in range(rng.randint(1, 12))}), str(i % 2)) for i in range(120)]
-    memory = S.Memory(rows)
-    for _, feats, _ in rows[:40]:
-        counts = {f: sum(f in r[1] for r in rows) for f in feats}
-        usable = {f for f in feats if counts[f] <= 30}
-        sims = sorted((-(len(usable & set(r[1])) / math.sqrt(len(feats) * len(r[1]))), r[0]) for r in rows if usable & set(r[1]))
-        want = [(i, -s) for s, i in sims[:5] if -s >= 0.35]
-        assert [(i, round(s, 9)) for i, s in memory.neighbours(feats)] == [(i, round(s, 9)) for i, s in want]
+    texts = [" ".join(["the", *(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 9)))]) for _ in range(90)]
+    texts += texts[:10] + ["", "alone"]
+    cats = [sorted({f"k:c={rng.randint(0, 3)}" for _ in range(rng.randint(0, 2))}) for _ in texts]
+    df = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(zip(texts, cats))], "doc_id long, text string, cats array<string>")
+    rows = S.with_vectors(df, "doc_id", "text", F.col("cats"))
+
+    def feats(t):
+        w = t.split()
+        return {f"w:{x}" for x in w} | {f"b:{a}_{b}" for a, b in zip(w, w[1:])} | {f"p5:{x[:5]}" for x in w if len(x) > 5}
+
+    plain = [(i, t.strip(), feats(t), set(c)) for i, (t, c) in enumerate(zip(texts, cats))]
+    got = sorted((r.id, r.entry, round(r.sim, 6)) for r in S.neighbours(rows, rows, search).collect())
+    assert got == sorted((a, b, round(s, 6)) for a, b, s in brute_neighbours(plain, plain, search))
+
+
+def test_memory_votes_on_earlier_labels_only(spark):
+    df = spark.createDataFrame([(1, "red apple pie", "x"), (2, "red apple pie", "y"), (3, "red apple tart", None), (4, "red apple pie", None), (5, "nothing alike", None)], "doc_id long, text string, label string")
+    rows = S.with_vectors(df, "doc_id", "text").withColumn("weight", F.when(F.col("id") == 1, 2.0).otherwise(1.0))
+    got = {r.id: r for r in S.memory_vote(rows, rows.where("label is not null"), ["x", "y"]).collect()}
+    assert got[1].probs is None and got[1].near == 0 and got[5].probs is None
+    assert got[2].exact and got[2].probs == pytest.approx([0.95, 0.05])
+    assert got[4].exact and got[4].probs == pytest.approx([0.95, 0.05])  # the weightier label, though older
+    assert not got[3].exact and got[3].near == 2 and got[3].probs[0] == pytest.approx(2 / 3 * 0.9 + 0.05)
+
+
+def test_trust_and_annotators(spark):
+    texts = [(i, "the tap in my flat drips all night", "a" if i != 5 else "b", "ann" if i % 2 else "bob", 1.0) for i in range(8)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, label string, annotator string, weight double")
+    rows = S.with_vectors(df, "doc_id", "text")
+    found = P.evidence(rows).persist()
+    trust = {r.id: (r.support, r.contra, r.trust) for r in P.trust(rows, found).collect()}
+    assert trust[5] == (0.0, 2.0, pytest.approx(1 / 3)) and trust[0] == (6.0, 1.0, pytest.approx(7 / 8)) and trust[7] == (0.0, 0.0, 1.0)
+    w = {r.annotator: (r.rate, r.weight) for r in P.annotator_weights(P.comparisons(found), 8).collect()}
+    assert set(w) == {"ann", "bob"} and w["ann"][0] == pytest.approx(w["bob"][0]) and w["ann"][1] == 1.0
+    history = spark.createDataFrame([("ann", 2, 0.9), ("ann", 4, 0.3), ("ann", 6, 0.8)], "annotator string, now long, weight double")
+    low = {r.id: r.lowest for r in P.lowest_since(rows.select("id", "seq", "annotator"), history).collect()}
+    assert low == {0: 1.0, 1: 0.3, 2: 1.0, 3: 0.3, 4: 1.0, 5: 0.8, 6: 1.0, 7: 1.0}
+
+
+def test_states(spark):
+    state = '{"a": {"b": 1.5, "t": true}, "tags": ["X", 2], "rows": [{"k": null}, {"k": "Long enough to be no short category at all, it is"}], "n": NaN}'
+    deep = '{"a":' * 12 + "1" + "}" * 12
+    df = spark.createDataFrame([(state,), ("plain Text",), (deep,), (None,), ("{broken",), ("[1, 2]",)], "s string").select(ST.flat(F.col("s")).alias("f"), ST.canonical(F.col("s")).alias("c"))
+    rows = df.collect()
+    assert [(x.path, x.kind) for x in rows[0].f] == [("a.b", "number"), ("a.t", "bool"), ("tags[]", "list"), ("rows[0].k", "null"), ("rows[1].k", "text"), ("n", "number")]
+    assert [(x.path, x.text) for x in rows[1].f] == [("$text", "plain Text")] and rows[2].f == [] and rows[3].f is None
+    assert [(x.path, x.text) for x in rows[4].f] == [("$text", "{broken")] and [(x.path, x["items"]) for x in rows[5].f] == [("[]", ["1", "2"])]
+    assert df.select(ST.categories(F.col("f"))).first()[0] == ["k:a.t=true", "k:tags[]=x", "k:tags[]=2"]
+    assert df.select(ST.readable(F.col("f"))).first()[0].startswith("a.b: 1.5 | a.t: True | tags[]: X, 2 | rows[1].k: Long")
+    assert rows[1].c == "plain Text"
+    one, two = spark.createDataFrame([('{"b": 1, "a": 2}',), (' {"a": 2, "b": 1}',)], "s string").select(ST.state_hash(F.col("s"))).collect()
+    assert one[0] == two[0]
+
+
+def test_number_scale_is_learnt_from_labels(spark):
+    df = spark.createDataFrame([('{"v": 1, "w": 7}', True), ('{"v": 3, "w": 7}', True), ('{"v": 1000, "z": 1}', False)], "s string, labelled boolean").select(ST.flat(F.col("s")).alias("flat"), "labelled")
+    v = [r.features for r in ST.sparse(df, ST.number_stats(df.where("labelled"))).collect()]
+    assert v[0] == {"bias": 1.0, "n:v": pytest.approx(-math.sqrt(0.5))} and v[2] == {"bias": 1.0, "n:v": 4.0}
+
+
+def test_hashed_tokens(spark):
+    v = ST.VOCABULARY
+    crc = lambda w: 4 + zlib.crc32(w.encode()) % (v - 4)
+    ids = lambda t: spark.createDataFrame([(t,)], "t string").select(ST.token_ids(F.col("t"))).first()[0]
+    assert ids("Refunding 1640 and 1700, 0 or 2,5") == [crc(w) for w in ("refund", "#num13", "and", "#num13", "#numzero", "or", "#num2")]
+    row = spark.createDataFrame([(f"q {ST.MARK} a", "x y z")], "q string, s string").select(ST.encoded(F.col("q"), F.col("s"), 14), ST.encoded(F.col("q"), F.col("s"), 12), ST.encoded(F.col("q"), F.col("s"), 8)).first()
+    assert row[0] == [1, crc("q"), 3, crc("a"), 2, crc("x"), crc("y"), crc("z"), 2] and row[1] is None and row[2] is None
+
+
+def test_examples(spark):
+    df = spark.createDataFrame([("hi", "1,5", "a", 1), ("", "007", "b", 2), (None, "x\"y", "c", None), ("z", "3", "", 4)], "t string, v string, y string, n int")
+    got = [(r.state, r.answer) for r in ST.examples(df, "y", ["t", "v", "n"], "json").collect()]
+    assert got == [('{"t": "hi", "v": 1.5, "n": 1}', "a"), ('{"v": "007", "n": 2}', "b"), ('{"v": "x\\"y"}', "c")]
+    assert [r.state for r in ST.examples(df, "y", ["t", "v"], "text").collect()] == ["hi \n1,5", "007", 'x"y']
+    assert [r.state for r in ST.examples(df, "y", ["t"]).collect()] == ["hi"]
+
+
+def test_splits_and_scores(spark):
+    df = spark.createDataFrame([(str(i),) for i in range(300)], "k string")
+    got = {r.k: r.p for r in df.select("k", M.split_of(F.col("k")).alias("p")).collect()}
+    assert got == {str(i): {0: "test", 1: "val"}.get(zlib.crc32(str(i).encode()) % 10, "train") for i in range(300)}
+    rows = spark.createDataFrame([([0.9, 0.1], "a"), ([0.4, 0.6], "a"), ([0.5, 0.5], "b"), ([1.0, 0.0], "zz")], "p array<double>, y string")
+    r = M.evaluation(rows, "p", "y", ["a", "b"]).first()
+    assert (r.labels, r.accuracy, r.answered_accuracy, r.coverage) == (3, pytest.approx(1 / 3), 0.5, pytest.approx(2 / 3))
+    assert r.nll == pytest.approx(-(math.log(0.9) + math.log(0.4) + math.log(0.5)) / 3)
+
+
+def test_forced_by_rules(spark):
+    df = spark.createDataFrame([(1, "a refund, please"), (2, "hello"), (3, "REFUND and more")], "v int, s string").withColumns({"answer": F.lit("x"), "confidence": F.lit(0.4), "abstain": F.lit(True), "source": F.lit("student")})
+    rules = [Rule("r", "billing", [Condition("$text", "contains", "refund")], 1), Rule("other", "unasked", [Condition("v", "==", 3)], 5)]
+    rows = [tuple(r) for r in forced_by_rules(df, rules, ["x", "billing"], F.col("s")).select("answer", "confidence", "abstain", "source", "rule").collect()]
+    assert rows == [("billing", 1.0, False, "rule", "r"), ("x", 0.4, True, "student", None), ("x", 0.4, True, "student", None)]
+    hits = {r.rule: r.hits for r in rule_hits([("r", 5), ("gone", 2)], first_match(df, [Rule("r", "b", [Condition("v", ">", 1)])])).collect()}
+    assert hits == {"r": 7, "gone": 2}
 
 
 def test_undo_is_never_seen(spark):
@@ -120,6 +254,68 @@ def test_drift_alarms():
     assert false <= 3 and missed == 0
 
 
+def test_drift_tracks_its_least_before_errors():
+    rng, d = random.Random(4), Drift()
+    low = math.inf
+    errors = 0
+    for n in range(1, 400):
+        e = rng.random() < 0.004
+        errors += e
+        d.step(e)
+        p = (errors + 1) / (n + 2)
+        if n >= 100:
+            low = min(low, p + math.sqrt(p * (1 - p) / n))
+    assert errors < 5 and d.low == low
+
+
+@pytest.mark.parametrize("block", [40, 10_000])
+def test_signal_equals_the_detector(spark, block):
+    rng = random.Random(6)
+    rows = [(k, i, int(rng.random() < (0.05 if i < 300 else at))) for k, at in (("x", 0.05), ("y", 0.5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, seq long, e int")
+    got = {(r.k, r.seq): r.status for r in drift_signal(df, ["k"], "seq", F.col("e"), F.floor(F.col("seq") / block)).collect()}
+    want = {}
+    for k in "xy":
+        d = Drift()
+        for key, i, e in rows:
+            if key == k and "drift" not in {want.get((k, j)) for j in range(max(0, i - 1), i)} and (i == 0 or (k, i - 1) in want):
+                want[k, i] = d.step(bool(e))
+    assert got == want and "drift" in want.values()
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_forecasters_by_steps(spark, block):
+    rng = random.Random(7)
+    rows = [(k, i, rng.random() * 3, rng.random() * 3) for k in "xy" for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, seq long, a double, b double")
+    got = {(r.k, r.seq): r.w for r in two_forecasters(df, ["k"], F.floor(F.col("seq") / block), "seq", (F.col("a"), F.col("b"))).collect()}
+    for k in "xy":
+        h = Hedge([0.5, 0.5])
+        for key, i, a, b in rows:
+            if key == k:
+                assert got[k, i] == pytest.approx(h.weights[1])
+                h.step([a, b])
+
+
+def test_mixture():
+    h = Hedge([0.6, 0.4])
+    h.add(0.5)
+    assert h.weights == pytest.approx([0.3, 0.2, 0.5]) and h.combine([None] * 3, 2) == [0.5, 0.5]
+    assert h.combine([[1.0, 0.0], None, [0.0, 1.0]], 2) == pytest.approx([0.375 * 0.995 + 0.0025, 0.625 * 0.995 + 0.0025])
+
+
+def test_soft_labels_move_less():
+    sure, unsure = Softmax(), Softmax()
+    for s, t in ((sure, {"a": 1.0, "b": 0.0}), (unsure, {"a": 0.55, "b": 0.45})):
+        for _ in range(5):
+            s.step({"bias": 1.0}, t)
+    p, q = sure.predict({"bias": 1.0})["a"], unsure.predict({"bias": 1.0})["a"]
+    assert p > 0.9 and 0.5 < q < 0.6
+    before = dict(unsure.weights["bias"])
+    unsure.step({"bias": 1.0}, {"a": 0.5, "b": 0.5})
+    assert unsure.weights["bias"] == before  # a coin teaches nothing
+
+
 def test_hedge_prefers_the_better():
     h = Hedge([0.5, 0.5])
     for _ in range(20):
@@ -165,6 +361,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "d.json").write_text('[{"text": "x"},\n {"text": "y"}]')
     for name in ("b.json", "c.jsonl", "d.json"):
         assert sorted(r.text for r in D.read_dataset(spark, f"{tmp_path}/{name}").collect()) == ["x", "y"]
+    (tmp_path / "e.csv").write_bytes("n\u00e4me;v\nJ\u00fcrgen;1\n".encode("latin-1"))
+    (tmp_path / "f.csv").write_bytes("\ufeffname,v\nJ\u00fcrgen,1\n".encode())
+    assert [tuple(r) for r in D.read_dataset(spark, f"{tmp_path}/e.csv").collect()] == [("J\u00fcrgen", "1")] and D.read_dataset(spark, f"{tmp_path}/e.csv").columns == ["n\u00e4me", "v"]
+    assert D.read_dataset(spark, f"{tmp_path}/f.csv").columns == ["name", "v"] and D.read_delimited(spark, f"{tmp_path}/a.csv", most=1).count() == 1
+    kinds = {r["column"]: (r.kind, r["values"]) for r in D.profile(spark.createDataFrame([("1,5", "x", [1]), ("2", "", [2])], "a string, b string, c array<int>")).collect()}
+    assert kinds == {"a": ("number", ["1,5", "2"]), "b": ("category", ["x"]), "c": ("object", [])}
     assert D.sniff_separator("a|b|c\n1|2|3") == "|" and D.sniff_separator("abc") == ","
 
 
@@ -190,11 +392,39 @@ def test_replies(spark):
     cases = ['{"team": {"probabilities": {"a": 1, "1": 3, "zz": 9}}}', '{"answers": {"team": {"choice": "b", "confidence": 0.6}}}', '{"results": {"team": {"answer": "c"}}}', "{}", "not json", None]
     got = [r[0] and [round(x, 6) for x in r[0]] for r in spark.createDataFrame([(c,) for c in cases], "j string").select(q.reply(F.col("j"))).collect()]
     assert got == [[0.25, 0.75, 0.0], [0.2, 0.6, 0.2], [0.1, 0.1, 0.8], None, None, None]
+    cases = ['{"team": "b", "results": {"team": {"choice": "c", "confidence": 0}}, "answers": {"team": {"confidence": 0.9}}}', '{"answers": {"team": {"confidence": 0.9}}, "results": {"team": {"choice": "c"}}}', '{"team": {"probabilities": {"a": "1", "b": true}}}']
+    got = [r[0] and [round(x, 6) for x in r[0]] for r in spark.createDataFrame([(c,) for c in cases], "j string").select(q.reply(F.col("j"))).collect()]
+    assert got == [None, None, [0.0, 1.0, 0.0]]
+    assert spark.createDataFrame([(cases[0].replace(', "answers": {"team": {"confidence": 0.9}}', ""),)], "j string").select(q.reply(F.col("j"))).first()[0] == pytest.approx([0.1, 0.1, 0.8])
     cases = ['{"ok": {"probability": 1.7}}', '{"questions": {"ok": {"probabilities": {"yes": 0.25}}}}', '{"ok": {"probabilities": {"true": 1, "false": 3}}}']
     got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "j string").select(yes.reply(F.col("j"))).collect()]
     assert got == [[1.0, 0.0], [0.25, 0.75], [0.25, 0.75]]
 
 
+def test_questions_as_stated():
+    q = Question.parse("team", {"criteria": {"a": "first", " b ": None}, "instructions": "which?"})
+    assert q.options == ("a", "b") and q.descriptions == {"a": "first"}
+    assert Question.parse("s", {"type": "score", "levels": ["low", {"name": "high", "description": "x"}, " "]}).options == ("low", "high")
+    assert Question.parse("n", {"type": "noul"}).options == ("true", "false")
+    more = q.merge(Question.parse("team", {"options": ["b", "c"]}))
+    assert more.options == ("a", "b", "c") and more.instructions == "which?"
+    for bad in (lambda: Question.parse("t", {"options": ["x"]}), lambda: Question("s", "score", ("l", "h")).merge(Question("s", "score", ("l", "z"))), lambda: q.merge(Question("team", "noul"))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_public_answers(spark):
+    df = spark.createDataFrame([([0.2, 0.5, 0.3],)], "p array<double>")
+    x = df.select(Question("c", "choice", ("a", "b", "c")).public(F.col("p"))).first()[0]
+    assert x.answer == "b" and [(o.option, o.p) for o in x.probabilities] == [("b", 0.5), ("c", 0.3), ("a", 0.2)] and x.score is None
+    q = Question("s", "score", ("a", "b", "c"))
+    x, y = df.select(q.public(F.col("p")), q.forced(q.public(F.col("p")), F.lit("c"))).first()
+    assert x.score == 1.1 and [o.option for o in x.probabilities] == ["a", "b", "c"] and (y.answer, y.confidence, y.score) == ("c", 1.0, 2.0)
+    n = Question("n", "noul")
+    z = spark.createDataFrame([([0.7, 0.3],)], "p array<double>").select(n.forced(n.public(F.col("p")), F.lit("false"))).first()[0]
+    assert (z.answer, z.probability) == ("false", 0.0)
+
+
 def test_generators(spark):
     rows = tickets(spark, 3000)
     share = rows.agg(F.avg(F.col("urgent").cast("int")), F.count_distinct("department"), F.count_distinct("text")).first()

@@ -25,5 +25,5 @@ def test_runs_twice_alike(spark, name):
 
 
 def test_entry(spark):
-    assert driver.entry(spark).columns == ["doc_id", "neighbours", "answer", "confidence", "threshold", "rule", "abstain"]
+    assert driver.entry(spark).columns == ["doc_id", "near", "exact", "answer", "confidence", "threshold", "rule", "abstain"]
     assert set(driver.oracle_sql()) <= set(driver.queries())
