@@ -31,6 +31,7 @@ MARK, MAYBE, BESIDE, FIRST = 0.01, 0.5, 0.08, 0.3
 #: What a page is about stands in these; their own class lowers nothing.
 WHOLE = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("dd dl dt li ol table tbody td tfoot th thead tr ul".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Elements that end an open one of their kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -57,6 +58,7 @@ class Blocks:
     def __init__(self, html: str) -> None:
         self.paths: dict[tuple[int, str], int] = {}
         self.parents: list[int] = []
+        self.steps: list[str] = []
         self.found: list[tuple[int, int, str, str, int, float]] = []
         #: (tag, path of the nearest block, skipped, weight, weight of headings, region, heading or "")
         self.stack: list[tuple[str, int, bool, float, float, int, str]] = [("", self._path(-1, ""), False, 1.0, 1.0, -1, "")]
@@ -83,9 +85,15 @@ class Blocks:
     def _path(self, parent: int, step: str) -> int:
         found = self.paths.setdefault((parent, step), len(self.paths))
         if found == len(self.parents):
-            self.parents.append(parent)
+            self.parents.append(parent), self.steps.append(step.partition(".")[0])
         return found
 
+    def container(self, path: int) -> int:
+        """The path that holds a block's: for an item of a list or a cell that of the whole list or table."""
+        while path >= 0 and (path := self.parents[path]) >= 0 and self.steps[path] in LISTS:
+            pass
+        return path
+
     def _text(self, raw: str) -> None:
         if raw and not self.stack[-1][2]:
             text = unescape(raw) if "&" in raw else raw
@@ -163,8 +171,8 @@ def main_text(html: str | None, threshold: float = 0.1, most_linked: float = 0.8
 
     For each tag path (block elements with their first class, or id) the text length and the punctuation marks of its blocks
     are summed and divided by its number of blocks.  Both ratios are smoothed along the page, fused as
-    length * (1 + punctuation) * (share outside links), and averaged by path; a path has at least the ratio of its
-    container (for blocks of an article or main element: that element), and none with links for ``most_linked`` of its text.
+    length * (1 + punctuation) * (share outside links), less where a path is short by itself, and averaged by path; a path has at
+    least the ratio of its container (for blocks of an article or main element: that element), and none with links for ``most_linked`` of its text.
     Marks lower the score of what they hold, and being beside an article or main element lowers it, if the page has one with
     text.  Headings have the ratio of what follows them, lowered by their own marks; one right before an article is of it.
     Blocks under ``threshold`` times the page's highest score go, and all do if that is under ``least``.
@@ -183,13 +191,15 @@ def main_text(html: str | None, threshold: float = 0.1, most_linked: float = 0.8
         wide = np.concatenate([v[:1], v, v[-1:]])
         return 0.25 * wide[:-2] + 0.5 * v + 0.25 * wide[2:]
 
-    fused = smooth(mean(length)) * (1 + smooth(mean(marks))) * np.clip(1 - linked, 0, 1)
+    near = smooth(mean(length))
+    own = np.minimum(1.0, 4 * mean(length) / near)  # what is short only beside long text stays short
+    fused = near * own * (1 + smooth(mean(marks))) * np.clip(1 - linked, 0, 1)
     ratio = mean(fused)
     weight, region = np.array([b[5] for b in blocks]), np.array([b[1] for b in blocks])
     if (region >= 0).any():
         first = np.append(region[1:] >= 0, False) & np.array([bool(b[2]) for b in blocks])
         weight = np.where((region >= 0) | first, weight, BESIDE * weight)
-    top = [page.parents[b[0]] for b in blocks]
+    top = [page.container(b[0]) for b in blocks]
     whole = {p for p, parent in enumerate(page.parents) if parent < 0 or page.parents[parent] < 0 or page.parents[page.parents[parent]] < 0}
     # what a mark lowers is a container of its own
     holder = np.unique([f"{w}r{r}" if r >= 0 else f"{w}p{b[0]}" if t in whole or t < 0 else f"{w}c{t}" for b, t, w, r in zip(blocks, top, weight, region)], return_inverse=True)[1]
