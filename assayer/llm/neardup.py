@@ -96,25 +96,32 @@ def _features(size: int, hashes: int):
     return run
 
 
-def _sets(size: int, hashes: int):
+def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = _factors(hashes)
         for batch in batches:
-            grams = [shingles(text, size) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(g, factors).tobytes() for g in grams], pa.binary()), pa.array([g.tobytes() for g in grams], pa.binary())], ["id", "sig", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(text, size).tobytes() for text in batch.column(1).to_pylist()], pa.binary())], ["id", "grams"])
 
     return run
 
 
-def _confirm_pairs(verifier: Verifier):
+def _survivors(verifier: Verifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = [np.array([np.frombuffer(s, np.uint32) for s in batch.column(c).to_pylist()], dtype=np.uint32).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b")]
+            good = verifier.survivors(*sigs) if batch.num_rows else []
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+
+    return run
+
+
+def _confirm_pairs(verifier: Verifier):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             good = []
-            for i in verifier.survivors(*sigs) if batch.num_rows else []:
-                a, b = (np.frombuffer(batch.column(c)[int(i)].as_buffer(), np.uint64) for c in ("grams_a", "grams_b"))
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("grams_a", "grams_b"))
                 if verifier.linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)):
-                    good.append(int(i))
+                    good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     return run
@@ -150,6 +157,10 @@ def _confirm_blocks(verifier: Verifier):
     return run
 
 
+def _side(table: DataFrame, key: str, what: str, side: str) -> tuple[DataFrame, str]:
+    return table.select(F.col(key).alias(side), F.col(what).alias(f"{what}_{side}")), side
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rows: int = 5, bands: int = 32, miss: float = 1e-6) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -159,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. MinHash signatures (``rows * bands`` values) are cut into bands; each bucket links its members to its least
        member only (a star), so a bucket of any size gives as many pairs as members.
     3. A pair's signatures are compared 32 values at a time; it is dropped once the posterior probability of a
-       similar pair is under ``miss``, and what survives is confirmed on the full sets.  A pair at the threshold
+       similar pair is under ``miss``, and what survives is confirmed on the full sets, which only then are made.  A pair at the threshold
        shares no band with probability (1 - t^rows)^bands: 7e-9 at 0.85, 3e-6 at 0.8.
     4. A bucket whose members are still in different components is compared in full, in blocks of bounded rows and
        bytes, again by signature batches and exact sets; of buckets with the same members one is.  A block returns joining
@@ -177,17 +188,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = written(narrow.mapInArrow(_features(size, hashes), "id long, n long, key binary, sig binary"), "signatures")
     classes = feats.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
     # by key and id, so that the copies of one text are no hot key
-    reps = feats.join(classes.withColumnRenamed("rep", "id"), ["key", "id"]).select(F.col("id").alias("rep"), "sig").distinct()
+    reps = written(feats.join(classes.withColumnRenamed("rep", "id"), ["key", "id"]).select(F.col("id").alias("rep"), "sig").distinct(), "reps")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring("sig", i * (4 * rows) + 1, F.lit(4 * rows)), i))
     buckets = reps.select("rep", F.explode(keys).alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("members")).where("hub <> top")
     star = written(buckets.join(hubs, "bucket").where("rep <> hub").select("bucket", "rep", "hub", (F.col("members") > 2).alias("many")), "stars")
 
-    ids = written(star.select("rep").union(star.select("hub")).distinct().withColumnRenamed("rep", "id"), "candidates")
-    sets = written(narrow.join(small(ids), "id", "left_semi").mapInArrow(_sets(size, hashes), "id long, sig binary, grams binary"), "sets")
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("grams").alias(f"grams_{c}"))
-    pairs = met(met(star.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), side("a"), "a", "b", limit=0), side("b"), "b", "a", limit=0)
-    edges = written(pairs.mapInArrow(_confirm_pairs(verifier), "a long, b long"), "links")
+    ids = written(star.select("rep").union(star.select("hub")).distinct(), "candidates")
+    sigs = written(reps.join(small(ids), "rep", "left_semi"), "candidate-signatures")
+    both = lambda pairs, table, key, what: met(met(pairs, *_side(table, key, what, "a"), "b", limit=0), *_side(table, key, what, "b"), "a", limit=0)
+    pairs = star.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    alike = written(both(pairs, sigs, "rep", "sig").mapInArrow(_survivors(verifier), "a long, b long"), "alike")
+    known = written(alike.select(F.col("a").alias("id")).union(alike.select("b")).distinct(), "known")
+    sets = written(narrow.join(small(known), "id", "left_semi").mapInArrow(_sets(size), "id long, grams binary"), "sets")
+    edges = written(both(alike, sets, "id", "grams").mapInArrow(_confirm_pairs(verifier), "a long, b long"), "links")
     first = connected_components(edges, "a", "b")
 
     of = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_comp"))
@@ -197,7 +211,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who")).where("low <> high")
     split = written(split.groupBy("c", "who").agg(F.min("bucket").alias("bucket"), F.first("c").alias("n")).select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "split")
     held = met(members, split, "bucket", "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    held = held.join(sets.withColumnRenamed("id", "rep"), "rep")
+    held = written(held, "held")
+    late_ids = written(held.select(F.col("rep").alias("id")).distinct().join(small(known), "id", "left_anti"), "late")
+    more = narrow.join(small(late_ids), "id", "left_semi").mapInArrow(_sets(size), "id long, grams binary")
+    held = held.join(sigs, "rep").join(sets.union(more).withColumnRenamed("id", "rep"), "rep")
     # blocks of too many bytes are cut again
     held = held.withColumn("bytes", F.length("grams"))
     heavy = written(held.groupBy("bucket", "block").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("cuts")).groupBy("bucket").agg(F.max("cuts").alias("cuts")).where("cuts > 1"), "heavy")
