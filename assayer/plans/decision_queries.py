@@ -40,6 +40,16 @@ def accuracy_nll_brier(spark: SparkSession, d: str) -> DataFrame:
     return dec(spark, d).where("labelled").groupBy("question").agg(F.count("*").alias("n"), r6(F.avg("ok")).alias("accuracy"), r6(F.avg(N.log_loss(p))).alias("nll"), r6(F.avg(2 * gap * gap)).alias("brier"))
 
 
+@query("""WITH $DEC, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY seq DESC) AS k FROM dec WHERE labelled), p AS (SELECT *, CASE WHEN ok = 1 THEN conf ELSE 1 - conf END AS p FROM r WHERE k <= 1000)
+SELECT question, count(*)::BIGINT AS n, round(avg(ok), 6) AS accuracy, round(avg(-ln(greatest(p, 1e-6))), 6) AS nll, round(avg(2 * (conf - ok) * (conf - ok)), 6) AS brier, round(avg(CASE WHEN conf >= 0.6 THEN ok END), 6) AS answered_accuracy FROM p GROUP BY 1""")
+def metrics_window(spark: SparkSession, d: str) -> DataFrame:
+    """The measures of each question's last 1000 labels."""
+    last = dec(spark, d).where("labelled").withColumn("k", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("seq")))).where("k <= 1000")  # Spark keeps 1000 rows of a key before the shuffle
+    p = F.when(F.col("ok") == 1, F.col("conf")).otherwise(1 - F.col("conf"))
+    gap = F.col("conf") - F.col("ok")
+    return last.groupBy("question").agg(F.count("*").alias("n"), r6(F.avg("ok")).alias("accuracy"), r6(F.avg(N.log_loss(p))).alias("nll"), r6(F.avg(2 * gap * gap)).alias("brier"), r6(F.avg(F.when(F.col("conf") >= 0.6, F.col("ok")))).alias("answered_accuracy"))
+
+
 @query("""WITH o AS (SELECT o_orderkey, left(o_orderpriority, 1)::INT AS y, 1 + o_orderkey % 5 AS g FROM orders)
 SELECT y::BIGINT AS level, count(*)::BIGINT AS n, round(avg((SELECT sum(power((CASE WHEN g <= k THEN 1 ELSE 0 END) - (CASE WHEN y <= k THEN 1 ELSE 0 END), 2)) FROM range(1, 5) AS t(k)) / 4), 6) AS rps FROM o GROUP BY 1""")
 def rps(spark: SparkSession, d: str) -> DataFrame:
@@ -123,11 +133,16 @@ def nominal_splits(spark: SparkSession, d: str) -> DataFrame:
 
 # order statistics
 
-@query("""WITH $DEC, r AS (SELECT question, seq, ok, row_number() OVER w AS rank, avg(ok) OVER (PARTITION BY question ORDER BY seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS a FROM dec WHERE labelled WINDOW w AS (PARTITION BY question ORDER BY seq))
-SELECT question, rank::BIGINT AS labels, round(a, 6) AS accuracy FROM r WHERE rank % 50 = 0""")
+@query("""WITH $DEC, r AS (SELECT question, seq, ok, row_number() OVER w AS rank, avg(ok) OVER (PARTITION BY question ORDER BY seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS a, count(*) OVER (PARTITION BY question) AS n FROM dec WHERE labelled WINDOW w AS (PARTITION BY question ORDER BY seq)),
+e AS (SELECT question, n, min(1 << k) AS e FROM (SELECT DISTINCT question, n FROM r), range(0, 40) AS t(k) WHERE n // (1::BIGINT << k) <= 300 GROUP BY 1, 2)
+SELECT question, rank::BIGINT AS labels, round(a, 6) AS accuracy FROM r JOIN e USING (question) WHERE rank % e = 0""")
 def learning_curve(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of the last 200 labels at each so many-th one: a power of two that leaves 300 points at most."""
     run = trailing(dec(spark, d).where("labelled"), *along(), {"hits": F.col("ok")}, 200)
-    return run.where("rank % 50 = 0").select("question", F.col("rank").alias("labels"), r6(F.col("hits") / F.col("n")).alias("accuracy"))
+    n = run.groupBy("question").agg(F.max("rank").alias("_n"))
+    step = F.pow(F.lit(2.0), F.array_position(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.floor(F.col("_n") / F.pow(F.lit(2.0), k)) <= 300), True) - 1).cast("long")
+    rows = run.join(F.broadcast(n.select("question", step.alias("_e"))), "question")  # one row for each question
+    return rows.where("rank % _e = 0").select("question", F.col("rank").alias("labels"), r6(F.col("hits") / F.col("n")).alias("accuracy"))
 
 
 @query("""WITH $DEC, r AS (SELECT question, row_number() OVER w AS k, avg(-ln(greatest(CASE WHEN ok = 1 THEN conf ELSE 1 - conf END, 1e-6))) OVER w AS loss, avg(ok) OVER (PARTITION BY question ORDER BY seq ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) AS a FROM dec WHERE labelled
@@ -162,6 +177,16 @@ def aurc(spark: SparkSession, d: str) -> DataFrame:
     return run.join(F.broadcast(n), "question").groupBy("question").agg(r6(F.avg(F.col("errors") / F.col("rank"))).alias("aurc"), r6(F.avg(top)).alias("risk_at_80"))
 
 
+@query("""WITH $DEC, r AS (SELECT question, ok, conf, row_number() OVER (PARTITION BY question ORDER BY conf DESC, seq) AS k, count(*) OVER (PARTITION BY question) AS n FROM dec WHERE labelled)
+SELECT question, c AS coverage, round(avg(1 - ok), 6) AS risk, round(min(conf), 6) AS threshold FROM r, (VALUES (0.5::DOUBLE), (0.7), (0.9)) AS t(c) WHERE k <= ceil(c * n) GROUP BY 1, 2""")
+def coverage_marks(spark: SparkSession, d: str) -> DataFrame:
+    """The error among the most confident half, seven and nine tenths, and the confidence they end at."""
+    run = running(dec(spark, d).where("labelled").withColumn("bad", 1 - F.col("ok")), *down(), {"errors": F.col("bad")})
+    n = run.groupBy("question").agg(F.count("*").alias("n")).select("question", "n", F.explode(F.array(*map(F.lit, (0.5, 0.7, 0.9)))).alias("coverage"))
+    ends = run.join(F.broadcast(n), "question").where(F.col("rank") == F.ceil(F.col("coverage") * F.col("n")))  # three marks of a question
+    return ends.select("question", "coverage", r6(F.col("errors") / F.col("rank")).alias("risk"), r6("conf").alias("threshold"))
+
+
 @query("WITH $DEC, " + LEVELS.format(where="WHERE labelled") + " SELECT question, max(CASE WHEN e / n <= 0.2 THEN n ELSE 0 END)::BIGINT AS covered FROM cum GROUP BY 1")
 def oracle_coverage(spark: SparkSession, d: str) -> DataFrame:
     """The most answers, by whole tie groups, with an error rate within the budget."""
@@ -325,6 +350,19 @@ def temperature_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.groupBy(F.col("i").cast("long").alias("i"), "t").agg((F.sum(loss) / F.sum("n")).alias("l")).select("i", r6("t").alias("t"), r6("l").alias("nll"))
 
 
+@query("""WITH $DEC, l AS (SELECT question, conf, ok FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY seq DESC) AS k FROM dec WHERE labelled) WHERE k <= 500), t AS (SELECT i, exp(ln(0.5::DOUBLE) + i * (ln(4::DOUBLE) - ln(0.5::DOUBLE)) / 40) AS t FROM range(0, 41) AS r(i)),
+g AS (SELECT question, i, t, count(*) AS n, round(avg(-ln(greatest(power(greatest(CASE WHEN ok = 1 THEN conf ELSE 1 - conf END, 1e-12), 1 / t) / (power(greatest(conf, 1e-12), 1 / t) + power(greatest(1 - conf, 1e-12), 1 / t)), 1e-6))), 9) AS nll FROM l, t GROUP BY 1, 2, 3)
+SELECT question, round(CASE WHEN max(n) >= 30 THEN arg_min(t, {'l': nll, 'i': i}) ELSE 1 END, 4) AS temperature FROM g GROUP BY 1""")
+def best_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """The temperature of the grid that suits each question's last 500 labels best; 1 under 30 labels."""
+    last = dec(spark, d).where("labelled").withColumn("k", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("seq")))).where("k <= 500")  # Spark keeps 500 rows of a key before the shuffle
+    step = F.exp(F.ln(F.lit(0.5)) + F.col("i") * (F.ln(F.lit(4.0)) - F.ln(F.lit(0.5))) / 40)
+    grid = last.groupBy("question", "conf", "ok").agg(F.count("*").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("t", step)
+    loss = F.col("n") * N.log_loss(F.get(N.tempered(F.array("conf", 1 - F.col("conf")), F.col("t")), 1 - F.col("ok")))
+    by = grid.groupBy("question", "i", "t").agg(F.sum("n").alias("n"), F.round(F.sum(loss) / F.sum("n"), 9).alias("l"))
+    return by.groupBy("question").agg(F.round(F.when(F.max("n") >= C.MIN_LABELS, F.min_by("t", F.struct("l", "i"))).otherwise(1.0), 4).alias("temperature"))
+
+
 @query("WITH $DEC, f AS (SELECT seq, conf, (seq % 11) / 10::DOUBLE AS fam FROM dec) SELECT seq, round(CASE WHEN fam < 0.5 THEN fam / 0.5 * conf + (1 - fam / 0.5) / 2 ELSE conf END, 6) AS p, fam < 0.5 AS abstain FROM f")
 def unfamiliar_shrink(spark: SparkSession, d: str) -> DataFrame:
     fam = (F.col("seq") % 11) / 10

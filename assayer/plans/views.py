@@ -17,8 +17,23 @@ LOG = """log AS (SELECT event_id, 'action' AS question, event_type AS label, use
  CASE event_id % 3 WHEN 0 THEN 'human' WHEN 1 THEN 'teacher' ELSE 'dataset' END AS source, event_id % 17 = 0 AS retracted, value FROM events)"""
 
 
+#: A table of few files and so many bytes would be read by a task or two; it is dealt over the cores.
+SMALL_BYTES = 64 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, a table read from files, dealt over the cores if it is small; larger tables keep their splits."""
+    context, files = df.sparkSession.sparkContext, df.inputFiles()
+    if len(files) >= context.defaultParallelism:
+        return df
+    paths = [context._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(context.defaultParallelism) if size <= SMALL_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(df) if name in ("documents", "pages") else df  # texts are the work of a scan
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
