@@ -16,10 +16,7 @@ from assayer.llm.lm_score import score_texts
 from assayer.llm.mixing import mix_sources
 from assayer.llm.neardup import near_duplicates
 from assayer.llm.secret_scan import scan_secrets
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from assayer.plans.views import table
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +52,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.verdict(rules.BASE)).alias("base_failed"), rules.verdict(rules.STANDARD).alias("kept"), "failed")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each quality rule rejects, alone and with the others, from the ledger's bits."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")), rules.STANDARD)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring(table(spark, sf_dir, "documents"), report=True)
 
@@ -95,9 +97,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+ABLATIONS_SQL = OP6_SQL.rpartition("SELECT doc_id")[0] + ", ru AS (SELECT unnest([" + ", ".join(f"{{'rule': '{name}', 'bit': {bit}}}" for name, bit in rules.BIT.items()) + f"], recursive := true)) SELECT '{rules.STANDARD.version}' AS version, rule, count(*) FILTER (failed & bit > 0)::BIGINT AS failing, count(*) FILTER (failed = bit)::BIGINT AS only, count(*) FILTER (failed & ~bit = 0)::BIGINT AS kept_without FROM f, ru GROUP BY rule"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"rule_ablations": rule_ablations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL}
+    return {"op6_quality_rules": OP6_SQL, "rule_ablations": ABLATIONS_SQL}
