@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -10,6 +11,7 @@ from assayer.functions.text import to_number
 
 #: Fixed values.
 SEPARATORS, SNIFFED, MAX_ROWS = (",", ";", "\t", "|"), 20_000, 200_000
+REGISTRY = "id string, name string, source string, columns array<string>, deleted boolean"
 WRAPPERS = ("rows", "data", "records", "items")
 
 
@@ -98,3 +100,30 @@ def first_values(df: DataFrame, most: int) -> DataFrame:
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")).alias("v")) for c in df.columns))).alias("x")).select("x.*").where("v is not null").distinct()
     rank = F.row_number().over(Window.partitionBy("column").orderBy("v"))  # Spark keeps `most` of a column before the shuffle
     return long.withColumn("r", rank).where(F.col("r") <= most).groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("values"))
+
+
+def create_dataset(df: DataFrame, folder: str, name: str, source: str = "upload") -> str:
+    """Write rows, numbered in their order, under ``folder`` and append them to its registry; the dataset's id."""
+    key = uuid.uuid4().hex[:12]
+    rows = df.withColumn("idx", F.monotonically_increasing_id())
+    rows.write.parquet(f"{folder}/rows/{key}")
+    entry = [(key, name, source, list(df.columns), False)]
+    df.sparkSession.createDataFrame(entry, REGISTRY).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{folder}/registry")
+    return key
+
+
+def delete_dataset(spark: SparkSession, folder: str, key: str) -> None:
+    """Append a deletion: the registry's view leaves the dataset out; its files go when the folder is swept."""
+    spark.createDataFrame([(key, None, None, None, True)], REGISTRY).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{folder}/registry")
+
+
+def list_datasets(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, name, source, columns, at`` of the datasets that weren't deleted, newest first."""
+    log = spark.read.parquet(f"{folder}/registry")
+    return log.where("not deleted").join(log.where("deleted").select("id"), "id", "left_anti").drop("deleted").orderBy(F.desc("at"))
+
+
+def dataset_rows(spark: SparkSession, folder: str, key: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A dataset's rows in order."""
+    rows = spark.read.parquet(f"{folder}/rows/{key}").orderBy("idx").offset(offset)
+    return (rows.limit(limit) if limit else rows).drop("idx")

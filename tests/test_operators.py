@@ -370,6 +370,21 @@ def test_readers(spark, tmp_path):
     assert D.sniff_separator("a|b|c\n1|2|3") == "|" and D.sniff_separator("abc") == ","
 
 
+def test_stored_datasets(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(20)], "n int, t string")
+    one, two = D.create_dataset(df, f"{tmp_path}/d", "first"), D.create_dataset(df.limit(3), f"{tmp_path}/d", "second")
+    assert {r.id: (r.name, r.columns) for r in D.list_datasets(spark, f"{tmp_path}/d").collect()} == {one: ("first", ["n", "t"]), two: ("second", ["n", "t"])}
+    assert [r.n for r in D.dataset_rows(spark, f"{tmp_path}/d", one, 4, 5).collect()] == [5, 6, 7, 8] and D.dataset_rows(spark, f"{tmp_path}/d", two).count() == 3
+    D.delete_dataset(spark, f"{tmp_path}/d", one)
+    assert [r.id for r in D.list_datasets(spark, f"{tmp_path}/d").collect()] == [two]
+
+
+def test_gate_falls_back(spark):
+    rows = spark.createDataFrame([("3=:a",), ("3=:b",), ("1\u2260:a",)], "cell string")
+    learnt = spark.createDataFrame([("3=:a", 0.9), ("3=", 0.7)], "cell string, w double")
+    assert {r.cell: r.w for r in P.patch_weight(rows, learnt).collect()} == {"3=:a": 0.9, "3=:b": 0.7, "1\u2260:a": 0.5}
+
+
 def test_wilson(spark):
     got = spark.range(1).select(N.wilson_upper(F.lit(0), F.lit(0)), N.wilson_upper(F.lit(5), F.lit(100))).first()
     p, n, z = 0.05, 100, 1.2816
