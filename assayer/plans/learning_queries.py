@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayer.functions import numbers as N, text as T
 from assayer.operators import contract as C, patches as P, similarity as S
 from assayer.operators.learners import Drift, Softmax, drift_signal as drift, familiar_share, fold, linear_reasons, linear_scores, linear_weights, two_forecasters
+from assayer.operators.rules import Condition, Rule, forced_by_rules
 from assayer.plans.registry import query
 from assayer.plans.text_queries import FEAT
 from assayer.plans.views import decisions as dec, table
@@ -49,6 +50,36 @@ def minimum_slice(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "near", "exact", "d.answer", F.round(F.array_max("probs"), 6).alias("confidence"), "d.threshold", "d.rule", "d.abstain")
 
 
+#: One question of ``decide_documents`` in SQL: votes, the same state's label, base rates, the policy, a rule, who answers.
+ASKED = """SELECT doc_id, '$Q' AS question, CASE WHEN short THEN '$F' WHEN p >= 0.5 THEN 'true' ELSE 'false' END AS answer, round(CASE WHEN short THEN 1 ELSE greatest(p, 1 - p) END, 6) AS confidence, NOT short AND greatest(p, 1 - p) < 0.9 AS abstain,
+ CASE WHEN short THEN 'rule' WHEN asks AND greatest(p, 1 - p) < 0.9 THEN 'teacher' ELSE 'student' END AS source FROM (SELECT d.doc_id, coalesce(length(d.text), 0) < 200 AS short, d.doc_id % 5 = 0 AS asks,
+ coalesce((SELECT CASE arg_max(r.$Q, r.doc_id) WHEN 1 THEN 0.95 WHEN 0 THEN 0.05 END FROM state q JOIN state e USING (state) JOIN recent r ON r.doc_id = e.doc_id WHERE q.doc_id = d.doc_id AND r.doc_id < d.doc_id), v.p, b.p) AS p
+ FROM documents d LEFT JOIN (SELECT id, sum(CASE WHEN $Q = 1 THEN sim * sim ELSE 0 END) / sum(sim * sim) * 0.9 + 0.05 AS p FROM near JOIN mem ON entry = mem.doc_id GROUP BY id) v ON v.id = d.doc_id, (SELECT (sum($Q) + 0.5) / (count(*) + 1) AS p FROM lab) b)"""
+
+
+@query("WITH lab AS (SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)), mem AS (SELECT * FROM lab ORDER BY doc_id DESC LIMIT 2000), " + NEAR.replace("$CAP", "2000") + """,
+near AS (SELECT * FROM sims WHERE sim >= 0.35 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, entry) <= 5), recent AS (SELECT * FROM lab ORDER BY doc_id DESC LIMIT 8000) """ + ASKED.replace("$Q", "quality").replace("$F", "false") + " UNION ALL " + ASKED.replace("$Q", "toxic").replace("$F", "false"))
+def decide_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Two questions of each document: a rule, else the student with a policy, and the teacher is asked where it abstains and may."""
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    docs = S.with_vectors(texts, "doc_id", "text").join(texts.select(F.col("doc_id").alias("id"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")), "id").drop("doc_id")
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), *(F.col(q).cast("string").alias(q) for q in ("quality", "toxic")), F.lit(1.0).alias("weight"))
+    labelled = docs.join(labels, "id")
+    memory = labelled.orderBy(F.desc("seq")).limit(S.CAPACITY)
+    near = S.neighbours(docs, memory).persist()
+    short, policy, out = [Rule("short", "false", [Condition("n_chars", "<", 200)])], C.Policy(cost_wrong=10, cost_abstain=1), []
+    for q in ("quality", "toxic"):
+        vote = S.votes(near, memory.select(F.col("id").alias("entry"), F.col(q).alias("label"), "weight"), ["1", "0"], S.SMOOTH)
+        same = S.exact_answers(docs, labelled.withColumn("label", F.col(q)), ["1", "0"])
+        rates = labelled.agg(*(F.count_if(F.col(q) == o).cast("double").alias(f"c{o}") for o in ("1", "0"))).select(P.base_rates(F.array("c1", "c0")).alias("prior"))
+        rows = docs.select("id", "n_chars").join(vote, "id", "left").join(same, "id", "left").join(F.broadcast(rates)).withColumn("probs", F.coalesce("exact", "probs", "prior"))  # one row of base rates
+        rows = rows.withColumn("d", policy.decide(F.col("probs"), ["true", "false"])).select("id", "n_chars", "d.answer", F.array_max("probs").alias("confidence"), "d.abstain", F.lit("student").alias("source"))
+        rows = forced_by_rules(rows, short, ["true", "false"])
+        asked = (F.col("source") != "rule") & C.escalates(F.lit("auto"), F.when(F.col("id") % 5 == 0, "on_abstain").otherwise("off"), F.col("abstain"))
+        out.append(rows.select(F.col("id").alias("doc_id"), F.lit(q).alias("question"), "answer", F.round("confidence", 6).alias("confidence"), "abstain", F.when(asked, "teacher").otherwise(F.col("source")).alias("source")))
+    return out[0].union(out[1])
+
+
 @query(f"WITH {LABELLED}, mem AS (SELECT * FROM lab ORDER BY doc_id DESC LIMIT 2000), {NEAR.replace("$CAP", "2000")} SELECT id, entry, sim, (row_number() OVER (PARTITION BY id ORDER BY sim DESC, entry))::INT AS rank FROM sims WHERE sim >= 0.35 QUALIFY rank <= 5")
 def memory_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The labelled entries a vote is taken from, as an explanation shows them."""
