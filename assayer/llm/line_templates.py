@@ -250,24 +250,28 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
     lines = written(rows.mapInArrow(_lines(depth, least_tokens), "key long, doc_id long, copy long, no int, n int, leaf long, line long, tokens binary"), "lines")
+    spark = docs.sparkSession
     shared = written(lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("leaf"), "leaves")
     texts = lines.select("leaf", "line", "tokens").join(small(shared), "leaf")
-    texts = texts.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
-    merged = written(line_templates(written(texts, "distinct"), similar, depth), "merged")
+    texts = written(texts.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")), "distinct")
+    merged = written(line_templates(texts, similar, depth), "merged")
 
     # a frequent line is no hot key of a join: see met
     named = met(lines.drop("leaf", "tokens"), merged, "line", "key", "left").withColumn("line", F.coalesce("last", "line")).drop("last")
     several = written(named.groupBy("line").agg(F.min("copy").alias("a"), F.max("copy").alias("b")).where("a <> b").select("line"), "several")
     used = written(met(named, several, "line", "key", "left_semi"), "uses")
+    for table in (lines, shared, texts, merged, several):  # nothing later is made of them
+        dropped(spark, table)
     pairs = written(used.groupBy("line", "copy").agg(F.max("n").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "key")).alias("first")), "pairs")
     least = F.when(F.col("n") >= long_tokens, long_uses).otherwise(uses)
     # a template has as many texts as families at least, so the texts of other templates need no family
     often = pairs.groupBy("line").agg(F.count("*").alias("texts"), F.max("n").alias("n")).where(F.col("texts") >= least).select("line")
     often = written(often, "often")
     held = met(pairs, often, "line", "copy", "left_semi")
-    copies = written(held.select("copy").distinct(), "copies")
-    texts = rows.select("copy", "text").join(small(copies), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
-    families = near_duplicates(written(texts, "texts"), "copy", "text", FAMILY_WORDS, FAMILY_PERCENT, FAMILY_ROWS, FAMILY_BANDS).select(F.col("doc_id").alias("copy"), F.col("component_id").alias("family"))
+    # one row of each text stands for it; rows alike in id and text too are one document to near_duplicates
+    copies = written(held.groupBy("copy").agg(F.min("first")["key"].alias("key")), "copies")
+    texts = rows.select("key", "copy", "text").join(small(copies.select("key")), "key", "left_semi").select("copy", "text")
+    families = near_duplicates(written(texts, "texts"), "copy", "text", FAMILY_WORDS, FAMILY_PERCENT, FAMILY_ROWS, FAMILY_BANDS).select(F.col("doc_id").alias("copy"), F.col("component_id").alias("family")).distinct()
     per = held.join(families, "copy").groupBy("line", "family").agg(F.max("n").alias("n"), F.min("first").alias("first"))
     per = per.groupBy("line").agg(F.count("*").alias("families"), F.max("n").alias("n"), F.min("first").alias("first"))
     recurring = written(per.where(F.col("families") >= least).select("line", F.col("first.key").alias("keeper")), "recurring")

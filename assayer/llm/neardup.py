@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
 from assayer.llm.components import connected_components
-from assayer.llm.tables import hashed, met, mixed, small, words, written
+from assayer.llm.tables import dropped, hashed, met, mixed, small, words, written
 
 #: Rows and bytes of shingles of one block of a group whose members are compared with one another.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = written(narrow.mapInArrow(_features(size, hashes), "id long, n long, key binary, sig binary"), "signatures")
     classes = feats.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
     # by key and id, so that the copies of one text are no hot key
-    reps = written(feats.join(classes.withColumnRenamed("rep", "id"), ["key", "id"]).select(F.col("id").alias("rep"), "sig").distinct(), "reps")
+    reps = written(feats.join(classes.withColumnRenamed("rep", "id"), ["key", "id"]).select(F.col("id").alias("rep"), "sig", "n").distinct(), "reps")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring("sig", i * (4 * rows) + 1, F.lit(4 * rows)), i))
     buckets = reps.select("rep", F.explode(keys).alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("members")).where("hub <> top")
@@ -211,18 +211,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who")).where("low <> high")
     split = written(split.groupBy("c", "who").agg(F.min("bucket").alias("bucket"), F.first("c").alias("n")).select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "split")
     held = met(members, split, "bucket", "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    held = written(held, "held")
+    held = held_keys = written(held, "held")
     late_ids = written(held.select(F.col("rep").alias("id")).distinct().join(small(known), "id", "left_anti"), "late")
     more = narrow.join(small(late_ids), "id", "left_semi").mapInArrow(_sets(size), "id long, grams binary")
-    held = held.join(sigs, "rep").join(sets.union(more).withColumnRenamed("id", "rep"), "rep")
-    # blocks of too many bytes are cut again
-    held = held.withColumn("bytes", F.length("grams"))
-    heavy = written(held.groupBy("bucket", "block").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("cuts")).groupBy("bucket").agg(F.max("cuts").alias("cuts")).where("cuts > 1"), "heavy")
+    # blocks of too many bytes of shingles are cut again
+    heavy = written(held.join(sigs.select("rep", "n"), "rep").groupBy("bucket", "block").agg(F.ceil(8 * F.sum("n") / BLOCK_BYTES).cast("int").alias("cuts")).groupBy("bucket").agg(F.max("cuts").alias("cuts")).where("cuts > 1"), "heavy")
     held = held.join(small(heavy), "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     held = held.withColumn("block", F.col("block") * F.col("cuts") + F.pmod(F.xxhash64("rep", "bucket"), "cuts")).withColumn("blocks", F.col("blocks") * F.col("cuts"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    held = held.join(sigs.drop("n"), "rep").join(sets.union(more).withColumnRenamed("id", "rep"), "rep")
     late = held.select("bucket", "lo", "hi", "block", "rep", "comp", "sig", "grams").groupBy("bucket", "lo", "hi").applyInPandas(_confirm_blocks(verifier), "a long, b long")
     edges = written(edges.union(late), "links")
+    for table in (reps, star, ids, sigs, alike, known, sets, first, many, split, heavy, held_keys, late_ids):  # nothing later is made of them
+        dropped(docs.sparkSession, table)
 
     last = connected_components(edges, "a", "b")
     named = written(classes.join(last, classes["rep"] == last["id"], "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
