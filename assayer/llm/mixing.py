@@ -134,7 +134,7 @@ def draw_rows(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col:
     lists = written(lists, "draws")
     doc = F.struct(*docs.columns).alias("doc")
     rows = docs.select(doc, row_key(F.col(id_col), F.col(source_col), F.col(text_col)).alias("key"), F.monotonically_increasing_id().alias("n"))
-    found = met(rows, lists, "key", "n", limit=200_000)
+    found = met(rows, lists, "key", "n", limit=50_000)
     alike = found.where("low = high").withColumn("copies", F.col("high"))
     # copies differ by one: so many of the rows have the higher number
     order = Window.partitionBy("key").orderBy("n")
