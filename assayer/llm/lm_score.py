@@ -338,9 +338,9 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     if v > HEAD_WORDS:  # a word outside the head is of few texts, so it is no hot key
         rare = units.mapInArrow(_rare(head), "unit long, token long").join(counts, "token")
 
-    chunks = max(1, -(-n * BITS_PER_TOKEN // CHUNK_BITS))
+    chunks, count = max(1, -(-n * BITS_PER_TOKEN // CHUNK_BITS)), units.count()
     if chunks <= BROADCAST_CHUNKS:
-        grams, parts = units.mapInArrow(_gram_counts(chunks, False), GRAMS), -(-units.count() // FAN_IN)
+        grams, parts = units.mapInArrow(_gram_counts(chunks, False), GRAMS), -(-count // FAN_IN)
         if parts > 1:
             grams = grams.groupBy("chunk", F.pmod(F.xxhash64("unit"), F.lit(parts))).applyInArrow(_combine, GRAMS)
         filters = _by_chunk(grams, chunks).applyInArrow(_build, "chunk long, bits binary").toArrow()
@@ -354,5 +354,6 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         answers = _by_chunk(units.mapInArrow(_gram_counts(chunks, True), GRAMS), chunks).applyInArrow(_answer, ANSWERS)
         if rare is not None:
             answers = answers.unionByName(rare, allowMissingColumns=True)
-        out = texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score_answered(model), SCORES)
+        few = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 4))  # units to a task
+        out = texts.repartition(few, "unit").groupBy("unit").cogroup(answers.repartition(few, "unit").groupBy("unit")).applyInArrow(_score_answered(model), SCORES)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
