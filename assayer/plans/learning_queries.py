@@ -26,7 +26,7 @@ LABELLED = "lab AS (SELECT doc_id, quality::VARCHAR AS label FROM documents JOIN
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Documents as states, and those with a quality label as entries."""
-    docs = S.with_vectors(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    docs = S.with_vectors(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").persist()  # tokenised once, used by each join
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label"), F.lit(1.0).alias("weight"))
     return docs, docs.join(labels.where("label is not null"), "id")
 
@@ -62,7 +62,7 @@ near AS (SELECT * FROM sims WHERE sim >= 0.35 QUALIFY row_number() OVER (PARTITI
 def decide_documents(spark: SparkSession, d: str) -> DataFrame:
     """Two questions of each document: a rule, else the student with a policy, and the teacher is asked where it abstains and may."""
     texts = table(spark, d, "documents").select("doc_id", "text")
-    docs = S.with_vectors(texts, "doc_id", "text").join(texts.select(F.col("doc_id").alias("id"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")), "id").drop("doc_id")
+    docs = S.with_vectors(texts, "doc_id", "text").join(texts.select(F.col("doc_id").alias("id"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")), "id").drop("doc_id").persist()
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), *(F.col(q).cast("string").alias(q) for q in ("quality", "toxic")), F.lit(1.0).alias("weight"))
     labelled = docs.join(labels, "id")
     memory = labelled.orderBy(F.desc("seq")).limit(S.CAPACITY)
