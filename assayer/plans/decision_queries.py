@@ -427,7 +427,7 @@ def pending_count(spark: SparkSession, d: str) -> DataFrame:
     return dec(spark, d).where("not labelled").groupBy("question").agg(F.count("*").alias("pending"))
 
 
-@query("WITH $DEC, $LOG SELECT seq, dec.question, conf, label, log.source FROM dec JOIN log ON seq = event_id WHERE labelled AND NOT retracted")
+@query("WITH $DEC, $LOG SELECT seq, dec.question, conf, log.label, log.source FROM dec JOIN log ON seq = event_id WHERE labelled AND NOT retracted")
 def decision_join(spark: SparkSession, d: str) -> DataFrame:
     labels = log(spark, d).where("not retracted").select(F.col("event_id").alias("seq"), "label", "source")
     return dec(spark, d).where("labelled").select("seq", "question", "conf").join(labels, "seq")
