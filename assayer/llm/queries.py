@@ -34,7 +34,7 @@ def fold_of(n: int):
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify_language(docs, learn_dictionaries(docs.where(fold_of(3) != 1)))
-    return found.select("doc_id", (fold_of(3) == 1).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+    return found.select("doc_id", F.coalesce(fold_of(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

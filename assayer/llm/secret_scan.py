@@ -20,9 +20,10 @@ SIGNED = re.compile(r"(?<![A-Za-z0-9_-])e[w-z][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 #: Runs over line breaks, as they are or escaped; the lines are told apart by BREAKS, as an escaped break ends in a letter.
 LINE_END = r"(?:[\x20\t]*(?:\\+r)?(?:\\+n|\r?\n)[\x20\t]*)"
-WRAPPED = re.compile(rf"[A-Za-z0-9+/]{{32,}}(?:{LINE_END}[A-Za-z0-9+/]+)+={{0,2}}")
+#: Both begin at the start of a run and never give a character back, so a run is read once.
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{{32,}}+(?:{LINE_END}[A-Za-z0-9+/]++)++={{0,2}}")
 LONG_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
-WRAPPED_HEX = re.compile(rf"[0-9A-Fa-f]{{16,}}(?:{LINE_END}[0-9A-Fa-f]{{2,}})+")
+WRAPPED_HEX = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{16,}}+(?:{LINE_END}[0-9A-Fa-f]{{2,}}+)++")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----((?:(?!-----).)*)-----END \1-----", re.DOTALL)
 BREAKS = re.compile(r"\\+r|\\+n|\r\n?|\n")
 HEADER = re.compile(r"\s*([A-Za-z][A-Za-z0-9-]*):\x20?(.*)")
@@ -130,21 +131,36 @@ def armoured(label: str, body: str) -> str | None:
     return key_encoding(data)
 
 
+#: So many characters of base64 or hex show a key's opening and its first length.
+HEAD = 48
+
+
+def may_be_key(head: bytes | None, size: int) -> bool:
+    """Whether ``size`` bytes that begin with ``head`` can be a key: a known opening, or a sequence whose own length fills them.
+
+    Looks at the head only, so that of the many places where a key might begin few are decoded.
+    """
+    if not head or len(head) < 2:
+        return False
+    for opening in (b"openssh-key-v1\0", b"\0\0\0\x07ssh-rsa", b"\0\0\0\x0bssh-ed25519"):
+        if head.startswith(opening):  # the length of what follows
+            at = len(opening) + 4
+            return at <= size and int.from_bytes(head[at - 4 : at], "big") <= size - at
+    n = head[1] & 0x7F
+    total = 2 + n if not head[1] & 0x80 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else -1
+    return head[0] == 0x30 and total == size
+
+
 def realigned(value: str) -> tuple[int, str] | None:
     """The offset and kind of a key that ends a run of base64 characters: after a slash or dash, which may be of a path.
 
     A sequence's own length must fill the rest, so few rests are decoded, however long the run.
     """
+    length = len(value.rstrip("="))
     for m in re.finditer(r"[/_-](?=M|b3BlbnNza|AAAAB3NzaC1yc2E|AAAAC3NzaC1lZDI1NTE5)", value):
-        rest = value[m.end() :]
-        size = len(rest.rstrip("=")) * 3 // 4
-        if rest[0] == "M":
-            head = _base64(rest[:8]) or b"\0"
-            n = head[1] & 0x7F
-            total = 2 + n if not head[1] & 0x80 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else -1
-            if head[0] != 0x30 or total != size:
-                continue
-        if kind := key_encoding(_base64(rest)):
+        head = value[m.end() : m.end() + HEAD]
+        whole = head.rstrip("=")
+        if may_be_key(_base64(whole[: len(whole) - (len(whole) % 4 == 1)]), (length - m.end()) * 3 // 4) and (kind := key_encoding(_base64(value[m.end() :]))):
             return m.end(), kind
     return None
 
@@ -163,7 +179,7 @@ def key_spans(text: str) -> list[tuple[int, int, str, str]]:
 def wrapped_spans(text: str) -> list[tuple[int, int, str, str]]:
     """Keys in base64 or hex whose lines are joined over their ends: of each run of lines, the stretches that parse."""
     out = []
-    for pattern, decode in ((WRAPPED, _base64), (WRAPPED_HEX, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
+    for pattern, decode, wide, part in ((WRAPPED, _base64, 4, 3), (WRAPPED_HEX, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None, 2, 1)):
         for m in pattern.finditer(text):
             at, lines = m.start(), []
             at += at > 0 and text[at - 1] == "\\" and text[at] in "nrt"  # the letter of an escape
@@ -173,14 +189,21 @@ def wrapped_spans(text: str) -> list[tuple[int, int, str, str]]:
                 if body:
                     lines.append((first + x.index(body), body))
                 at = first + len(x)
+            ends, before = [len(lines)] * len(lines), [0]
+            for i in range(len(lines) - 2, -1, -1):  # where the lines as long as this one end
+                ends[i] = ends[i + 1] if len(lines[i][1]) == len(lines[i + 1][1]) else i + 1
+            for _, x in lines:
+                before.append(before[-1] + len(x.rstrip("=")))
             i = 0
             while i < len(lines):
                 # the lines of one key are of one length, but for the last
-                j = i + 1
-                while j < len(lines) and len(lines[j - 1][1]) == len(lines[i][1]) and len(lines[j][1]) <= len(lines[i][1]):
-                    j += 1
+                j = ends[i] + (ends[i] < len(lines) and len(lines[ends[i]][1]) < len(lines[i][1]))
+                head, k = "", i
+                while k < j and len(head) < HEAD:
+                    head, k = head + lines[k][1].rstrip("="), k + 1
+                opening = decode(head[: min(HEAD, len(head) // wide * wide)])
                 for end in range(j, max(i + 1, j - 2), -1):  # a word after a full last line isn't of the key
-                    if kind := key_encoding(decode("".join(x for _, x in lines[i:end]))):
+                    if may_be_key(opening, (before[end] - before[i]) * part // wide) and (kind := key_encoding(decode("".join(x for _, x in lines[i:end])))):
                         out.append((lines[i][0], lines[end - 1][0] + len(lines[end - 1][1]), "key", kind))
                         i = end
                         break
@@ -244,7 +267,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, findings``: counts and digest of the pattern spans,
     all spans as ``kind:start:end`` (code points, end exclusive, by start, then kind), and each finding with its text
     and, where decoding confirmed it, its structure.  Null text counts as empty: zeros, the digest of "", no spans.  Rows are
-    independent: repeated rows repeat, null ids are carried, an empty table is empty, other columns are ignored; a long text is scanned whole.
+    independent: repeated rows repeat, null ids are carried, an empty table is empty, other columns are ignored; a long text is scanned
+    whole, in time that grows with its length, also where it is one run of key-like characters.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, findings array<struct<kind:string,start:bigint,end:bigint,value:string,structure:string>>")
