@@ -192,16 +192,16 @@ def wrapped_spans(text: str) -> list[tuple[int, int, str, str]]:
             ends, before = [len(lines)] * len(lines), [0]
             for i in range(len(lines) - 2, -1, -1):  # where the lines as long as this one end
                 ends[i] = ends[i + 1] if len(lines[i][1]) == len(lines[i + 1][1]) else i + 1
-            for _, x in lines:
-                before.append(before[-1] + len(x.rstrip("=")))
+            bare = [x.rstrip("=") for _, x in lines]
+            for x in bare:
+                before.append(before[-1] + len(x))
+            joined = "".join(bare)
             i = 0
             while i < len(lines):
                 # the lines of one key are of one length, but for the last
                 j = ends[i] + (ends[i] < len(lines) and len(lines[ends[i]][1]) < len(lines[i][1]))
-                head, k = "", i
-                while k < j and len(head) < HEAD:
-                    head, k = head + lines[k][1].rstrip("="), k + 1
-                opening = decode(head[: min(HEAD, len(head) // wide * wide)])
+                head = joined[before[i] : min(before[i] + HEAD, before[j])]
+                opening = decode(head[: len(head) // wide * wide])
                 for end in range(j, max(i + 1, j - 2), -1):  # a word after a full last line isn't of the key
                     if may_be_key(opening, (before[end] - before[i]) * part // wide) and (kind := key_encoding(decode("".join(x for _, x in lines[i:end])))):
                         out.append((lines[i][0], lines[end - 1][0] + len(lines[end - 1][1]), "key", kind))
