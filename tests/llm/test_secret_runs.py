@@ -10,8 +10,9 @@ from assayer.llm import secret_scan as S
 
 SIZE = 1_000_000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-KEY = bytes.fromhex("30819f300d06092a864886f70d010101050003818d00") + bytes(range(137)) + bytes(1)
-KEY = b"\x30\x81" + bytes([len(KEY) - 3]) + KEY[3:]
+BITS = bytes(141)
+BODY = bytes.fromhex("300d06092a864886f70d0101010500") + b"\x03\x81" + bytes([len(BITS)]) + BITS
+KEY = b"\x30\x81" + bytes([len(BODY)]) + BODY
 
 
 def run_of(n):
