@@ -15,6 +15,7 @@ from assayer.llm.line_templates import drop_recurring
 from assayer.llm.lm_score import score_texts
 from assayer.llm.mixing import mix_sources
 from assayer.llm.neardup import near_duplicates
+from assayer.llm.phrases import collocations
 from assayer.llm.secret_scan import scan_secrets
 from assayer.plans.views import table
 
@@ -75,6 +76,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(fold_of(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 t AS (SELECT *, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g,
@@ -100,9 +105,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 ABLATIONS_SQL = OP6_SQL.rpartition("SELECT doc_id")[0] + ", ru AS (SELECT unnest([" + ", ".join(f"{{'rule': '{name}', 'bit': {bit}}}" for name, bit in rules.BIT.items()) + f"], recursive := true)) SELECT '{rules.STANDARD.version}' AS version, rule, count(*) FILTER (failed & bit > 0)::BIGINT AS failing, count(*) FILTER (failed = bit)::BIGINT AS only, count(*) FILTER (failed & ~bit = 0)::BIGINT AS kept_without FROM f, ru GROUP BY rule"
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) AS w FROM documents),
+g AS (SELECT lang, k AS size, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM d, range(1, 6) AS s(k)),
+c AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f)::HUGEINT AS n FROM c WHERE size = 1 GROUP BY lang),
+m AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM c WHERE size > 1 AND f >= 100),
+x AS (SELECT m.lang, m.phrase, a, n, k, l.f AS l, r.f AS r, (1000 * a::HUGEINT * n) // (l.f::HUGEINT * r.f) AS score FROM m JOIN t ON t.lang = m.lang, range(1, 5) AS s(k), c AS l, c AS r
+  WHERE k < m.size AND l.lang = m.lang AND l.phrase = array_to_string(w[1:k], ' ') AND r.lang = m.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+e AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM m AS o WHERE o.lang = b.lang AND o.phrase <> b.phrase AND o.a >= b.a AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"rule_ablations": rule_ablations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL, "rule_ablations": ABLATIONS_SQL}
+    return {"op6_quality_rules": OP6_SQL, "rule_ablations": ABLATIONS_SQL, "op11_phrases": OP11_SQL}
