@@ -19,7 +19,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 NEW_LETTERS = "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 NEW_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 #: Pieces that a task remembers before it starts anew, characters it works on at a time, and pieces of a long text at a time.
-REMEMBERED, CHARS, PIECES = 300_000, 1_000_000, 200_000
+REMEMBERED, CHARS, PIECES = 500_000, 4_000_000, 500_000
 #: Pieces of more bytes are contracted at all equal pairs at once.
 LONG = 1024
 #: Bytes, squared by word, that one recursive query over short pieces takes: its rows hold at most half as many ids.
@@ -53,26 +53,28 @@ WITH RECURSIVE t AS (
   WHERE NOT gone AND step < ?
 ) SELECT w, pos, id, done FROM t WHERE done OR step = ? ORDER BY w, pos
 """
-DECODE = """
-SELECT w, unhex(string_agg(coalesce(hex, error('no such token')), '' ORDER BY pos)) AS bytes
-FROM (SELECT w, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM start) LEFT JOIN tokens USING (id) GROUP BY w ORDER BY w
-"""
+DECODE = "SELECT unhex(string_agg(coalesce(hex, error('no such token')), '' ORDER BY pos)) AS bytes FROM start LEFT JOIN tokens USING (id)"
 
 
 def _class(ranges: str) -> str:
     return "[" + "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in ranges.split()) + "]"
 
 
+#: What the public pattern comes to in a text of ASCII alone, which the standard library matches faster.
+ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+
+
 class Splitter:
     """Parts a text as the tokenizer's own tables of letters and numbers do: texts with newer ones are few, and take a slower pattern."""
 
     def __init__(self, pattern: str) -> None:
+        self.ascii = re.compile(ASCII) if pattern == public_tokenizers.PATTERN else regex.compile(pattern)
         self.newer = re.compile(_class(NEW_LETTERS + " " + NEW_NUMBERS))
         self.plain = regex.compile(pattern)
         self.exact = regex.compile(pattern.replace(r"\p{L}", rf"[\p{{L}}--{_class(NEW_LETTERS)}]").replace(r"\p{N}", rf"[\p{{N}}--{_class(NEW_NUMBERS)}]"), regex.V1)
 
-    def of(self, text: str) -> regex.Pattern:
-        return self.plain if text.isascii() or not self.newer.search(text) else self.exact
+    def of(self, text: str) -> re.Pattern | regex.Pattern:
+        return self.ascii if text.isascii() else self.plain if not self.newer.search(text) else self.exact
 
 
 def read_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -88,7 +90,7 @@ class Coder:
         self.ranks = ranks
         self.ids: dict[str, bytes] = {}
         self.bytes: dict[str, bytes] = {}
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], "<i4")
         merges = np.array([(a, b, m) for token, m in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None] or np.empty((0, 3)), np.int64)
         # a token is safe if all it can join comes after it: equal pairs then follow one another
         least = np.full(max(ranks.values()) + 1, 1 << 31)
@@ -97,6 +99,8 @@ class Coder:
         self.con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         self._put("given", {"pair": merges[:, 0] << 32 | merges[:, 1], "m": merges[:, 2].astype(np.int32), "safe": least[merges[:, 2]] > merges[:, 2]})
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
+        self.width = np.zeros(len(least), np.int64)
+        self.width[list(ranks.values())] = [len(t) for t in ranks]
         self._put("given", {"id": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
         self.con.execute("CREATE TABLE tokens AS SELECT * FROM given")
 
@@ -106,13 +110,9 @@ class Coder:
     def _rows(self, query: str, *given) -> pa.Table:
         return self.con.sql(query, params=list(given)).to_arrow_table()
 
-    def _lists(self, lists: list[np.ndarray]) -> None:
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        self._put("start", {"w": np.arange(len(lists), dtype=np.int32), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists), pa.int32()))})
-
     def contract(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word (not empty) after all contractions."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
+        out: list[np.ndarray] = [np.empty(0, "<i4")] * len(words)
         start = [self.single[np.frombuffer(x, np.uint8)] for x in words]
         groups, room = [[]], SQUARES
         for i, x in enumerate(words):
@@ -123,7 +123,8 @@ class Coder:
                 groups[-1].append(i)
                 room -= len(x) ** 2
         for short in filter(None, groups):
-            self._lists([start[i] for i in short])
+            sizes = np.cumsum([0] + [len(words[i]) for i in short]).astype(np.int32)
+            self._put("start", {"w": np.arange(len(short), dtype=np.int32), "ids": pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([start[i] for i in short]), pa.int32()))})
             found = self._rows(CONTRACT)["ids"].combine_chunks()
             ends, ids = found.offsets.to_numpy(), found.values.to_numpy()
             for n, i in enumerate(short):
@@ -139,10 +140,14 @@ class Coder:
                 out[i] = ids
         return out
 
-    def decode(self, lists: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each list of ids (not empty)."""
-        self._lists(lists)
-        return self._rows(DECODE)["bytes"].to_pylist()
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of neighbouring stretches of ``ids``, of so many ids each; an unknown id is an error."""
+        if not len(ids):
+            return [b""] * len(sizes)
+        self._put("start", {"id": ids, "pos": np.arange(len(ids), dtype=np.int64)})
+        text = self._rows(DECODE)["bytes"][0].as_py()
+        ends = np.concatenate([[0], np.cumsum(self.width[ids])])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [text[a:b] for a, b in zip(ends, ends[1:])]
 
     def learn(self, pieces: set[str]) -> None:
         """Codes the pieces that aren't remembered; a piece that is a token is that token."""
@@ -150,20 +155,20 @@ class Coder:
             self.ids, self.bytes = {}, {}
         new = [p for p in pieces if p not in self.ids]
         raw = [p.encode("utf-8") for p in new]
-        parts = [i for i, x in enumerate(raw) if x not in self.ranks]
-        coded = [np.array([self.ranks.get(x, 0)], np.int32) for x in raw]
-        for i, ids in zip(parts, self.contract([raw[i] for i in parts]) if parts else []):
-            coded[i] = ids
+        coded = [self.ranks[x].to_bytes(4, "little") if x in self.ranks else b"" for x in raw]
+        parts = [i for i, x in enumerate(coded) if not x]
+        for i, ids in zip(parts, self.contract([raw[i] for i in parts])):
+            coded[i] = ids.tobytes()
         if new:
-            self.ids.update(zip(new, (x.astype("<u4").tobytes() for x in coded)))
-            self.bytes.update(zip(new, self.decode(coded)))
+            self.ids.update(zip(new, coded))
+            self.bytes.update(zip(new, self.decode(np.frombuffer(b"".join(coded), "<i4"), np.array([len(x) // 4 for x in coded]))))
 
     def code(self, texts: list[str], splitter: Splitter) -> tuple[list[bytes], list[bytes]]:
         """Ids and decoded bytes of each text; a long text in blocks of pieces."""
         ids, decoded = [bytearray() for _ in texts], [bytearray() for _ in texts]
 
         def flush(blocks: list[tuple[int, list[str]]]) -> None:
-            self.learn({p for _, block in blocks for p in block})
+            self.learn(set().union(*(block for _, block in blocks)))
             for i, block in blocks:
                 ids[i] += b"".join(map(self.ids.__getitem__, block))
                 decoded[i] += b"".join(map(self.bytes.__getitem__, block))
@@ -239,11 +244,8 @@ def decode_ids(coded: DataFrame, path: str | None = None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(key, shared.value)
         for batch in batches:
-            lists = [np.frombuffer(x or b"", "<u4").astype(np.int32) for x in batch.column(1).to_pylist()]
-            out = [b""] * len(lists)
-            full = [i for i, x in enumerate(lists) if len(x)]
-            for i, x in zip(full, coder.decode([lists[i] for i in full]) if full else []):
-                out[i] = x
+            ids = [x or b"" for x in batch.column(1).to_pylist()]
+            out = coder.decode(np.frombuffer(b"".join(ids), "<i4"), np.array([len(x) // 4 for x in ids], np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
 
     return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, decoded binary")

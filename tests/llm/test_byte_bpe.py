@@ -37,6 +37,13 @@ def test_classes_of_every_code_point(kind):
     assert set(B.Splitter(kind).exact.findall(text)) == set(bytes(one.encode_ordinary(text)).decode())
 
 
+def test_ascii_is_parted_alike():
+    rng = random.Random(7)
+    for _ in range(3000):
+        text = "".join(chr(rng.randrange(128)) if rng.random() < 0.5 else rng.choice(" \n'stre19a_") for _ in range(rng.randrange(30)))
+        assert SPLITTER.ascii.findall(text) == SPLITTER.plain.findall(text) == SPLITTER.exact.findall(text)
+
+
 def test_all_code_points(coder):
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000][::7]
     same(coder, [" ".join(f"a{chr(c)}1{chr(c)} {chr(c)}{chr(c)}." for c in points[i : i + 2000]) for i in range(0, len(points), 2000)])
@@ -74,6 +81,16 @@ def test_blocks_and_forgetting(monkeypatch):
     same(B.Coder(RANKS), [" ".join("".join(rng.choices("abcde", k=rng.randrange(1, 6))) for _ in range(rng.randrange(60))) for _ in range(60)])
 
 
+def test_ids_that_no_text_gives(coder):
+    """Any ids decode, also in an order that encoding never makes; an unknown one is an error."""
+    rng = random.Random(5)
+    ids = [rng.choices(range(len(RANKS)), k=rng.randrange(9)) for _ in range(50)]
+    flat = B.np.array([x for y in ids for x in y], "<i4")
+    assert coder.decode(flat, B.np.array([len(x) for x in ids])) == [LIBRARY.decode_bytes(x) for x in ids]
+    with pytest.raises(Exception):
+        coder.decode(B.np.array([len(RANKS)], "<i4"), B.np.array([1]))
+
+
 def digests(text):
     ids = LIBRARY.encode_ordinary(text or "")
     return len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
@@ -85,7 +102,7 @@ def test_rows(spark):
     assert {i: r.n_tokens for i, r in rows.items()} == {i: digests(t)[0] for i, t in enumerate(texts)}
     again = {r.doc_id: bytes(r.decoded) for r in B.decode_ids(B.code_texts(documents(spark, texts))).collect()}
     assert again == {i: (t or "").encode() for i, t in enumerate(texts)} == {i: bytes(r.decoded) for i, r in rows.items()}
-    assert B.code_texts(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert B.code_texts(spark.createDataFrame([], SCHEMA)).count() == 0 == B.decode_ids(B.code_texts(spark.createDataFrame([], SCHEMA))).count()
     twice = spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")
     assert [(r.doc_id, r.n_tokens) for r in B.code_texts(twice).collect()] == [(None, 2)] * 2
 
