@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.llm.tables import small, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Shares are whole numbers out of so many; documents that a kept term is in; terms reported for each group.
 SCALE, LEAST, TOP = 1_000_000_000, 3, 200
 #: Winners of a group are first taken by so many parts of its terms.
 PARTS = 32
+#: A task sums up so many terms of its groups before it hands them on; a long text is parted in stretches of so many bytes.
+HELD, STRETCH = 1_000_000, 1 << 22
+
+#: Letters fold to lower case, bytes beyond ASCII stay, all else parts terms.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
 def share(count: Column | str, total: Column | str, kept: Column | str) -> Column:
@@ -29,15 +35,48 @@ def gap(p: Column | str, q: Column | str) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _stretches(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text, in lists of a bounded stretch each."""
+    at = 0
+    while len(text) - at > STRETCH:
+        end = text.find(b" ", at + STRETCH)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+    yield text[at:].split()
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, source, term, n, d``: occurrences and rows of each term in each group, summed up over a bounded number of terms."""
+    n, d = defaultdict(Counter), defaultdict(Counter)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), counts in n.items():
+            rows = d[lang, source]
+            columns = [pa.array([x] * len(counts), pa.string()) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array([rows[t] for t in counts], pa.int64())], ["lang", "source", "term", "n", "d"])
+        n.clear()
+        d.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+            group, seen = (lang, source), set()
+            for terms in _stretches(text.translate(_FOLD)):
+                n[group].update(terms)
+                seen.update(terms)
+            d[group].update(seen)
+        if sum(map(len, n.values())) > HELD:
+            yield from out()
+    yield from out()
+
+
 def term_vectors(texts: DataFrame, least: int = LEAST) -> DataFrame:
     """``lang, term, total, counts``: each term of ``least`` documents or more of its language, and its counts by source, as an array sorted by source.
 
     ``texts`` has ``lang, source, text`` without nulls.  Occurrences and documents are summed before each shuffle.
     """
-    found = texts.select("lang", "source", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("_t"))
-    each = found.select("lang", "source", F.explode("_t").alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))
-    once = found.select("lang", "source", F.explode(F.array_distinct("_t")).alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))
-    counts = each.union(once).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    found = texts.select("lang", "source", F.col("text").cast("binary")).mapInArrow(_sums, "lang string, source string, term binary, n long, d long")
+    counts = found.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     vectors = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("d").alias("_d"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("counts"))
     return vectors.where(F.col("_d") >= least).drop("_d")
 

@@ -49,8 +49,10 @@ def table_of(spark, rows):
     return spark.createDataFrame([(i, t, lang, source, 7, "k", 1) for i, (lang, source, t) in enumerate(rows)], SCHEMA)
 
 
-@pytest.mark.parametrize("least, top", [(3, 200), (1, 4), (1000, 200)])
-def test_audit_by_brute_force(spark, least, top):
+@pytest.mark.parametrize("least, top, held, stretch", [(3, 200, 1_000_000, 1 << 22), (1, 4, 5, 7), (1000, 200, 50, 1)])
+def test_audit_by_brute_force(spark, monkeypatch, least, top, held, stretch):
+    monkeypatch.setattr(D, "HELD", held)
+    monkeypatch.setattr(D, "STRETCH", stretch)
     rows = some_rows()
     assert sorted(tuple(r) for r in D.audit(table_of(spark, rows), least, top).collect()) == by_brute_force(rows, least, top)
 
