@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.functions import numbers as N, text as T
+from assayer.operators.running import running
+from assayer.operators.tables import written
 
 #: Entries a memory holds, neighbours, least similarity, candidates by overlap, share of smoothing.
 CAPACITY, K, MIN_SIM, CANDIDATES, SMOOTH = 2000, 5, 0.35, 200, 0.1
@@ -17,6 +19,9 @@ CAPACITY, K, MIN_SIM, CANDIDATES, SMOOTH = 2000, 5, 0.35, 200, 0.1
 EXACT = 4 * CAPACITY
 #: An index or vectors of up to so many rows are broadcast to the queries; beyond it the join shuffles.
 BROADCAST_INDEX, BROADCAST_ENTRIES = 4_000_000, 50_000
+#: Vectors of up to so many bytes are broadcast; a log is ordered in blocks of so many places; queries of one state and block beyond
+#: so many are dealt over several tasks.
+BROADCAST_BYTES, PLACES, HOT = 64 << 20, 20_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -96,31 +101,103 @@ def votes(near: DataFrame, weights: DataFrame, options: list[str], smooth: float
     return out.where(N.total(F.col("v")) > 0).select("id", "near", "best_sim", N.smoothed(N.normalized(F.col("v")), smooth).alias("probs"))
 
 
+def placed(queries: DataFrame, entries: DataFrame, sums: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``id, known`` of the queries, the number of entries before each, and ``entry, place`` of the entries, from 1 in log order.
+
+    ``sums`` are columns of the entries (numbers) whose totals before it each query also gets.  Both are counted by blocks of the log.
+    """
+    sums = sums or {}
+    asked = queries.select("id", "seq", F.lit(0).alias("_kind"), *(F.lit(0.0).alias(k) for k in sums))
+    given = entries.select("id", "seq", F.lit(1).alias("_kind"), *(v.cast("double").alias(k) for k, v in sums.items()))
+    run = running(asked.union(given), [], F.floor(F.col("seq") / PLACES), [F.asc("seq"), F.asc("_kind")], {"known": F.col("_kind"), **{k: F.col(k) for k in sums}})
+    return run.where("_kind = 0").select("id", "known", *sums), run.where("_kind = 1").select(F.col("id").alias("entry"), F.col("known").alias("place"))
+
+
+def neighbours_as_of(queries: DataFrame, entries: DataFrame, capacity: int = CAPACITY, search: Search = Search()) -> DataFrame:
+    """``id, entry, sim, rank``: the most similar entries of a memory as it was when each query came: the ``capacity`` newest before it.
+
+    Both sides as ``with_vectors`` gives them, ids without repeats.  Features that more than a quarter of that memory has find no candidates
+    but count in the similarity; the ``CANDIDATES`` entries with most of the other features in common are compared, ties to the older.
+
+    The log is cut in blocks of ``capacity`` entries.  A query's memory lies in the block of its newest entry and the block before, so a feature's
+    places in two blocks, at most twice the capacity, are one row of the index, and a query's feature meets one row, of which it keeps the
+    places within its memory: nothing is joined that the memory can't hold.  Candidates whose shared features can't reach the least similarity
+    are left before any vector is fetched; vectors are broadcast only up to a counted size.
+    """
+    known, places = placed(queries, entries)
+    held = entries.join(places.withColumnRenamed("entry", "id"), "id")
+    held = written(held.select(F.col("id").alias("entry"), "place", F.col("t").alias("et"), F.col("c").alias("ec")), "memory")
+    block = F.floor((F.col("place") - 1) / capacity)
+    used = held.select("place", F.explode(F.array(block, block + 1)).alias("block"), F.concat("et", "ec").alias("fs")).select("place", "block", F.explode("fs").alias("f"))
+    index = used.groupBy("block", "f").agg(F.collect_list("place").alias("places"))  # at most twice the capacity in one
+
+    asked = queries.join(known.where("known > 0"), "id").select("id", "known", F.floor((F.col("known") - 1) / capacity).alias("block"), F.explode(F.concat("t", "c")).alias("f"))
+    limit = F.greatest(F.lit(5), F.least(F.lit(search.cap), F.floor(F.least("known", F.lit(capacity)) / 4)))
+    within = F.filter("places", lambda p: (p <= F.col("known")) & (p > F.col("known") - capacity))
+    frequent = F.array(F.lit(0).cast("long"))  # stands for a frequent feature
+    # at most `capacity` of the places are outside the memory, so longer rows needn't be looked at
+    hits = F.when(F.size("places") > limit + capacity, frequent).otherwise(F.transform(F.array(within), lambda w: F.when(F.size(w) > limit, frequent).otherwise(w))[0])
+    met = asked.join(index, ["block", "f"]).select("id", F.explode(hits).alias("place")).groupBy("id", "place").agg(F.count("*").alias("overlap"))
+    of = Window.partitionBy("id")
+    near = met.withColumn("_more", F.coalesce(F.max(F.when(F.col("place") == 0, F.col("overlap"))).over(of), F.lit(0))).where("place > 0")
+    near = near.withColumn("_r", F.row_number().over(of.orderBy(F.desc("overlap"), "place"))).where(F.col("_r") <= CANDIDATES)
+
+    size = lambda x: (F.size(f"{x}t").alias(f"_{x}t"), F.size(f"{x}c").alias(f"_{x}c"))
+    near = near.join(queries.select("id", *size("")), "id").join(held.select("place", *size("e")), "place")
+    most, unit = F.col("overlap") + F.col("_more"), lambda t, c: F.when(F.col(t) > 0, 1.0).otherwise(0.0) + F.col(c)
+    text = F.least(most, F.col("_t"), F.col("_et")) / F.sqrt(F.greatest(F.col("_t"), F.lit(1)) * F.greatest(F.col("_et"), F.lit(1)))
+    bound = (text + F.least(most, F.col("_c"), F.col("_ec"))) / F.sqrt(unit("_t", "_c") * unit("_et", "_ec"))
+    pairs = near.where(bound >= search.min_sim - 1e-6).select("id", "place").join(queries.select("id", "t", "c"), "id")
+    bytes_ = held.agg(F.sum(F.size("et") + F.size("ec") + 8)).first()[0] or 0
+    found = pairs.join(F.broadcast(held) if 8 * bytes_ <= BROADCAST_BYTES else held, "place").select("id", "entry", cosine().alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "entry"))
+    return found.where(F.col("sim") >= search.min_sim).withColumn("rank", rank).where(F.col("rank") <= search.k)
+
+
 def exact_answers(queries: DataFrame, labelled: DataFrame, options: list[str], capacity: int = EXACT) -> DataFrame:
-    """``id, exact``: the smoothed answer of the newest of the weightiest earlier labels of the very same state.
+    """``id, exact``: the smoothed answer of the newest of the weightiest labels of the very same state, among the ``capacity`` newest before each query.
 
-    ``labelled`` has ``seq, state, label, weight``; the newest ``capacity`` of them are looked at.
+    ``labelled`` has ``id, seq, state, label, weight``.  In blocks of ``capacity`` labels, what a query may see is the end of one block and the
+    beginning of the next: a running best from either side.  A task orders one state's rows of one block; where very many queries share
+    a state they are dealt over tasks, each with that state's labels of the block.
     """
-    known = labelled.select(F.col("seq").alias("eseq"), "state", "label", "weight").orderBy(F.desc("eseq")).limit(capacity)
-    rows = queries.select("id", "seq", "state").join(F.broadcast(known), "state").where("eseq < seq")  # capacity rows at most
-    best = rows.groupBy("id").agg(F.max(F.struct("weight", "eseq", "label"))["label"].alias("label"))
+    known, places = placed(queries, labelled)
+    asked = queries.select("id", "state").join(known.where("known > 0"), "id")
+    at, to = F.floor((F.col("known") - 1) / capacity), F.col("known")
+    asked = asked.select("id", "state", F.explode(F.array(*(F.struct(b.alias("block"), F.lit(way).alias("way"), o.alias("o")) for b, way, o in ((at, 0, 2 * to + 1), (at - 1, 1, 2 * (capacity - to) - 1))))).alias("x")).select("id", "state", "x.*")
+    said = labelled.join(places.withColumnRenamed("entry", "id"), "id").select("state", F.floor((F.col("place") - 1) / capacity).alias("block"), F.struct("weight", "place", "label").alias("best"))
+    said = said.select("state", "block", "best", F.explode(F.array(*(F.struct(F.lit(way).alias("way"), (2 * sign * F.col("best.place")).alias("o")) for way, sign in ((0, 1), (1, -1))))).alias("x")).select("state", "block", "best", "x.*")
+    keys = ["state", "block", "way"]
+    asked = asked.join(said.select(*keys).distinct(), keys, "left_semi")
+    parts = asked.groupBy(*keys).agg(F.ceil(F.count("*") / HOT).cast("int").alias("_n")).where("_n > 1")
+    n = F.coalesce("_n", F.lit(1))
+    asked = asked.join(parts, keys, "left").select("id", *keys, "o", F.pmod(F.xxhash64("id"), n).cast("int").alias("part"), F.lit(None).cast(said.schema["best"].dataType).alias("best"))
+    said = said.join(parts, keys, "left").select(F.lit(None).cast("long").alias("id"), *keys, "o", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"), "best")
+    so_far = F.max("best").over(Window.partitionBy(*keys, "part").orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+    best = asked.union(said).withColumn("_b", so_far).where("id is not null").groupBy("id").agg(F.max("_b")["label"].alias("label")).where("label is not null")
     one = F.array(*(F.when(F.col("label") == o, 1.0).otherwise(0.0) for o in options))
     return best.select("id", N.smoothed(one, SMOOTH).alias("exact"))
 
 
 def memory_vote(queries: DataFrame, labelled: DataFrame, options: list[str]) -> DataFrame:
-    """``id, near, best_sim, probs``: the answer of the same state if one is known, else the vote of similar earlier ones.
+    """``id, near, best_sim, exact, probs``: the answer of the same state if one is known, else the vote of similar earlier ones.
 
-    Both sides as ``with_vectors`` gives them, ``labelled`` with ``label`` and ``weight``; the memory is its newest CAPACITY rows.
-    ``probs`` is null where nothing is known; a query never meets its own or a later label.
+    Both sides as ``with_vectors`` gives them, ``labelled`` with ``label`` and ``weight``; a query meets the memory as it was when the query came:
+    the newest CAPACITY labels before it, and the newest EXACT for the same state.  ``probs`` is null where nothing is known.
     """
-    memory = labelled.where("label is not null").orderBy(F.desc("seq")).limit(CAPACITY)
-    vote = votes(neighbours(queries, memory), memory.select(F.col("id").alias("entry"), "label", "weight"), options, SMOOTH)
-    exact = exact_answers(queries, labelled.where("label is not null"), options)
-    out = queries.select("id").join(vote, "id", "left").join(exact, "id", "left")
+    known = labelled.where("label is not null")
+    vote = votes(neighbours_as_of(queries, known, CAPACITY), known.select(F.col("id").alias("entry"), "label", "weight"), options, SMOOTH)
+    out = queries.select("id").join(vote, "id", "left").join(exact_answers(queries, known, options, EXACT), "id", "left")
     return out.select("id", F.coalesce("near", F.lit(0)).alias("near"), "best_sim", F.col("exact").isNotNull().alias("exact"), F.coalesce("exact", "probs").alias("probs"))
 
 
+def counts_before(queries: DataFrame, labelled: DataFrame, options: list[str]) -> DataFrame:
+    """``id, counts``: how many earlier labels each option has, in option order."""
+    names = [f"_c{i}" for i in range(len(options))]
+    known = placed(queries, labelled.where("label is not null"), {n: (F.col("label") == o).cast("int") for n, o in zip(names, options)})[0]
+    return known.select("id", F.array(*names).alias("counts"))
+
+
 def vector_neighbours(queries: DataFrame, vectors: DataFrame, k: int = K, block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query, vec_id, sim, rank``: the k most similar vectors of each query, by cosine, itself left out.
 

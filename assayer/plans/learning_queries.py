@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayer.functions import numbers as N, text as T
 from assayer.operators import contract as C, patches as P, similarity as S
 from assayer.operators.learners import Drift, Softmax, drift_signal as drift, familiar_share, fold, linear_reasons, linear_scores, linear_weights, two_forecasters
+from assayer.operators.tables import written
 from assayer.operators.rules import Condition, Rule, forced_by_rules
 from assayer.plans.registry import query
 from assayer.plans.text_queries import FEAT
@@ -21,31 +22,37 @@ ov AS (SELECT x.doc_id AS id, ex.doc_id AS entry, count(*) AS o FROM x JOIN rare
 cand AS (SELECT id, entry FROM ov QUALIFY row_number() OVER (PARTITION BY id ORDER BY o DESC, entry) <= 200),
 al AS (SELECT x.doc_id AS id, ex.doc_id AS entry, round(count(*) / sqrt(any_value(x.n)::DOUBLE * any_value(ex.n)), 9) AS sim FROM x JOIN ex USING (f) WHERE ex.doc_id < x.doc_id GROUP BY 1, 2),
 sims AS (SELECT al.* FROM al JOIN cand USING (id, entry)), state AS (SELECT doc_id, sha256(trim(coalesce(text, ''))) AS state FROM documents)"""
+#: The same for a memory that moves: the 2000 newest entries before each document; ``lab`` is to be given.
+ASOF = FEAT + """, x AS (SELECT doc_id, unnest(f) AS f, len(f) AS n FROM feat), mem AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM lab), ex AS (SELECT x.*, r FROM x JOIN mem USING (doc_id)),
+pos AS (SELECT d.doc_id, coalesce(sum(CASE WHEN mem.r IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known FROM documents d LEFT JOIN mem USING (doc_id)),
+al AS (SELECT x.doc_id AS id, ex.doc_id AS entry, x.n, ex.n AS m, known, count(*) OVER (PARTITION BY x.doc_id, x.f) AS df FROM x JOIN pos USING (doc_id) JOIN ex USING (f) WHERE ex.r <= known AND ex.r > known - 2000),
+ov AS (SELECT id, entry, count(*) FILTER (df <= greatest(5, least(known, 2000) // 4)) AS o, round(count(*) / sqrt(any_value(n)::DOUBLE * any_value(m)), 9) AS sim FROM al GROUP BY 1, 2),
+sims AS (SELECT id, entry, sim FROM ov WHERE o > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY o DESC, entry) <= 200),
+state AS (SELECT doc_id, sha256(trim(coalesce(text, ''))) AS state FROM documents),
+same AS (SELECT q.doc_id AS id, arg_max(e.doc_id, e.doc_id) AS entry FROM state q JOIN pos ON pos.doc_id = q.doc_id JOIN state e USING (state) JOIN mem ON mem.doc_id = e.doc_id WHERE r <= known AND r > known - 8000 GROUP BY 1)"""
 LABELLED = "lab AS (SELECT doc_id, quality::VARCHAR AS label FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Documents as states, and those with a quality label as entries."""
-    docs = S.with_vectors(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").persist()  # tokenised once, used by each join
+    docs = written(S.with_vectors(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), "vectors").drop("doc_id")  # tokenised once, used by each join
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label"), F.lit(1.0).alias("weight"))
     return docs, docs.join(labels.where("label is not null"), "id")
 
 
-@query(f"""WITH {LABELLED}, mem AS (SELECT * FROM lab ORDER BY doc_id DESC LIMIT 2000), {NEAR.replace("$CAP", "2000")},
+@query(f"""WITH {LABELLED}, {ASOF},
 near AS (SELECT * FROM sims WHERE sim >= 0.35 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, entry) <= 5),
 vote AS (SELECT id, count(*) AS near, sum(CASE WHEN label = '1' THEN sim * sim ELSE 0 END) AS a, sum(sim * sim) AS t FROM near JOIN mem ON entry = mem.doc_id GROUP BY id),
-recent AS (SELECT * FROM lab ORDER BY doc_id DESC LIMIT 8000),
-same AS (SELECT q.doc_id AS id, arg_max(r.label, r.doc_id) AS label FROM state q JOIN state e USING (state) JOIN recent r ON r.doc_id = e.doc_id WHERE r.doc_id < q.doc_id GROUP BY 1),
-prior AS (SELECT (count(*) FILTER (label = '1') + 0.5) / (count(*) + 1) AS p FROM lab),
-f AS (SELECT d.doc_id, coalesce(v.near, 0)::BIGINT AS near, s.label IS NOT NULL AS exact, coalesce(CASE s.label WHEN '1' THEN 0.95 WHEN '0' THEN 0.05 END, v.a / v.t * 0.9 + 0.05, prior.p) AS p FROM documents d LEFT JOIN vote v ON v.id = d.doc_id LEFT JOIN same s ON s.id = d.doc_id, prior)
+said AS (SELECT id, label FROM same JOIN mem ON entry = mem.doc_id),
+prior AS (SELECT d.doc_id, (coalesce(sum(CASE WHEN label = '1' THEN 1 ELSE 0 END) OVER w, 0) + 0.5) / (known + 1) AS p FROM documents d LEFT JOIN lab USING (doc_id) JOIN pos ON pos.doc_id = d.doc_id WINDOW w AS (ORDER BY d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT d.doc_id, coalesce(v.near, 0)::BIGINT AS near, s.label IS NOT NULL AS exact, coalesce(CASE s.label WHEN '1' THEN 0.95 WHEN '0' THEN 0.05 END, v.a / v.t * 0.9 + 0.05, prior.p) AS p FROM documents d LEFT JOIN vote v ON v.id = d.doc_id LEFT JOIN said s ON s.id = d.doc_id JOIN prior ON prior.doc_id = d.doc_id)
 SELECT doc_id, near, exact, CASE WHEN p >= 0.5 THEN 'true' ELSE 'false' END AS answer, round(greatest(p, 1 - p), 6) AS confidence, 0.9::DOUBLE AS threshold, 'costs' AS rule, greatest(p, 1 - p) < 0.9 AS abstain FROM f""")
 def minimum_slice(spark: SparkSession, d: str) -> DataFrame:
     """Is a document of good quality, and would a policy with those costs answer?  The same state's answer, else the vote of
-    similar earlier labels, else base rates; then the contract."""
+    similar labels, else base rates, each as it was when the document came; then the contract."""
     docs, labelled = _vectors(spark, d)
-    rates = labelled.agg(*(F.count_if(F.col("label") == o).cast("double").alias(f"c{o}") for o in ("1", "0"))).select(P.base_rates(F.array("c1", "c0")).alias("prior"))
-    vote = S.memory_vote(docs, labelled, ["1", "0"]).join(F.broadcast(rates))  # one row of base rates
-    rows = vote.select(F.col("id").alias("doc_id"), "near", "exact", F.coalesce("probs", "prior").alias("probs"))
+    vote = S.memory_vote(docs, labelled, ["1", "0"]).join(S.counts_before(docs, labelled, ["1", "0"]), "id")
+    rows = vote.select(F.col("id").alias("doc_id"), "near", "exact", F.coalesce("probs", P.base_rates(F.col("counts"))).alias("probs"))
     rows = rows.withColumn("d", C.Policy(cost_wrong=10, cost_abstain=1).decide(F.col("probs"), ["true", "false"]))
     return rows.select("doc_id", "near", "exact", "d.answer", F.round(F.array_max("probs"), 6).alias("confidence"), "d.threshold", "d.rule", "d.abstain")
 
@@ -53,26 +60,27 @@ def minimum_slice(spark: SparkSession, d: str) -> DataFrame:
 #: One question of ``decide_documents`` in SQL: votes, the same state's label, base rates, the policy, a rule, who answers.
 ASKED = """SELECT doc_id, '$Q' AS question, CASE WHEN short THEN '$F' WHEN p >= 0.5 THEN 'true' ELSE 'false' END AS answer, round(CASE WHEN short THEN 1 ELSE greatest(p, 1 - p) END, 6) AS confidence, NOT short AND greatest(p, 1 - p) < 0.9 AS abstain,
  CASE WHEN short THEN 'rule' WHEN asks AND greatest(p, 1 - p) < 0.9 THEN 'teacher' ELSE 'student' END AS source FROM (SELECT d.doc_id, coalesce(length(d.text), 0) < 200 AS short, d.doc_id % 5 = 0 AS asks,
- coalesce((SELECT CASE arg_max(r.$Q, r.doc_id) WHEN 1 THEN 0.95 WHEN 0 THEN 0.05 END FROM state q JOIN state e USING (state) JOIN recent r ON r.doc_id = e.doc_id WHERE q.doc_id = d.doc_id AND r.doc_id < d.doc_id), v.p, b.p) AS p
- FROM documents d LEFT JOIN (SELECT id, sum(CASE WHEN $Q = 1 THEN sim * sim ELSE 0 END) / sum(sim * sim) * 0.9 + 0.05 AS p FROM near JOIN mem ON entry = mem.doc_id GROUP BY id) v ON v.id = d.doc_id, (SELECT (sum($Q) + 0.5) / (count(*) + 1) AS p FROM lab) b)"""
+ coalesce(CASE u.$Q WHEN 1 THEN 0.95 WHEN 0 THEN 0.05 END, v.p, b.p) AS p
+ FROM documents d LEFT JOIN (SELECT id, sum(CASE WHEN $Q = 1 THEN sim * sim ELSE 0 END) / sum(sim * sim) * 0.9 + 0.05 AS p FROM near JOIN mem ON entry = mem.doc_id GROUP BY id) v ON v.id = d.doc_id LEFT JOIN (SELECT id, $Q FROM same JOIN mem ON entry = mem.doc_id) u ON u.id = d.doc_id,
+ LATERAL (SELECT (coalesce(sum($Q), 0) + 0.5) / (count(*) + 1) AS p FROM lab WHERE lab.doc_id < d.doc_id) b)"""
 
 
-@query("WITH lab AS (SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)), mem AS (SELECT * FROM lab ORDER BY doc_id DESC LIMIT 2000), " + NEAR.replace("$CAP", "2000") + """,
-near AS (SELECT * FROM sims WHERE sim >= 0.35 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, entry) <= 5), recent AS (SELECT * FROM lab ORDER BY doc_id DESC LIMIT 8000) """ + ASKED.replace("$Q", "quality").replace("$F", "false") + " UNION ALL " + ASKED.replace("$Q", "toxic").replace("$F", "false"))
+@query("WITH lab AS (SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)), " + ASOF + """,
+near AS (SELECT * FROM sims WHERE sim >= 0.35 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, entry) <= 5) """ + ASKED.replace("$Q", "quality").replace("$F", "false") + " UNION ALL " + ASKED.replace("$Q", "toxic").replace("$F", "false"))
 def decide_documents(spark: SparkSession, d: str) -> DataFrame:
     """Two questions of each document: a rule, else the student with a policy, and the teacher is asked where it abstains and may."""
     texts = table(spark, d, "documents").select("doc_id", "text")
-    docs = S.with_vectors(texts, "doc_id", "text").join(texts.select(F.col("doc_id").alias("id"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")), "id").drop("doc_id").persist()
+    docs = S.with_vectors(texts, "doc_id", "text").join(texts.select(F.col("doc_id").alias("id"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")), "id").drop("doc_id")
+    docs = written(docs, "vectors")
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), *(F.col(q).cast("string").alias(q) for q in ("quality", "toxic")), F.lit(1.0).alias("weight"))
     labelled = docs.join(labels, "id")
-    memory = labelled.orderBy(F.desc("seq")).limit(S.CAPACITY)
-    near = S.neighbours(docs, memory).persist()
+    near = written(S.neighbours_as_of(docs, labelled, S.CAPACITY), "near")
     short, policy, out = [Rule("short", "false", [Condition("n_chars", "<", 200)])], C.Policy(cost_wrong=10, cost_abstain=1), []
     for q in ("quality", "toxic"):
-        vote = S.votes(near, memory.select(F.col("id").alias("entry"), F.col(q).alias("label"), "weight"), ["1", "0"], S.SMOOTH)
+        vote = S.votes(near, labelled.select(F.col("id").alias("entry"), F.col(q).alias("label"), "weight"), ["1", "0"], S.SMOOTH)
         same = S.exact_answers(docs, labelled.withColumn("label", F.col(q)), ["1", "0"])
-        rates = labelled.agg(*(F.count_if(F.col(q) == o).cast("double").alias(f"c{o}") for o in ("1", "0"))).select(P.base_rates(F.array("c1", "c0")).alias("prior"))
-        rows = docs.select("id", "n_chars").join(vote, "id", "left").join(same, "id", "left").join(F.broadcast(rates)).withColumn("probs", F.coalesce("exact", "probs", "prior"))  # one row of base rates
+        counts = S.counts_before(docs, labelled.withColumn("label", F.col(q)), ["1", "0"])
+        rows = docs.select("id", "n_chars").join(vote, "id", "left").join(same, "id", "left").join(counts, "id").withColumn("probs", F.coalesce("exact", "probs", P.base_rates(F.col("counts"))))
         rows = rows.withColumn("d", policy.decide(F.col("probs"), ["true", "false"])).select("id", "n_chars", "d.answer", F.array_max("probs").alias("confidence"), "d.abstain", F.lit("student").alias("source"))
         rows = forced_by_rules(rows, short, ["true", "false"])
         asked = (F.col("source") != "rule") & C.escalates(F.lit("auto"), F.when(F.col("id") % 5 == 0, "on_abstain").otherwise("off"), F.col("abstain"))
@@ -80,11 +88,11 @@ def decide_documents(spark: SparkSession, d: str) -> DataFrame:
     return out[0].union(out[1])
 
 
-@query(f"WITH {LABELLED}, mem AS (SELECT * FROM lab ORDER BY doc_id DESC LIMIT 2000), {NEAR.replace("$CAP", "2000")} SELECT id, entry, sim, (row_number() OVER (PARTITION BY id ORDER BY sim DESC, entry))::INT AS rank FROM sims WHERE sim >= 0.35 QUALIFY rank <= 5")
+@query(f"WITH {LABELLED}, {ASOF} SELECT id, entry, sim, (row_number() OVER (PARTITION BY id ORDER BY sim DESC, entry))::INT AS rank FROM sims WHERE sim >= 0.35 QUALIFY rank <= 5")
 def memory_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The labelled entries a vote is taken from, as an explanation shows them."""
     docs, labelled = _vectors(spark, d)
-    return S.neighbours(docs, labelled.orderBy(F.desc("seq")).limit(S.CAPACITY)).select("id", "entry", "sim", F.col("rank").cast("int").alias("rank"))
+    return S.neighbours_as_of(docs, labelled, S.CAPACITY).select("id", "entry", "sim", F.col("rank").cast("int").alias("rank"))
 
 
 @query("""WITH q AS (SELECT a.vec_id AS query, b.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
