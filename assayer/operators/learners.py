@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.functions import numbers as N
 from assayer.operators.running import running, running_least
+from assayer.operators.tables import written
 
 #: Fixed values of the learners.
 RATE, ACC_CAP, L2 = 0.5, 25.0, 1e-4
 WARN, DRIFT, MIN_SEEN, MIN_ERRORS = 2.0, 3.0, 100, 5
 ETA, SHARE, OUTPUT = 1.0, 0.02, 0.005
 KNOWN, NOTED, MOST_FOR, MOST_AGAINST = 0.05, 1e-3, 6, 4
+#: Rows after a start in which the next drift is looked for first.
+HORIZON = 1 << 16
+#: Weights at the start of a block are settled when no block moves them by more.
+SETTLED = 1e-13
 
 
 @dataclass
@@ -51,6 +56,7 @@ class Hedge:
     share of its weight to all."""
 
     weights: list[float]
+    share: float = SHARE
 
     def predict(self, losses_known: list[float | None]) -> list[float]:
         awake = [w if x is not None else 0.0 for w, x in zip(self.weights, losses_known)]
@@ -66,7 +72,7 @@ class Hedge:
         total = sum(new)
         for i, w in zip(awake, new):
             self.weights[i] = mass * w / total if total > 0 else self.weights[i]
-        self.weights = [(1 - SHARE) * w + SHARE / len(self.weights) for w in self.weights]
+        self.weights = [(1 - self.share) * w + self.share / len(self.weights) for w in self.weights]
 
     def combine(self, forecasts: list[list[float] | None], options: int) -> list[float]:
         """The mixture of the forecasts of those awake, smoothed; uniform if all sleep."""
@@ -160,44 +166,98 @@ def drift_signal(log: DataFrame, keys: list[str], order: str, error: Column, blo
     return rows.join(F.broadcast(first), keys).where("_end is null or n <= _end").drop("_end")  # one row for each key
 
 
-def two_forecasters(log: DataFrame, keys: list[str], block: Column, order: str, losses: tuple[Column, Column], weight: Column | None = None, prior: float = 0.5, share: float = SHARE) -> DataFrame:
-    """``log`` with ``w``, the second forecaster's weight before each row, as a gate of two learns it from their losses.
+def drift_restarts(log: DataFrame, keys: list[str], order: str, error: Column, block: int = 20_000) -> DataFrame:
+    """``keys, order, n, errors, status`` of every row, as ``Drift`` gives them: after each drift it starts anew.
 
-    A step multiplies the weights by a matrix, and matrices compose: each block gives one product, the blocks' products give each
-    block's start, and the rows of a block follow from there.  A task holds one block of one key.
+    A round finds the next drift of every key at once, among a horizon of rows after its start; where none is found the horizon doubles, so a key's
+    rows are looked at twice at most, in as many rounds as the key with most drifts has, and no task holds a key.  Between rounds a key is
+    one row: where it starts and how far it looks.
     """
-    weight = F.lit(1.0) if weight is None else weight
-    row = F.struct(F.col(order).alias("o"), F.exp(-weight * losses[0]).alias("a"), F.exp(-weight * losses[1]).alias("b"))
-    blocks = log.withColumn("_block", block).groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct(row.alias("r"), F.struct(*log.columns).alias("x")))).alias("rows")).persist()
-    stay, move = 1 - share / 2, share / 2
-
-    def times(m: Column, r: Column) -> Column:
-        """The step of ``r`` after the product ``m`` (p q / u v), scaled so that nothing vanishes."""
-        new = [stay * r["a"] * m[x] + move * r["b"] * m[y] if top else move * r["a"] * m[x] + stay * r["b"] * m[y] for top, x, y in ((True, "p", "u"), (True, "q", "v"), (False, "p", "u"), (False, "q", "v"))]
-        most = F.greatest(*new)
-        return F.struct(*((c / most).alias(k) for c, k in zip(new, "pquv")))
-
-    one = F.struct(*(F.lit(x).alias(k) for k, x in zip("pquv", (1.0, 0.0, 0.0, 1.0))))
-    product = F.aggregate(F.transform("rows", lambda x: x["r"]), one, times)
-    start = F.array(F.struct(F.lit(1 - prior).alias("a"), F.lit(prior).alias("b"), F.lit(0).cast("long").alias("k")))
-
-    def after(done: Column, x: Column) -> Column:
-        w, m = F.element_at(done, -1), x["m"]
-        a, b = m["p"] * w["a"] + m["q"] * w["b"], m["u"] * w["a"] + m["v"] * w["b"]
-        return F.concat(done, F.array(F.struct((a / (a + b)).alias("a"), (b / (a + b)).alias("b"), (w["k"] + 1).alias("k"))))
+    rows = running(log.withColumn("_e", error.cast("int")), keys, F.floor(F.col(order) / block), [F.asc(order)], {"_sum": F.col("_e")})
+    rows = written(rows.select(*keys, order, "_e", "rank"), "drift")
+    cursor = rows.groupBy(*keys).agg(F.max("rank").alias("_total")).select(*keys, "_total", F.lit(0).cast("long").alias("_start"), F.lit(HORIZON).cast("long").alias("_wide"))
+    cursor, out = written(cursor, "starts"), None
+    while out is None or not cursor.isEmpty():
+        some = rows.join(cursor, keys).where("rank > _start and rank <= _start + _wide").withColumnRenamed("rank", "_rank")
+        found = written(drift_signal(some, keys, order, F.col("_e"), F.floor(F.col(order) / block)), "segments")
+        ends = found.groupBy(*keys, "_total", "_start", "_wide").agg(F.max("_rank").alias("_last"), F.max(F.col("status") == "drift").alias("_drift"))
+        settled = ends.where("_drift or _last = _total").select(*keys)
+        part = found.join(settled, keys, "left_semi").select(*keys, order, "n", "errors", "status")
+        out = part if out is None else out.union(part)
+        left = ends.where("_last < _total")
+        cursor = written(left.select(*keys, "_total", F.when(F.col("_drift"), F.col("_last")).otherwise(F.col("_start")).alias("_start"), F.when(F.col("_drift"), F.lit(HORIZON)).otherwise(2 * F.col("_wide")).cast("long").alias("_wide")), "starts")
+    return out
+
+
+def mixture_weights(log: DataFrame, keys: list[str], block: Column, order: str, losses: dict[str, Column], prior: list[float] | None = None, share: float = SHARE) -> DataFrame:
+    """``log`` with ``weights``: what each forecaster of a mixture weighs before each row, in the order of ``losses`` (null: it sleeps), as ``Hedge`` learns them.
+
+    Forecasters awake share their mass anew by their losses, those asleep keep theirs, so a step is no matrix and steps don't compose.  But each
+    step also hands a share of every weight to all, so a block soon forgets where it began: blocks run side by side, each from the end that the
+    block before it reached in the last round, until no end moves.  Then every block has begun where the one before it ended, and the weights are
+    those of the whole order: the first block is right after one round, each next one a round later at most, long blocks after two.  A task
+    holds one row of a block at a time; a round hands on one row for each block.  Ties in ``order`` are an error of the caller's.
+    """
+    k = len(losses)
+    begin, columns = prior or [1 / k] * k, log.columns
+    rows = log.withColumns({"_block": block, "_losses": F.array(*(c.cast("double") for c in losses.values()))})
+    rows = written(rows, "mixture")
+    names = [*keys, "_block"]
+    ends: DataFrame | None = None
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame, list[list[float]], Hedge]]:
+        now, state = None, None
+        for batch in batches:
+            for at, some in batch.groupby(names, sort=False, dropna=False):
+                if at != now:
+                    now, state = at, Hedge(list(begin if some["_w"].iloc[0] is None else some["_w"].iloc[0]), share)
+                before = []
+                for x in some["_losses"]:
+                    before.append(list(state.weights))
+                    state.step([None if v is None or v != v else v for v in x])
+                yield at, some, before, state
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a block may come in several batches; its last state is the one of most rows
+        seen: dict[tuple, int] = {}
+        for at, some, _, state in steps(batches):
+            seen[at] = seen.get(at, 0) + len(some)
+            yield pd.DataFrame([[*at, seen[at], state.weights]], columns=[*names, "_n", "_end"])
+            if len(seen) > 1:
+                seen = {at: seen[at]}
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, some, before, _ in steps(batches):
+            yield some[columns].assign(weights=before)
+
+    def ordered(starts: DataFrame | None) -> DataFrame:
+        given = rows.withColumn("_w", F.lit(None).cast("array<double>")) if starts is None else rows.join(starts, names, "left")
+        return given.repartition(*names).sortWithinPartitions(*names, order)
+
+    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    after = Window.partitionBy(*keys).orderBy("_block")
+    starts = None
+    while True:
+        found = ordered(starts).select(*names, "_losses", "_w").mapInPandas(last, f"{key_types}, _n long, _end array<double>")
+        found = written(found.groupBy(*names).agg(F.max_by("_end", "_n").alias("_end")), "ends")
+        starts = written(found.select(*names, F.lag("_end").over(after).alias("_w")).where("_w is not null"), "starts")
+        if ends is not None:
+            moved = found.join(ends.withColumnRenamed("_end", "_old"), names).select(F.array_max(F.zip_with("_end", "_old", lambda a, b: F.abs(a - b))).alias("d"))
+            if (moved.agg(F.max("d")).first()[0] or 0.0) <= SETTLED:
+                break
+        ends = found
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema)
+    return ordered(starts).mapInPandas(each, f"{out}, weights array<double>")
 
-    each = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_block", product.alias("m")))).alias("all"))  # one matrix for each block
-    starts = each.withColumn("w", F.aggregate("all", start, after)).select(*keys, F.explode(F.arrays_zip(F.col("all._block").alias("_block"), F.slice("w", F.lit(1), F.size("all")).alias("w"))).alias("s")).select(*keys, "s.*")
 
-    def step(done: Column, x: Column) -> Column:
-        w = F.element_at(done, -1)
-        a, b = w["a"] * x["r"]["a"], w["b"] * x["r"]["b"]
-        return F.concat(done, F.array(F.struct((stay * a / (a + b) + move * b / (a + b)).alias("a"), (move * a / (a + b) + stay * b / (a + b)).alias("b"))))
+def two_forecasters(log: DataFrame, keys: list[str], block: Column, order: str, losses: tuple[Column, Column], weight: Column | None = None, prior: float = 0.5, share: float = SHARE) -> DataFrame:
+    """``log`` with ``w``, the second forecaster's weight before each row, as a gate of two learns it from their losses.
 
-    begin = F.array(F.struct(F.col("w.a").alias("a"), F.col("w.b").alias("b")))
-    out = blocks.join(starts, [*keys, "_block"]).withColumn("w", F.aggregate("rows", begin, step))
-    out = out.select(F.explode(F.arrays_zip(F.col("rows.x").alias("x"), F.slice("w", F.lit(1), F.size("rows")).alias("w"))).alias("z"))
-    return out.select("z.x.*", F.col("z.w.b").alias("w"))
+    A mixture of two that never sleep; ``weight`` scales both losses.
+    """
+    weight = F.lit(1.0) if weight is None else weight
+    rows = mixture_weights(log.withColumns({"_a": weight * losses[0], "_b": weight * losses[1]}), keys, block, order, {"a": F.col("_a"), "b": F.col("_b")}, [1 - prior, prior], share)
+    return rows.withColumn("w", F.get("weights", 1)).drop("weights", "_a", "_b")
 
 
 def linear_weights(features: DataFrame, labels: DataFrame, options: list[str], passes: int = 1) -> DataFrame:
@@ -222,6 +282,47 @@ def linear_weights(features: DataFrame, labels: DataFrame, options: list[str], p
     return weights
 
 
+def doubling(place: Column, first: int = 32) -> Column:
+    """The block of a row by its place in the log (from 1): ``first`` rows, as many again, then twice as many each: few blocks, however long the log."""
+    return F.floor(F.log2(F.greatest((place - 1) / first, F.lit(0.5)))) + 1
+
+
+def prequential(features: DataFrame, labels: DataFrame, options: list[str], keys: list[str]) -> DataFrame:
+    """``keys, id, block, label, p``: each row's forecast by weights learnt from the blocks before its own, then learnt from: test, then train.
+
+    ``features`` has ``id, f, v``; ``labels`` has ``keys, id, block, label, weight``; a null label is forecast only, ``options`` are all there are.
+    A block is one step of the online learner: its summed gradients, at the weights before it, over the root of the squared ones so far (capped, but
+    a step is never longer than the rate).  Blocks follow one another, each as joins and grouped sums over its own rows, so every row is
+    read twice, in as many rounds as there are blocks: with ``doubling`` some thirty for 10^11 rows.  Blocks of one row are the online
+    learner.  A weight of less than 1 scales the step.
+    """
+    n = len(options)
+    every = lambda f: F.array(*map(f, range(n)))
+    path = written(features.join(labels.select(*keys, "id", "block"), "id"), "features", partition="block")
+    blocks = [r[0] for r in labels.select("block").distinct().orderBy("block").collect()]  # few by design
+    hit = F.array(*(F.when(F.col("label") == o, 1.0).otherwise(0.0) for o in options))
+    weights = path.select(*keys, "f", every(lambda i: F.lit(0.0)).alias("w"), every(lambda i: F.lit(0.0)).alias("q")).limit(0)
+    out: DataFrame | None = None
+    for block in blocks:
+        x = path.where(F.col("block") == block)
+        w = lambda i: F.coalesce(F.get("w", i), F.lit(0.0))
+        z = x.join(weights, [*keys, "f"], "left").groupBy(*keys, "id").agg(every(lambda i: F.sum(w(i) * F.col("v"))).alias("z"))
+        p = z.select(*keys, "id", N.normalized(F.transform("z", lambda a: F.exp(a - F.array_max("z")))).alias("p"))
+        p = written(labels.where(F.col("block") == block).join(p, [*keys, "id"]).select(*keys, "id", "block", "label", "p", "weight"), "forecasts")
+        out = p if out is None else out.union(p)
+        slopes = p.where("label is not null").select(*keys, "id", "weight", F.least("weight", F.lit(1.0)).alias("_c"), F.zip_with("p", hit, lambda a, b: a - b).alias("_s"))
+        g = lambda i: F.get("_s", i) * F.col("weight") * F.col("v")
+        sums = x.join(slopes, [*keys, "id"]).groupBy(*keys, "f").agg(F.count("*").alias("_n"), F.sum("_c").alias("_nc"), every(lambda i: F.sum(g(i))).alias("_g"), every(lambda i: F.sum(F.col("_c") * g(i))).alias("_gc"))
+        met = weights.join(sums, [*keys, "f"], "full")
+        q = lambda i: F.coalesce(F.get("q", i), F.lit(0.0))
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        whole = lambda i: zero(F.get("_g", i) + L2 * w(i) * F.col("_n"))
+        grown = lambda i: F.least(F.lit(ACC_CAP), q(i) + whole(i) * whole(i))
+        step = lambda i: RATE * zero(F.get("_gc", i) + L2 * w(i) * F.col("_nc")) / (F.sqrt(F.greatest(grown(i), whole(i) * whole(i))) + 1e-8)
+        weights = written(met.select(*keys, "f", every(lambda i: w(i) - step(i)).alias("w"), every(grown).alias("q")), "weights")
+    return labels.select(*keys, "id", "block", "label", F.lit(None).cast("array<double>").alias("p")).limit(0) if out is None else out.drop("weight")
+
+
 def linear_scores(features: DataFrame, weights: DataFrame, options: list[str]) -> DataFrame:
     """``id, p``: the softmax over options of the summed weights of an example's features."""
     sums = features.join(weights, "f").groupBy("id").agg(F.array(*(F.sum(F.get("w", i) * F.col("v")) for i in range(len(options)))).alias("z"))

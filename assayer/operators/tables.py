@@ -19,9 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table of the shared folder and read it back: made once, no executor holds it, it survives lost ones."""
+def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table of the shared folder and read it back: made once, no executor holds it, it survives lost ones.
+
+    With ``partition``, a column of few values, a filter on it reads its rows only.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/assayer/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

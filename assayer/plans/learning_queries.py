@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.functions import numbers as N, text as T
 from assayer.operators import contract as C, patches as P, similarity as S
-from assayer.operators.learners import Drift, Softmax, drift_signal as drift, familiar_share, fold, linear_reasons, linear_scores, linear_weights, two_forecasters
+from assayer.operators.learners import doubling, drift_restarts, drift_signal as drift, familiar_share, linear_reasons, linear_scores, linear_weights, mixture_weights, prequential, two_forecasters
 from assayer.operators.tables import written
 from assayer.operators.rules import Condition, Rule, forced_by_rules
 from assayer.plans.registry import query
@@ -103,10 +103,21 @@ def embedding_knn(spark: SparkSession, d: str) -> DataFrame:
     return S.vector_neighbours(all_.where("vec_id % 50 = 0"), all_).select("query", "vec_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("int").alias("rank"))
 
 
-@query()
+#: A step of the drift signal in SQL: sums, the least of p + s, the status; a drift starts anew.
+DRIFTING = """n1 AS (SELECT z.question, z.k + 1 AS k, r.seq, z.n + 1 AS n, z.errors + r.e AS errors, z.lo, z.lp, z.ls FROM z JOIN r ON r.question = z.question AND r.k = z.k + 1),
+ p1 AS (SELECT *, (errors + 1) / (n + 2) AS p FROM n1), s1 AS (SELECT *, sqrt(p * (1 - p) / n) AS s FROM p1), l1 AS (SELECT *, n >= 100 AND p + s <= lo AS best FROM s1),
+ m1 AS (SELECT question, k, seq, n, errors, p, s, CASE WHEN best THEN p + s ELSE lo END AS lo, CASE WHEN best THEN p ELSE lp END AS lp, CASE WHEN best THEN s ELSE ls END AS ls FROM l1),
+ t1 AS (SELECT *, CASE WHEN n < 100 OR errors < 5 THEN 'stable' WHEN p + s > lp + 3 * ls THEN 'drift' WHEN p + s > lp + 2 * ls THEN 'warning' ELSE 'stable' END AS status FROM m1)"""
+
+
+@query(f"""WITH RECURSIVE $DEC, r AS (SELECT question, seq, 1 - ok AS e, row_number() OVER (PARTITION BY question ORDER BY seq) AS k FROM dec WHERE labelled),
+z(question, k, seq, n, errors, said, errs, status, lo, lp, ls) AS (SELECT DISTINCT question, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, '', 1e9::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM r UNION ALL
+ (WITH {DRIFTING} SELECT question, k, seq, CASE WHEN status = 'drift' THEN 0 ELSE n END, CASE WHEN status = 'drift' THEN 0 ELSE errors END, n, errors, status, CASE WHEN status = 'drift' THEN 1e9 ELSE lo END, lp, ls FROM t1))
+SELECT question, seq, said AS n, errs AS errors, status FROM z WHERE k > 0""")
 def drift_replay(spark: SparkSession, d: str) -> DataFrame:
-    step = lambda s, r: {"question": r["question"], "seq": r["seq"], "status": s.step(r["ok"] == 0)}
-    return fold(dec(spark, d).where("labelled").select("question", "seq", "ok"), ["question"], "seq", Drift, step, "question string, seq long, status string")
+    """Warnings and drifts of each question over the whole log; the signal starts anew after each drift."""
+    rows = dec(spark, d).where("labelled").select("question", "seq", "ok")
+    return drift_restarts(rows, ["question"], "seq", 1 - F.col("ok")).select("question", "seq", "n", "errors", "status")
 
 
 @query("""WITH $DEC, r AS (SELECT question, seq, 1 - ok AS e, row_number() OVER w AS n, sum(1 - ok) OVER w AS errors FROM dec WHERE labelled WINDOW w AS (PARTITION BY question ORDER BY seq)),
@@ -132,6 +143,20 @@ def hedge_replay(spark: SparkSession, d: str) -> DataFrame:
     return out.select("question", "seq", F.round("w", 6).alias("w_stated"))
 
 
+@query("""WITH RECURSIVE $DEC, r AS (SELECT question, seq, CASE WHEN ok = 1 THEN conf ELSE 1 - conf END AS p, CASE WHEN source = 'teacher' THEN CASE WHEN ok = 1 THEN 0.75 ELSE 0.25 END END AS q, row_number() OVER (PARTITION BY question ORDER BY seq) AS k FROM dec WHERE labelled),
+v(question, k, a, b, c) AS (SELECT DISTINCT question, 1::BIGINT, 1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 3::DOUBLE FROM r UNION ALL
+ SELECT question, k + 1, 0.98 * a * 0.5 * m / t + 0.02 / 3::DOUBLE, 0.98 * b * p * m / t + 0.02 / 3::DOUBLE, 0.98 * CASE WHEN q IS NULL THEN c ELSE c * q * m / t END + 0.02 / 3::DOUBLE
+ FROM (SELECT v.*, r.p, r.q, a + b + CASE WHEN q IS NULL THEN 0 ELSE c END AS m, a * 0.5 + b * p + CASE WHEN q IS NULL THEN 0 ELSE c * q END AS t FROM v JOIN r ON r.question = v.question AND r.k = v.k))
+SELECT r.question, r.seq, round(a, 6) AS w_coin, round(b, 6) AS w_stated, round(c, 6) AS w_teacher FROM r JOIN v ON v.question = r.question AND v.k = r.k""")
+def mixture_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Three forecasters: a coin, the stated confidence, and one that sleeps unless the teacher spoke; their weights before each label."""
+    own = lambda c: F.when(F.col("ok") == 1, c).otherwise(1 - c)
+    rows = dec(spark, d).where("labelled").select("question", "seq", own(F.col("conf")).alias("p"), F.when(F.col("source") == "teacher", own(F.lit(0.75))).alias("q"))
+    losses = {"coin": N.log_loss(F.lit(0.5)), "stated": N.log_loss(F.col("p")), "teacher": F.when(F.col("q").isNotNull(), N.log_loss(F.col("q")))}
+    out = mixture_weights(rows, ["question"], F.floor(F.col("seq") / 20_000), "seq", losses)
+    return out.select("question", "seq", *(F.round(F.get("weights", i), 6).alias(f"w_{k}") for i, k in enumerate(losses)))
+
+
 WEIGHTS = FEAT + """, x AS (SELECT doc_id AS id, unnest(f) AS f, 1 / sqrt(len(f)) AS v FROM feat UNION ALL SELECT doc_id, 'bias', 1 FROM feat),
 lab AS (SELECT doc_id AS id, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
 g AS (SELECT f, (0.5 - quality) * v AS g FROM x JOIN lab USING (id)), w AS (SELECT f, -0.5 * sum(g) / (sqrt(least(25, sum(g * g))) + 1e-8) AS w FROM g GROUP BY f),
@@ -177,19 +202,28 @@ def linear_explanations(spark: SparkSession, d: str) -> DataFrame:
     return linear_reasons(x, w, chosen, QUALITY).select(F.col("id").alias("doc_id"), F.col("f").alias("feature"), "side", F.round("c", 3).alias("weight"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FEAT}, r AS (SELECT doc_id AS id, quality, toxic, row_number() OVER (ORDER BY doc_id) AS place FROM documents JOIN labels USING (doc_id)),
+l AS (SELECT id, unnest(['quality', 'toxic']) AS question, unnest([quality, toxic]) AS y, (floor(log2(greatest((place - 1) / 32, 0.5))) + 1)::BIGINT AS block FROM r),
+x AS MATERIALIZED (SELECT l.*, u.f, u.v FROM l JOIN (SELECT doc_id AS id, unnest(f) AS f, 1 / sqrt(len(f)) AS v FROM feat UNION ALL SELECT doc_id, 'bias', 1 FROM feat) u USING (id)),
+t(block, question, f, w, q) AS (SELECT 0::BIGINT, question, f, 0::DOUBLE, 0::DOUBLE FROM (SELECT DISTINCT question, f FROM x) UNION ALL
+ (WITH p1 AS (SELECT x.question, x.id, x.y, x.block, 1 / (1 + exp(-2 * sum(w * v))) AS p FROM t JOIN x ON x.question = t.question AND x.f = t.f AND x.block = t.block GROUP BY ALL),
+  s1 AS (SELECT x.question, x.f, sum((p - p1.y) * v) AS g, count(*) AS n FROM p1 JOIN x ON x.question = p1.question AND x.id = p1.id GROUP BY ALL),
+  g1 AS (SELECT t.*, coalesce(g + 1e-4 * w * n, 0) AS g, least(25, q + coalesce(g + 1e-4 * w * n, 0) ** 2) AS q1 FROM t LEFT JOIN s1 ON s1.question = t.question AND s1.f = t.f)
+  SELECT block + 1, question, f, w - 0.5 * g / (sqrt(greatest(q1, g * g)) + 1e-8), q1 FROM g1 WHERE block < (SELECT max(block) FROM l)))
+SELECT x.question, x.id AS doc_id, x.y::VARCHAR AS label, round(CASE WHEN x.y = 1 THEN 1 / (1 + exp(-2 * sum(w * v))) ELSE 1 - 1 / (1 + exp(-2 * sum(w * v))) END, 6) AS p FROM x JOIN t ON x.question = t.question AND x.f = t.f AND x.block = t.block GROUP BY x.question, x.id, x.y""")
 def linear_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Test-then-train softmax regression on the labelled documents, one fold for each question: the online order, which no sum gives."""
-    docs = table(spark, d, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", T.token_features(F.col("t")).alias("features"))
-    rows = docs.join(table(spark, d, "labels"), "doc_id").select("doc_id", "features", F.explode(F.array(*(F.struct(F.lit(q).alias("question"), F.col(q).cast("string").alias("label")) for q in ("quality", "toxic")))).alias("l"))
-
-    def step(s: Softmax, r: dict) -> dict:
-        feats = r["features"]
-        scale = 1 / max(1, len(feats)) ** 0.5
-        probs = s.step({"bias": 1.0} | {f: scale for f in feats}, r["label"])
-        return {"question": r["question"], "doc_id": r["doc_id"], "label": r["label"], "p": probs[r["label"]]}
-
-    return fold(rows.select("l.question", "doc_id", "features", "l.label"), ["question"], "doc_id", Softmax, step, "question string, doc_id long, label string, p double")
+    """Test, then train: each labelled document's forecast by the labels of the blocks before its own, for two questions."""
+    toks = table(spark, d, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    given = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id"), "doc_id").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), "quality", "toxic")
+    given = given.join(S.placed(given.limit(0), given)[1].select(F.col("entry").alias("id"), "place"), "id")
+    labels = given.select("id", doubling(F.col("place")).alias("block"), F.lit(1.0).alias("weight"), F.explode(F.array(*(F.struct(F.lit(q).alias("question"), F.col(q).cast("string").alias("label")) for q in ("quality", "toxic")))).alias("l")).select("id", "block", "weight", "l.*")
+    labels = written(labels, "labels")
+    toks = toks.join(given.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), S.hashed(T.token_features(F.col("t"))).alias("fs"))
+    bias = F.struct(F.xxhash64(F.lit("bias")).alias("f"), F.lit(1.0).alias("v"))
+    x = toks.select("id", F.explode(F.concat(F.transform("fs", lambda f: F.struct(f.alias("f"), (1 / F.sqrt(F.size("fs"))).alias("v"))), F.array(bias))).alias("x")).select("id", "x.*")
+    out = prequential(x, labels, QUALITY, ["question"])
+    own = F.when(F.col("label") == "1", F.get("p", 0)).otherwise(F.get("p", 1))
+    return out.select("question", F.col("id").alias("doc_id"), "label", F.round(own, 6).alias("p"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
