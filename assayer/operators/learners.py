@@ -189,18 +189,20 @@ def drift_restarts(log: DataFrame, keys: list[str], order: str, error: Column, b
     return out
 
 
-def mixture_weights(log: DataFrame, keys: list[str], block: Column, order: str, losses: dict[str, Column], prior: list[float] | None = None, share: float = SHARE) -> DataFrame:
+def mixture_weights(log: DataFrame, keys: list[str], block: Column, order: str, losses: dict[str, Column], prior: list[float] | Column | None = None, share: float = SHARE) -> DataFrame:
     """``log`` with ``weights``: what each forecaster of a mixture weighs before each row, in the order of ``losses`` (null: it sleeps), as ``Hedge`` learns them.
 
     Forecasters awake share their mass anew by their losses, those asleep keep theirs, so a step is no matrix and steps don't compose.  But each
     step also hands a share of every weight to all, so a block soon forgets where it began: blocks run side by side, each from the end that the
     block before it reached in the last round, until no end moves.  Then every block has begun where the one before it ended, and the weights are
     those of the whole order: the first block is right after one round, each next one a round later at most, long blocks after two.  A task
-    holds one row of a block at a time; a round hands on one row for each block.  Ties in ``order`` are an error of the caller's.
+    holds one row of a block at a time; a round hands on one row for each block.  ``prior`` is the first weights, as numbers or as a column that a key's first
+    row tells.  A row on which all sleep changes nothing: its weights are those a forecast at its place would use.  Ties in ``order`` are an
+    error of the caller's.
     """
-    k = len(losses)
-    begin, columns = prior or [1 / k] * k, log.columns
-    rows = log.withColumns({"_block": block, "_losses": F.array(*(c.cast("double") for c in losses.values()))})
+    k, columns = len(losses), log.columns
+    begin = prior if isinstance(prior, Column) else F.array(*map(F.lit, prior or [1 / k] * k))
+    rows = log.withColumns({"_block": block, "_losses": F.array(*(c.cast("double") for c in losses.values())), "_begin": begin})
     rows = written(rows, "mixture")
     names = [*keys, "_block"]
     ends: DataFrame | None = None
@@ -210,7 +212,7 @@ def mixture_weights(log: DataFrame, keys: list[str], block: Column, order: str,
         for batch in batches:
             for at, some in batch.groupby(names, sort=False, dropna=False):
                 if at != now:
-                    now, state = at, Hedge(list(begin if some["_w"].iloc[0] is None else some["_w"].iloc[0]), share)
+                    now, state = at, Hedge([float(x) for x in some["_w"].iloc[0]], share)
                 before = []
                 for x in some["_losses"]:
                     before.append(list(state.weights))
@@ -231,7 +233,7 @@ def mixture_weights(log: DataFrame, keys: list[str], block: Column, order: str,
             yield some[columns].assign(weights=before)
 
     def ordered(starts: DataFrame | None) -> DataFrame:
-        given = rows.withColumn("_w", F.lit(None).cast("array<double>")) if starts is None else rows.join(starts, names, "left")
+        given = rows.withColumn("_w", F.col("_begin")) if starts is None else rows.join(starts, names, "left").withColumn("_w", F.coalesce("_w", "_begin"))
         return given.repartition(*names).sortWithinPartitions(*names, order)
 
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)

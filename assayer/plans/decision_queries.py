@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from assayer.functions import numbers as N
-from assayer.operators import contract as C, feedback as L, similarity as S
+from assayer.operators import calibration, contract as C, feedback as L, similarity as S
 from assayer.operators.running import by_level, running, trailing
 from assayer.plans.registry import query
 from assayer.plans.views import decisions as dec, feedback_log as log, labelled_documents, table
@@ -333,6 +333,16 @@ def teacher_routing(spark: SparkSession, d: str) -> DataFrame:
 
 # calibration
 
+#: Golden-section search in SQL over a table ``l`` of $KEY, the logarithms a and b of two probabilities, and whether the first came.
+GOLDEN = """bounds AS (SELECT ln(0.5::DOUBLE) AS lo, ln(4::DOUBLE) AS hi, (sqrt(5) - 1) / 2 AS g),
+ends AS (SELECT lo, hi, hi - g * (hi - lo) AS x, lo + g * (hi - lo) AS y FROM bounds),
+search($KEY, it, lo, hi, x, y, fx, fy) AS (SELECT $KEY, 0, lo, hi, x, e.y, avg(ln(exp(a / exp(x)) + exp(b / exp(x))) - CASE WHEN l.y THEN a ELSE b END / exp(x)), avg(ln(exp(a / exp(e.y)) + exp(b / exp(e.y))) - CASE WHEN l.y THEN a ELSE b END / exp(e.y)) FROM l, ends e GROUP BY ALL
+ UNION ALL SELECT s.$KEY, it + 1, lo, hi, CASE WHEN b_left THEN z ELSE s.y END, CASE WHEN b_left THEN s.x ELSE z END,
+  CASE WHEN b_left THEN avg(ln(exp(a / exp(z)) + exp(b / exp(z))) - CASE WHEN l.y THEN a ELSE b END / exp(z)) ELSE fy END, CASE WHEN b_left THEN fx ELSE avg(ln(exp(a / exp(z)) + exp(b / exp(z))) - CASE WHEN l.y THEN a ELSE b END / exp(z)) END
+ FROM (SELECT *, CASE WHEN b_left THEN hi - (sqrt(5) - 1) / 2 * (hi - lo) ELSE lo + (sqrt(5) - 1) / 2 * (hi - lo) END AS z FROM (SELECT $KEY, it, x, y, fx, fy, fx < fy AS b_left, CASE WHEN fx < fy THEN lo ELSE x END AS lo, CASE WHEN fx < fy THEN y ELSE hi END AS hi FROM search WHERE it < 22)) AS s
+  JOIN l ON l.$KEY = s.$KEY GROUP BY s.$KEY, it, lo, hi, s.x, s.y, fx, fy, b_left, z),
+golden AS (SELECT $KEY, round(exp((lo + hi) / 2), 4) AS t FROM search WHERE it = 22)"""
+
 @query("""WITH $DEC, x AS (SELECT seq, power(greatest(conf, 1e-12), 1 / 1.5::DOUBLE) AS a, power(greatest(1 - conf, 1e-12), 1 / 1.5::DOUBLE) AS b FROM dec) SELECT seq, round(a / (a + b), 6) AS p FROM x""")
 def temper(spark: SparkSession, d: str) -> DataFrame:
     return dec(spark, d).select("seq", r6(F.get(N.tempered(F.array("conf", 1 - F.col("conf")), 1.5), 0)).alias("p"))
@@ -350,17 +360,14 @@ def temperature_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.groupBy(F.col("i").cast("long").alias("i"), "t").agg((F.sum(loss) / F.sum("n")).alias("l")).select("i", r6("t").alias("t"), r6("l").alias("nll"))
 
 
-@query("""WITH $DEC, l AS (SELECT question, conf, ok FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY seq DESC) AS k FROM dec WHERE labelled) WHERE k <= 500), t AS (SELECT i, exp(ln(0.5::DOUBLE) + i * (ln(4::DOUBLE) - ln(0.5::DOUBLE)) / 40) AS t FROM range(0, 41) AS r(i)),
-g AS (SELECT question, i, t, count(*) AS n, round(avg(-ln(greatest(power(greatest(CASE WHEN ok = 1 THEN conf ELSE 1 - conf END, 1e-12), 1 / t) / (power(greatest(conf, 1e-12), 1 / t) + power(greatest(1 - conf, 1e-12), 1 / t)), 1e-6))), 9) AS nll FROM l, t GROUP BY 1, 2, 3)
-SELECT question, round(CASE WHEN max(n) >= 30 THEN arg_min(t, {'l': nll, 'i': i}) ELSE 1 END, 4) AS temperature FROM g GROUP BY 1""")
+@query(f"""WITH RECURSIVE $DEC, l AS (SELECT question, ln(greatest(conf, 1e-12)) AS a, ln(greatest(1 - conf, 1e-12)) AS b, ok = 1 AS y FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY seq DESC) AS k FROM dec WHERE labelled) WHERE k <= 500), {GOLDEN.replace("$KEY", "question")}
+SELECT q.question, CASE WHEN n >= 30 THEN t ELSE 1 END AS temperature FROM (SELECT question, count(*) AS n FROM l GROUP BY 1) q JOIN golden USING (question)""")
 def best_temperature(spark: SparkSession, d: str) -> DataFrame:
-    """The temperature of the grid that suits each question's last 500 labels best; 1 under 30 labels."""
+    """The temperature that suits each question's last 500 labels best, by golden-section search; 1 under 30 labels."""
     last = dec(spark, d).where("labelled").withColumn("k", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("seq")))).where("k <= 500")  # Spark keeps 500 rows of a key before the shuffle
-    step = F.exp(F.ln(F.lit(0.5)) + F.col("i") * (F.ln(F.lit(4.0)) - F.ln(F.lit(0.5))) / 40)
-    grid = last.groupBy("question", "conf", "ok").agg(F.count("*").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("t", step)
-    loss = F.col("n") * N.log_loss(F.get(N.tempered(F.array("conf", 1 - F.col("conf")), F.col("t")), 1 - F.col("ok")))
-    by = grid.groupBy("question", "i", "t").agg(F.sum("n").alias("n"), F.round(F.sum(loss) / F.sum("n"), 9).alias("l"))
-    return by.groupBy("question").agg(F.round(F.when(F.max("n") >= C.MIN_LABELS, F.min_by("t", F.struct("l", "i"))).otherwise(1.0), 4).alias("temperature"))
+    by = last.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("k", calibration.sample(F.array("conf", 1 - F.col("conf")), 1 - F.col("ok")).alias("s")))).alias("all"))  # 500 at most
+    fit = calibration.fitted_temperature(F.transform("all", lambda x: x["s"]))
+    return by.select("question", F.when(F.size("all") >= calibration.MIN_SAMPLES, fit).otherwise(1.0).alias("temperature"))
 
 
 @query("WITH $DEC, f AS (SELECT seq, conf, (seq % 11) / 10::DOUBLE AS fam FROM dec) SELECT seq, round(CASE WHEN fam < 0.5 THEN fam / 0.5 * conf + (1 - fam / 0.5) / 2 ELSE conf END, 6) AS p, fam < 0.5 AS abstain FROM f")
