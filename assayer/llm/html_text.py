@@ -21,8 +21,8 @@ SKIPPED = frozenset("canvas head object select svg template".split())
 #: Elements that are rarely the main text, and words of a class, id or role that say so.
 MARKED = frozenset("aside button dialog fieldset footer form header menu menuitem nav noscript".split())
 MARKS = frozenset("""ad ads adbox adslot advert advertisement advertising adverts alert alertdialog banner breadcrumb breadcrumbs captcha comment commentlist comments
-complementary consent contentinfo cookie cookies copyright dialog disqus dropdown footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar navigation
-newsletter notice pager pagination popup promo promoted promotion recommended related respond search share sharing sidebar signup skip social sponsor sponsored subscribe
+complementary consent contentinfo cookie cookies copyright dialog discussion discussions disqus dropdown feedback footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar navigation
+newsletter notice pager pagination popup promo promoted promotion reactions recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe
 subscription toolbar topbar widget widgets""".split())
 #: Words that say nothing beside a mark: ``sidebar-left`` is a sidebar, ``sidebar-free`` isn't.
 NEUTRAL = frozenset("area bar block body bottom box center column container group inner item items left line link links list outer panel primary right row secondary section site top wrap wrapper".split())
@@ -58,6 +58,7 @@ class Blocks:
     def __init__(self, html: str) -> None:
         self.paths: dict[tuple[int, str], int] = {}
         self.parents: list[int] = []
+        self.holders: list[int] = []
         self.steps: list[str] = []
         self.found: list[tuple[int, int, str, str, int, float]] = []
         #: (tag, path of the nearest block, skipped, weight, weight of headings, region, heading or "")
@@ -86,13 +87,12 @@ class Blocks:
         found = self.paths.setdefault((parent, step), len(self.paths))
         if found == len(self.parents):
             self.parents.append(parent), self.steps.append(step.partition(".")[0])
+            self.holders.append(self.holders[parent] if parent >= 0 and self.steps[parent] in LISTS else parent)
         return found
 
     def container(self, path: int) -> int:
         """The path that holds a block's: for an item of a list or a cell that of the whole list or table."""
-        while path >= 0 and (path := self.parents[path]) >= 0 and self.steps[path] in LISTS:
-            pass
-        return path
+        return self.holders[path] if path >= 0 else path
 
     def _text(self, raw: str) -> None:
         if raw and not self.stack[-1][2]:
@@ -172,7 +172,8 @@ def main_text(html: str | None, threshold: float = 0.1, most_linked: float = 0.8
     For each tag path (block elements with their first class, or id) the text length and the punctuation marks of its blocks
     are summed and divided by its number of blocks.  Both ratios are smoothed along the page, fused as
     length * (1 + punctuation) * (share outside links), less where a path is short by itself, and averaged by path; a path has at
-    least the ratio of its container (for blocks of an article or main element: that element), and none with links for ``most_linked`` of its text.
+    least the ratio of its container (for blocks of an article or main element: that element), and none with links for ``most_linked`` of its text, but for unmarked blocks
+    of an article or main element, whose links are its text.
     Marks lower the score of what they hold, and being beside an article or main element lowers it, if the page has one with
     text.  Headings have the ratio of what follows them, lowered by their own marks; one right before an article is of it.
     Blocks under ``threshold`` times the page's highest score go, and all do if that is under ``least``.
@@ -200,11 +201,12 @@ def main_text(html: str | None, threshold: float = 0.1, most_linked: float = 0.8
         first = np.append(region[1:] >= 0, False) & np.array([bool(b[2]) for b in blocks])
         weight = np.where((region >= 0) | first, weight, BESIDE * weight)
     top = [page.container(b[0]) for b in blocks]
-    whole = {p for p, parent in enumerate(page.parents) if parent < 0 or page.parents[parent] < 0 or page.parents[page.parents[parent]] < 0}
+    whole = {p for p, step in enumerate(page.steps) if step in ("", "html", "body")}
     # what a mark lowers is a container of its own
     holder = np.unique([f"{w}r{r}" if r >= 0 else f"{w}p{b[0]}" if t in whole or t < 0 else f"{w}c{t}" for b, t, w, r in zip(blocks, top, weight, region)], return_inverse=True)[1]
     shared = (np.bincount(holder, fused * length) / np.bincount(holder, length))[holder]
-    raw = np.where(linked >= most_linked, 0.0, np.maximum(ratio, shared))
+    inside = (region >= 0) & (weight >= FIRST)  # of an article and without a mark: links are part of its text
+    raw = np.where((linked >= most_linked) & ~inside, 0.0, np.maximum(ratio, shared))
     for i in range(len(blocks) - 2, -1, -1):
         if blocks[i][2]:
             raw[i] = raw[i + 1] * min(1.0, weight[i + 1] / weight[i])

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -533,6 +534,34 @@ def test_marked_wrappers_and_ratios(wrapper):
     assert off != want and "Home page" in off and "All rights" in off  # it is the ratios that choose
 
 
+PARAGRAPH = "<p>" + "A sentence of the article, with a clause and a point. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("page, kept, gone", [
+    (f'<article>{PARAGRAPH}<ul><li><a href=/a>Report 2024</a></li><li><a href=/b>Report 2023</a></li></ul>{PARAGRAPH}</article>', ["Report 2024", "Report 2023"], []),
+    (f'<article>{PARAGRAPH}<p class="more"><a href=/a>Full Report here</a></p></article>', ["Full Report here"], []),
+    (f'<main>{PARAGRAPH}<p><a href=/a>Every word a link</a></p>{PARAGRAPH}</main><ul><li><a href=/>Home</a></li></ul>', ["Every word a link"], ["Home"]),
+    (f'<div id="main">{PARAGRAPH}<dl><dt>TERM<dd>val</dl>{PARAGRAPH}</div>', ["TERM", "val"], []),
+    (f'<article>{PARAGRAPH}</article><section class="replies"><p>{"I liked this, thanks a lot for it. " * 9}</p></section>', [], ["liked"]),
+    (f'<article>{PARAGRAPH}<section class="replies"><p>{"I liked this, thanks a lot for it. " * 9}</p></section></article>', [], ["liked"]),
+    (f'<body><div class="post">{PARAGRAPH}</div><div class="discussion"><p>{"I liked this, thanks a lot for it. " * 9}</p></div></body>', [], ["liked"]),
+])
+def test_layouts(page, kept, gone):
+    text = H.main_text(page)
+    assert "A sentence of the article" in text and all(x in text for x in kept) and not any(x in text for x in gone)
+
+
+def test_nesting_takes_time_as_it_is_deep():
+    """Four times as deep a list takes not much more than four times as long."""
+    def seconds(n):
+        began = time.perf_counter()
+        H.main_text("<ul><li>x" * n)
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(8000) < 12 * max(seconds(2000), 0.02)
+
+
 def test_the_ratios_choose_without_any_mark():
     cells = "<div><div>Top</div><div>Shop</div><div>About us</div></div>"
     body = "".join(f"<div class=c><p>{'A sentence, with a clause and a point. ' * k}</p></div>" for k in (3, 5, 4))
