@@ -17,8 +17,8 @@ from assayer.operators.tables import written
 CAPACITY, K, MIN_SIM, CANDIDATES, SMOOTH = 2000, 5, 0.35, 200, 0.1
 #: States whose latest answers an exact match finds.
 EXACT = 4 * CAPACITY
-#: An index or vectors of up to so many rows are broadcast to the queries; beyond it the join shuffles.
-BROADCAST_INDEX, BROADCAST_ENTRIES = 4_000_000, 50_000
+#: An index of up to so many rows is broadcast to the queries; beyond it the join shuffles.
+BROADCAST_INDEX = 4_000_000
 #: Vectors of up to so many bytes are broadcast; a log is ordered in blocks of so many places; queries of one state and block beyond
 #: so many are dealt over several tasks.
 BROADCAST_BYTES, PLACES, HOT = 64 << 20, 20_000, 200_000
@@ -65,16 +65,17 @@ def neighbours(queries: DataFrame, entries: DataFrame, search: Search = Search()
 
     Features that a quarter of the entries have find no candidates, but count in the similarity.  The ``CANDIDATES`` entries
     with most of the other features in common are compared.  The index of (feature, entry) and the entries are broadcast
-    where they are counted to be few, which a memory's capacity makes them; the queries' features are then never shuffled.
+    where their rows and bytes are counted to be few; the queries' features are then never shuffled.
     """
-    e = entries.select(F.col("id").alias("entry"), F.col("seq").alias("eseq"), F.col("state").alias("estate"), F.col("t").alias("et"), F.col("c").alias("ec")).persist()
-    n = e.count()
+    e = entries.select(F.col("id").alias("entry"), F.col("seq").alias("eseq"), F.col("state").alias("estate"), F.col("t").alias("et"), F.col("c").alias("ec"))
+    e = written(e, "entries")
+    n, size = e.agg(F.count("*"), F.coalesce(F.sum(F.size("et") + F.size("ec") + 8), F.lit(0))).first()
     used = e.select("entry", "eseq", F.explode(F.concat("et", "ec")).alias("f"))
     rare = used.groupBy("f").agg(F.count("*").alias("df")).where(F.col("df") <= max(5, min(search.cap, n // 4))).select("f")
-    index = used.join(rare, "f").persist()
+    index = written(used.join(rare, "f"), "index")
     rows = index.count()
     index = F.broadcast(index) if rows <= BROADCAST_INDEX else index
-    wide = F.broadcast(e) if n <= BROADCAST_ENTRIES else e
+    wide = F.broadcast(e) if 8 * size <= BROADCAST_BYTES else e
     before = F.col("eseq") < F.col("seq") if search.earlier else F.lit(True)
 
     asked = queries.select("id", "seq", F.explode(F.concat("t", "c")).alias("f"))

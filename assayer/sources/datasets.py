@@ -39,12 +39,13 @@ def head(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None, most: int | None = None) -> DataFrame:
-    """A delimited file or folder with a header, in UTF-8 (with or without its mark) or, if it isn't, in Latin-1.
+    """A delimited file or folder with a header, in UTF-8 (with or without its mark) or, if any line isn't, in Latin-1.
 
-    The separator is sniffed from the beginning; ``most`` (a usual limit is MAX_ROWS) takes so many rows only.
+    The encoding is decided by a scan of all lines, the separator sniffed from the beginning; ``most`` (a usual limit is MAX_ROWS) takes so many rows only.
     """
     start = head(spark, path)
-    encoding = "ISO-8859-1" if "\ufffd" in start else "UTF-8"
+    valid = spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+    encoding = "UTF-8" if valid else "ISO-8859-1"
     separator = sniff_separator(start.lstrip("\ufeff")) if separator is None else separator
     df = spark.read.option("header", True).option("sep", separator).option("multiLine", True).option("encoding", encoding).csv(path)
     df = cleaned(df.toDF(*(c.lstrip("\ufeff") for c in df.columns)))
