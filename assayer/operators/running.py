@@ -47,3 +47,24 @@ def running_least(df: DataFrame, keys: list[str], block: Column, order: list[Col
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("_c", F.min("_v").over(inside)).join(starts, [*keys, "_block"])
     return out.withColumn(name, F.least("_m0", "_c")).drop("_block", "_v", "_c", "_m0")
+
+
+def faded(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], half_life: float, width: int = 20_000) -> DataFrame:
+    """``df`` with running totals of ``sums`` that lose half in each ``half_life`` of ``order`` (a whole number), rows of the same place included.
+
+    Within a block of ``width`` places values grow instead of fading, so that they add up; a block takes over what the blocks before it have left.
+    What is 1100 half-lives old is below the least number there is, so a block looks at a bounded number of blocks before it.
+    """
+    rate, names = 1 / half_life, list(sums)
+    rows = df.withColumn("_block", F.floor(F.col(order) / width)).withColumns({f"_v_{k}": v.cast("double") for k, v in sums.items()})
+    since = lambda block: (F.col(order) - block * width) * rate
+    grown = rows.withColumns({f"_v_{k}": F.col(f"_v_{k}") * F.pow(F.lit(2.0), since(F.col("_block"))) for k in names})
+    ends = grown.groupBy(*keys, "_block").agg(*(F.sum(f"_v_{k}").alias(f"_s_{k}") for k in names))
+    reach = int(1100 * half_life / width) + 1
+    later = ends.select(*keys, F.col("_block").alias("_from"), F.explode(F.sequence(F.col("_block") + 1, F.col("_block") + reach)).alias("_block"), *(f"_s_{k}" for k in names))
+    left = F.pow(F.lit(2.0), (F.col("_from") - F.col("_block")) * width * rate)
+    carried = later.join(ends.select(*keys, "_block"), [*keys, "_block"], "left_semi").groupBy(*keys, "_block").agg(*(F.sum(F.col(f"_s_{k}") * left).alias(f"_c_{k}") for k in names))
+    upto = Window.partitionBy(*keys, "_block").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    out = grown.withColumns({f"_r_{k}": F.sum(f"_v_{k}").over(upto) for k in names}).join(carried, [*keys, "_block"], "left")
+    total = lambda k: (F.col(f"_r_{k}") + F.coalesce(f"_c_{k}", F.lit(0.0))) * F.pow(F.lit(2.0), -since(F.col("_block")))
+    return out.withColumns({k: total(k) for k in names}).select(*[c for c in df.columns if c not in names], *names)
