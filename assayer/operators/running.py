@@ -56,6 +56,7 @@ def faded(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], h
     What is 1100 half-lives old is below the least number there is, so a block looks at a bounded number of blocks before it.
     """
     rate, names = 1 / half_life, list(sums)
+    width = max(1, min(width, int(500 * half_life)))  # so that nothing grows beyond a double
     rows = df.withColumn("_block", F.floor(F.col(order) / width)).withColumns({f"_v_{k}": v.cast("double") for k, v in sums.items()})
     since = lambda block: (F.col(order) - block * width) * rate
     grown = rows.withColumns({f"_v_{k}": F.col(f"_v_{k}") * F.pow(F.lit(2.0), since(F.col("_block"))) for k in names})
