@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from assayer.operators import feedback as L, trees as R
 from assayer.plans.registry import query
@@ -68,6 +68,48 @@ def simplified_rules(spark: SparkSession, d: str) -> DataFrame:
     return R.simplified(conditions, ["path"])
 
 
+NUMBERS, NAMES, FLAGS = ["l_discount", "l_extendedprice", "l_quantity"], ["l_linenumber", "l_linestatus"], ["A", "N", "R"]
+H3 = "list_sum(list_transform({v}, lambda q: CASE WHEN q > 0 THEN -(q / list_sum({v})) * log2(q / list_sum({v})) ELSE 0 END))"
+#: A level of the tree in SQL: class Gaussians and counts by leaf, the best candidate of each feature, the decision, rows sent on.
+LEVEL = f"""a$I AS (SELECT node, y, unnest([{", ".join(f"{{'f': '{c}', 'v': {c}::DOUBLE}}" for c in NUMBERS)}], recursive := true) FROM r$I),
+g$I AS (SELECT node, f, y, count(*) AS n, avg(v) AS m, coalesce(stddev_samp(v), 0) AS sd, min(v) AS lo, max(v) AS hi FROM a$I WHERE v IS NOT NULL GROUP BY ALL), e$I AS (SELECT node, f, min(lo) AS a, max(hi) AS b FROM g$I GROUP BY ALL HAVING max(hi) > min(lo)),
+z$I AS (SELECT e.node, e.f, a + (b - a) / 11 * i AS t, y, n, lo, hi, (a + (b - a) / 11 * i - m) / greatest(sd, 1e-12) AS z FROM e$I e JOIN g$I g ON g.node = e.node AND g.f = e.f, range(1, 11) AS s(i)),
+k$I AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * (abs(z) / sqrt(2))) AS q, abs(z) / sqrt(2) AS x FROM z$I), c$I AS (SELECT *, 1 - q * (0.254829592::DOUBLE + q * (-0.284496736::DOUBLE + q * (1.421413741::DOUBLE + q * (-1.453152027::DOUBLE + q * 1.061405429::DOUBLE)))) * exp(-x * x) AS erf FROM k$I),
+w$I AS (SELECT node, f, t, y, n::DOUBLE AS n, CASE WHEN t < lo THEN 0 WHEN t >= hi THEN n ELSE n * CASE WHEN z >= 0 THEN (1 + erf) / 2 ELSE (1 - erf) / 2 END END::DOUBLE AS l FROM c$I),
+v$I AS (SELECT node, f, t, NULL::VARCHAR AS value, list(l ORDER BY y) AS x, list(n - l ORDER BY y) AS r, list(n ORDER BY y) AS p FROM w$I GROUP BY ALL),
+b$I AS (SELECT node, y, unnest([{", ".join(f"{{'f': '{c}', 'v': {c}::VARCHAR}}" for c in NAMES)}], recursive := true) FROM r$I), nc$I AS (SELECT node, f, v AS value, [{", ".join(f"count(*) FILTER (y = '{c}')::DOUBLE" for c in FLAGS)}] AS x FROM b$I WHERE v IS NOT NULL GROUP BY ALL),
+nt$I AS (SELECT node, f, [sum(x[1]), sum(x[2]), sum(x[3])] AS p FROM nc$I GROUP BY ALL), u$I AS (SELECT * FROM v$I UNION ALL SELECT nc.node, nc.f, NULL, value, x, [p[1] - x[1], p[2] - x[2], p[3] - x[3]], p FROM nc$I nc JOIN nt$I nt ON nt.node = nc.node AND nt.f = nc.f),
+h$I AS (SELECT node, f, t, value, {H3.format(v="p")} - (list_sum(x) * {H3.format(v="x")} + list_sum(r) * {H3.format(v="r")}) / list_sum(p) AS merit FROM u$I WHERE list_sum(x) >= 0.01 * list_sum(p) AND list_sum(r) >= 0.01 * list_sum(p)),
+o$I AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY merit DESC, f) AS k, lead(merit) OVER (PARTITION BY node ORDER BY merit DESC, f) AS second FROM (SELECT * FROM h$I QUALIFY row_number() OVER (PARTITION BY node, f ORDER BY merit DESC, t, value) = 1)),
+q$I AS (SELECT node, count(*) AS n, count(DISTINCT y) AS ys, [{", ".join(f"count(*) FILTER (y = '{c}')" for c in FLAGS)}] AS counts FROM r$I GROUP BY 1),
+n$I AS (SELECT q.node, $I AS depth, n, counts, f, t, value, merit, coalesce(merit > 0 AND ys > 1 AND n >= 200 AND (merit - coalesce(second, 0) > sqrt(log2(greatest(ys, 2)) ** 2 * ln(1e7) / (2 * n)) OR sqrt(log2(greatest(ys, 2)) ** 2 * ln(1e7) / (2 * n)) < 0.05), false) AND $I < 2 AS splits FROM q$I q LEFT JOIN o$I o ON o.node = q.node AND k = 1),
+j$I AS (SELECT r.*, CASE WHEN t IS NOT NULL THEN CASE f {" ".join(f"WHEN '{c}' THEN {c}::DOUBLE" for c in NUMBERS)} END <= t ELSE CASE f {" ".join(f"WHEN '{c}' THEN {c}::VARCHAR" for c in NAMES)} END = value END AS low FROM r$I r JOIN n$I n ON n.node = r.node AND splits),
+r$N AS MATERIALIZED (SELECT node || CASE WHEN coalesce(low, count(*) FILTER (low) OVER w >= count(*) FILTER (NOT low) OVER w) THEN '0' ELSE '1' END AS node, y, {", ".join(NUMBERS + NAMES)} FROM j$I WINDOW w AS (PARTITION BY node))"""
+GROWN = f"WITH r0 AS (SELECT '' AS node, l_returnflag AS y, {", ".join(NUMBERS + NAMES)} FROM lineitem WHERE l_returnflag IS NOT NULL), " + ", ".join(LEVEL.replace("$I", str(i)).replace("$N", str(i + 1)) for i in range(3)) + ", nodes AS (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2)"
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    return R.grow(table(spark, d, "lineitem"), NUMBERS, NAMES, "l_returnflag", FLAGS, 2)
+
+
+@query(f"{GROWN} SELECT node, depth::INT AS depth, n::BIGINT AS n, array_to_string(counts, ',') AS counts, CASE WHEN splits THEN f END AS feature, CASE WHEN splits THEN round(t, 4) END AS threshold, CASE WHEN splits THEN value END AS value, CASE WHEN splits THEN round(merit, 6) END AS merit, splits FROM nodes")
+def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of depth two on the return flag of order lines, grown level by level."""
+    return _tree(spark, d).select("node", "depth", "n", F.array_join(F.transform("counts", lambda c: c.cast("string")), ",").alias("counts"), "feature", F.round("threshold", 4).alias("threshold"), "value", r6("merit").alias("merit"), "splits")
+
+
+@query(f"""{GROWN}, st AS (SELECT l.node, i, p.f AS feature, p.t, p.value, substr(l.node, i::INT, 1) AS b FROM (SELECT node, unnest(range(1, length(node) + 1)) AS i FROM nodes WHERE NOT splits) l JOIN nodes p ON p.node = substr(l.node, 1, (i - 1)::INT)),
+m AS (SELECT node, feature, max(round(t, 6)) FILTER (b = '1') AS lower, min(round(t, 6)) FILTER (b = '0') AS upper, arg_max(value, i) FILTER (b = '0') AS equal, list_sort(list(DISTINCT value) FILTER (b = '1' AND value IS NOT NULL)) AS others FROM st GROUP BY 1, 2),
+s AS (SELECT node, feature || ' > ' || lower AS c FROM m WHERE lower IS NOT NULL UNION ALL SELECT node, feature || ' <= ' || upper FROM m WHERE upper IS NOT NULL UNION ALL SELECT node, feature || ' == ' || equal FROM m WHERE equal IS NOT NULL
+ UNION ALL SELECT node, feature || CASE WHEN len(others) > 1 THEN ' not_in ' ELSE ' != ' END || array_to_string(others, ',') FROM m WHERE equal IS NULL AND len(others) > 0)
+SELECT coalesce((SELECT string_agg(c, ' and ' ORDER BY c) FROM s WHERE s.node = nodes.node), '') AS rule, ['A', 'N', 'R'][list_position(counts, list_max(counts))] AS prediction, round(list_max(counts) / n, 6) AS confidence, n::BIGINT AS support, (row_number() OVER (ORDER BY n DESC, node))::INT AS rank FROM nodes WHERE NOT splits""")
+def tree_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Its leaves as rules, by support."""
+    rows = R.rules(_tree(spark, d), FLAGS)
+    rank = F.row_number().over(Window.orderBy(F.desc("support"), "node"))  # a row for each leaf
+    return rows.select("rule", "prediction", r6("confidence").alias("confidence"), "support", rank.alias("rank"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT event_id, event_type AS label, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS age FROM events WHERE event_id % 7 <> 0 OR event_type = 'error'), n AS (SELECT label, count(*) AS n FROM e GROUP BY 1),
 c AS (SELECT max(k) AS cap FROM range(0, 100001) AS r(k) WHERE (SELECT sum(least(n, k)) FROM n) <= 300), x AS (SELECT 300 - (SELECT sum(least(n, cap)) FROM n, c) AS spare),
 o AS (SELECT label, n, row_number() OVER (ORDER BY label) AS r FROM n, c WHERE n > cap), q AS (SELECT n.label, least(n.n, cap) + CASE WHEN coalesce(o.r, 1000000) <= spare THEN 1 ELSE 0 END AS keep FROM n LEFT JOIN o USING (label), c, x)
