@@ -64,23 +64,23 @@ def _cuts(rows: DataFrame, level: str) -> dict[str | None, tuple[int, int]]:
     return {r.src: (r.c["at"], r.c.upto - r.c.w) for r in found.collect()}
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, shards: int = 64, block_words: int = 4096, max_blocks: int = 4096, seed: int = 1) -> DataFrame:
-    """How often, and into which shards, each document goes.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_key(F.col(id_col), F.col(source_col), F.col(text_col)).alias("row_key"))
+    return written(sized, "sizes")
 
-    Sources in code-point order, null last, have ``weights`` in turn.  ``share`` of all words is shared out by weight,
-    no source beyond ``most`` times its size.  A source's documents fall into blocks by a hash of their ``row_key``, so block
-    numbers are a random permutation; a target is so many whole passes over the blocks, then whole blocks in order, then
-    parts of one last block, then documents of one last part up to the target.  The splitting tree gives each shard its count
-    of every source's blocks, and a shard draws the next so many: shards are disjoint and exhaust the quotas exactly.
 
-    Returns one row per input row: ``doc_id, source, size, source_size, target, taken, copies``, ``draws``, an array of
-    ``(pass, shard, key)``, and ``row_key``; ordering a shard by ``key`` shuffles it.  Null text has size 0; a document of size 0
-    takes no words.  Null ids are ids like others.  Equal rows are drawn alike but for the last part, which may take only some of them.
-    An empty table gives an empty result.  Only sums by source and by (source, block) are shuffled, with partial sums; the plan is
-    one row per source, and more than ``MAX_PLAN`` numbers raise ValueError.
-    """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_key(F.col(id_col), F.col(source_col), F.col(text_col)).alias("row_key"))
-    sized = written(sized, "sizes")
+def _hashed(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "row_key")
+
+
+def _blocked(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (``src, row_key, ...``) with the plan of their source, ``block`` and ``part``."""
+    met_ = rows.join(plan, rows["src"].eqNullSafe(plan["src"])).drop(plan["src"])
+    return met_.withColumns({"block": F.pmod(_hashed(seed), "blocks"), "part": F.pmod(_hashed(seed + 3), F.lit(PARTS))})
+
+
+def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: int, shards: int, block_words: int, max_blocks: int, seed: int) -> DataFrame:
+    """One row for each source, to be broadcast: where its target ends and how many of its blocks each shard has drawn."""
     totals = sized.groupBy("src").agg(F.sum("size").alias("words"), F.count("*").alias("n")).orderBy(F.col("src").asc_nulls_last()).limit(MAX_PLAN // shards + 1).collect()
     if len(totals) * shards > MAX_PLAN:
         raise ValueError(f"more than {MAX_PLAN // shards} sources with {shards} shards")
@@ -94,8 +94,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = list(zip(srcs, words, blocks, targets, passes, whole, part_end, need, ends))
         return F.broadcast(sized.sparkSession.createDataFrame(rows, PLAN))
 
-    hashed = lambda i: F.xxhash64(F.lit(seed + i), "row_key")
-    blocked = lambda p: sized.join(p, sized["src"].eqNullSafe(p["src"])).drop(p["src"]).withColumns({"block": F.pmod(hashed(0), "blocks"), "part": F.pmod(hashed(3), F.lit(PARTS))})
+    blocked = lambda p: _blocked(sized, p, seed)
     zeros, none = [0] * len(srcs), [[]] * len(srcs)
     rest = [float(t - p * w) for t, p, w in zip(targets, passes, words)]
     cut = _cuts(blocked(plan(zeros, zeros, rest, none)), "block")
@@ -107,18 +106,78 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last = [x - end[s][1] if s in end else 0.0 for s, x in zip(srcs, need)]
     quotas = np.array([p * b + q + (x > 0) for p, b, q, x in zip(passes, blocks, whole, need)], dtype=np.int64)
     ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0).T.tolist() if len(totals) else []
+    return plan(whole, part_end, last, ends)
 
-    placed = blocked(plan(whole, part_end, last, ends))
-    inside = F.col("block") == F.col("whole")
-    edge = inside & (F.col("part") == F.col("part_end")) & (F.col("need") > 0)
-    order = Window.partitionBy("src").orderBy(hashed(1), "row_key").rowsBetween(Window.unboundedPreceding, 0)
-    some = placed.where(edge).withColumn("extra", (F.sum("size").over(order) - F.col("size") / 2 <= F.col("need")).cast("int"))
-    others = placed.where(~edge).withColumn("extra", ((F.col("block") < F.col("whole")) | inside & (F.col("part") < F.col("part_end"))).cast("int"))
-    copies = (F.col("passes") + F.col("extra")).cast("int")
+
+#: Rows of the part where a source's target ends; the others have as many copies as their block and part say.
+EDGE = "block = whole and part = part_end and need > 0"
+
+
+def _others(placed: DataFrame) -> DataFrame:
+    return placed.where(f"not ({EDGE})").withColumn("extra", F.expr("block < whole or block = whole and part < part_end").cast("int"))
+
+
+def _some(placed: DataFrame, seed: int) -> DataFrame:
+    order = Window.partitionBy("src").orderBy(_hashed(seed + 1), "row_key").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.where(EDGE).withColumn("extra", (F.sum("size").over(order) - F.col("size") / 2 <= F.col("need")).cast("int"))
+
+
+def _draws(copies: Column, seed: int) -> Column:
+    """``(pass, shard, key)`` of each copy."""
     place = lambda e: e * F.col("blocks") + F.col("block")
     draw = lambda e: F.struct(e.alias("pass"), F.size(F.filter("ends", lambda o: o <= place(e))).alias("shard"), F.xxhash64(F.lit(seed + 2), F.col("row_key"), e).alias("key"))
-    draws = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), draw)).otherwise(F.array().cast("array<struct<pass:int,shard:int,key:bigint>>"))
-    return others.unionByName(some).select(F.col("id").alias("doc_id"), F.col("src").alias("source"), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), draws.alias("draws"), "row_key")
+    return F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), draw)).otherwise(F.array().cast("array<struct<pass:int,shard:int,key:bigint>>"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, shards: int = 64, block_words: int = 4096, max_blocks: int = 4096, seed: int = 1) -> DataFrame:
+    """How often, and into which shards, each document goes.
+
+    Sources in code-point order, null last, have ``weights`` in turn.  ``share`` of all words is shared out by weight,
+    no source beyond ``most`` times its size.  A source's documents fall into blocks by a hash of their ``row_key``, so block
+    numbers are a random permutation; a target is so many whole passes over the blocks, then whole blocks in order, then
+    parts of one last block, then documents of one last part up to the target.  The splitting tree gives each shard its count
+    of every source's blocks, and a shard draws the next so many: shards are disjoint and exhaust the quotas exactly.
+
+    Returns one row per input row: ``doc_id, source, size, source_size, target, taken, copies``, ``draws``, an array of
+    ``(pass, shard, key)``, and ``row_key``; ordering a shard by ``key`` shuffles it.  Null text has size 0; a document of size 0
+    takes no words.  Null ids are ids like others.  Equal rows are drawn alike but for the last part, which may take only some of them.
+    An empty table gives an empty result.  Only sums by source and by (source, block) are shuffled, with partial sums; the plan is
+    one row per source, and more than ``MAX_PLAN`` numbers raise ValueError.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    placed = _blocked(sized, _plan(sized, weights, share, most, shards, block_words, max_blocks, seed), seed)
+    copies = (F.col("passes") + F.col("extra")).cast("int")
+    return _others(placed).unionByName(_some(placed, seed)).select(F.col("id").alias("doc_id"), F.col("src").alias("source"), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), _draws(copies, seed).alias("draws"), "row_key")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, shards: int = 64, block_words: int = 4096, max_blocks: int = 4096, seed: int = 1) -> DataFrame:
+    """``draw_rows(docs, mix_sources(docs, ...))`` without a join: a row's draws follow from its key and the plan, which is broadcast.
+
+    Texts are shuffled once, into their shards.  Only rows of the part where a source's target ends are looked up, as which
+    of them have one more draw depends on their order; equal ones among them are numbered within each split of the input, after the splits'
+    counts before it, so that no task holds all copies of a row.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    plan = _plan(sized, weights, share, most, shards, block_words, max_blocks, seed)
+    more = _some(_blocked(sized, plan, seed), seed).groupBy("row_key").agg(F.sum("extra").alias("more")).where("more > 0")
+    more = written(more, "more")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(source_col).cast("string").alias("src"), row_key(F.col(id_col), F.col(source_col), F.col(text_col)).alias("row_key"), F.monotonically_increasing_id().alias("n"))
+    placed = _blocked(rows, plan, seed)
+    ends = written(met(placed.where(EDGE), more, "row_key", "n", "left").withColumn("split", F.shiftright("n", 33)), "ends")
+    counts = ends.where("more is not null").groupBy("row_key", "split").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("row_key").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))  # one row for each split of the input
+    counts = written(counts.select(F.struct("row_key", "split").alias("at"), F.coalesce(before, F.lit(0)).alias("before")), "before")
+    place = F.row_number().over(Window.partitionBy("row_key", "split").orderBy("n")) + F.coalesce("before", F.lit(0))
+    ends = met(ends.withColumn("at", F.struct("row_key", "split")), counts, "at", "n", "left")
+    ends = ends.withColumn("extra", (place <= F.coalesce("more", F.lit(0))).cast("int"))
+    copies = (F.col("passes") + F.col("extra")).cast("int")
+    each = lambda df: df.select("doc", F.explode(_draws(copies, seed)).alias("d"))
+    return _in_shards(each(_others(placed)).unionByName(each(ends)), docs.columns)
+
+
+def _in_shards(out: DataFrame, columns: list[str]) -> DataFrame:
+    out = out.repartitionByRange("d.shard", "d.key").sortWithinPartitions("d.shard", "d.key")
+    return out.select(*(F.col("doc").getField(c).alias(c) for c in columns if c != "shard"), F.col("d.shard").alias("shard"))
 
 
 def draw_rows(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -140,5 +199,4 @@ def draw_rows(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col:
     order = Window.partitionBy("key").orderBy("n")
     mixed = found.where("low < high").withColumn("copies", F.when(F.row_number().over(order) <= F.col("sum") - F.col("rows") * F.col("low"), F.col("high")).otherwise(F.col("low")))
     out = alike.unionByName(mixed).select("doc", F.explode(F.slice("draws", F.lit(1), F.col("copies"))).alias("d"))
-    out = out.repartitionByRange("d.shard", "d.key").sortWithinPartitions("d.shard", "d.key")
-    return out.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns if c != "shard"), F.col("d.shard").alias("shard"))
+    return _in_shards(out, docs.columns)

@@ -177,6 +177,26 @@ def test_draws_of_null_and_repeated_ids(spark):
     assert M.draw_rows(df, mix).columns == df.columns + ["shard"]
 
 
+@pytest.mark.parametrize("parts", [4096, 2, 1])
+def test_rows_mixed_at_once_are_those_of_the_draws(spark, monkeypatch, parts):
+    """Copies at a target's end, null and repeated ids, clashing columns; the lookups broadcast or shuffled."""
+    monkeypatch.setattr(M, "PARTS", parts)
+    rng = random.Random(43)
+    rows = [(None if i % 9 == 0 else i // 2, prose(rng, rng.randint(1, 40)), "en", rng.choice(["a", "b", None]), 7, "k", i % 5) for i in range(150)]
+    rows += [(1, "copies of one text", "en", "c", 7, "k", 1)] * 90 + [(2, "of another", "en", "c", 7, "k", 1)] * 7 + [(3, None, "en", "d", 7, "k", 1), (4, "", "en", "d", 7, "k", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6).withColumns({c: F.lit(c) for c in ("shard", "row_key", "block", "extra", "more", "n", "src")})
+    df = T.written(df, "rows")
+    key = lambda r: (str(r.doc_id), str(r.source), r.text, r.shard, r.block)
+    for share in (0.3, 1.0):
+        want = Counter(map(key, M.draw_rows(df, T.written(M.mix_sources(df, shards=4, block_words=64, share=share), "mix")).collect()))
+        assert want and Counter(map(key, M.mixed_rows(df, shards=4, block_words=64, share=share).collect())) == want
+    with monkeypatch.context() as m:
+        m.setattr(M, "met", lambda *a, **k: T.met(*a, **{**k, "limit": 0, "most": 5}))
+        out = M.mixed_rows(df, shards=4, block_words=64)
+        assert Counter(map(key, out.collect())) == want and out.columns == [c for c in df.columns if c != "shard"] + ["shard"]
+    assert M.mixed_rows(df.limit(0)).count() == 0
+
+
 # language
 
 @tables
