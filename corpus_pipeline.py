@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayer.llm import quality_model as grades
 from assayer.llm.decontaminate import without_leaks
 from assayer.llm.line_templates import drop_recurring
-from assayer.llm.mixing import draw_rows, mix_sources
+from assayer.llm.mixing import mixed_rows
 from assayer.llm.neardup import near_duplicates
 from assayer.llm.tables import written
 
@@ -46,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix draws it, with ``shard``, in shuffled order within the shards."""
-    return draw_rows(docs, written(mix_sources(docs), "mix"))
+    return mixed_rows(docs)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix)]
