@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.operators import feedback as L
+from assayer.operators import feedback as L, versions as V
 from assayer.plans.registry import query
-from assayer.plans.views import table
+from assayer.plans.views import decisions as dec, table
 
 r6 = lambda c: F.round(c, 6)
 #: Decisions of two questions, some labelled more than once, made of events.
@@ -139,3 +139,24 @@ def question_cards(spark: SparkSession, d: str) -> DataFrame:
     rows = L.with_labels(L.decision_rows(_decisions(spark, d))[1], _feedback(spark, d))
     right = F.when(F.col("label").isNotNull(), (F.col("label") == F.col("answer")).cast("int"))
     return rows.groupBy("question").agg(F.count("*").alias("decisions"), F.count("label").alias("labels"), (F.count("*") - F.count("label")).alias("pending"), r6(F.avg(right)).alias("accuracy"), r6(F.avg((F.col("confidence") < 0.6).cast("int"))).alias("abstained"), F.max("created_at").alias("last"))
+
+
+@query("""WITH RECURSIVE $DEC, n AS (SELECT max(event_id) AS n FROM events), q AS (SELECT DISTINCT event_type AS question FROM events),
+r AS (SELECT question, unnest([3 * n // 8, 5 * n // 8, 7 * n // 8]) AS p, unnest([n // 4, 3 * n // 8 - 1, n // 2]) AS v FROM q, n),
+c(question, version, hi) AS (SELECT question, unnest([1, 2, 3, 4]), unnest([n // 4, n // 2, 3 * n // 4, n]) FROM q, n UNION ALL SELECT c.question, c.version, arg_max(r.v, r.p) FROM c JOIN r ON r.question = c.question AND r.p <= c.hi GROUP BY c.question, c.version),
+s AS (SELECT question, version, hi, coalesce((SELECT max(p) FROM r WHERE r.question = c.question AND p <= hi), -1) AS lo FROM c),
+o AS (SELECT question, seq, seq + 40 AS pos, 'retract' AS op FROM dec WHERE labelled AND seq % 3 = 0 UNION ALL SELECT question, seq, seq + 200, 'restore' FROM dec WHERE labelled AND seq % 6 = 0),
+gone AS (SELECT question, version, seq FROM o JOIN s USING (question) WHERE pos > lo AND pos <= hi GROUP BY ALL HAVING arg_max(op, pos) = 'retract')
+SELECT question, version, count(*)::BIGINT AS labels, round(avg(ok), 6) AS accuracy, max(seq) AS last FROM dec JOIN s USING (question) LEFT JOIN gone USING (question, version, seq) WHERE labelled AND seq > lo AND seq <= hi AND gone.seq IS NULL GROUP BY 1, 2""")
+def metrics_at_versions(spark: SparkSession, d: str) -> DataFrame:
+    """What the measures were at four versions of a log with three rollbacks, one of them to before an earlier one; retracted labels are forgotten."""
+    rows = dec(spark, d)
+    top = F.broadcast(rows.agg(F.max("seq").alias("n")))  # one row
+    kinds = rows.select("question").distinct().crossJoin(top)
+    each = lambda *structs: kinds.select("question", F.inline(F.array(*(F.struct(*(F.expr(e).alias(c) for c, e in s.items())) for s in structs))))
+    rollbacks = each({"at": "3 * n div 8", "to": "n div 4"}, {"at": "5 * n div 8", "to": "3 * n div 8 - 1"}, {"at": "7 * n div 8", "to": "n div 2"})
+    asked = each(*({"version": str(k), "at": f"{k} * n div 4"} for k in range(1, 5)))
+    labels = rows.where("labelled").withColumnsRenamed({"seq": "event_id"}).withColumn("at", F.col("event_id")).select("question", "event_id", "at", "ok")
+    op = lambda every, name, after: labels.where(f"event_id % {every} = 0").select("question", "event_id", F.lit(name).alias("op"), (F.col("at") + after).alias("at"))
+    active = V.as_of(labels, op(3, "retract", 40).unionByName(op(6, "restore", 200)), V.spans(asked, rollbacks))
+    return active.groupBy("question", "version").agg(F.count("*").alias("labels"), r6(F.avg("ok")).alias("accuracy"), F.max("event_id").alias("last"))
