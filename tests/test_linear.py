@@ -5,6 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
+from assayer.functions import text as T
 from assayer.operators import learners as L
 
 ROWS = [(1, "a", 1.0, ["x", "y"]), (2, "b", 1.0, ["y", "z", "t"]), (3, "a", 2.0, ["t"]), (4, None, 1.0, ["x", "z", "new", "u"])]
@@ -50,3 +52,19 @@ def test_familiar_share_of_hashed_features(spark):
     hashed = lambda df: df.withColumn("f", F.xxhash64("f"))
     want = {r.id: r.familiarity for r in L.familiar_share(x, w).collect()}
     assert {r.id: r.familiarity for r in L.familiar_share(hashed(x.where("f <> 'bias'")), hashed(w)).collect()} == pytest.approx(want)
+
+
+def test_token_hashes_are_those_of_the_features(spark):
+    texts = spark.createDataFrame([("one two two one two",), ("Einzelne Wörter, 1234567 99 wörtlich wörter",), ("x",), ("",), (None,)], "text string")
+    rows = texts.select(T.tokens(F.coalesce("text", F.lit(""))).alias("t")).select(F.transform(T.token_features(F.col("t")), lambda f: F.xxhash64(f)).alias("a"), T.token_hashes(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and [len(r.b) for r in rows[2:]] == [1, 0, 0]
+
+
+@pytest.mark.parametrize("name, texts", [("familiarity", 2), ("linear_predict", 2), ("linear_evidence", 1), ("linear_explanations", 2)])
+def test_features_are_made_once_for_each_use(spark, name, texts):
+    """Once for all texts and once for labelled ones: no filter on their number makes them again."""
+    found = driver.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == texts and plan.count("array_distinct") == texts
+    if name == "familiarity":
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
