@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from assayer.functions import text as T
 from assayer.operators import overlaps as O, similarity as S
 
@@ -85,3 +86,12 @@ def test_texts_are_dealt_not_features(spark, monkeypatch, search):
         monkeypatch.setattr(S, "overlapping", step)
     assert rows_of(S.neighbours_as_of(words, words.where("id % 2 = 0"), 9)) == rows_of(S.neighbours_as_of(vectors, vectors.where("id % 2 = 0"), 9))
     rows.unpersist()
+
+
+@pytest.mark.parametrize("name", ["memory_neighbours", "minimum_slice", "decide_documents", "patch_neighbours", "patch_trust"])
+def test_queries_deal_texts(spark, monkeypatch, name):
+    """No table of features is written, and none is shuffled: a query's searches get words."""
+    dealt, step = [], S.overlapping
+    monkeypatch.setattr(S, "overlapping", lambda given, *a, **k: dealt.append(given.columns) or step(given, *a, **k))
+    driver.queries()[name](spark, "/root/testdata/sf0.001")
+    assert dealt and all("words" in c and "features" not in c for c in dealt)
