@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from assayer.functions import text as T
-from assayer.operators import learners as L
+from assayer.operators import hashed as H, learners as L
 
 ROWS = [(1, "a", 1.0, ["x", "y"]), (2, "b", 1.0, ["y", "z", "t"]), (3, "a", 2.0, ["t"]), (4, None, 1.0, ["x", "z", "new", "u"])]
 
@@ -68,3 +68,26 @@ def test_features_are_made_once_for_each_use(spark, name, texts):
     assert plan.count("regexp_extract_all") == texts and plan.count("array_distinct") == texts
     if name == "familiarity":
         assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("tasks, block, most", [(1, 4096, 4_000_000), (5, 4096, 4_000_000), (7, 2, 5)])
+def test_hashed_sums_are_those_of_rows(spark, monkeypatch, tasks, block, most):
+    """No feature is a row of its own, and none is put in order or held: sums and shares are those of the rows."""
+    monkeypatch.setattr(H, "BLOCK", block)
+    monkeypatch.setattr(H, "MOST", most)
+    x, labels = frames(spark)
+    x = x.where("f <> 'bias'")
+    docs = spark.createDataFrame([(i, fs) for i, _, _, fs in ROWS] + [(9, [])], "id long, fs array<string>").withColumn("fs", F.transform("fs", lambda f: F.xxhash64(f)))
+    w = L.linear_weights(x, labels, ["a", "b"])
+    examples = docs.join(labels, "id").select(L.first_slopes(["a", "b"]).alias("slopes"), "fs")
+    examples = spark.createDataFrame(examples.collect(), examples.schema)
+    found = H.hashed_sums(docs, examples, 2, tasks, L.KNOWN)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    got = {r.id: r for r in found.groupBy("id", "size").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.array(F.sum("z0"), F.sum("z1")).alias("z")).collect()}
+    share = {r.id: r.familiarity for r in L.familiar_share(x, w).collect()}
+    z = {r.id: r.z for r in x.join(w, "f").groupBy("id").agg(F.array(*(F.sum(F.get("w", i) * F.col("v")) for i in range(2))).alias("z")).collect()}
+    assert {i: (r.size, r.n) for i, r in got.items()} == {i: (len(fs), len(fs)) for i, _, _, fs in ROWS} | {9: (0, 0)}
+    assert all(r.known / r.n == pytest.approx(share[i]) and r.z == pytest.approx(z[i]) for i, r in got.items() if i != 9)
+    alone = H.hashed_sums(docs, examples.limit(0), 2, tasks).agg(F.sum("n"), F.sum("known"), F.sum("z0")).first()
+    assert tuple(alone) == (sum(len(fs) for *_, fs in ROWS), 0, 0.0)
